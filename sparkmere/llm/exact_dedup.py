@@ -110,16 +110,16 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """docs without the copies: of each group of equal texts the row of the smallest doc_id, with all its columns.
 
-    Repeated rows of a doc_id that stays are told apart by their text's hash; one of each stays.
+    Of rows with equal doc_id and text one stays, any, if that doc_id stays.
     """
     duplicates = exact_duplicates(docs)
-    dropped = saved(duplicates.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct())
-    again = saved(duplicates.where("kept and group_size > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")))
+    key = [F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")]
+    out = saved(duplicates.where(~F.col("kept")).select(*key, F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("__same")).distinct())
     text = F.regexp_replace(F.coalesce("text", F.lit("")), f"{SPACE}+", " ")
-    marked = docs.withColumn("__sha_own", F.sha2(text, 256))
-    match = marked["doc_id"].eqNullSafe(dropped["__id"]) & (marked["__sha_own"] == dropped["__sha"])
-    left = marked.join(dropped, match, "left_anti")
-    # A doc_id that both stays and repeats with the same text: such rows were left out above, one of each comes back.
-    both = again.join(dropped, again["__id"].eqNullSafe(dropped["__id"]) & (again["__sha"] == dropped["__sha"]), "left_semi")
-    back = marked.join(both, marked["doc_id"].eqNullSafe(both["__id"]) & (marked["__sha_own"] == both["__sha"]), "left_semi").dropDuplicates(["doc_id", "__sha_own"])
-    return left.unionByName(back).drop("__sha_own")
+    marked = docs.withColumn("__own", F.sha2(text, 256))
+    match = marked["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha"))
+    left = marked.join(out.select("__id", "__sha"), match, "left_anti")
+    repeated = out.where("__same").select("__id", "__sha")
+    if not repeated.isEmpty():
+        left = left.unionByName(marked.join(repeated, match, "left_semi").dropDuplicates(["doc_id", "__own"]))
+    return left.drop("__own")

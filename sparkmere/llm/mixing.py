@@ -30,6 +30,8 @@ MOST_REPEATS = 2.0
 BLOCK_ROWS = 128
 MOST_BLOCKS = 4096
 SHARDS = 16
+#: A shard is written by several tasks, each of which holds a part of its hashes.
+SHARD_PARTS = 64
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float = SHARE, most: float = MOST_REPEATS) -> list[float]:
@@ -135,7 +137,8 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 7) -> Dat
     decided = saved(decided.where(F.size("__shards") > 0).dropDuplicates(["__id", "__hash"]))
     own = docs.withColumn("__own", F.xxhash64(F.lit(seed), "doc_id", "text"))
     taken = own.join(decided, own["doc_id"].eqNullSafe(decided["__id"]) & (own["__own"] == decided["__hash"]))
-    return taken.withColumn("__shard", F.explode("__shards")).repartition(shards, "__shard").sortWithinPartitions("__shard", "__hash").select(*(f"`{c}`" for c in docs.columns))
+    dealt = taken.withColumn("__shard", F.explode("__shards")).repartition("__shard", F.pmod("__hash", F.lit(SHARD_PARTS)))
+    return dealt.sortWithinPartitions("__shard", "__hash").select(*(f"`{c}`" for c in docs.columns))
 
 
 def mixing_report(docs: DataFrame) -> DataFrame:

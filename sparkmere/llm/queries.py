@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkmere.llm import bpe, chat, exact_dedup, mixing, sharding
+from sparkmere.llm import ann, bpe, chat, exact_dedup, language_id, line_templates, mixing, near_dedup, secret_scan, sharding
 from sparkmere.llm.common import documents
 
 
@@ -24,11 +24,31 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(documents(spark, sf_dir))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(documents(spark, sf_dir))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.line_report(documents(spark, sf_dir))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op3_mixing, op4_chat_formatting, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op3_mixing, op4_chat_formatting, op5_near_dedup, op6_secrets, op7_nearest, op8_language, op9_line_dedup, op10_bpe)}
 
 ORACLES = {
     "op2_exact_dedup": r"""
