@@ -23,4 +23,4 @@ def query(sql: str | None = None):
 
 
 def load_all() -> None:
-    from sparkmere.catalogue import evaluation, evidence, governance, library, tags, texts, vectors  # noqa: F401
+    from sparkmere.catalogue import evaluation, evidence, governance, ingest, library, logs, tags, texts, vectors  # noqa: F401

@@ -9,7 +9,7 @@ from sparkmere.operators import governance
 from sparkmere.sources.tables import table
 
 NAMES = """
-names AS (SELECT p_partkey, lower(replace(p_type, ' ', '-')) AS tag FROM part),
+names AS (SELECT p_partkey, lower(replace(p_name, ' ', '-')) AS tag FROM part),
 kinds AS (SELECT DISTINCT tag FROM names),
 canon AS (SELECT tag FROM kinds WHERE length(tag) % 3 = 0),
 syn AS (SELECT k.tag, min(c.tag) AS target FROM kinds k JOIN canon c ON left(k.tag, 3) = left(c.tag, 3) WHERE length(k.tag) % 3 = 1 GROUP BY ALL),
@@ -20,7 +20,7 @@ st AS (SELECT k.tag, CASE WHEN c.tag IS NOT NULL THEN 'canonical' WHEN s.target
 
 
 def named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", normalized_tag(F.col("p_type")).alias("tag"), "p_brand")
+    return table(spark, sf_dir, "part").select("p_partkey", normalized_tag(F.col("p_name")).alias("tag"), "p_brand")
 
 
 def policy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
