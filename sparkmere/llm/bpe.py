@@ -29,7 +29,7 @@ NO_RANK = 2**31 - 1
 #: Java's (?U) gives \s the Unicode meaning that the vocabulary's pattern expects.
 UNICODE_FLAG = "(?U)"
 BLOCK = "ids array<bigint>, counts array<int>, codes array<int>, words array<string>"
-ENCODED = "doc_id bigint, token_ids array<int>"
+ENCODED = "doc_id bigint, ids_sha256 string, token_ids array<int>"
 
 
 def bound(value: Column, body) -> Column:
@@ -134,11 +134,13 @@ def _documents(batches):
             bounds = ends[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
             from_ = np.repeat(starts[:-1][codes] - ends[:-1], lengths) if len(codes) else np.zeros(0, np.int64)
             tokens = flat[from_ + np.arange(len(from_))] if len(from_) else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tokens, pa.int32()))], names=["doc_id", "token_ids"])
+            little = tokens.astype("<u4")
+            digests = [hashlib.sha256(little[a:b].tobytes()).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tokens, pa.int32()))], names=["doc_id", "ids_sha256", "token_ids"])
 
 
 def encode_documents(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(doc_id, token_ids) of every row of docs.
+    """(doc_id, ids_sha256, token_ids) of every row of docs; the digest is of the ids as little-endian unsigned 32-bit integers.
 
     Null and empty texts have no ids. Repeated rows stay repeated, null doc_ids stay null, and columns other than doc_id and
     text are left aside, whatever their names.
@@ -149,16 +151,8 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return encoded.mapInArrow(_documents, ENCODED)
 
 
-def _hashed(batches):
-    for batch in batches:
-        lists = batch.column(1)
-        flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-        digests = [hashlib.sha256(flat[a:b].astype("<u4").tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string()), lists], names=["doc_id", "ids_sha256", "token_ids"])
-
-
 def encoding_digest(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: the ids, and the bytes that come back from them."""
     vocabulary = vocabulary or Vocabulary()
-    hashed = encode_documents(docs, vocabulary).mapInArrow(_hashed, "doc_id bigint, ids_sha256 string, token_ids array<int>")
-    return hashed.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2(vocabulary.decode(F.col("token_ids")), 256).alias("decoded_sha256"))
+    encoded = encode_documents(docs, vocabulary)
+    return encoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2(vocabulary.decode(F.col("token_ids")), 256).alias("decoded_sha256"))

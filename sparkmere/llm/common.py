@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,15 +19,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Compute df once and cut its lineage through the shared checkpoint folder.
+    """Compute df once and cut its lineage by a table in the shared checkpoint folder.
 
-    The folder is the one named in spark.checkpoint.dir; only where that is unset (tests, a laptop) a local
-    folder is used. Plain ``checkpoint()`` files are read by any executor, so losing executors costs no rows.
+    The folder is the one named in spark.checkpoint.dir; only where that is unset (tests, a laptop) a local folder is used. Any executor reads the
+    table, so losing executors costs no rows. A written table also resets size estimates: those of checkpoint() are inherited, and over rounds of joins
+    they grow into numbers that take longer to multiply than the joins take. Tables lie in a folder of the application, which can go when it ends.
     """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def word_count(text: Column) -> Column:

@@ -4,9 +4,10 @@ Documents whose sets of 5-word shingles are equal form a class (a digest of the
 class, so copies cost nothing. A class has BANDS x ROWS minima of universal hashes; classes that agree on all ROWS minima of a band share a
 bucket. At similarity 0.75 a pair shares no bucket with a chance of 2e-5. Candidates are first each bucket's members with its least member, and all
 pairs of buckets of FEW members; they are verified on sketches (a byte of each minimum), then on whole shingle sets, which are
-worked out again from the texts of candidates only. Links that would not join two components are not needed: first each node's best candidate
-is verified, then what still lies between components. Last, in every larger bucket all pairs between different components are tried the same
-way: that is the exact rest, and near copies of one text are by then one component, so it doesn't grow with the square of their number.
+worked out again from the texts of candidates only. Links that would not join two components are not needed, so first each node's best candidate
+is verified. What still shares a bucket but not a component is tried in blocks: in larger buckets sketches are compared block against block,
+and what comes out is not pairs but (node, component) once each; then the node's set is compared with the sets of the whole component, again in blocks. So no
+candidate is left out, and near copies of one text, by then one component, are never paired with each other.
 
 Cases: null and empty texts and white space have empty sets and are linked with nothing; fewer than five words are one shingle; null doc_ids take part
 and are never a component's id unless all its rows are null; repeated rows are copies of each other; other columns are left aside.
@@ -31,6 +32,9 @@ SIMILAR = 75  # per cent
 #: A sketch's similarity has a standard error of 0.03 at 0.75; nothing similar is lost here.
 SKETCH = 0.60
 FEW = 8
+#: Rows of a bucket, and sets of a component, that one task compares with others at a time.
+BUCKET_BLOCK = 512
+SET_BLOCK = 512
 TEXT_BLOCK = 4_000_000
 
 _random = np.random.default_rng(20240229)
@@ -178,6 +182,53 @@ def _similar(batches):
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["u", "v"])
 
 
+def _touching(key: tuple, rows: pa.Table) -> pa.Table:
+    """node, root of the members of one block of a bucket that look alike but lie in different components.
+
+    A pair counts in the first band that it shares. The smaller component's member is the node, the other's root is the root.
+    """
+    band, i, j = (k.as_py() for k in key)
+    node, root, size = (rows[c].to_numpy() for c in ("node", "root", "size"))
+    sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    own = rows["own"].to_numpy()
+    right = np.flatnonzero(own == j)
+    number = int(np.flatnonzero(bands[0] == band)[0])
+    found = set()
+    for a in np.flatnonzero(own == i):
+        other = right[root[right] != root[a]]
+        if i == j:
+            other = other[other > a]
+        other = other[(sketch[other] == sketch[a]).mean(axis=1) >= SKETCH]
+        other = other[~(bands[other, :number] == bands[a, :number]).any(axis=1)]
+        for b in other.tolist():
+            small, large = (a, b) if (size[a], root[a]) < (size[b], root[b]) else (b, a)
+            found.add((int(node[small]), int(root[large])))
+    return pa.table({"node": pa.array([x for x, _ in found], pa.int64()), "root": pa.array([x for _, x in found], pa.int64())})
+
+
+def _linked_in_block(asked: pa.Table, members: pa.Table) -> pa.Table:
+    """u, v: of each asked node one link, if any, to a member of a block of a component."""
+    out: list[tuple[int, int]] = []
+    if asked.num_rows and members.num_rows:
+        sets = [np.frombuffer(s, np.uint64) for s in members["shingles"].to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        owner, every = np.repeat(np.arange(len(sets)), sizes)[order], every[order]
+        ids = members["node"].to_numpy()
+        for node, shingles in zip(asked["node"].to_pylist(), asked["shingles"].to_pylist(), strict=True):
+            own = np.frombuffer(shingles, np.uint64)
+            low, high = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+            n = high - low
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(sets))
+            hit = np.flatnonzero(100 * both >= SIMILAR * (len(own) + sizes - both))
+            if len(hit):
+                out.append((node, int(ids[hit[0]])))
+    return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([x for _, x in out], pa.int64())})
+
+
 def _with_both(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
     """u, v and the value of each."""
     first = of.select(F.col("node").alias("u"), F.col(value).alias("a"))
@@ -209,24 +260,49 @@ class NearDuplicates:
     def alike(self, pairs: DataFrame) -> DataFrame:
         return saved(_with_both(pairs, self.nodes, "sketch").mapInArrow(_alike, "u long, v long, share double"))
 
-    def similar(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that are links, by their whole sets."""
-        pairs = saved(pairs.select("u", "v"))
-        ends = saved(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-        about = saved(self.nodes.join(ends, "node", "left_semi").select("node", "doc_id", "set_key"))
+    def sets(self, ends: DataFrame) -> DataFrame:
+        """node, shingles of the nodes of ends (node), from their texts."""
+        about = saved(self.nodes.join(ends.distinct(), "node", "left_semi").select("node", "doc_id", "set_key"))
         wanted = about.select(F.col("doc_id").alias("id")).distinct()
         texts = self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
         sets = texts.mapInArrow(_keyed_sets, "set_key binary, shingles binary")
-        sets = saved(about.join(sets, "set_key").select("node", "shingles").dropDuplicates(["node"]))
+        return saved(about.join(sets, "set_key").select("node", "shingles").dropDuplicates(["node"]))
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that are links, by their whole sets."""
+        pairs = saved(pairs.select("u", "v"))
+        sets = self.sets(pairs.select(F.explode(F.array("u", "v")).alias("node")))
         return saved(_with_both(pairs, sets, "shingles").mapInArrow(_similar, "u long, v long"))
 
-    @staticmethod
-    def between(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-        """The pairs whose ends lie in different components; parts has a row for each node with a link."""
-        a = parts.select(F.col("node").alias("u"), F.col("root").alias("ru"))
-        b = parts.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-        joined = pairs.join(a, "u", "left").join(b, "v", "left")
-        return joined.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select(pairs.columns)
+    def touching(self, members: DataFrame, parts: DataFrame) -> DataFrame:
+        """node, root: members of larger buckets that look like a member of another component, by blocks of their bucket."""
+        crowded = members.where(F.col("n") > FEW).select("band", "node", "n").join(parts, "node")
+        mixed = saved(crowded.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("band"))
+        blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
+        crowded = saved(crowded.join(mixed, "band", "left_semi").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+        told = crowded.join(self.nodes.select("node", "sketch", "bands"), "node")
+        pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"))))
+        told = told.select("band", "node", "root", "size", "sketch", "bands", "own", pair.alias("pair")).select("*", "pair.i", "pair.j").drop("pair")
+        return told.groupBy("band", "i", "j").applyInArrow(_touching, "node long, root long")
+
+    def linked(self, asked: DataFrame, parts: DataFrame) -> DataFrame:
+        """u, v: links of nodes to members of components, for asked (node, root): each set against the sets of the component, in blocks."""
+        asked = saved(asked.distinct())
+        touched = saved(asked.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / SET_BLOCK).cast("int").alias("groups")))
+        members = saved(parts.join(touched, "root").withColumn("blocks", F.ceil(F.col("size") / SET_BLOCK).cast("int")))
+        sets = self.sets(asked.select("node").unionByName(members.select("node")))
+        counts = saved(members.groupBy("root").agg(F.max("blocks").alias("blocks"), F.max("groups").alias("groups")))
+
+        def part(n: str):
+            return F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+
+        def all_of(n: str):
+            return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+        left = asked.join(counts, "root").withColumn("group", part("groups")).select("root", "node", "group", all_of("blocks").alias("block")).join(sets, "node")
+        right = members.withColumn("block", part("blocks")).select("root", "node", "block", all_of("groups").alias("group")).join(sets, "node")
+        left, right = (d.select(*(F.col(c).alias(c) for c in ("root", "block", "group", "node", "shingles"))) for d in (left, right))
+        return saved(left.groupBy("root", "block", "group").cogroup(right.groupBy("root", "block", "group")).applyInArrow(_linked_in_block, "u long, v long"))
 
     def roots(self) -> DataFrame:
         """node, root of every class that is linked with another."""
@@ -237,17 +313,13 @@ class NearDuplicates:
         candidates = self.alike(_ordered(stars.unionByName(every)))
         best = candidates.groupBy("v").agg(F.max_by("u", F.struct("share", "u")).alias("u")).select("u", "v")
         links = self.similar(best)
-        parts = saved(components(links))
-        more = self.between(candidates.select("u", "v"), parts)
-        crowded = members.where(F.col("n") > FEW).select("band", "node").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = saved(crowded.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("band"))
-        crowded = saved(crowded.join(mixed, "band", "left_semi"))
-        left = crowded.select("band", F.col("node").alias("u"), F.col("root").alias("ru"))
-        right = crowded.select("band", F.col("node").alias("v"), F.col("root").alias("rv"))
-        # Each pair meets once, from the side of the greater root.
-        cross = left.join(right, "band").where("ru < rv").select("u", "v")
-        rest = self.alike(_ordered(cross)).select("u", "v").unionByName(more).distinct()
-        links = links.unionByName(self.similar(rest))
+        roots = saved(self.nodes.select("node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
+        parts = saved(roots.join(saved(roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))), "root"))
+        ends = [parts.select(F.col("node").alias(e), F.struct("size", "root").alias(f"part_{e}")) for e in ("u", "v")]
+        between = candidates.select("u", "v").join(ends[0], "u").join(ends[1], "v").where("part_u.root != part_v.root")
+        smaller = F.col("part_u") < F.col("part_v")
+        apart = between.select(F.when(smaller, F.col("u")).otherwise(F.col("v")).alias("node"), F.when(smaller, F.col("part_v.root")).otherwise(F.col("part_u.root")).alias("root"))
+        links = links.unionByName(self.linked(apart.unionByName(self.touching(members, parts)), parts))
         return saved(components(links))
 
     def result(self) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def windowed(events: DataFrame, every: str = "1 hour", late: str | None = None) -> DataFrame:
     """start, event_type, n, total per window. late: how long a stream waits for late rows."""
     if late and events.isStreaming:
-        events = events.withWatermark("ts", late)
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     counted = events.groupBy(F.window("ts", every), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return counted.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
@@ -17,6 +17,6 @@ def windowed(events: DataFrame, every: str = "1 hour", late: str | None = None)
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
     """user_id, start, end, n of each session; a session ends after gap without an event."""
     if late and events.isStreaming:
-        events = events.withWatermark("ts", late)
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     counted = events.groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return counted.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
