@@ -1,10 +1,13 @@
 """Byte-level BPE: ranked merges folded over distinct words, and decoding by joining pieces.
 
 A text is cut into words by the vocabulary's pattern. Each Arrow batch of documents (64 MB at most) becomes one
-row that holds its distinct words and, per document, the numbers of its words. Spark's higher-order functions fold
-the merges over every distinct word: a word is an array of byte pieces, and each step joins the adjacent
+row, a block, that holds its distinct words and, per document, the numbers of its words. Spark's higher-order functions fold
+the merges over distinct words: a word is an array of byte pieces, and each step joins the adjacent
 pair whose union has the lowest rank, until no union has one. The ranks are a literal map, cut in BUCKETS by checksum,
-because Spark looks through a map entry by entry. Nothing is shuffled: rows stay where they were read.
+because Spark looks through a map entry by entry.
+
+Words that many blocks share are folded once for the whole corpus: those in the most blocks, MOST_SHARED of SHARED_BYTES bytes at most (24 MB),
+are broadcast with their ids. Every other word is folded in each block that holds it. Only words and their counts are shuffled; documents stay where they were read.
 
 Bytes are held as strings of the characters U+0000 to U+00FF (ISO-8859-1), so that the map can be a JSON literal.
 """
@@ -22,13 +25,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkmere.llm.common import tokenizer_path
+from sparkmere.llm.common import saved, tokenizer_path
 
 BUCKETS = 32768  # a power of two
 NO_RANK = 2**31 - 1
 #: Java's (?U) gives \s the Unicode meaning that the vocabulary's pattern expects.
 UNICODE_FLAG = "(?U)"
-BLOCK = "ids array<bigint>, counts array<int>, codes array<int>, words array<string>"
+#: Bounds of the table of shared words, which is broadcast.
+MOST_SHARED = 131_072
+SHARED_BYTES = 32
+#: Documents that leave a block together.
+ROWS = 1024
+BLOCK = "ids array<bigint>, counts array<int>, codes binary, words array<string>"
 ENCODED = "doc_id bigint, ids_sha256 string, token_ids array<int>"
 
 
@@ -108,35 +116,90 @@ class Vocabulary:
 
 
 def _blocks(batches):
-    """One row for each batch: its documents as numbers into its distinct words."""
+    """One row for each batch: its documents as numbers into its distinct words, the most frequent word first, so that numbers are small."""
     for batch in batches:
         words = batch.column(1)
         coded = words.flatten().dictionary_encode()
-        offsets = pa.compute.fill_null(pa.compute.list_value_length(words), 0)
+        counts = pa.compute.fill_null(pa.compute.list_value_length(words), 0)
+        times = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+        order = np.argsort(-times, kind="stable")
+        number = np.empty(len(order), "<u4")
+        number[order] = np.arange(len(order))
+        codes = pa.compress(number[coded.indices.to_numpy()].tobytes(), codec="zstd", asbytes=True)
 
         def row(values, kind):
             return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
 
-        yield pa.RecordBatch.from_arrays([row(batch.column(0), pa.int64()), row(offsets, pa.int32()), row(coded.indices, pa.int32()), row(coded.dictionary, pa.string())], names=["ids", "counts", "codes", "words"])
+        yield pa.RecordBatch.from_arrays([row(batch.column(0), pa.int64()), row(counts, pa.int32()), pa.array([codes], pa.binary()), row(coded.dictionary.take(pa.array(order)), pa.string())], names=["ids", "counts", "codes", "words"])
+
+
+def shared_words(blocks: DataFrame, vocabulary: Vocabulary) -> pa.Table:
+    """word, pieces of the words in the most blocks, MOST_SHARED at most."""
+    every = blocks.select(F.explode("words").alias("word")).where(F.octet_length("word") <= SHARED_BYTES)
+    level = F.floor(4 * F.log2("n")).cast("int")  # a few hundred levels, however many blocks
+    often = saved(every.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("word", level.alias("level")))
+    room, least = MOST_SHARED, 2**31 - 1
+    for r in often.groupBy("level").count().orderBy(F.desc("level")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chosen = often.where(F.col("level") >= least).select("word").repartition(tasks, "word")
+    return chosen.select("word", vocabulary.encode_word(F.col("word")).alias("pieces")).toArrow().combine_chunks()
+
+
+def _asked(shared):
+    """Each block with the numbers of its shared words (-1: not shared) and, as words, the others."""
+
+    def run(batches):
+        table = shared.value["word"].combine_chunks().cast(pa.string())
+        for batch in batches:
+            for k in range(batch.num_rows):
+                words = batch.column(3)[k].values
+                found = pa.compute.fill_null(pa.compute.index_in(words, value_set=table), -1).cast(pa.int32())
+                rest = words.filter(pa.compute.less(found, 0))
 
+                def row(values):
+                    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
-def _documents(batches):
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(k, 1) for j in range(3)), row(found), row(rest)], names=["ids", "counts", "codes", "shared", "words"])
+
+    return run
+
+
+def _documents(shared):
     """The ids of every document of each block."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            ids, counts, codes = (batch.column(j)[k].values for j in range(3))
-            per_word = batch.column(3)[k].values
-            counts, codes = counts.to_numpy(), codes.to_numpy()
-            starts = per_word.offsets.to_numpy()
-            flat = per_word.values.to_numpy()
-            lengths = (starts[1:] - starts[:-1])[codes] if len(codes) else np.zeros(0, np.int32)
-            ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-            bounds = ends[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
-            from_ = np.repeat(starts[:-1][codes] - ends[:-1], lengths) if len(codes) else np.zeros(0, np.int64)
-            tokens = flat[from_ + np.arange(len(from_))] if len(from_) else np.zeros(0, np.int32)
-            little = tokens.astype("<u4")
-            digests = [hashlib.sha256(little[a:b].tobytes()).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tokens, pa.int32()))], names=["doc_id", "ids_sha256", "token_ids"])
+
+    def run(batches):
+        table = shared.value["pieces"].combine_chunks()
+        table_ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(table).to_numpy(zero_copy_only=False), dtype=np.int64)]).astype(np.int64)
+        table_flat = table.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, counts, found, own = (batch.column(j)[k].values for j in (0, 1, 3, 4))
+                counts, found = counts.to_numpy(), found.to_numpy()
+                words = int(counts.sum(dtype=np.int64))
+                codes = np.frombuffer(pa.decompress(batch.column(2)[k].as_py(), 4 * words, codec="zstd", asbytes=True), "<u4")
+                own_ends = own.offsets.to_numpy().astype(np.int64) if len(own) else np.zeros(1, np.int64)
+                flat = np.concatenate([table_flat, own.values.to_numpy() if len(own) else np.zeros(0, np.int32)])
+                starts = np.zeros(len(found), np.int64)
+                lengths = np.zeros(len(found), np.int64)
+                is_shared = found >= 0
+                starts[is_shared], lengths[is_shared] = table_ends[found[is_shared]], np.diff(table_ends)[found[is_shared]]
+                starts[~is_shared], lengths[~is_shared] = len(table_flat) + own_ends[:-1], np.diff(own_ends)
+                places = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+                for low in range(0, len(ids), ROWS):
+                    high = min(len(ids), low + ROWS)
+                    part = codes[places[low] : places[high]]
+                    long = lengths[part]
+                    ends = np.concatenate([[0], np.cumsum(long)])
+                    tokens = flat[np.repeat(starts[part] - ends[:-1], long) + np.arange(ends[-1])].astype("<i4")
+                    bounds = ends[places[low : high + 1] - places[low]]
+                    digests = [hashlib.sha256(tokens[a:b].tobytes()).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([ids[low:high].cast(pa.int64()), pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tokens, pa.int32()))], names=["doc_id", "ids_sha256", "token_ids"])
+
+    return run
 
 
 def encode_documents(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -146,9 +209,11 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     text are left aside, whatever their names.
     """
     words = docs.select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(vocabulary.pattern), F.lit(0)).alias("words"))
-    blocks = words.mapInArrow(_blocks, BLOCK)
-    encoded = blocks.select("ids", "counts", "codes", F.transform("words", vocabulary.encode_word).alias("words"))
-    return encoded.mapInArrow(_documents, ENCODED)
+    blocks = saved(words.mapInArrow(_blocks, BLOCK))
+    shared = docs.sparkSession.sparkContext.broadcast(shared_words(blocks, vocabulary))
+    asked = blocks.mapInArrow(_asked(shared), "ids array<bigint>, counts array<int>, codes binary, shared array<int>, words array<string>")
+    encoded = asked.select("ids", "counts", "codes", "shared", F.transform("words", vocabulary.encode_word).alias("words"))
+    return encoded.mapInArrow(_documents(shared), ENCODED)
 
 
 def encoding_digest(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
