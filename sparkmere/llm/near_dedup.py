@@ -185,22 +185,19 @@ def _similar(batches):
 def _touching(key: tuple, rows: pa.Table) -> pa.Table:
     """node, root of the members of one block of a bucket that look alike but lie in different components.
 
-    A pair counts in the first band that it shares. The smaller component's member is the node, the other's root is the root.
+    The smaller component's member is the node, the other's root is the root. What several bands find is made distinct later.
     """
-    band, i, j = (k.as_py() for k in key)
+    _, i, j = (k.as_py() for k in key)
     node, root, size = (rows[c].to_numpy() for c in ("node", "root", "size"))
     sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-    bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
     own = rows["own"].to_numpy()
     right = np.flatnonzero(own == j)
-    number = int(np.flatnonzero(bands[0] == band)[0])
     found = set()
     for a in np.flatnonzero(own == i):
         other = right[root[right] != root[a]]
         if i == j:
             other = other[other > a]
         other = other[(sketch[other] == sketch[a]).mean(axis=1) >= SKETCH]
-        other = other[~(bands[other, :number] == bands[a, :number]).any(axis=1)]
         for b in other.tolist():
             small, large = (a, b) if (size[a], root[a]) < (size[b], root[b]) else (b, a)
             found.add((int(node[small]), int(root[large])))
@@ -280,9 +277,9 @@ class NearDuplicates:
         mixed = saved(crowded.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("band"))
         blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
         crowded = saved(crowded.join(mixed, "band", "left_semi").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-        told = crowded.join(self.nodes.select("node", "sketch", "bands"), "node")
+        told = crowded.join(self.nodes.select("node", "sketch"), "node")
         pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"))))
-        told = told.select("band", "node", "root", "size", "sketch", "bands", "own", pair.alias("pair")).select("*", "pair.i", "pair.j").drop("pair")
+        told = told.select("band", "node", "root", "size", "sketch", "own", pair.alias("pair")).select("*", "pair.i", "pair.j").drop("pair")
         return told.groupBy("band", "i", "j").applyInArrow(_touching, "node long, root long")
 
     def linked(self, asked: DataFrame, parts: DataFrame) -> DataFrame:
