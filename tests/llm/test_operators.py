@@ -259,6 +259,26 @@ def test_lines(spark, docs):
     assert line_templates.line_report(docs).count() == len(TEXTS) and line_templates.line_report(docs.limit(0)).count() == 0
 
 
+def test_lines_of_few_documents(spark):
+    long = "a passage of many words that stands in a few documents and in no other place of this small corpus of lines"
+    paragraph = "这是一个没有空格的很长的段落，它在两个文件里出现了3次。"
+    texts = {k: [f"only in {'abcdefghijkl'[k] * 3}"] for k in range(12)}
+    for n in (2, 3, 4):
+        for k in range(n):
+            texts[k].append(f"{'xyz'[n - 2]} shared {long}")
+    for k in (0, 1):
+        texts[k] += ["Of.", "Page 3", paragraph, f"{long} but {'ab'[k]}"]
+    for k in range(5, 10):
+        texts[k] += [f"Sheet {k}", f"第{k}章", f"No {k}", f"{k} {k}"]
+    for k in (10, 11):
+        texts[k] += [f"short varying line {'ab'[k - 10]}", "twice in one"[: 12 - k], "twice in one"[: 12 - k]]
+    rows = spark.createDataFrame([(k, "\n".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    found = {r.doc_id: r.dropped for r in line_templates.line_report(rows).collect()}
+    assert {k: [texts[k][at] for at in found[k]] for k in texts} == {
+        **{k: texts[k][1:] for k in range(5)}, **{k: [f"Sheet {k}", f"第{k}章"] for k in range(5, 10)}, 10: [], 11: [],
+    }
+
+
 def test_bpe(docs, corpus):
     import public_tokenizers
     import tiktoken
