@@ -60,6 +60,18 @@ def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.lexical_topk(queries(spark, sf_dir), chunks(spark, sf_dir), {"heading": "heading", "body": "body", "identity": "identity"})
 
 
+@query()
+def lexical_full_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.full_query_terms(queries(spark, sf_dir))
+
+
+@query()
+def lexical_full_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stand for public web pages, whose bodies have compact windows."""
+    nodes = chunks(spark, sf_dir).withColumn("web", F.lit(True))
+    return lexical.full_lexical_topk(queries(spark, sf_dir), nodes, {"heading": "heading", "body": "body", "identity": "identity"})
+
+
 @query(f"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), {RE})) AS t FROM documents) SELECT t AS word, {SINGULAR} AS singular FROM w")
 def plural_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(fn.tokens(F.col("text")))).alias("word")).distinct()

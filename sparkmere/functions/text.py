@@ -10,6 +10,7 @@ CODE = r"^[a-z]{1,4}[- ]?[0-9]{1,5}[a-z0-9]*$"
 CJK = "[㐀-鿿]+"
 # Fixed values of the lexical behaviour.
 STOP_WORDS = ("a", "an", "and", "for", "if", "in", "is", "of", "on", "or", "the", "to", "with")
+CJK_STOP_TERMS = ("洗衣", "衣機", "洗衣機", "洗衣机", "烘乾", "烘干", "乾衣", "干衣", "烤箱", "冰箱", "怎麼", "怎么", "哪裡", "哪里", "如何", "什麼", "什么")
 
 
 def normalized_tag(tag: Column) -> Column:

@@ -1,5 +1,7 @@
 """Operators on small inputs whose results can be worked out by hand."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +90,62 @@ def test_proximity(spark):
     assert values(lexical.proximity_pairs(texts, terms)) == [(9, 1, 1)]
 
 
+def one_singular(w):
+    if len(w) > 4 and w.endswith("ies"):
+        return w[:-3] + "y"
+    if len(w) > 5 and w.endswith("sses") or len(w) > 4 and w.endswith(("ches", "shes", "xes", "zes")):
+        return w[:-2]
+    return w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w
+
+
+def full_score(query, heading, body, identity, web, boost=0.2):
+    """The lexical score of one node, field by field."""
+    kinds, ordered = {"code": set(), "model": set(), "term": set()}, []
+    for t in re.findall(text.TOKEN, query.lower()):
+        flat = re.sub("[-_]", "", t)
+        if t.isdigit():
+            continue
+        if len(flat) >= 4 and re.search("[a-z]", flat) and re.search("[0-9]", flat):
+            kinds["model"].add(t)
+        elif re.search(text.CODE, t):
+            kinds["code"].add(t)
+        elif len(t) >= 2 and t not in text.STOP_WORDS:
+            kinds["term"].add(one_singular(t))
+            ordered.append(t)
+    runs = [r for r in re.findall(text.CJK, query) if len(r) >= 2]
+    cjk = {*runs, *(r[k : k + n] for r in runs for n in (2, 3) for k in range(len(r) - n + 1))} - set(text.CJK_STOP_TERMS)
+    score = ties = 0.0
+    for name, weight, value in (("heading", 1.0, heading), ("body", 0.9, body), ("identity", 0.85, identity)):
+        words = re.findall(text.TOKEN, value.lower())
+        held = {*words, *map(one_singular, words)}
+        score += weight * (0.15 * bool(kinds["code"] & held) + 0.12 * bool(kinds["model"] & held))
+        hits = len(kinds["term"] & held) + sum(t in value.lower() for t in cjk)
+        if name != "identity":
+            score += boost * weight * min(4, hits)
+        if name == "body":
+            pairs = sum(any(words[p] == a and b in words[p + 1 : p + 4] for p in range(len(words))) for a, b in zip(ordered, ordered[1:]))
+            windows = [len(set(ordered) & set(map(one_singular, words[p : p + 14]))) for p in range(len(words))]
+            compact = max(0, max(windows) - 2) if web and len(set(ordered)) >= 3 and len(words) >= 24 else 0
+            score += boost * weight * (0.5 * min(2, pairs) + 0.35 * min(2, compact))
+            ties = min(0.12 * boost, boost * (0.01 * min(8, hits) + 0.015 * min(4, compact)))
+    return round(min(score, 1.6) + ties, 5) if score > 0 else None
+
+
+def test_full_lexical_scores_by_brute_force(spark):
+    asked = [(1, "机器人清洁 洗衣机"), (2, "Clean the water tank filter"), (3, "E05 WM-8000 batteries 清洁"), (4, ""), (5, None), (6, "清洁机器人怎么充电池"), (7, "tank tank water")]
+    pad = " pad" * 20
+    bodies = [
+        "用清洁机器人清洁", "clean x y tank of water", "clean the water tank filter" + pad, "water" + pad + " clean tank filter", "WM-8000 battery e05 tank", "清洁机器人怎么充电池了 E05",
+        "洗衣机", "Clean filters" + pad + " clean water tank", "", "tank, tank: water 机器",
+    ]
+    nodes = [(k, b.split(" ")[0], b, "web E05" if k % 2 else "wm-8000 机器", k % 3 != 1) for k, b in enumerate(bodies)]
+    table = spark.createDataFrame(nodes, "node_id long, heading string, body string, identity string, web boolean")
+    found = lexical.full_lexical_scores(spark.createDataFrame(asked, "query_id long, text string"), table, {n: n for n in ("heading", "body", "identity")})
+    want = {(q, n[0]): full_score(t or "", *n[1:]) for q, t in asked for n in nodes}
+    assert {(r.query_id, r.node_id): round(r.score, 5) for r in found.collect()} == {k: v for k, v in want.items() if v is not None}
+    assert want[1, 0] and want[6, 5]
+
+
 def test_limiter(spark):
     events = spark.createDataFrame([(1, k, f"2024-01-01 00:00:{k:02d}") for k in range(4)], "key long, event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     assert [r.allowed for r in rerank.limited(events, 60, 2).orderBy("event_id").collect()] == [True, True, False, False]
