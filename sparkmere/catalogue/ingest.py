@@ -75,6 +75,16 @@ def hashing_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsers.hash_embedding(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"))
 
 
+@query()
+def hash_buckets_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsers.hash_buckets(table(spark, sf_dir, "documents"))
+
+
+@query()
+def hashing_embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsers.hash_embedding(table(spark, sf_dir, "documents"))
+
+
 @query("""SELECT p_partkey, array_to_string(list_filter(['widget', 'brand:' || lower(p_brand), CASE WHEN p_size > 25 THEN 'model:' || p_size END], lambda x: x IS NOT NULL), ',') AS tags FROM part""")
 def prefixed_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = F.when(F.col("p_size") > 25, F.col("p_size").cast("string")).otherwise("")

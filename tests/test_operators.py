@@ -1,5 +1,7 @@
 """Operators on small inputs whose results can be worked out by hand."""
 
+import collections
+import hashlib
 import re
 
 import numpy as np
@@ -184,6 +186,32 @@ def test_markdown_and_html(spark):
     assert [(r.title, r.blocks) for r in parsers.html_blocks(pages).orderBy("page_id").collect()] == [("T", ["b & c"]), ("", [])]
 
 
+def hashed(value):
+    value = value or ""
+    found = re.findall(r"[a-z0-9]+|[^a-z0-9 \t\n\r\f]", value.lower()) + [p for p in map("".join, zip(value, value[1:])) if p.strip(" \t\n\r\f\v")]
+    return collections.Counter(int(hashlib.sha256(t.encode()).hexdigest()[:8], 16) % 64 for t in found)
+
+
+def test_hashing_of_whole_texts(spark):
+    texts = {1: None, 2: "", 3: " \n\t", 4: "x", 5: "Ab cd-1\n\n z", 6: "日本🎉語 é🎉", 7: "Wörter und 🎉 words. " * 5000}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert values(parsers.hash_buckets(docs)) == sorted((k, b, n) for k, t in texts.items() for b, n in hashed(t).items())
+    found = {r.doc_id: r.vector for r in parsers.hash_embedding(docs).collect()}
+    assert set(found) == set(texts)
+    for k, t in texts.items():
+        want = np.array([hashed(t)[b] for b in range(64)], float)
+        assert np.allclose(found[k], want / (np.linalg.norm(want) or 1.0))
+
+
+def test_documents_are_hashed(spark):
+    from sparkmere import catalogue
+
+    catalogue.load_all()
+    sf = "/root/testdata/sf0.001"
+    found = catalogue.QUERIES["hashing_embed_documents"](spark, sf)
+    assert found.count() == spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").distinct().count()
+
+
 def test_stream_equals_batch(spark, tmp_path):
     source = "/root/testdata/sf0.001/events.parquet"
     batch = spark.read.parquet(source)
