@@ -1,42 +1,46 @@
-"""Byte-level BPE: ranked merges folded over distinct words, and decoding by joining pieces.
+"""Byte-level BPE: ranked merges folded over the distinct words of the corpus, and decoding by concatenating binary pieces.
 
-A text is cut into words by the vocabulary's pattern. Each Arrow batch of documents (64 MB at most) becomes one
-row, a block, that holds its distinct words and, per document, the numbers of its words. Spark's higher-order functions fold
-the merges over distinct words: a word is an array of byte pieces, and each step joins the adjacent
-pair whose union has the lowest rank, until no union has one. The ranks are a literal map, cut in BUCKETS by checksum,
-because Spark looks through a map entry by entry.
+A text is cut into words by the vocabulary's pattern. Each Arrow batch of documents (64 MB at most) becomes one row, a block, that holds its distinct
+words and, per document, the numbers of its words. Words that are a piece as a whole get their id at once. All others leave their blocks as rows
+(word, block, number), meet by word, and each is folded once for the corpus (once for every GROUP_BLOCKS blocks, so that a word of all blocks is no hot
+group). The ids then go back to the blocks, which lie in buckets by their number: documents and their codes are not shuffled.
 
-Words that many blocks share are folded once for the whole corpus: those in the most blocks, MOST_SHARED of SHARED_BYTES bytes at most (24 MB),
-are broadcast with their ids. Every other word is folded in each block that holds it. Only words and their counts are shuffled; documents stay where they were read.
+The fold is Spark's higher-order function ``aggregate`` over an array of binary pieces, at first single bytes: each step looks up the ranks of the
+pairs that the last merge made, and joins the first pair of the least rank, until no pair has one. The ranks are a literal, dealt into BUCKETS by
+checksum, as Spark looks through a map entry by entry. A step copies the arrays, so the fold's time is quadratic in a word's bytes; words of more than
+LONG_BYTES bytes are merged in the block by a heap instead.
 
-Bytes are held as strings of the characters U+0000 to U+00FF (ISO-8859-1), so that the map can be a JSON literal.
+Cases: null and empty texts have no ids; repeated rows stay repeated, null doc_ids stay null; an empty table gives no rows; columns other than doc_id
+and text are left aside, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkmere.llm.common import saved, tokenizer_path
+from sparkmere.llm.common import saved_in_buckets, tokenizer_path
 
 BUCKETS = 32768  # a power of two
 NO_RANK = 2**31 - 1
 #: Java's (?U) gives \s the Unicode meaning that the vocabulary's pattern expects.
 UNICODE_FLAG = "(?U)"
-#: Bounds of the table of shared words, which is broadcast.
-MOST_SHARED = 131_072
-SHARED_BYTES = 32
+#: A word is folded once for so many blocks at most.
+GROUP_BLOCKS = 4096
+LONG_BYTES = 2048
 #: Documents that leave a block together.
 ROWS = 1024
-BLOCK = "ids array<bigint>, counts array<int>, codes binary, words array<string>"
+BLOCK = "block long, ids array<bigint>, counts array<int>, codes binary, done array<int>, done_ids array<array<int>>, n_words int, words array<string>"
 ENCODED = "doc_id bigint, ids_sha256 string, token_ids array<int>"
 
 
@@ -46,7 +50,7 @@ def bound(value: Column, body) -> Column:
 
 
 class Vocabulary:
-    """Ranks of a tiktoken file as literals for Spark expressions."""
+    """Ranks of a tiktoken file, as a literal for Spark expressions and as the pieces in order of rank."""
 
     def __init__(self, name: str = "byte_bpe_50k.tiktoken", pattern: str | None = None):
         if pattern is None:
@@ -54,170 +58,224 @@ class Vocabulary:
 
             pattern = public_tokenizers.PATTERN
         with open(tokenizer_path(name), "rb") as lines:
-            pairs = [line.split() for line in lines if line.strip()]
-        pieces = {int(rank): base64.b64decode(piece).decode("latin-1") for piece, rank in pairs}
-        pieces_to_rank = {piece: rank for rank, piece in pieces.items()}
+            ranks = {int(rank): piece.decode() for piece, rank in (line.split() for line in lines if line.strip())}
         self.pattern = UNICODE_FLAG + pattern
-        self.pieces = [pieces.get(i, "") for i in range(max(pieces) + 1)]
-        buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-        for rank, piece in pieces.items():
-            buckets[xxhash.xxh64_intdigest(piece.encode(), seed=42) % BUCKETS][piece] = rank
-        self._ranks = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
-        first = [pieces_to_rank.get(chr(a) + chr(b), NO_RANK) for a in range(256) for b in range(256)]
-        self._first = F.from_json(F.lit(json.dumps(first)), "array<int>")
-        self._pieces = F.from_json(F.lit(json.dumps(self.pieces)), "array<string>")
-
-    def rank(self, piece: Column) -> Column:
-        bucket = F.get(self._ranks, F.xxhash64(piece).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-        return F.coalesce(F.element_at(bucket, piece), F.lit(NO_RANK))
-
-    def piece(self, rank: Column) -> Column:
-        return F.get(self._pieces, rank)
+        self.pieces = [base64.b64decode(ranks[k]) if k in ranks else None for k in range(max(ranks) + 1)]
+        buckets: list[dict[str, list]] = [{"pieces": [], "ranks": []} for _ in range(BUCKETS)]
+        for rank, piece in ranks.items():
+            bucket = buckets[xxhash.xxh64_intdigest(base64.b64decode(piece), seed=42) % BUCKETS]
+            bucket["pieces"].append(piece)
+            bucket["ranks"].append(rank)
+        self._ranks = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<struct<pieces: array<binary>, ranks: array<int>>>")
+
+    def ranks_of(self, pieces: Column) -> Column:
+        """array<int>: the ranks of an array of binary pieces, NO_RANK for what is no piece."""
+
+        def rank(piece: Column) -> Column:
+            bucket = F.get(self._ranks, F.xxhash64(piece).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+            return bound(bucket, lambda b: F.coalesce(F.get(b["ranks"], F.array_position(b["pieces"], piece).cast("int") - 1), F.lit(NO_RANK)))
+
+        return F.transform(pieces, rank)
 
     def encode_word(self, word: Column) -> Column:
-        """array<int>: the ids of one word. Words that are one piece need no merges."""
-        latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+        """array<int>: the ids of one word that is not a piece as a whole."""
+
+        def folded(bytes_: Column) -> Column:
+            single = F.transform(F.sequence(F.lit(1), F.length(bytes_)), lambda i: F.substring(bytes_, i, F.lit(1)))
+            pairs = F.transform(F.sequence(F.lit(1), F.length(bytes_) - 1), lambda i: F.substring(bytes_, i, F.lit(2)))
+            none = F.array().cast("array<int>")
+            start = F.struct(single.alias("pieces"), none.alias("before"), F.when(F.length(bytes_) > 1, pairs).otherwise(F.array().cast("array<binary>")).alias("asked"), none.alias("after"))
+            return F.aggregate(F.sequence(F.lit(1), F.length(bytes_)), start, lambda s, _: F.when(s["asked"].isNull(), s).otherwise(self._step(s)), lambda s: self.ranks_of(s["pieces"]))
+
+        return bound(F.encode(word, "UTF-8"), folded)
+
+    def _step(self, s: Column) -> Column:
+        """The ranks of all pairs are those before the asked ones, the asked ones' and those after. No more pairs are asked when none has a rank."""
+        pieces = s["pieces"]
+        none = F.array().cast("array<int>")
+        ended = F.struct(pieces.alias("pieces"), none.alias("before"), F.lit(None).cast("array<binary>").alias("asked"), none.alias("after"))
+
+        def joined(ranks: Column, at: Column, new: Column) -> Column:
+            left = F.when(at > 1, F.array(F.concat(F.get(pieces, at - 2), new))).otherwise(F.array().cast("array<binary>"))
+            right = F.when(at + 1 < F.size(pieces), F.array(F.concat(new, F.get(pieces, at + 1)))).otherwise(F.array().cast("array<binary>"))
+            return F.struct(
+                F.flatten(F.array(F.slice(pieces, 1, at - 1), F.array(new), F.slice(pieces, at + 2, F.size(pieces)))).alias("pieces"),
+                F.slice(ranks, 1, F.greatest(at - 2, F.lit(0))).alias("before"),
+                F.flatten(F.array(left, right)).alias("asked"),
+                F.slice(ranks, at + 2, F.size(ranks)).alias("after"),
+            )
 
-        def whole(bytes_: Column) -> Column:
-            rank = self.rank(bytes_)
-            return F.when(rank < NO_RANK, F.array(rank)).otherwise(self._merged(bytes_))
+        def least(ranks: Column) -> Column:
+            one = lambda at: bound(F.concat(F.get(pieces, at - 1), F.get(pieces, at)), lambda new: joined(ranks, at, new))
+            return bound(F.array_min(ranks), lambda rank: F.when(F.coalesce(rank, F.lit(NO_RANK)) == NO_RANK, ended).otherwise(bound(F.array_position(ranks, rank).cast("int"), one)))
 
-        return bound(latin, whole)
+        return bound(F.flatten(F.array(s["before"], self.ranks_of(s["asked"]), s["after"])), least)
 
-    def _merged(self, bytes_: Column) -> Column:
-        """Fold: each step joins the first pair of the least rank, until no pair has a rank."""
-        single = F.transform(F.sequence(F.lit(1), F.length(bytes_)), lambda i: F.substring(bytes_, i, F.lit(1)))
 
-        def pair(p: Column) -> Column:
-            rank = F.transform(p, lambda x, i: F.coalesce(F.get(self._first, F.ascii(x) * 256 + F.ascii(F.get(p, i + 1))), F.lit(NO_RANK)))
-            return F.struct(p.alias("pieces"), rank.alias("ranks"))
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a long word: a heap of pairs by (rank, place), and links between the pieces that are left."""
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the piece that starts at k; an absorbed piece has end 0
 
-        start = bound(single, pair)
-        steps = F.sequence(F.lit(2), F.length(bytes_))
-        end = F.aggregate(steps, start, lambda s, _: bound(F.array_min(s["ranks"]), lambda least: F.when(least == NO_RANK, s).otherwise(self._step(s, least))))
-        return F.transform(end["pieces"], self.rank)
+    def pair(k):
+        follower = end[k]
+        rank = ranks.get(word[k : end[follower]]) if follower < n else None
+        return (rank, k, end[follower]) if rank is not None else None
 
-    def _step(self, s: Column, least: Column) -> Column:
-        pieces, ranks = s["pieces"], s["ranks"]
+    heap = [p for p in map(pair, range(n)) if p]
+    heapq.heapify(heap)
+    while heap:
+        _, k, to = heapq.heappop(heap)
+        if not end[k] or end[k] >= to or end[end[k]] != to:  # a piece of the pair has changed since
+            continue
+        end[end[k]], end[k] = 0, to
+        if to < n:
+            before[to] = k
+        for p in (pair(k), pair(before[k]) if before[k] >= 0 else None):
+            if p:
+                heapq.heappush(heap, p)
+    found, k = [], 0
+    while k < n:
+        found.append(ranks[word[k : end[k]]])
+        k = end[k]
+    return found
+
+
+def _lists(values: pa.Array, ends=None) -> pa.Array:
+    """values as one list, or as the lists that end at ends."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)] if ends is None else ends, pa.int32()), values)
 
-        def joined(at: Column, new: Column) -> Column:
-            before = F.when(at > 1, F.array(self.rank(F.concat(F.get(pieces, at - 2), new)))).otherwise(F.array().cast("array<int>"))
-            after = F.coalesce(self.rank(F.concat(new, F.get(pieces, at + 1))), F.lit(NO_RANK))
-            return F.struct(
-                F.concat(F.slice(pieces, 1, at - 1), F.array(new), F.slice(pieces, at + 2, F.size(pieces))).alias("pieces"),
-                F.concat(F.slice(ranks, 1, F.greatest(at - 2, F.lit(0))), before, F.array(after), F.slice(ranks, at + 2, F.size(ranks))).alias("ranks"),
-            )
 
-        return bound(F.array_position(ranks, least).cast("int"), lambda at: bound(self.piece(least), lambda new: joined(at, new)))
+def _numbers(codes: np.ndarray) -> bytes:
+    """Numbers below 2^32 as four planes of bytes, compressed: most upper bytes are zero."""
+    return pa.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
 
-    def decode(self, ids: Column) -> Column:
-        """binary: the pieces of the ids, joined."""
-        return F.encode(F.array_join(F.transform(ids, self.piece), ""), "ISO-8859-1")
 
+def _of_numbers(packed: bytes, count: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 4 * count, codec="zstd", asbytes=True), np.uint8).reshape(4, count)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
-def _blocks(batches):
+
+def _blocks(held):
     """One row for each batch: its documents as numbers into its distinct words, the most frequent word first, so that numbers are small."""
-    for batch in batches:
-        words = batch.column(1)
-        coded = words.flatten().dictionary_encode()
-        counts = pa.compute.fill_null(pa.compute.list_value_length(words), 0)
-        times = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
-        order = np.argsort(-times, kind="stable")
-        number = np.empty(len(order), "<u4")
-        number[order] = np.arange(len(order))
-        codes = pa.compress(number[coded.indices.to_numpy()].tobytes(), codec="zstd", asbytes=True)
-
-        def row(values, kind):
-            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
-
-        yield pa.RecordBatch.from_arrays([row(batch.column(0), pa.int64()), row(counts, pa.int32()), pa.array([codes], pa.binary()), row(coded.dictionary.take(pa.array(order)), pa.string())], names=["ids", "counts", "codes", "words"])
-
-
-def shared_words(blocks: DataFrame, vocabulary: Vocabulary) -> pa.Table:
-    """word, pieces of the words in the most blocks, MOST_SHARED at most."""
-    every = blocks.select(F.explode("words").alias("word")).where(F.octet_length("word") <= SHARED_BYTES)
-    level = F.floor(4 * F.log2("n")).cast("int")  # a few hundred levels, however many blocks
-    often = saved(every.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("word", level.alias("level")))
-    room, least = MOST_SHARED, 2**31 - 1
-    for r in often.groupBy("level").count().orderBy(F.desc("level")).collect():
-        room -= r["count"]
-        if room < 0:
-            break
-        least = r["level"]
-    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chosen = often.where(F.col("level") >= least).select("word").repartition(tasks, "word")
-    return chosen.select("word", vocabulary.encode_word(F.col("word")).alias("pieces")).toArrow().combine_chunks()
-
-
-def _asked(shared):
-    """Each block with the numbers of its shared words (-1: not shared) and, as words, the others."""
 
     def run(batches):
-        table = shared.value["word"].combine_chunks().cast(pa.string())
-        for batch in batches:
-            for k in range(batch.num_rows):
-                words = batch.column(3)[k].values
-                found = pa.compute.fill_null(pa.compute.index_in(words, value_set=table), -1).cast(pa.int32())
-                rest = words.filter(pa.compute.less(found, 0))
+        pieces, ranks = pa.array(held.value, pa.binary()), None
+        task = TaskContext.get().partitionId()
+        for k, batch in enumerate(batches):
+            words = batch.column(1)
+            coded = words.flatten().dictionary_encode()
+            distinct = coded.dictionary.cast(pa.binary())
+            counts = pa.compute.fill_null(pa.compute.list_value_length(words), 0)
+            times = np.bincount(coded.indices.to_numpy(), minlength=len(distinct))
+            order = pa.compute.sort_indices(pa.table({"times": times, "word": distinct}), sort_keys=[("times", "descending"), ("word", "ascending")])
+            distinct = distinct.take(order)
+            number = np.empty(len(order), np.uint32)
+            number[order.to_numpy()] = np.arange(len(order))
+            codes = _numbers(number[coded.indices.to_numpy()])
+            whole = pa.compute.fill_null(pa.compute.index_in(distinct, value_set=pieces), -1).to_numpy()
+            long = np.flatnonzero((pa.compute.binary_length(distinct).to_numpy() > LONG_BYTES) & (whole < 0))
+            if len(long) and ranks is None:
+                ranks = {piece: rank for rank, piece in enumerate(held.value) if piece is not None}
+            done = np.union1d(np.flatnonzero(whole >= 0), long)
+            ids = [[int(whole[j])] if whole[j] >= 0 else merged(distinct[int(j)].as_py(), ranks) for j in done]
+            rest = np.ones(len(distinct), bool)
+            rest[done] = False
+            row = [pa.array([task << 33 | k], pa.int64()), _lists(batch.column(0).cast(pa.int64())), _lists(counts.cast(pa.int32())), pa.array([codes], pa.binary())]
+            row += [_lists(pa.array(done, pa.int32())), _lists(pa.array(ids, pa.list_(pa.int32()))), pa.array([len(distinct)], pa.int32()), _lists(distinct.filter(pa.array(rest)).cast(pa.string()))]
+            yield pa.RecordBatch.from_arrays(row, names=["block", "ids", "counts", "codes", "done", "done_ids", "n_words", "words"])
 
-                def row(values):
-                    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    return run
 
-                yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(k, 1) for j in range(3)), row(found), row(rest)], names=["ids", "counts", "codes", "shared", "words"])
 
-    return run
+def _packed(batches):
+    """For each batch and block one row: places of words and their ids."""
+    for batch in batches:
+        order = np.argsort(batch.column(0).to_numpy(), kind="stable")
+        block, place = (batch.column(j).to_numpy()[order] for j in (0, 1))
+        ids = batch.column(2).take(pa.array(order))
+        lengths = pa.compute.list_value_length(ids).to_numpy()
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        flat = ids.flatten().to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])[: len(block)])
+        rows = []
+        for a, b in zip(starts, [*starts[1:], len(block)], strict=True):
+            numbers = np.concatenate([place[a:b], lengths[a:b], flat[ends[a] : ends[b]]])
+            rows.append((int(block[a]), int(b - a), len(numbers), _numbers(numbers)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["block", "n", "size", "packed"])
+
+
+def _documents(blocks: pa.Table, words: pa.Table) -> pa.Table:
+    """The ids of every document of a block, from the ids of its words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids_sha256", pa.string()), ("token_ids", pa.list_(pa.int32()))])
+    found = []
+    for block in blocks.select(["ids", "counts", "codes", "done", "done_ids", "n_words"]).to_batches():
+        ids, counts, done = (block.column(j)[0].values for j in (0, 1, 3))
+        done_ids = block.column(4)[0].values
+        counts, done, n_words = counts.to_numpy(), done.to_numpy(), block.column(5)[0].as_py()
+        codes = _of_numbers(block.column(2)[0].as_py(), int(counts.sum(dtype=np.int64)))
+        rest = np.delete(np.arange(n_words), done)
+        numbers, lengths, flat = [done], [pa.compute.list_value_length(done_ids).to_numpy()], [done_ids.flatten().to_numpy()]
+        for r in words.to_pylist():
+            values = _of_numbers(r["packed"], r["size"])
+            numbers.append(rest[values[: r["n"]]])
+            lengths.append(values[r["n"] : 2 * r["n"]])
+            flat.append(values[2 * r["n"] :])
+        numbers, lengths, flat = np.concatenate(numbers), np.concatenate(lengths).astype(np.int64), np.concatenate(flat).astype("<i4")
+        if len(numbers) != n_words:
+            raise ValueError("a block lacks ids of its words")
+        start_of, length_of = np.empty(n_words, np.int64), np.empty(n_words, np.int64)
+        start_of[numbers], length_of[numbers] = np.cumsum(lengths) - lengths, lengths
+        places = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        for low in range(0, len(ids), ROWS):
+            high = min(len(ids), low + ROWS)
+            part = codes[places[low] : places[high]]
+            long = length_of[part]
+            ends = np.concatenate([[0], np.cumsum(long)])
+            tokens = flat[np.repeat(start_of[part] - ends[:-1], long) + np.arange(ends[-1])]
+            bounds = ends[places[low : high + 1] - places[low]]
+            digests = [hashlib.sha256(tokens[a:b].tobytes()).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            found.append(pa.RecordBatch.from_arrays([ids[low:high].cast(pa.int64()), pa.array(digests, pa.string()), _lists(pa.array(tokens, pa.int32()), bounds)], schema=schema))
+    return pa.Table.from_batches(found, schema)
+
 
+def encode_documents(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_id, ids_sha256, token_ids) of every row of docs; the digest is of the ids as little-endian unsigned 32-bit integers."""
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast(vocabulary.pieces)  # of the vocabulary's size
+    words = docs.select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(vocabulary.pattern), F.lit(0)).alias("words"))
+    blocks = saved_in_buckets(words.mapInArrow(_blocks(held), BLOCK), "block")
+    group = F.pmod(F.xxhash64("block"), F.lit(-(-blocks.count() // GROUP_BLOCKS) or 1)).alias("group")
+    rows = blocks.select(F.posexplode("words").alias("place", "word"), "block", group).repartition("word", "group")
+    each = rows.groupBy("word", "group").agg(F.collect_list(F.struct("block", "place")).alias("places"))
+    folded = each.select(vocabulary.encode_word(F.col("word")).alias("token_ids"), "places").select(F.explode("places").alias("at"), "token_ids")
+    packed = folded.select("at.block", "at.place", "token_ids").mapInArrow(_packed, "block long, n int, size int, packed binary")
+    left = blocks.drop("words")
+    return left.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(_documents, ENCODED)
 
-def _documents(shared):
-    """The ids of every document of each block."""
 
+def _decoded(held):
     def run(batches):
-        table = shared.value["pieces"].combine_chunks()
-        table_ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(table).to_numpy(zero_copy_only=False), dtype=np.int64)]).astype(np.int64)
-        table_flat = table.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        pieces = pa.array(held.value, pa.large_binary())
         for batch in batches:
-            for k in range(batch.num_rows):
-                ids, counts, found, own = (batch.column(j)[k].values for j in (0, 1, 3, 4))
-                counts, found = counts.to_numpy(), found.to_numpy()
-                words = int(counts.sum(dtype=np.int64))
-                codes = np.frombuffer(pa.decompress(batch.column(2)[k].as_py(), 4 * words, codec="zstd", asbytes=True), "<u4")
-                own_ends = own.offsets.to_numpy().astype(np.int64) if len(own) else np.zeros(1, np.int64)
-                flat = np.concatenate([table_flat, own.values.to_numpy() if len(own) else np.zeros(0, np.int32)])
-                starts = np.zeros(len(found), np.int64)
-                lengths = np.zeros(len(found), np.int64)
-                is_shared = found >= 0
-                starts[is_shared], lengths[is_shared] = table_ends[found[is_shared]], np.diff(table_ends)[found[is_shared]]
-                starts[~is_shared], lengths[~is_shared] = len(table_flat) + own_ends[:-1], np.diff(own_ends)
-                places = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-                for low in range(0, len(ids), ROWS):
-                    high = min(len(ids), low + ROWS)
-                    part = codes[places[low] : places[high]]
-                    long = lengths[part]
-                    ends = np.concatenate([[0], np.cumsum(long)])
-                    tokens = flat[np.repeat(starts[part] - ends[:-1], long) + np.arange(ends[-1])].astype("<i4")
-                    bounds = ends[places[low : high + 1] - places[low]]
-                    digests = [hashlib.sha256(tokens[a:b].tobytes()).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([ids[low:high].cast(pa.int64()), pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tokens, pa.int32()))], names=["doc_id", "ids_sha256", "token_ids"])
+            ids = batch.column("token_ids")
+            joined = pieces.take(ids.flatten())  # the pieces lie one after the other in its buffer
+            at = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset :][: len(joined) + 1] if len(joined) else np.zeros(1, np.int64)
+            ends = at[np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy())])]
+            texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.tobytes()), joined.buffers()[2]])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "token_ids"), pa.compute.list_value_length(ids).cast(pa.int64()), texts.cast(pa.binary())], names=[*(c for c in batch.schema.names if c != "token_ids"), "n_tokens", "decoded"])
 
     return run
 
 
-def encode_documents(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(doc_id, ids_sha256, token_ids) of every row of docs; the digest is of the ids as little-endian unsigned 32-bit integers.
-
-    Null and empty texts have no ids. Repeated rows stay repeated, null doc_ids stay null, and columns other than doc_id and
-    text are left aside, whatever their names.
-    """
-    words = docs.select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(vocabulary.pattern), F.lit(0)).alias("words"))
-    blocks = saved(words.mapInArrow(_blocks, BLOCK))
-    shared = docs.sparkSession.sparkContext.broadcast(shared_words(blocks, vocabulary))
-    asked = blocks.mapInArrow(_asked(shared), "ids array<bigint>, counts array<int>, codes binary, shared array<int>, words array<string>")
-    encoded = asked.select("ids", "counts", "codes", "shared", F.transform("words", vocabulary.encode_word).alias("words"))
-    return encoded.mapInArrow(_documents(shared), ENCODED)
+def decode_documents(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """doc_id, ids_sha256, n_tokens, decoded (binary): the binary pieces of the ids, concatenated."""
+    held = encoded.sparkSession.sparkContext.broadcast(vocabulary.pieces)
+    return encoded.select("doc_id", "ids_sha256", "token_ids").mapInArrow(_decoded(held), "doc_id long, ids_sha256 string, n_tokens long, decoded binary")
 
 
 def encoding_digest(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: the ids, and the bytes that come back from them."""
     vocabulary = vocabulary or Vocabulary()
-    encoded = encode_documents(docs, vocabulary)
-    return encoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2(vocabulary.decode(F.col("token_ids")), 256).alias("decoded_sha256"))
+    decoded = decode_documents(encode_documents(docs, vocabulary), vocabulary)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

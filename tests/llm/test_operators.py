@@ -286,7 +286,10 @@ def test_bpe(docs, corpus):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     vocabulary = bpe.Vocabulary()
-    every = docs.select("doc_id", "text").unionByName(corpus.select("doc_id", "text"))
+    random = np.random.default_rng(3)
+    long = ["x" * 100_000, "".join(random.choice(list("abcdefgh"), 100_000)), "".join(random.choice(list("aeioust"), 1500)), "日本語" * 3000]
+    more = docs.sparkSession.createDataFrame([(-1 - k, t) for k, t in enumerate(long)], "doc_id long, text string")
+    every = docs.select("doc_id", "text").unionByName(corpus.select("doc_id", "text")).unionByName(more)
     want = []
     for r in every.collect():
         ids = encoding.encode_ordinary(r.text or "")
