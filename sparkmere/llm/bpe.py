@@ -151,8 +151,11 @@ def _numbers(codes: np.ndarray) -> bytes:
     return pa.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
 
 
-def _of_numbers(packed: bytes, count: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(packed, 4 * count, codec="zstd", asbytes=True), np.uint8).reshape(4, count)
+def _planes(packed: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, 4 * count, codec="zstd", asbytes=True), np.uint8).reshape(4, count)
+
+
+def _of_planes(planes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
@@ -205,44 +208,70 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["block", "n", "size", "packed"])
 
 
-def _documents(blocks: pa.Table, words: pa.Table) -> pa.Table:
-    """The ids of every document of a block, from the ids of its words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids_sha256", pa.string()), ("token_ids", pa.list_(pa.int32()))])
-    found = []
-    for block in blocks.select(["ids", "counts", "codes", "done", "done_ids", "n_words"]).to_batches():
-        ids, counts, done = (block.column(j)[0].values for j in (0, 1, 3))
-        done_ids = block.column(4)[0].values
-        counts, done, n_words = counts.to_numpy(), done.to_numpy(), block.column(5)[0].as_py()
-        codes = _of_numbers(block.column(2)[0].as_py(), int(counts.sum(dtype=np.int64)))
-        rest = np.delete(np.arange(n_words), done)
-        numbers, lengths, flat = [done], [pa.compute.list_value_length(done_ids).to_numpy()], [done_ids.flatten().to_numpy()]
-        for r in words.to_pylist():
-            values = _of_numbers(r["packed"], r["size"])
-            numbers.append(rest[values[: r["n"]]])
-            lengths.append(values[r["n"] : 2 * r["n"]])
-            flat.append(values[2 * r["n"] :])
-        numbers, lengths, flat = np.concatenate(numbers), np.concatenate(lengths).astype(np.int64), np.concatenate(flat).astype("<i4")
-        if len(numbers) != n_words:
-            raise ValueError("a block lacks ids of its words")
-        start_of, length_of = np.empty(n_words, np.int64), np.empty(n_words, np.int64)
-        start_of[numbers], length_of[numbers] = np.cumsum(lengths) - lengths, lengths
-        places = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-        for low in range(0, len(ids), ROWS):
-            high = min(len(ids), low + ROWS)
-            part = codes[places[low] : places[high]]
-            long = length_of[part]
-            ends = np.concatenate([[0], np.cumsum(long)])
-            tokens = flat[np.repeat(start_of[part] - ends[:-1], long) + np.arange(ends[-1])]
-            bounds = ends[places[low : high + 1] - places[low]]
-            digests = [hashlib.sha256(tokens[a:b].tobytes()).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            found.append(pa.RecordBatch.from_arrays([ids[low:high].cast(pa.int64()), pa.array(digests, pa.string()), _lists(pa.array(tokens, pa.int32()), bounds)], schema=schema))
-    return pa.Table.from_batches(found, schema)
+def _documents(finish):
+    """The ids of every document of a block, from the ids of its words; finish makes the rows of ROWS documents at most."""
+
+    def run(blocks: pa.Table, words: pa.Table) -> pa.Table:
+        found = []
+        for block in blocks.select(["ids", "counts", "codes", "done", "done_ids", "n_words"]).to_batches():
+            ids, counts, done, done_ids = (block.column(j)[0].values for j in (0, 1, 3, 4))
+            counts, done, n_words = counts.to_numpy(), done.to_numpy(), block.column(5)[0].as_py()
+            places = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+            planes = _planes(block.column(2)[0].as_py(), int(places[-1]))
+            rest = np.delete(np.arange(n_words), done)
+            numbers, lengths, flat = [done], [pa.compute.list_value_length(done_ids).to_numpy()], [done_ids.flatten().to_numpy()]
+            for r in words.to_pylist():
+                values = _of_planes(_planes(r["packed"], r["size"]))
+                numbers.append(rest[values[: r["n"]]])
+                lengths.append(values[r["n"] : 2 * r["n"]])
+                flat.append(values[2 * r["n"] :])
+            numbers, lengths, flat = np.concatenate(numbers), np.concatenate(lengths).astype(np.int64), np.concatenate(flat).astype("<i4")
+            if len(numbers) != n_words:
+                raise ValueError("a block lacks ids of its words")
+            start_of, length_of = np.empty(n_words, np.int64), np.empty(n_words, np.int64)
+            start_of[numbers], length_of[numbers] = np.cumsum(lengths) - lengths, lengths
+            for low in range(0, len(ids), ROWS):
+                high = min(len(ids), low + ROWS)
+                part = _of_planes(planes[:, places[low] : places[high]])
+                long = length_of[part]
+                ends = np.concatenate([[0], np.cumsum(long)])
+                tokens = flat[np.repeat(start_of[part] - ends[:-1], long) + np.arange(ends[-1])]
+                found.append(finish(ids[low:high].cast(pa.int64()), tokens, ends[places[low : high + 1] - places[low]]))
+        return pa.Table.from_batches(found or [finish(pa.array([], pa.int64()), np.zeros(0, "<i4"), np.zeros(1, np.int64))])
 
+    return run
 
-def encode_documents(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(doc_id, ids_sha256, token_ids) of every row of docs; the digest is of the ids as little-endian unsigned 32-bit integers."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(vocabulary.pieces)  # of the vocabulary's size
+
+def _digests(data, ends: np.ndarray) -> pa.Array:
+    view = memoryview(data)
+    return pa.array([hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())
+
+
+def _with_ids(ids: pa.Array, tokens: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, _digests(tokens.tobytes(), 4 * ends), _lists(pa.array(tokens, pa.int32()), ends)], names=["doc_id", "ids_sha256", "token_ids"])
+
+
+def concatenated(pieces: pa.Array, tokens, ends: np.ndarray) -> tuple[pa.Buffer, np.ndarray]:
+    """The binary pieces of tokens one after the other, and where those of each document end."""
+    joined = pieces.take(pa.array(tokens, pa.int32()))
+    if not len(joined):
+        return pa.py_buffer(b""), np.zeros(len(ends), np.int64)
+    return joined.buffers()[2], np.frombuffer(joined.buffers()[1], np.int64)[ends]
+
+
+def _with_digests(held):
+    def finish(ids: pa.Array, tokens: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        data, places = concatenated(_binary(held), tokens, ends)
+        return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(ends), pa.int64()), _digests(tokens.tobytes(), 4 * ends), _digests(data, places)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return finish
+
+
+def _binary(held) -> pa.Array:
+    return pa.array(held.value, pa.large_binary())
+
+
+def _encoded(docs: DataFrame, vocabulary: Vocabulary, held, finish, schema: str) -> DataFrame:
     words = docs.select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(vocabulary.pattern), F.lit(0)).alias("words"))
     blocks = saved_in_buckets(words.mapInArrow(_blocks(held), BLOCK), "block")
     group = F.pmod(F.xxhash64("block"), F.lit(-(-blocks.count() // GROUP_BLOCKS) or 1)).alias("group")
@@ -250,32 +279,35 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     each = rows.groupBy("word", "group").agg(F.collect_list(F.struct("block", "place")).alias("places"))
     folded = each.select(vocabulary.encode_word(F.col("word")).alias("token_ids"), "places").select(F.explode("places").alias("at"), "token_ids")
     packed = folded.select("at.block", "at.place", "token_ids").mapInArrow(_packed, "block long, n int, size int, packed binary")
-    left = blocks.drop("words")
-    return left.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(_documents, ENCODED)
+    return blocks.drop("words").groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(_documents(finish), schema)
 
 
-def _decoded(held):
-    def run(batches):
-        pieces = pa.array(held.value, pa.large_binary())
-        for batch in batches:
-            ids = batch.column("token_ids")
-            joined = pieces.take(ids.flatten())  # the pieces lie one after the other in its buffer
-            at = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset :][: len(joined) + 1] if len(joined) else np.zeros(1, np.int64)
-            ends = at[np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy())])]
-            texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.tobytes()), joined.buffers()[2]])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "token_ids"), pa.compute.list_value_length(ids).cast(pa.int64()), texts.cast(pa.binary())], names=[*(c for c in batch.schema.names if c != "token_ids"), "n_tokens", "decoded"])
+def _held(docs: DataFrame, vocabulary: Vocabulary):
+    return docs.sparkSession.sparkContext.broadcast(vocabulary.pieces)  # of the vocabulary's size
 
-    return run
+
+def encode_documents(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_id, ids_sha256, token_ids) of every row of docs; the digest is of the ids as little-endian unsigned 32-bit integers."""
+    return _encoded(docs, vocabulary, _held(docs, vocabulary), _with_ids, ENCODED)
 
 
 def decode_documents(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """doc_id, ids_sha256, n_tokens, decoded (binary): the binary pieces of the ids, concatenated."""
-    held = encoded.sparkSession.sparkContext.broadcast(vocabulary.pieces)
-    return encoded.select("doc_id", "ids_sha256", "token_ids").mapInArrow(_decoded(held), "doc_id long, ids_sha256 string, n_tokens long, decoded binary")
+    """doc_id, decoded (binary) of every row (doc_id, token_ids): the binary pieces of the ids, concatenated. Null ids decode to nothing."""
+    held = _held(encoded, vocabulary)
+
+    def run(batches):
+        pieces = _binary(held)
+        for batch in batches:
+            ids = batch.column(1)
+            ends = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy(), dtype=np.int64)])
+            data, places = concatenated(pieces, ids.flatten(), ends)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(places.tobytes()), data]).cast(pa.binary())], names=["doc_id", "decoded"])
+
+    return encoded.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
 def encoding_digest(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: the ids, and the bytes that come back from them."""
     vocabulary = vocabulary or Vocabulary()
-    decoded = decode_documents(encode_documents(docs, vocabulary), vocabulary)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    held = _held(docs, vocabulary)
+    return _encoded(docs, vocabulary, held, _with_digests(held), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

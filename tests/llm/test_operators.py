@@ -297,3 +297,6 @@ def test_bpe(docs, corpus):
     found = bpe.encoding_digest(every, vocabulary).collect()
     assert sorted(str(tuple(r)) for r in found) == sorted(want)
     assert bpe.encoding_digest(docs.limit(0), vocabulary).count() == 0
+    encoded = bpe.encode_documents(docs, vocabulary)
+    assert {(r.doc_id, tuple(r.token_ids)) for r in encoded.collect()} == {(i, tuple(encoding.encode_ordinary(t or ""))) for i, t in TEXTS}
+    assert sorted((str(r.doc_id), bytes(r.decoded)) for r in bpe.decode_documents(encoded, vocabulary).collect()) == sorted((str(i), (t or "").encode()) for i, t in TEXTS)
