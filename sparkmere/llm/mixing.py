@@ -2,12 +2,14 @@
 
 Each source's documents are dealt, by hash, into blocks. A source whose target is t times its size takes every block floor(t) times, and
 further blocks in a permuted order until its target is met; of the block at the border single documents are taken, the largest that still fit first.
+Documents longer than the words still wanted are passed over; while words are wanted after the border, the blocks behind it are drawn likewise, ROUNDS
+times at most, each time without the documents that don't fit any more.
 The splitting tree deals these draws among output shards: at each node the exact block quotas of all sources are split between two halves by a
 multivariate hypergeometric draw, so that every leaf has its number of blocks and, over all leaves, every source has exactly its quota. Draws are numbered
 in permuted order, and a shard's quota is a range of numbers, so that shards are disjoint. Within a shard rows are in hash order.
 
-The driver holds numbers per source and per (source, shard), no documents. Blocks per source are bounded (MOST_BLOCKS), hence the block
-table by the number of sources; the rows of the blocks at the border, one block a source, are settled in one task a source.
+The driver holds numbers per source and per (source, shard), no documents. A source of n rows has about sqrt(n) / 8 blocks of 8 sqrt(n) rows, so that
+neither the window over its blocks nor the rows of the one block at its border, which are settled in one task, are many.
 
 Cases: null texts have size 0 and are taken 0 words; a null source is a source, the last; null doc_ids are dealt by their text; repeated rows
 are dealt like any; sources of size 0 have target 0; an empty table gives no rows; other columns are left aside.
@@ -15,23 +17,26 @@ are dealt like any; sources of size 0 have target 0; an empty table gives no row
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmere.llm.common import saved, word_count
+from sparkmere.llm.common import free_names, saved, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST_REPEATS = 2.0
-BLOCK_ROWS = 128
-MOST_BLOCKS = 4096
+ROUNDS = 6
+#: Words wanted that are left so, as a share of the target.
+NEAR = 0.002
 SHARDS = 16
-#: A shard is written by several tasks, each of which holds a part of its hashes.
-SHARD_PARTS = 64
+#: A shard is written by several tasks, each of which holds a part of its hashes: about so many rows.
+PART_ROWS = 50_000
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float = SHARE, most: float = MOST_REPEATS) -> list[float]:
@@ -72,60 +77,88 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _fitting(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one source's block at the border: the largest documents first, as long as they fit into the words still wanted."""
-    rows = rows.sort_values(["size", "hash"], ascending=[False, True], kind="stable")
-    left, more = float(rows["wanted"].iloc[0]), np.zeros(len(rows), np.int32)
-    for k, size in enumerate(rows["size"].to_numpy()):
-        if 0 < size <= left:
-            more[k], left = 1, left - size
-    return rows.assign(more=more)[["doc_id", "size", "source_no", "block", "hash", "more"]]
+def _fitting(rows: pa.Table) -> pa.Table:
+    """row, size of one source's block at the border that are taken: the largest documents first, as long as they fit into the words still wanted."""
+    rows = rows.sort_by([("size", "descending"), ("hash", "ascending"), ("row", "ascending")])
+    left, taken = rows["left"][0].as_py(), []
+    for k, size in enumerate(rows["size"].to_pylist()):
+        if size <= left:
+            taken.append(k)
+            left -= size
+    return rows.select(["source_no", "row", "size"]).take(pa.array(taken, pa.int64()))
+
+
+def _table(spark, rows: list, schema: str) -> DataFrame:
+    """A table with a row for each source; broadcast if small."""
+    found = spark.createDataFrame(rows, schema)
+    return F.broadcast(found) if len(rows) <= 100_000 else found
+
+
+def _extra(dealt: DataFrame, blocks: DataFrame, wanted: dict[int, float]) -> tuple[list[DataFrame], list[DataFrame], dict[int, int]]:
+    """The extra draws of the sources (source_no -> words wanted): wholly drawn blocks (source_no, block, most: the largest document), rows of border
+    blocks (row), and for each source the place of its last block that is drawn from."""
+    spark = dealt.sparkSession
+    state = {k: (left, 0) for k, left in wanted.items() if left > 0}  # words wanted, place of the last border
+    near = {k: NEAR * left for k, left in wanted.items()}
+    whole, single, last = [], [], {}
+    for _ in range(ROUNDS):
+        if not state:
+            break
+        about = _table(spark, [(k, left, place) for k, (left, place) in state.items()], "source_no int, left double, past long")
+        open_ = dealt.join(blocks, ["source_no", "block"]).join(about, "source_no").where("place > past AND size > 0 AND size <= left")
+        sums = open_.groupBy("source_no", "block", "place", "left").agg(F.sum("size").alias("block_size"))
+        before = F.coalesce(F.sum("block_size").over(Window.partitionBy("source_no").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        sums = saved(sums.withColumn("before", before).where("before < left").withColumn("border", F.col("before") + F.col("block_size") > F.col("left")))
+        border = sums.where("border").select("source_no", "block", (F.col("left") - F.col("before")).alias("left"))  # one row a source at most
+        rows = dealt.select("row", "source_no", "block", "size", "hash").where("size > 0").join(border.hint("broadcast") if len(state) <= 100_000 else border, ["source_no", "block"])
+        fitted = saved(rows.where("size <= left").select("source_no", "row", "size", "hash", "left").groupBy("source_no").applyInArrow(_fitting, "source_no int, row long, size long"))
+        whole.append(sums.where("NOT border").select("source_no", "block", F.col("left").alias("most")))
+        single.append(fitted.select("row"))
+        fits = {r["source_no"]: r["size"] for r in fitted.groupBy("source_no").agg(F.sum("size").alias("size")).collect()}
+        ends = F.max(F.when(F.col("border"), F.col("place"))).alias("border"), F.max("place").alias("last"), F.sum(F.when(~F.col("border"), F.col("block_size"))).alias("size")
+        before_, state = state, {}
+        for r in sums.groupBy("source_no").agg(*ends).collect():
+            k = r["source_no"]
+            last[k] = r["last"]
+            left = before_[k][0] - (r["size"] or 0) - fits.get(k, 0)
+            if r["border"] and left > near[k]:
+                state[k] = (left, r["border"])
+    return whole, single, last
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, shards: int = SHARDS, seed: int = 7) -> DataFrame:
     """doc_id, hash, size, source_size, target, copies, taken, shards: the decision about every row."""
     spark = docs.sparkSession
     mixed = F.xxhash64(F.lit(seed), "doc_id", "text")
-    rows = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), mixed.alias("hash")))
+    rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), mixed.alias("hash")))
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()  # a row for each source
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [int(r["size"]) for r in found]
     wanted = targets(sizes, [weights[k % len(weights)] for k in range(len(found))])
-    sources = []
-    for k, r in enumerate(found):
-        whole = int(wanted[k] // sizes[k]) if sizes[k] else 0
-        sources.append((r["source"], k, sizes[k], wanted[k], whole, wanted[k] - whole * sizes[k], max(1, min(MOST_BLOCKS, r["n"] // BLOCK_ROWS))))
-    about = spark.createDataFrame(sources, "source string, source_no int, source_size long, target double, whole int, rest double, blocks int")
-    about = F.broadcast(about) if len(sources) <= 100_000 else about
-    dealt = rows.join(about, rows["source"].eqNullSafe(about["source"])).drop("source").withColumn("block", F.pmod("hash", F.col("blocks")).cast("int"))
-    order = F.xxhash64(F.lit(seed + 1), "source_no", "block")
-    blocks = dealt.groupBy("source_no", "block", "whole", "rest").agg(F.sum("size").alias("block_size")).withColumn("order", order)
-    before = F.sum("block_size").over(Window.partitionBy("source_no").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, -1))
-    place = F.row_number().over(Window.partitionBy("source_no").orderBy("order", "block"))
-    blocks = blocks.withColumns({"before": F.coalesce(before, F.lit(0)), "place": place.cast("long")})
-    more = F.when(F.col("before") + F.col("block_size") <= F.col("rest"), 1).otherwise(0)
-    border = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("block_size") > F.col("rest"))
-    blocks = saved(blocks.select("source_no", "block", "place", "whole", more.alias("more"), border.alias("border"), (F.col("rest") - F.col("before")).alias("wanted")))
-    # At most MOST_BLOCKS rows a source. Whole passes come first, then the permuted extra blocks, then the one at the border.
-    drawn = blocks.groupBy("source_no", "whole").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("more") + F.col("border").cast("int")).alias("extra")).collect()
-    drawn = {r["source_no"]: r for r in drawn}
-    quotas = np.array([drawn[k]["n"] * drawn[k]["whole"] + drawn[k]["extra"] if k in drawn else 0 for k in range(len(sources))], np.int64)
+    passes = [int(wanted[k] // sizes[k]) if sizes[k] else 0 for k in range(len(found))]
+    about = [(r["source"], k, sizes[k], wanted[k], passes[k], max(1, math.isqrt(r["n"]) // 8)) for k, r in enumerate(found)]
+    about = _table(spark, about, "source string, source_no int, source_size long, target double, whole int, blocks long")
+    block = F.pmod("hash", F.col("blocks"))  # by content, so that reruns agree
+    dealt = rows.join(about, rows["source"].eqNullSafe(about["source"])).drop("source").withColumn("block", block).drop("blocks")
+    order = Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(seed + 1), "source_no", "block"), "block")
+    blocks = saved(dealt.select("source_no", "block").distinct().withColumn("place", F.row_number().over(order).cast("long")))
+    drawn_whole, drawn_single, last = _extra(dealt, blocks, {k: wanted[k] - passes[k] * sizes[k] for k in range(len(found))})
+    # Whole passes come first, then the permuted extra blocks up to the last one that is drawn from.
+    n = {r["source_no"]: r["n"] for r in blocks.groupBy("source_no").agg(F.count(F.lit(1)).alias("n")).collect()}
+    quotas = np.array([n.get(k, 0) * passes[k] + last.get(k, 0) for k in range(len(found))], np.int64)
     ends = np.cumsum(split_quotas(quotas, shards, seed), axis=0)
-    bounds = spark.createDataFrame([(k, [int(x) for x in ends[:, k]]) for k in range(len(sources))], "source_no int, ends array<long>")
-    bounds = F.broadcast(bounds) if len(sources) <= 100_000 else bounds
-    counted = blocks.groupBy("source_no").agg(F.max("place").alias("n"))
-    blocks = blocks.join(bounds, "source_no").join(counted, "source_no")
+    bounds = _table(spark, [(k, n.get(k, 0), [int(x) for x in ends[:, k]]) for k in range(len(found))], "source_no int, n long, ends array<long>")
+    none = spark.createDataFrame([], "source_no int, block long, most double")
+    most = reduce(DataFrame.unionByName, drawn_whole, none)
+    blocks = blocks.join(most, ["source_no", "block"], "left").join(bounds, "source_no")
+    single = reduce(DataFrame.unionByName, drawn_single, spark.createDataFrame([], "row long")).withColumn("single", F.lit(True))
+    every = dealt.join(blocks, ["source_no", "block"]).join(single, "row", "left")
+    more = F.coalesce(F.col("single"), F.col("size").between(1, F.col("most")), F.lit(False)).cast("int")
+    copies = F.col("whole") + more
     number = F.transform(F.sequence(F.lit(0), F.col("whole")), lambda i: i * F.col("n") + F.col("place") - 1)
-    shard_of = F.transform(number, lambda x: F.size(F.filter("ends", lambda e: e <= x)))
-    blocks = blocks.select("source_no", "block", "more", "border", "wanted", shard_of.alias("draw_shards"))
-    joined = dealt.select("doc_id", "size", "hash", "source_no", "source_size", "target", "whole", "block").join(blocks, ["source_no", "block"])
-    fitted = joined.where("border").select("doc_id", "size", "source_no", "block", "hash", "wanted").groupBy("source_no").applyInPandas(_fitting, "doc_id long, size long, source_no int, block int, hash long, more int")
-    rest = joined.select("source_no", "block", "source_size", "target", "whole", "draw_shards")
-    fitted = fitted.join(rest.dropDuplicates(["source_no", "block"]), ["source_no", "block"])
-    names = ["doc_id", "hash", "size", "source_size", "target", "whole", "more", "draw_shards"]
-    every = joined.where(~F.col("border")).select(names).unionByName(fitted.select(names))
-    copies = F.col("whole") + F.col("more")
-    return every.select("doc_id", "hash", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"), F.slice("draw_shards", F.lit(1), copies).alias("shards"))
+    shard_of = F.slice(F.transform(number, lambda x: F.size(F.filter("ends", lambda e: e <= x))), F.lit(1), F.col("copies"))
+    every = every.withColumn("copies", copies).withColumn("shards", shard_of)
+    return every.select("doc_id", "hash", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "shards")
 
 
 def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 7) -> DataFrame:
@@ -133,12 +166,18 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 7) -> Dat
 
     Documents that the mix doesn't reach, and documents without words of a source that is taken in part, are left out.
     """
-    decided = mix(docs, shards=shards, seed=seed).select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), F.col("shards").alias("__shards"))
-    decided = saved(decided.where(F.size("__shards") > 0).dropDuplicates(["__id", "__hash"]))
-    own = docs.withColumn("__own", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    taken = own.join(decided, own["doc_id"].eqNullSafe(decided["__id"]) & (own["__own"] == decided["__hash"]))
-    dealt = taken.withColumn("__shard", F.explode("__shards")).repartition("__shard", F.pmod("__hash", F.lit(SHARD_PARTS)))
-    return dealt.sortWithinPartitions("__shard", "__hash").select(*(f"`{c}`" for c in docs.columns))
+    own, key, hash_, shard, part, n = free_names(docs, "own", "key", "hash", "shard", "part", "n")
+    decided = saved(mix(docs, shards=shards, seed=seed).select(F.col("doc_id").alias(key), F.col("hash").alias(hash_), "shards"))
+    marked = docs.withColumn(own, F.xxhash64(F.lit(seed), "doc_id", "text"))
+    repeated = saved(decided.groupBy(key, hash_).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1).select(key, hash_))
+    if not repeated.isEmpty():  # one row stands for all that are equal; their decisions are added up below
+        match = marked["doc_id"].eqNullSafe(repeated[key]) & (marked[own] == repeated[hash_])
+        marked = marked.join(repeated, match, "left_anti").unionByName(marked.join(repeated, match, "left_semi").dropDuplicates(["doc_id", own]))
+    draws = saved(decided.select(key, hash_, F.explode("shards").alias(shard)).groupBy(key, hash_, shard).agg(F.count(F.lit(1)).alias(n)))
+    parts = max(1, -(-draws.count() // (shards * PART_ROWS)))
+    taken = marked.join(draws, marked["doc_id"].eqNullSafe(draws[key]) & (marked[own] == draws[hash_]))
+    dealt = taken.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), n))).withColumn(part, F.pmod(hash_, F.lit(parts))).repartition(shard, part)
+    return dealt.sortWithinPartitions(shard, hash_).select(*(f"`{c}`" for c in docs.columns))
 
 
 def mixing_report(docs: DataFrame) -> DataFrame:
