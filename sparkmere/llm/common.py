@@ -46,6 +46,17 @@ def saved_in_buckets(df: DataFrame, key: str) -> DataFrame:
     return spark.table(name)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for temporary columns that no column of df has, whatever its case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

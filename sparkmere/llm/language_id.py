@@ -2,8 +2,8 @@
 
 A network of UNITS gated recurrent units in each direction reads the bytes of a text; a softmax over both states labels every position, and a
 document's probabilities are the means over its positions. Gates and candidates use the clipped-linear sigmoid and tanh. Training is
-backpropagation through time with Adam, on the driver, over a bounded sample: SAMPLE rows per language at most, of the rows whose
-crc32(doc_id) mod 4 is not 2, one window of WINDOW_CHARS characters each. Prediction reads whole texts: bytes are cut into windows of STRIDE
+backpropagation through time with Adam, on the driver, over a bounded sample: SAMPLE rows per language at most, those of the least hashes of the rows
+whose crc32(doc_id) mod 4 is not 2, one window of WINDOW_CHARS characters each. Prediction reads whole texts: bytes are cut into windows of STRIDE
 positions that run WARM bytes ahead in each direction, and thousands of windows go through the network side by side.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; a table without labelled rows gives ``und`` everywhere; repeated
@@ -14,8 +14,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from sparkmere.llm.common import free_names
 
 UNITS = 8
 SAMPLE = 600
@@ -28,6 +31,8 @@ WARM = 16
 PAD = 256
 WINDOWS = 4096
 UNKNOWN = "und"
+#: A document whose best language has less than this share of the positions' probabilities is in no learnt language.
+MIN_SCORE = 0.5
 
 
 def held_out(doc_id: Column) -> Column:
@@ -132,7 +137,7 @@ class Network:
         by_label = [np.flatnonzero(labels == k) for k in range(len(self.langs))]
         mean, square = ({k: np.zeros(v.shape) for k, v in self.parameters().items()} for _ in range(2))
         for step in range(1, steps + 1):
-            rows = np.concatenate([random.choice(own, TRAIN_ROWS // len(by_label)) for own in by_label if len(own)])
+            rows = np.concatenate([random.choice(own, max(1, TRAIN_ROWS // len(by_label))) for own in by_label if len(own)])
             bytes_ = np.full((TRAIN_LENGTH, len(rows)), PAD, np.int64)
             for column, row in enumerate(rows):
                 text = texts[row]
@@ -193,16 +198,23 @@ def softmax(scores: np.ndarray) -> np.ndarray:
     return scores
 
 
+def bounds(counts: dict[str, int], most: int = SAMPLE) -> dict[str, int]:
+    """For each language a signed 64-bit hash up to which about twice most of its rows lie, so that few rows are sorted. All rows of rare languages."""
+    return {lang: 2**63 - 1 if n <= 2 * most else 2**64 * 2 * most // n - 2**63 for lang, n in counts.items()}
+
+
 def sample(docs: DataFrame) -> list:
-    """(lang, text window) of SAMPLE rows per language or slightly more, chosen by the hash of doc_id."""
+    """(doc_id, lang, text window) of SAMPLE rows per language, or all if it has fewer: those with the least hashes of doc_id and text."""
     learnt = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = learnt.groupBy("lang").count().collect()  # a row for each language
-    share = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for r in counts:
-        chosen |= (F.col("lang") == r["lang"]) & (share < int(min(1_000_000, 1_000_000 * SAMPLE / r["count"] + 1)))
+    counts = {r["lang"]: r["count"] for r in learnt.groupBy("lang").count().collect()}  # a row for each language
+    if not counts:
+        return []
+    most = F.create_map(*(F.lit(x) for pair in bounds(counts).items() for x in pair))
     start = F.pmod(F.xxhash64(F.lit("window"), "doc_id"), F.greatest(F.lit(1), F.length("text") - WINDOW_CHARS)).cast("int") + 1
-    return learnt.where(chosen).select("doc_id", "lang", F.substring("text", start, F.lit(WINDOW_CHARS)).alias("text")).limit(2 * SAMPLE * max(1, len(counts))).collect()
+    window = F.substring("text", start, F.lit(WINDOW_CHARS)).alias("text")
+    hashed = learnt.select("doc_id", "lang", F.xxhash64(F.lit("sample"), "doc_id", "text").alias("hash"), window).where(F.col("hash") <= F.element_at(most, F.col("lang")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id", "text"))
+    return hashed.withColumn("place", place).where(F.col("place") <= SAMPLE).select("doc_id", "lang", "text").collect()
 
 
 def trained(docs: DataFrame) -> Network | None:
@@ -216,47 +228,75 @@ def trained(docs: DataFrame) -> Network | None:
     return network
 
 
-def _predicted(held):
-    def run(batches):
-        network = Network.of(held.value)
-        for batch in batches:
-            texts = [t.encode() if t and letter else b"" for t, letter in zip(batch.column("text").to_pylist(), batch.column("letter").to_pylist(), strict=True)]
-            langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            if network:
-                pooled = network.pooled(texts)
-                best = pooled.argmax(axis=1)
-                for k, text in enumerate(texts):
-                    if text:
-                        langs[k], scores[k] = network.langs[best[k]], float(min(1.0, pooled[k, best[k]]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c not in ("text", "letter")), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*(c for c in batch.schema.names if c not in ("text", "letter")), "lang_pred", "score"])
+def _labels(network: Network | None, texts: list[bytes]) -> tuple[list[str], list[float]]:
+    """The language and its score of each text; an empty one has none."""
+    langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    if network:
+        pooled = network.pooled(texts)
+        best = pooled.argmax(axis=1)
+        for k, text in enumerate(texts):
+            if text:
+                langs[k], scores[k] = network.langs[best[k]], float(min(1.0, pooled[k, best[k]]))
+    return langs, scores
+
+
+def _lettered(batch: pa.RecordBatch, text: int, letter: int) -> list[bytes]:
+    """The texts with a letter; empty ones for the others."""
+    return [t.encode() if t and ok else b"" for t, ok in zip(batch.column(text).to_pylist(), batch.column(letter).to_pylist(), strict=True)]
+
+
+def _held(docs: DataFrame, network: Network | None):
+    return docs.sparkSession.sparkContext.broadcast(network.plain() if network else None)  # some 10,000 numbers
+
 
-    return run
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
 def predict(docs: DataFrame, network: Network | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
-    held = docs.sparkSession.sparkContext.broadcast(network.plain() if network else None)
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    given = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", letter.alias("letter"))
-    return given.mapInArrow(_predicted(held), "doc_id long, held_out boolean, lang_pred string, score double")
+    held = _held(docs, network)
+
+    def run(batches):
+        own = Network.of(held.value)
+        for batch in batches:
+            langs, scores = _labels(own, _lettered(batch, 2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+
+    given = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", has_letter(F.col("text")).alias("letter"))
+    return given.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def language_report(docs: DataFrame) -> DataFrame:
     return predict(docs, trained(docs))
 
 
-def recognised_documents(docs: DataFrame) -> DataFrame:
-    """docs without the rows in which no language is recognised (null, or no letter), with all its columns."""
-    network = trained(docs)
-    held = docs.sparkSession.sparkContext.broadcast(network.plain() if network else None)
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+def recognised(lang_pred: Column, score: Column) -> Column:
+    """The rule of recognised_documents: a language is predicted, and its pooled probability is MIN_SCORE at least."""
+    return (lang_pred != UNKNOWN) & (score >= MIN_SCORE)
+
+
+def labelled_documents(docs: DataFrame, network: Network | None) -> tuple[DataFrame, str, str]:
+    """docs with the predicted language and its score, and the names of these two columns."""
+    held = _held(docs, network)
+    text = [c.lower() for c in docs.columns].index("text")
+    letter, lang, score = free_names(docs, "letter", "lang_pred", "score")
 
     def run(batches):
-        network = Network.of(held.value)
+        own = Network.of(held.value)
         for batch in batches:
-            texts = [t.encode() if t and ok else b"" for t, ok in zip(batch.column("text").to_pylist(), batch.column("__letter").to_pylist(), strict=True)]
-            known = network.pooled(texts).max(axis=1) > 0 if network and texts else np.zeros(len(texts), bool)
-            yield batch.drop_columns("__letter").filter(pa.array(known))
+            last = batch.num_columns - 1
+            langs, scores = _labels(own, _lettered(batch, text, last))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:last], lang, score])
+
+    schema = StructType([*docs.schema.fields, StructField(lang, StringType()), StructField(score, DoubleType())])
+    return docs.select("*", has_letter(F.col("text")).alias(letter)).mapInArrow(run, schema), lang, score
+
+
+def recognised_documents(docs: DataFrame, network: Network | None = None) -> DataFrame:
+    """docs, with all its columns, without the rows in which the network (by default one trained on docs) recognises no language.
 
-    return docs.withColumn("__letter", letter).mapInArrow(run, schema)
+    Null texts, texts without a letter, and all rows where nothing is labelled go; rows that repeat are judged alike; an empty table stays empty.
+    """
+    labelled, lang, score = labelled_documents(docs, network or trained(docs))
+    return labelled.where(recognised(F.col(lang), F.col(score))).drop(lang, score)
