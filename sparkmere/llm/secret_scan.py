@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,9 +62,11 @@ def weak_parts(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, s
     if ":" in text or "=" in text:
         found += [(m.start(), "identifier", m.end()) for m in IDENTIFIER.finditer(text)]
         found += [(m.start(), "endpoint", m.end()) for m in ENDPOINT.finditer(text)]
-    covered = [(a, b) for a, _, b in base] + [(a, b) for a, _, b in found]
+    covered = sorted((a, b) for a, _, b in [*base, *found])
+    starts, reach = [a for a, _ in covered], list(accumulate((b for _, b in covered), max))  # reach: the furthest end so far
     for m in KEY.finditer(text):
-        if looks_like_key(m[0]) and not any(a < m.end() and m.start() < b for a, b in covered):
+        before = bisect_left(starts, m.end())  # so many covered spans start before the key's end
+        if looks_like_key(m[0]) and not (before and reach[before - 1] > m.start()):
             found.append((m.start(), "key", m.end()))
     return sorted(found)
 
