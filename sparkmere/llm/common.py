@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkmere.plans.saving import saved, saved_in_buckets, saved_one_by_one  # noqa: F401
+
 #: The white space that separates words in every operator here.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,35 +18,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _new_path(spark: SparkSession) -> str:
-    """A new place in the folder that spark.checkpoint.dir names, which all executors share; a folder that only one machine sees is never taken instead."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Compute df once and cut its lineage by a table in the shared checkpoint folder.
-
-    Any executor reads the table, so losing executors costs no rows. A written table also resets size estimates: those of checkpoint() are inherited, and
-    over rounds of joins they grow into numbers that take longer to multiply than the joins take. Tables lie in a folder of the application, which can go
-    when it ends.
-    """
-    path = _new_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def saved_in_buckets(df: DataFrame, key: str) -> DataFrame:
-    """As saved, in buckets by key: what is grouped or joined by key later leaves these rows where they are. Rows are not shuffled for it."""
-    spark = df.sparkSession
-    buckets = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    name = f"buckets_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("compression", "zstd").option("path", _new_path(spark)).bucketBy(buckets, key).saveAsTable(name)
-    return spark.table(name)
-
-
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """Names for temporary columns that no column of df has, whatever its case."""
     taken, found = {c.lower() for c in df.columns}, []

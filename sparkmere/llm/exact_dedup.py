@@ -4,9 +4,9 @@ Pass 1 counts, in saturating cells (0, 1, 2 or more), the hashes of the normalis
 occurs twice has raised all its cells to 2, so a row with a smaller cell is unique and passes straight through. Only the other rows,
 a few per cent beyond the true copies, are grouped, by the SHA-256 of the text. What is grouped are slim rows; texts are never shuffled.
 
-The filter has CELLS_PER_ROW cells a row up to MOST_CELLS (a bit each, 32 MB, the most that is broadcast). Beyond 16 million rows it
-fills gradually and more slim rows are grouped; the result is exact however full it is. Cells are merged in streams, one
-range of cells at a time, so that a task holds a few ranges only.
+The filter has CELLS_PER_ROW cells a row up to MOST_CELLS (a bit each, 32 MB, the most that is broadcast). More than 16 million rows go through it in
+rounds: slim rows are dealt to rounds by their hash, each round's rows lie in a folder of their own and have a filter of their own, so that every row is
+read once and the filter is as empty as for few rows. Cells are merged in streams, one range of cells at a time, so that a task holds a few ranges only.
 
 Cases: null texts count as empty and are copies of each other; of rows with equal text the smallest doc_id stays, null doc_ids last; of wholly equal
 rows exactly one stays; an empty table gives no rows; other columns are left aside, whatever their names.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmere.llm.common import SPACE, saved
+from sparkmere.llm.common import SPACE, free_names, saved, saved_one_by_one
 
 CELLS_PER_ROW = 16
 MOST_CELLS = 2**28
@@ -81,9 +81,8 @@ def hashed(docs: DataFrame) -> DataFrame:
     return slim.select("doc_id", F.monotonically_increasing_id().alias("row"), F.sha2("text", 256).alias("text_sha256"), F.xxhash64("text").alias("hash"))
 
 
-def possibly_repeated(slim: DataFrame) -> DataFrame:
-    """slim with a column again; false only where the hash occurs once. slim has been saved."""
-    rows = slim.count()
+def _filtered(slim: DataFrame, rows: int) -> DataFrame:
+    """slim, of about so many rows, with a column again, by one filter."""
     cells = min(MOST_CELLS, max(RANGE, 1 << (max(rows * CELLS_PER_ROW, 1) - 1).bit_length()))
     parts = slim.select("hash").mapInArrow(_counted(cells), "range int, cells binary, twice binary")
     merged = parts.repartition(max(1, min(cells // RANGE, 256)), "range").mapInArrow(_merged, "range int, bits binary")
@@ -95,6 +94,16 @@ def possibly_repeated(slim: DataFrame) -> DataFrame:
     return slim.mapInArrow(_flagged(held, cells), f"{schema}, again boolean")
 
 
+def possibly_repeated(slim: DataFrame) -> DataFrame:
+    """slim with a column again; false only where the hash occurs once. slim has been saved."""
+    rows = slim.count()
+    rounds = max(1, -(-rows * CELLS_PER_ROW // MOST_CELLS))
+    if rounds == 1:
+        return _filtered(slim, rows)
+    dealt = saved(slim.withColumn("round", F.pmod(F.xxhash64("hash"), F.lit(rounds)).cast("int")), by="round")
+    return saved_one_by_one(_filtered(dealt.where(F.col("round") == k).drop("round"), -(-rows // rounds)) for k in range(rounds))
+
+
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
     rows = possibly_repeated(saved(hashed(docs)))
@@ -113,13 +122,14 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     Of rows with equal doc_id and text one stays, any, if that doc_id stays.
     """
     duplicates = exact_duplicates(docs)
-    key = [F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")]
-    out = saved(duplicates.where(~F.col("kept")).select(*key, F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("__same")).distinct())
+    own, key, sha, same = free_names(docs, "own", "key", "sha", "same")
+    out = duplicates.where(~F.col("kept")).select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias(same))
+    out = saved(out.distinct())
     text = F.regexp_replace(F.coalesce("text", F.lit("")), f"{SPACE}+", " ")
-    marked = docs.withColumn("__own", F.sha2(text, 256))
-    match = marked["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha"))
-    left = marked.join(out.select("__id", "__sha"), match, "left_anti")
-    repeated = out.where("__same").select("__id", "__sha")
+    marked = docs.withColumn(own, F.sha2(text, 256))
+    match = marked["doc_id"].eqNullSafe(F.col(key)) & (marked[own] == F.col(sha))
+    left = marked.join(out.select(key, sha), match, "left_anti")
+    repeated = out.where(F.col(same)).select(key, sha)
     if not repeated.isEmpty():
-        left = left.unionByName(marked.join(repeated, match, "left_semi").dropDuplicates(["doc_id", "__own"]))
-    return left.drop("__own")
+        left = left.unionByName(marked.join(repeated, match, "left_semi").dropDuplicates(["doc_id", own]))
+    return left.drop(own)
