@@ -5,8 +5,8 @@ class, so copies cost nothing. A class has BANDS x ROWS minima of universal hash
 bucket. At similarity 0.75 a pair shares no bucket with a chance of 2e-5. Candidates are first each bucket's members with its least member, and all
 pairs of buckets of FEW members; they are verified on sketches (a byte of each minimum), then on whole shingle sets, which are
 worked out again from the texts of candidates only. Links that would not join two components are not needed, so first each node's best candidate
-is verified. What still shares a bucket but not a component is tried in blocks: in larger buckets sketches are compared block against block,
-and what comes out is not pairs but (node, component) once each; then the node's set is compared with the sets of the whole component, again in blocks. So no
+is verified. What still shares a bucket but not a component is tried in blocks: in larger buckets the sketches of members outside the most frequent
+component are compared with all others, block against block, and what comes out is not pairs but (node, component) once each; then the node's set is compared with the sets of the whole component, again in blocks. So no
 candidate is left out, and near copies of one text, by then one component, are never paired with each other.
 
 Cases: null and empty texts and white space have empty sets and are linked with nothing; fewer than five words are one shingle; null doc_ids take part
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmere.llm.common import saved
+from sparkmere.llm.common import free_names, saved
 from sparkmere.llm.components import components
 
 WORDS = 5
@@ -148,8 +148,8 @@ def _signed(batches):
                     sketches.append(None)
             rows = slice(first, first + len(sets))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[rows], batch.column(1)[rows], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                names=["row", "doc_id", "n_shingles", "set_key", "bands", "sketch"],
+                [batch.column(0)[rows], batch.column(1)[rows], batch.column(3)[rows], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                names=["row", "doc_id", "text_hash", "n_shingles", "set_key", "bands", "sketch"],
             )
 
 
@@ -182,25 +182,23 @@ def _similar(batches):
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["u", "v"])
 
 
-def _touching(key: tuple, rows: pa.Table) -> pa.Table:
-    """node, root of the members of one block of a bucket that look alike but lie in different components.
+def _touching(strays: pa.Table, members: pa.Table) -> pa.Table:
+    """node, root of a block of strays and a block of members of their bucket that look alike but lie in different components.
 
     The smaller component's member is the node, the other's root is the root. What several bands find is made distinct later.
     """
-    _, i, j = (k.as_py() for k in key)
-    node, root, size = (rows[c].to_numpy() for c in ("node", "root", "size"))
-    sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-    own = rows["own"].to_numpy()
-    right = np.flatnonzero(own == j)
     found = set()
-    for a in np.flatnonzero(own == i):
-        other = right[root[right] != root[a]]
-        if i == j:
-            other = other[other > a]
-        other = other[(sketch[other] == sketch[a]).mean(axis=1) >= SKETCH]
-        for b in other.tolist():
-            small, large = (a, b) if (size[a], root[a]) < (size[b], root[b]) else (b, a)
-            found.add((int(node[small]), int(root[large])))
+    if strays.num_rows and members.num_rows:
+        left, right = ([t[c].to_numpy() for c in ("node", "root", "size")] for t in (strays, members))
+        sketches = [np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for t in (strays, members)]
+        for a, sketch in enumerate(sketches[0]):
+            other = np.flatnonzero(right[1] != left[1][a])
+            other = other[(sketches[1][other] == sketch).mean(axis=1) >= SKETCH]
+            for b in other.tolist():
+                if (left[2][a], left[1][a]) < (right[2][b], right[1][b]):
+                    found.add((int(left[0][a]), int(right[1][b])))
+                else:
+                    found.add((int(right[0][b]), int(left[1][a])))
     return pa.table({"node": pa.array([x for x, _ in found], pa.int64()), "root": pa.array([x for _, x in found], pa.int64())})
 
 
@@ -242,8 +240,8 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame):
         self.docs = docs.select("doc_id", "text")
-        rows = self.docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-        self.signed = saved(rows.mapInArrow(_signed, "row long, doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary"))
+        rows = self.docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.xxhash64("text").alias("text_hash"))
+        self.signed = saved(rows.mapInArrow(_signed, "row long, doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>, sketch binary"))
         self.classes = saved(self.signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id")))
         chosen = self.classes.select(F.col("node").alias("row"))
         self.nodes = saved(self.signed.join(chosen, "row", "left_semi").select(F.col("row").alias("node"), "doc_id", "set_key", "bands", "sketch"))
@@ -272,15 +270,29 @@ class NearDuplicates:
         return saved(_with_both(pairs, sets, "shingles").mapInArrow(_similar, "u long, v long"))
 
     def touching(self, members: DataFrame, parts: DataFrame) -> DataFrame:
-        """node, root: members of larger buckets that look like a member of another component, by blocks of their bucket."""
+        """node, root: members of larger buckets that look like a member of another component.
+
+        The members outside a bucket's most frequent component, its strays, are compared with all its members, by blocks of both.
+        """
         crowded = members.where(F.col("n") > FEW).select("band", "node", "n").join(parts, "node")
-        mixed = saved(crowded.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("band"))
-        blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
-        crowded = saved(crowded.join(mixed, "band", "left_semi").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+        per_root = crowded.groupBy("band", "root").agg(F.count(F.lit(1)).alias("own"))
+        main = F.max_by("root", F.struct("own", "root")).alias("main")
+        mixed = saved(per_root.groupBy("band").agg(main, (F.sum("own") - F.max("own")).alias("strays")).where("strays > 0"))
+        blocks, groups = (F.ceil(F.col(n) / BUCKET_BLOCK).cast("int").alias(to) for n, to in (("n", "blocks"), ("strays", "groups")))
+        crowded = saved(crowded.join(mixed, "band").select("band", "node", "root", "size", "main", blocks, groups))
         told = crowded.join(self.nodes.select("node", "sketch"), "node")
-        pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"))))
-        told = told.select("band", "node", "root", "size", "sketch", "own", pair.alias("pair")).select("*", "pair.i", "pair.j").drop("pair")
-        return told.groupBy("band", "i", "j").applyInArrow(_touching, "node long, root long")
+
+        def part(n: str):
+            return F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+
+        def all_of(n: str):
+            return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+        key = ["band", "group", "block"]
+        left = told.where("root != main").select("*", part("groups").alias("group"), all_of("blocks").alias("block"))
+        right = told.select("*", part("blocks").alias("block"), all_of("groups").alias("group"))
+        left, right = (d.select(*(F.col(c).alias(c) for c in (*key, "node", "root", "size", "sketch"))) for d in (left, right))
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_touching, "node long, root long")
 
     def linked(self, asked: DataFrame, parts: DataFrame) -> DataFrame:
         """u, v: links of nodes to members of components, for asked (node, root): each set against the sets of the component, in blocks."""
@@ -319,10 +331,13 @@ class NearDuplicates:
         links = links.unionByName(self.linked(apart.unionByName(self.touching(members, parts)), parts))
         return saved(components(links))
 
+    def rooted(self) -> DataFrame:
+        """set_key, least_id, root of every class."""
+        return saved(self.classes.join(self.roots(), "node", "left").select("set_key", "least_id", F.coalesce("root", "node").alias("root")))
+
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept of every row."""
-        roots = self.roots()
-        rooted = saved(self.classes.join(roots, "node", "left").select("set_key", "least_id", F.coalesce("root", "node").alias("root")))
+        rooted = self.rooted()
         least = saved(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")))
         ids = saved(rooted.select("set_key", "root").join(least, "root").select("set_key", "component_id"))
         rows = self.signed.select("doc_id", "n_shingles", "set_key")
@@ -330,13 +345,33 @@ class NearDuplicates:
         found = rows.join(ids, "set_key", "left").select("doc_id", "n_shingles", component.alias("component_id"))
         return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
+    def losers(self) -> tuple[DataFrame, DataFrame]:
+        """(doc_id, text_hash) of the rows of components that go, and of those of which one stays but which occur several times.
+
+        Of each component the row of the smallest doc_id stays (null last), of several texts with that doc_id the one of the smallest hash.
+        """
+        own = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+        rows = self.signed.where("n_shingles > 0").groupBy("set_key", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+        rows = saved(rows.join(self.rooted().select("set_key", "root"), "set_key").select("root", "doc_id", "text_hash", "n", own.alias("own")))
+        best = saved(rows.groupBy("root").agg(F.min("own").alias("best"), F.sum("n").alias("all")).where(F.col("all") > 1).drop("all"))
+        told = saved(rows.join(best, "root").select("doc_id", "text_hash", "n", (F.col("own") == F.col("best")).alias("stays")))
+        return told.where("NOT stays").select("doc_id", "text_hash").distinct(), told.where("stays AND n > 1").select("doc_id", "text_hash")
+
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     return NearDuplicates(docs).result()
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """docs with one doc_id of each group of near-duplicates, the smallest. Rows of one doc_id stay or go together."""
-    found = near_duplicates(docs)
-    dropped = saved(found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(dropped, docs["doc_id"] == dropped["__id"], "left_anti")
+    """docs, with all its columns, with one row of each group of near-duplicates: that of the smallest doc_id, null doc_ids last.
+
+    Of several texts with that doc_id one stays, of wholly equal rows any one. Rows without words (null or empty texts) all stay; an empty table stays empty.
+    """
+    own, key, hash_ = free_names(docs, "own", "key", "hash")
+    gone, several = (d.select(F.col("doc_id").alias(key), F.col("text_hash").alias(hash_)) for d in NearDuplicates(docs).losers())
+    marked = docs.withColumn(own, F.xxhash64("text"))
+    match = marked["doc_id"].eqNullSafe(F.col(key)) & (marked[own] == F.col(hash_))
+    left = marked.join(gone, match, "left_anti")
+    if not several.isEmpty():
+        left = left.join(several, match, "left_anti").unionByName(marked.join(several, match, "left_semi").dropDuplicates(["doc_id", own]))
+    return left.drop(own)
