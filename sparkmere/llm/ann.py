@@ -1,7 +1,7 @@
 """Nearest neighbours by inner product from a hash-prefix forest.
 
 Each tree gives a vector a long string of bits, the sides of random hyperplanes on which it lies; a tree is the sorted array of these strings, dealt
-to tasks by its first UNIT_BITS bits and, in crowded units, into chunks. A query descends to its longest-prefix matches: the strings beside its own
+to tasks by its first bits, the more of them the more vectors there are, and, in crowded units, into chunks. A query descends to its longest-prefix matches: the strings beside its own
 place. Their scores bound its k-th best score from below. Then it ascends in all trees at once, to the longest prefix x with
 (1 - p^x)^TREES <= MISS, p being the chance that a vector of that k-th score shares a bit: every vector that shares x bits in any tree is
 scored. So the number of candidates follows from the data, not from a cap. Scores are inner products in double precision.
@@ -9,7 +9,7 @@ scored. So the number of candidates follows from the data, not from a cap. Score
 For vectors of unequal length a coordinate is added that makes all equally long, so that angles order as inner products do.
 
 Cases: vectors that are null, zero, of another dimension than most, or hold null or non-finite components, and rows without vec_id, take no part;
-of rows with one vec_id the best counts; ties go to the smaller vec_id; with k candidates or fewer all are returned; an empty table gives no rows.
+of rows with one vec_id the best counts, and as a query the one of the greatest vector; ties go to the smaller vec_id; with k candidates or fewer all are returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from sparkmere.llm.common import saved
 
 TREES = 48
 BITS = 60
-UNIT_BITS = 4
+#: Bits of a unit, at least and at most.
+UNIT_BITS = (4, 16)
 CHUNK = 8192
+BATCH = 1024
 PROBE_TREES = 12
 PROBE = 12
 MISS = 0.06
@@ -46,16 +48,13 @@ def _labelled(dims: int, longest: float, seed: int):
     def run(batches):
         planes = _planes(dims, seed)
         weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part.slice(k, BATCH) for part in batches for k in range(0, part.num_rows, BATCH)):
             vectors = _matrix(batch.column(1))
             lengths = np.linalg.norm(vectors, axis=1)
             rest = np.sqrt(np.maximum(0.0, longest**2 - lengths**2))
             whole = vectors @ planes[:, :dims].T + rest[:, None] * planes[:, dims]
-            as_query = vectors @ planes[:, :dims].T if batch.column(0).to_numpy().size else whole
             out = []
-            for signs in (whole, as_query):
+            for signs in (whole, vectors @ planes[:, :dims].T):
                 labels = ((signs > 0).reshape(-1, TREES, BITS) * weights).sum(axis=2)
                 out.append(pa.ListArray.from_arrays(pa.array(np.arange(0, labels.size + 1, TREES), pa.int32()), pa.array(labels.ravel(), pa.int64())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *out], names=["vec_id", "embedding", "labels", "query_labels"])
@@ -123,17 +122,19 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, seed: int = 11) ->
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by every."""
     sound = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     sound &= F.exists("embedding", lambda x: x != 0)
-    usable = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(F.col("vec_id").isNotNull() & sound)
-    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    element = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"  # floats travel as they are, and are exact as doubles
+    usable = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{element}>")).where(F.col("vec_id").isNotNull() & sound)
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     shapes = usable.groupBy(F.size("embedding").alias("dims")).agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("longest")).orderBy(F.desc("n"), "dims").head()
     spark = vectors.sparkSession
     if shapes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     usable = usable.where(F.size("embedding") == shapes["dims"])
-    labelled = saved(usable.mapInArrow(_labelled(shapes["dims"], shapes["longest"], seed), "vec_id long, embedding array<double>, labels array<long>, query_labels array<long>"))
+    labelled = saved(usable.mapInArrow(_labelled(shapes["dims"], shapes["longest"], seed), f"vec_id long, embedding array<{element}>, labels array<long>, query_labels array<long>"))
+    unit_bits = min(UNIT_BITS[1], max(UNIT_BITS[0], (shapes["n"] // CHUNK).bit_length()))
 
     def unit(label):
-        return F.shiftright(label, BITS - UNIT_BITS).cast("int")
+        return F.shiftright(label, BITS - unit_bits).cast("int")
 
     def in_trees(rows: DataFrame, labels: str, trees: int) -> DataFrame:
         return rows.select("*", F.posexplode(F.slice(labels, 1, trees)).alias("tree", "label"))
@@ -141,25 +142,26 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, seed: int = 11) ->
     def dealt(trees: int) -> tuple[DataFrame, DataFrame]:
         rows = in_trees(labelled, "labels", trees).select("vec_id", "embedding", "tree", "label", unit(F.col("label")).alias("unit"))
         counts = rows.groupBy("tree", "unit").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-        counts = F.broadcast(counts)  # TREES << UNIT_BITS rows at most
+        if trees << unit_bits <= 200_000:  # so many rows at most
+            counts = F.broadcast(counts)
         return rows.join(counts, ["tree", "unit"]).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int")).drop("chunks"), counts
 
     def visiting(queries: DataFrame, counts: DataFrame) -> DataFrame:
-        """Queries at the units and chunks that they visit; above UNIT_BITS these are several."""
-        wide = F.greatest(F.lit(0), UNIT_BITS - F.col("depth"))
+        """Queries at the units and chunks that they visit; above unit_bits these are several."""
+        wide = F.greatest(F.lit(0), unit_bits - F.col("depth"))
         queries = queries.withColumn("unit", unit(F.col("label"))).withColumn("wide", wide).withColumn("unit", F.expr("shiftright(unit, wide)"))
         span = F.expr("sequence(cast(shiftleft(unit, wide) as int), cast(shiftleft(unit + 1, wide) - 1 as int))")
         queries = queries.withColumn("unit", F.explode(span)).drop("wide")
         queries = queries.join(counts, ["tree", "unit"])
         return queries.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
 
-    asked = labelled.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select("vec_id", "embedding", "query_labels")
+    asked = labelled.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max(F.struct("embedding", "query_labels")).alias("one"))
+    asked = asked.select("vec_id", "one.embedding", "one.query_labels")
     rows, counts = dealt(PROBE_TREES)
-    descended = visiting(in_trees(asked, "query_labels", PROBE_TREES).withColumn("depth", F.lit(UNIT_BITS)), counts)
+    descended = visiting(in_trees(asked, "query_labels", PROBE_TREES).withColumn("depth", F.lit(unit_bits)), counts)
     first = saved(_top(_searched(descended, rows, k, True), k))
     least = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
-    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("least") / (norm * float(shapes["longest"]))))
+    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("least") / (length * float(shapes["longest"]))))
     shares = 1 - F.acos(cosine) / np.pi
     wanted = 1 - MISS ** (1 / TREES)
     depth = F.floor(F.log(F.lit(wanted)) / F.log(F.least(shares, F.lit(1 - 1e-9))))
