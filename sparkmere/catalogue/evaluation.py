@@ -22,7 +22,7 @@ s AS (SELECT suite, count(*) AS cases, round(avg(precision), 6) AS precision, ro
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest other nodes of each query; those of the same label are relevant."""
     own = nodes(spark, sf_dir)
-    sims = search.similarities(asked(spark, sf_dir), own).where("node_id != query_id").withColumn("score", F.round("sim", 6))
+    sims = search.similarities(asked(spark, sf_dir), own, 11).where("node_id != query_id").withColumn("score", F.round("sim", 6))
     top = search.top_k(sims, "score", 10)
     labels = own.select("node_id", "label")
     return top.join(labels, "node_id").join(labels.select(F.col("node_id").alias("query_id"), F.col("label").alias("suite")), "query_id").withColumn("matched", F.col("label") == F.col("suite"))
@@ -70,7 +70,7 @@ def first_match_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.pressure(metrics(spark, sf_dir)).select("query_id", "first_rank")
 
 
-@query(f"WITH {RANKED}, v AS (SELECT query_id, CASE WHEN hit < 1 OR recall <= 0 THEN 3 WHEN recall < 0.2 OR mrr < 0.5 THEN 2 WHEN first_rank IS NULL THEN 1 ELSE 0 END AS severity FROM m) SELECT query_id, severity, CASE WHEN severity = 3 THEN 'urgent' WHEN severity > 0 THEN 'review' ELSE 'ok' END AS status FROM v")
+@query(f"WITH {RANKED}, v AS (SELECT query_id, CASE WHEN hit < 1 OR recall <= 0 THEN 3 WHEN recall < 1 OR mrr < 0.5 THEN 2 WHEN first_rank IS NULL THEN 1 ELSE 0 END AS severity FROM m) SELECT query_id, severity, CASE WHEN severity = 3 THEN 'urgent' WHEN severity > 0 THEN 'review' ELSE 'ok' END AS status FROM v")
 def report_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.severity(metrics(spark, sf_dir))
 

@@ -115,11 +115,7 @@ def visual_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.visual_overlap(asked, assets).withColumn("overlap", F.round("overlap", 6))
 
 
-@query("""WITH d AS (SELECT doc_id AS node_id, lower(text) AS t, source FROM documents)
-SELECT node_id, CASE WHEN contains(t, 'error') OR contains(t, 'fault') THEN 'troubleshooting' WHEN contains(t, 'the') THEN 'generic' ELSE 'other' END AS intent FROM d""")
+@query(r"""SELECT doc_id AS node_id, CASE WHEN regexp_matches(lower(text), '\b(api|apis|branch|branches|commit|commits|docs|documentation|github|markdown|pull\s+request|readme|repository|repositories|tutorial|workflow)\b') THEN 'generic'
+WHEN regexp_matches(lower(text), '\b(how\s+to|what\s+should|troubleshoot|fix|fault|problem|weak|low|small)\b') OR regexp_matches(text, '怎么办|怎麼辦|如何处理|如何處理|怎么处理|怎麼處理|故障|异常|異常') THEN 'troubleshooting' ELSE 'generic' END AS intent FROM documents""")
 def answer_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = F.lower("text")
-    kind = F.when(low.contains("error") | low.contains("fault"), "troubleshooting").when(low.contains("the"), "generic").otherwise("other")
-    return chunks(spark, sf_dir).select("node_id", kind.alias("intent"))
-
-
+    return chunks(spark, sf_dir).select("node_id", evidence.answer_intent(F.col("text")).alias("intent"))

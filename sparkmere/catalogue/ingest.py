@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmere.catalogue import query
@@ -25,7 +25,7 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     levels = [F.array("p_brand"), F.array("p_brand", "p_type"), F.array("p_brand", "p_type", F.col("p_size").cast("string"))]
     every = part.select(F.explode(F.array(*levels)).alias("path")).distinct()
-    return every.withColumn("node_id", F.row_number().over(Window.orderBy(F.array_join("path", "/"))).cast("long"))
+    return graph.numbered(every.withColumn("joined", F.array_join("path", "/")), "joined").drop("joined")
 
 
 @query("""WITH p AS (SELECT DISTINCT unnest([p_brand, p_brand || '/' || p_type, p_brand || '/' || p_type || '/' || p_size]) AS path FROM part),

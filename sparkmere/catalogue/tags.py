@@ -106,7 +106,7 @@ SELECT query_id, node_id, round(final, 5) AS final, CAST(row_number() OVER (PART
   CAST(row_number() OVER (PARTITION BY query_id ORDER BY final DESC, node_id) AS INT) AS new_rank FROM f""")
 def geodesic_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = nodes(spark, sf_dir)
-    scored = search.similarities(asked(spark, sf_dir), own).withColumn("score", F.round("sim", 6))
+    scored = search.similarities(asked(spark, sf_dir), own, 20).withColumn("score", F.round("sim", 6))
     results = search.top_k(scored, "score", 20).select("query_id", "node_id", "score")
     node_tags = own.select("node_id", F.explode(F.array(F.col("label").cast("long"), 100 + F.col("node_id") % 5, 200 + F.col("node_id") % 7)).alias("tag"))
     pairs = asked(spark, sf_dir).select("query_id").join(node_tags.select("tag").distinct()).where("(query_id + tag) % 3 != 0")
@@ -131,7 +131,7 @@ def residual_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = nodes(spark, sf_dir)
-    return search.top_k(search.similarities(asked(spark, sf_dir), own), "sim", 8).join(own, "node_id").select("query_id", F.col("node_id").alias("tag"), F.col("sim").alias("weight"), "vector")
+    return search.top_k(search.similarities(asked(spark, sf_dir), own, 8), "sim", 8).join(own, "node_id").select("query_id", F.col("node_id").alias("tag"), F.col("sim").alias("weight"), "vector")
 
 
 @query()

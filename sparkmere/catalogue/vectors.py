@@ -37,7 +37,7 @@ def waved(spark: SparkSession, sf_dir: str, combine: str = "max", anchors: DataF
     ways = graph.both_ways(edges(spark, sf_dir))
     if label is not None:
         ways = ways.join(eligible.select(F.col("node_id").alias("dst")), "dst", "left_semi")
-    found = search.wave(search.similarities(asked(spark, sf_dir), eligible), ways, combine, anchors=anchors)
+    found = search.wave(search.similarities(asked(spark, sf_dir), eligible, search.SOURCES), ways, combine, anchors=anchors)
     ranked = search.top_k(found.withColumn("score", settled(F.col("amplitude"))), "score", 5)
     return ranked.select("query_id", "rank", "node_id", "score")
 
@@ -70,7 +70,7 @@ def merged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EDGES} SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, node_id, round(sim, 6) AS score FROM sims WINDOW w AS (PARTITION BY query_id ORDER BY sim DESC, node_id) QUALIFY row_number() OVER w <= 10")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = search.top_k(search.similarities(asked(spark, sf_dir), nodes(spark, sf_dir)), "sim", 10)
+    best = search.top_k(search.similarities(asked(spark, sf_dir), nodes(spark, sf_dir), 10), "sim", 10)
     return best.select("query_id", "rank", "node_id", F.round("sim", 6).alias("score"))
 
 
@@ -105,7 +105,7 @@ def metadata_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {EDGES} SELECT query_id, node_id, round(sim, 6) AS sim FROM sims WHERE sim >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, node_id) <= 8")
 def tag_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit vectors: the cosine is the inner product."""
-    near = search.similarities(asked(spark, sf_dir), nodes(spark, sf_dir)).where("sim >= 0.3")
+    near = search.similarities(asked(spark, sf_dir), nodes(spark, sf_dir), 8, 0.3).where("sim >= 0.3")
     return search.top_k(near, "sim", 8).select("query_id", "node_id", F.round("sim", 6).alias("sim"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,3 +23,8 @@ def cosine(a: Column, b: Column) -> Column:
 def settled(x: Column, places: int = 6) -> Column:
     """Rounded after a nudge, so that sums in another order give the same digits."""
     return F.round(x + 1e-9, places)
+
+
+def matrix_of(column: pa.ChunkedArray) -> np.ndarray:
+    """The rows of an array<double> column of one length, as a matrix."""
+    return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1)

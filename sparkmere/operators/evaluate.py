@@ -44,8 +44,11 @@ def pressure(metrics: DataFrame) -> DataFrame:
     return metrics.where((F.col("hit") > 0) & (F.col("recall") > 0) & (F.col("mrr") < 1) & (F.col("first_rank") > 1))
 
 
-def severity(metrics: DataFrame) -> DataFrame:
-    level = F.when((F.col("hit") < 1) | (F.col("recall") <= 0), 3).when((F.col("recall") < 0.2) | (F.col("mrr") < 0.5), 2).when(F.col("first_rank").isNull(), 1).otherwise(0)
+def severity(metrics: DataFrame, failed: Column | None = None) -> DataFrame:
+    """query_id, severity, status. failed: whether a case has failures or negative hits, or didn't pass."""
+    urgent = (F.col("hit") < 1) | (F.col("recall") <= 0)
+    urgent = urgent if failed is None else failed | urgent
+    level = F.when(urgent, 3).when((F.col("recall") < 1) | (F.col("mrr") < 0.5), 2).when(F.col("first_rank").isNull(), 1).otherwise(0)
     label = F.when(level == 3, "urgent").when(level > 0, "review").otherwise("ok")
     return metrics.select("query_id", level.alias("severity"), label.alias("status"))
 

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkmere.functions.chunking import any_of
 from sparkmere.functions.text import token_estimate
 
 SNIPPET = 700
@@ -127,3 +128,19 @@ def visual_overlap(queries: DataFrame, assets: DataFrame, least: float = 0.1, k:
     scored = shared.join(sizes, "query_id").select("query_id", "asset_id", (F.col("shared") / F.col("n")).alias("overlap")).where(F.col("overlap") >= least)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("overlap"), "asset_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+# Fixed values of the answer-intent behaviour.
+GENERIC_TERMS = (
+    "api", "apis", "branch", "branches", "commit", "commits", "docs", "documentation", "github", "markdown", "pull request", "readme", "repository",
+    "repositories", "tutorial", "workflow",
+)
+TROUBLE_TERMS = (
+    "how to", "what should", "troubleshoot", "fix", "fault", "problem", "weak", "low", "small", "怎么办", "怎麼辦", "如何处理", "如何處理", "怎么处理",
+    "怎麼處理", "故障", "异常", "異常",
+)
+
+
+def answer_intent(question: Column) -> Column:
+    """troubleshooting for questions with a term of trouble and none of documentation; else generic, null too."""
+    return F.when(any_of(question, GENERIC_TERMS), "generic").when(any_of(question, TROUBLE_TERMS), "troubleshooting").otherwise("generic")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkmere.functions.vectors import matrix_of
+from sparkmere.plans.saving import saved
+
 #: Rows of one side of a block of the all-pairs product.
 BLOCK = 2048
 CONSECUTIVE = 0.15
@@ -14,16 +19,12 @@ PARENT = 0.2
 SIBLING = 0.1
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1)
-
-
 def _block_edges(threshold: float):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64), "weight": np.zeros(0)}
         if left.num_rows and right.num_rows:
             a, b = left["node_id"].to_numpy(), right["node_id"].to_numpy()
-            dots = _matrix(left["vector"]) @ _matrix(right["vector"]).T
+            dots = matrix_of(left["vector"]) @ matrix_of(right["vector"]).T
             keep = dots > threshold
             if key[0].as_py() == key[1].as_py():
                 keep &= a[:, None] < b[None, :]
@@ -46,10 +47,36 @@ def semantic_edges(nodes: DataFrame, threshold: float = 0.5, block: int = BLOCK)
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_block_edges(threshold), "src long, dst long, weight double")
 
 
+def in_ranges(df: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """df in ranges of keys, with range (its number), and a row for each range: range, first (the least keys), rows.
+
+    The order of all rows is that of the ranges and of the rows within them, so that no task holds more than a range.
+    """
+    ranged = saved(df.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()))
+    return ranged, ranged.groupBy("range").agg(F.min(F.struct(*keys)).alias("first"), F.count(F.lit(1)).alias("rows"))
+
+
 def consecutive_edges(nodes: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """src, dst of each node and the next in order of node_id, across documents unless group names the columns of one."""
-    following = F.lead("node_id").over(Window.partitionBy(*(group or [F.lit(0)])).orderBy("node_id"))
-    return nodes.select(F.col("node_id").alias("src"), following.alias("dst")).where("dst IS NOT NULL").withColumn("weight", F.lit(CONSECUTIVE))
+    """src, dst of each node and the next in order of node_id, across documents unless group names the columns of one.
+
+    The last node of a range is followed by the first of the next range; that window is over a row for each range.
+    """
+    keys = [*(group or []), "node_id"]
+    ranged, ranges = in_ranges(nodes.select(*keys), *keys)
+    following = F.lead(F.struct(*keys)).over(Window.partitionBy("range").orderBy(*keys))
+    after = ranges.select("range", F.lead("first").over(Window.orderBy("range")).alias("after"))
+    nexts = ranged.withColumn("next", following).join(F.broadcast(after), "range").withColumn("next", F.coalesce("next", "after"))
+    same = [F.col(c).eqNullSafe(F.col(f"next.{c}")) for c in group or []]
+    found = nexts.where(reduce(lambda a, b: a & b, same, F.col("next").isNotNull()))
+    return found.select(F.col("node_id").alias("src"), F.col("next.node_id").alias("dst"), F.lit(CONSECUTIVE).alias("weight"))
+
+
+def numbered(df: DataFrame, *keys: str) -> DataFrame:
+    """df with node_id, counting from 1 in order of keys: the rows of the ranges before, and the place within the range."""
+    ranged, ranges = in_ranges(df, *keys)
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*keys))
+    return ranged.withColumn("place", place).join(F.broadcast(ranges.select("range", before.alias("before"))), "range").withColumn("node_id", F.col("before") + F.col("place")).drop("before", "place", "range")
 
 
 def structural_edges(nodes: DataFrame) -> DataFrame:
@@ -66,14 +93,25 @@ def structural_edges(nodes: DataFrame) -> DataFrame:
     return edges(parents, PARENT, "parent_child").unionByName(edges(siblings, SIBLING, "sibling"))
 
 
-def merged_edges(semantic: DataFrame, consecutive: DataFrame) -> DataFrame:
-    """src, dst, weight, kind: bonuses add up to 1 at most; the kind of a bonus wins if it isn't below the weight before it."""
-    every = semantic.select("src", "dst", F.col("weight").alias("semantic"), F.lit(None).cast("double").alias("bonus"))
-    every = every.unionByName(consecutive.select("src", "dst", F.lit(None).cast("double").alias("semantic"), F.col("weight").alias("bonus")))
-    found = every.groupBy("src", "dst").agg(F.max("semantic").alias("semantic"), F.max("bonus").alias("bonus"))
-    weight = F.least(F.lit(1.0), F.coalesce("semantic", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0)))
-    kind = F.when(F.col("semantic").isNull() | (F.col("bonus") >= F.col("semantic")), "consecutive").otherwise("semantic")
-    return found.select("src", "dst", weight.alias("weight"), kind.alias("kind"))
+def merged_edges(semantic: DataFrame, consecutive: DataFrame, structural: DataFrame | None = None) -> DataFrame:
+    """src, dst, weight, kind: the semantic weight, then the consecutive bonus, then a structural one (src, dst, weight, kind), 1 at most after each.
+
+    The kind is that of the last bonus that wasn't below the weight before it, else semantic.
+    """
+    no = F.lit(None)
+
+    def side(df: DataFrame, k: int, kind) -> DataFrame:
+        return df.select("src", "dst", *((F.col("weight") if j == k else no).cast("double").alias(n) for j, n in enumerate(("semantic", "next", "path"))), kind.alias("path_kind"))
+
+    every = side(semantic, 0, no.cast("string")).unionByName(side(consecutive, 1, no.cast("string")))
+    if structural is not None:
+        every = every.unionByName(side(structural, 2, F.col("kind")))
+    found = every.groupBy("src", "dst").agg(*(F.max(c).alias(c) for c in ("semantic", "next", "path", "path_kind")))
+    first = F.least(F.lit(1.0), F.coalesce("semantic", F.lit(0.0)) + F.coalesce("next", F.lit(0.0)))
+    kind = F.when(F.col("next").isNotNull() & (F.col("semantic").isNull() | (F.col("next") >= F.col("semantic"))), "consecutive").when(F.col("semantic").isNotNull(), "semantic")
+    found = found.withColumns({"first": first, "kind": kind})
+    found = found.withColumn("kind", F.when(F.col("path").isNotNull() & (F.col("kind").isNull() | (F.col("path") >= F.col("first"))), F.col("path_kind")).otherwise(F.col("kind")))
+    return found.select("src", "dst", F.least(F.lit(1.0), F.col("first") + F.coalesce("path", F.lit(0.0))).alias("weight"), "kind")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

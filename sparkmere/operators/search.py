@@ -4,23 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmere.functions.vectors import dot
+from sparkmere.functions.vectors import matrix_of
+from sparkmere.plans.saving import saved
 
 DECAY = 0.7
 CUTOFF = 0.01
 STEPS = 3
 SOURCES = 3
+QUERY_BLOCK, NODE_BLOCK = 1024, 8192
+#: Sums in another order, and sums rounded to six digits, differ by less.
+NUDGE = 2e-6
 FIELD_BOOST = 0.05
 TAG_BOOST = 0.03
 
 
-def similarities(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """query_id, node_id, sim of a stated set of queries (query_id, vector) against all nodes."""
-    asked = queries.select("query_id", F.col("vector").alias("query_vector"))
-    return asked.join(nodes.select("node_id", "vector")).select("query_id", "node_id", dot(F.col("query_vector"), F.col("vector")).alias("sim"))
+def _block_best(k: int, least: float):
+    def run(asked: pa.Table, nodes: pa.Table) -> pa.Table:
+        found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        if asked.num_rows and nodes.num_rows:
+            ids, matrix = nodes["node_id"].to_numpy(), matrix_of(nodes["vector"])
+            vectors = matrix_of(asked["vector"])
+            for query, vector, rough in zip(asked["query_id"].to_pylist(), vectors, vectors @ matrix.T, strict=True):
+                bar = max(least, np.partition(rough, len(rough) - k)[len(rough) - k] if len(rough) > k else -np.inf)
+                near = np.flatnonzero(rough >= bar - NUDGE)
+                for out, x in zip(found, (np.full(len(near), query), ids[near], (matrix[near] * vector).sum(axis=1)), strict=True):  # equal vectors get equal sums
+                    out.append(x)
+        return pa.table({n: np.concatenate(x) for n, x in zip(("query_id", "node_id", "sim"), found, strict=True)})
+
+    return run
+
+
+def similarities(queries: DataFrame, nodes: DataFrame, k: int, least: float = float("-inf")) -> DataFrame:
+    """query_id, node_id, sim: of each query (query_id, vector) the k best nodes by inner product with their ties, and some more, of sim least at least.
+
+    Blocks of queries meet blocks of nodes as matrix products; only each block's best leave its task. Ranking what is left gives the k best of all nodes.
+    """
+    rows = {"i": max(1, -(-queries.count() // QUERY_BLOCK)), "j": max(1, -(-nodes.count() // NODE_BLOCK))}
+
+    def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        block = F.pmod(F.xxhash64(key), F.lit(rows[own])).cast("int").alias(own)
+        return df.select(F.col(key).alias(key), F.col("vector").alias("vector"), block, F.explode(F.sequence(F.lit(0), F.lit(rows[other] - 1))).alias(other))
+
+    left, right = dealt(queries, "query_id", "i", "j"), dealt(nodes, "node_id", "j", "i")
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_block_best(k, least), "query_id long, node_id long, sim double")
+    return found.where(F.col("sim") >= least - NUDGE)
 
 
 def top_k(scored: DataFrame, score: str, k: int, node: str = "node_id") -> DataFrame:
@@ -53,29 +85,44 @@ def matching(nodes: DataFrame, wanted: Mapping[str, str | Sequence[str] | None])
     return nodes
 
 
-def wave(sims: DataFrame, edges: DataFrame, combine: str = "max", steps: int = STEPS, sources: int = SOURCES, anchors: DataFrame | None = None) -> DataFrame:
+def wave(sims: DataFrame, edges: DataFrame, combine: str = "max", steps: int = STEPS, sources: int = SOURCES, anchors: DataFrame | None = None, lexical: DataFrame | None = None, lexical_sources: int = 0) -> DataFrame:
     """query_id, node_id, amplitude after a bounded wave from each query's best nodes.
 
-    sims are of eligible nodes only; edges go both ways and lead to eligible nodes. anchors: node_id, boost, propagation_boost. Each
-    contribution below CUTOFF is dropped by itself; the frontier of a step is the wave of the one before, and nodes may be reached again.
+    sims are of eligible nodes only; edges go both ways and lead to eligible nodes. anchors: node_id, boost, propagation_boost. lexical (query_id, node_id,
+    score, and sim of eligible nodes) gives lexical_sources further sources, and a source's amplitude is the greater of both. Each contribution below CUTOFF
+    is dropped by itself; the frontier of a step is the wave of the one before, and nodes may be reached again. Edges and frontiers are written once.
     """
     fold = {"max": F.max, "sum": F.sum}[combine]
-    seeds = top_k(sims, "sim", sources).select("query_id", "node_id", F.greatest("sim", F.lit(0.0)).alias("amplitude"))
+    seeds = top_k(sims, "sim", sources).select("query_id", "node_id", "sim")
+    if lexical is not None:
+        hits = lexical.select("query_id", "node_id", "score", F.col("sim").alias("own_sim"))
+        more = top_k(hits.join(seeds, ["query_id", "node_id"], "left_anti"), "score", lexical_sources).select("query_id", "node_id", F.col("own_sim").alias("sim"))
+        seeds = seeds.unionByName(more).join(hits.drop("own_sim"), ["query_id", "node_id"], "left")
+        seeds = seeds.select("query_id", "node_id", F.greatest("sim", F.coalesce("score", F.lit(0.0)), F.lit(0.0)).alias("amplitude"))
+    else:
+        seeds = seeds.select("query_id", "node_id", F.greatest("sim", F.lit(0.0)).alias("amplitude"))
     if anchors is not None:
-        pinned = F.broadcast(anchors)  # pins are set by hand
-        seeds = seeds.join(pinned.select("node_id", "boost"), "node_id", "left").select("query_id", "node_id", (F.col("amplitude") * F.coalesce("boost", F.lit(1.0))).alias("amplitude"))
-    frontier, waves = seeds, seeds
+        seeds = seeds.join(anchors.select("node_id", "boost"), "node_id", "left").select("query_id", "node_id", (F.col("amplitude") * F.coalesce("boost", F.lit(1.0))).alias("amplitude"))
+    edges = saved(edges)
+    frontier = waves = saved(seeds)
     for _ in range(steps):
         active = frontier.where(F.col("amplitude") >= CUTOFF)
         if anchors is not None:
-            active = active.join(pinned.select("node_id", "propagation_boost"), "node_id", "left").withColumn("amplitude", F.col("amplitude") * F.coalesce("propagation_boost", F.lit(1.0)))
+            active = active.join(anchors.select("node_id", "propagation_boost"), "node_id", "left").withColumn("amplitude", F.col("amplitude") * F.coalesce("propagation_boost", F.lit(1.0)))
         spread = active.select("query_id", F.col("node_id").alias("src"), "amplitude").join(edges, "src")
         spread = spread.select("query_id", F.col("dst").alias("node_id"), (F.col("amplitude") * F.col("weight") * DECAY).alias("amplitude")).where(F.col("amplitude") >= CUTOFF)
-        frontier = spread.groupBy("query_id", "node_id").agg(fold("amplitude").alias("amplitude"))
+        frontier = saved(spread.groupBy("query_id", "node_id").agg(fold("amplitude").alias("amplitude")))
         waves = waves.unionByName(frontier)
     return waves.groupBy("query_id", "node_id").agg(fold("amplitude").alias("amplitude"))
 
 
+def hybrid_scores(waves: DataFrame, nodes: DataFrame, lexical: DataFrame, boost: Column | None = None) -> DataFrame:
+    """query_id, node_id, score: a wave's amplitudes with the metadata boost (of nodes' columns) and the lexical score of each node added."""
+    own = nodes.select("node_id", (F.lit(0.0) if boost is None else boost).alias("boost"))
+    joined = waves.join(own, "node_id").join(lexical.select("query_id", "node_id", F.col("score").alias("lexical")), ["query_id", "node_id"], "left")
+    return joined.select("query_id", "node_id", (F.col("amplitude") + F.col("boost") + F.greatest(F.lit(0.0), F.coalesce("lexical", F.lit(0.0)))).alias("score"))
+
+
 def metadata_boost(fields: Mapping[str, Column], tag_hits: Column | None = None) -> Column:
     """FIELD_BOOST for each condition that holds and TAG_BOOST for each requested tag that a node has."""
     total = F.lit(0.0)
