@@ -23,4 +23,4 @@ def query(sql: str | None = None):
 
 
 def load_all() -> None:
-    from sparkmere.catalogue import chunking, evaluation, evidence, governance, ingest, library, logs, matching, narrowing, tags, texts, vectors  # noqa: F401
+    from sparkmere.catalogue import chunking, evaluation, evidence, governance, ingest, library, logs, matching, narrowing, tags, texts, upkeep, vectors  # noqa: F401

@@ -143,3 +143,82 @@ def semantic_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tag_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries moved towards the weighted mean of their seed tags."""
     return pyramid.fused(asked(spark, sf_dir), _seeds(spark, sf_dir), 0.3)
+
+
+AXES = """
+ax AS (SELECT vec_id AS query_id, list_transform(embedding[1:8], lambda x: x::DOUBLE * x::DOUBLE) AS e FROM embeddings),
+ap AS (SELECT query_id, list_reverse_sort(list_transform(e, lambda x: x / list_sum(e))) AS p FROM ax)"""
+
+
+def _energies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = nodes(spark, sf_dir).select(F.col("node_id").alias("query_id"), F.transform(F.slice("vector", 1, 8), lambda x: x * x).alias("e"))
+    total = F.aggregate("e", F.lit(0.0), lambda s, x: s + x)
+    return own.select("query_id", F.transform("e", lambda x: x / total).alias("p"))
+
+
+@query(f"WITH {AXES.strip()} SELECT query_id, round(list_sum(list_filter(list_transform(p[2:], lambda x: sqrt(p[1] * x)), lambda x: x > 0.15)), 5) AS resonance FROM ap WHERE len(list_filter(list_transform(p[2:], lambda x: sqrt(p[1] * x)), lambda x: x > 0.15)) > 0 UNION ALL SELECT query_id, 0.0 FROM ap WHERE len(list_filter(list_transform(p[2:], lambda x: sqrt(p[1] * x)), lambda x: x > 0.15)) = 0")
+def tag_resonance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The energies of each vector on the first eight axes."""
+    return _energies(spark, sf_dir).select("query_id", F.round(tags.resonance(F.col("p")), 5).alias("resonance"))
+
+
+@query(f"""WITH {AXES.strip()}, h AS (SELECT query_id, p, 1 + list_sum(list_transform(p, lambda x: CASE WHEN x > 0 THEN x * log2(x) ELSE 0 END)) / 3 AS depth FROM ap),
+s AS (SELECT query_id, depth, coalesce(list_sum(list_filter(list_transform(p[2:], lambda x: sqrt(p[1] * x)), lambda x: x > 0.15)), 0) AS res FROM h)
+SELECT query_id, round(least(2, greatest(0.3, depth * 1.5)), 5)::DOUBLE AS by_depth, round(least(2, greatest(0.3, depth * (1 + ln(1 + res)) / (1 + 0.5 * (1 - depth)) * 1.2)), 5)::DOUBLE AS by_pyramid FROM s""")
+def dynamic_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    depth = 1 - pyramid.entropy(F.col("p"), 8)
+    by_pyramid = pyramid.dynamic_boost(depth, "pyramid", residual=tags.resonance(F.col("p")), spread=1 - depth, activation=F.lit(1.2))
+    return _energies(spark, sf_dir).select("query_id", F.round(pyramid.dynamic_boost(depth, "epa", 1.5), 5).alias("by_depth"), F.round(by_pyramid, 5).alias("by_pyramid"))
+
+
+CORE = """
+k AS (SELECT DISTINCT o_custkey AS query_id, 'p' || CASE WHEN l_partkey % 4 = 0 THEN l_partkey + 1 ELSE l_partkey END AS tag FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 5 = 0),
+cd AS (SELECT o_custkey AS query_id, 'p' || l_partkey AS tag, max(l_quantity) AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 5 IN (0, 1) AND l_partkey % 4 <> 0 GROUP BY ALL),
+fa AS (SELECT c_custkey AS query_id, (1.2::DOUBLE + least(1, 0.5 * (c_custkey % 10) / 10 + 0.5 * (1 - (c_custkey % 3) / 4)) * 0.2::DOUBLE) * (0.95::DOUBLE + 0.1::DOUBLE * (c_custkey % 7) / 10) AS factor FROM customer),
+we AS (SELECT query_id, tag, CASE WHEN k.tag IS NULL THEN weight ELSE weight * factor END AS weight, k.tag IS NOT NULL AS core FROM cd LEFT JOIN k USING (query_id, tag) JOIN fa USING (query_id)),
+mo AS (SELECT query_id, max(weight) AS most FROM we GROUP BY ALL),
+al AS (SELECT * FROM we UNION ALL SELECT k.query_id, k.tag, coalesce(most, factor), true FROM k ANTI JOIN cd USING (query_id, tag) LEFT JOIN mo USING (query_id) JOIN fa USING (query_id))"""
+
+
+def _core(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customers stand for queries; the parts of some of their orders are candidates, those of others core tags; every fourth part is a synonym."""
+    lines = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    asked_for = lines.where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("query_id"), F.concat(F.lit(" P"), "l_partkey").alias("name"))
+    policy = table(spark, sf_dir, "part").where("p_partkey % 4 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("name"), F.concat(F.lit("P"), F.col("p_partkey") + 1).alias("canonical"))
+    held = lines.where("o_orderkey % 5 IN (0, 1) AND l_partkey % 4 != 0").groupBy(F.col("o_custkey").alias("query_id"), F.concat(F.lit("p"), "l_partkey").alias("tag")).agg(F.max("l_quantity").alias("weight"))
+    key = F.col("c_custkey")
+    factors = table(spark, sf_dir, "customer").select(key.alias("query_id"), tags.core_boost(key % 10 / 10, key % 3 / 4, key % 7 / 10).alias("factor"))
+    return tags.core_tags(asked_for, policy), held, factors
+
+
+@query(f"WITH {CORE.strip()} SELECT query_id, tag, round(weight, 5) AS weight, core FROM al")
+def core_tag_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    core, held, factors = _core(spark, sf_dir)
+    return tags.with_core(held, core, factors).withColumn("weight", F.round("weight", 5))
+
+
+@query(f"""WITH {CORE.strip()}, ba AS (SELECT query_id, max(weight / factor) AS base FROM we JOIN fa USING (query_id) GROUP BY ALL), gh AS (SELECT vec_id AS query_id, unnest([1, 2]) AS i, vec_id % 3 AS r FROM embeddings)
+SELECT query_id, CASE WHEN r = 0 THEN -1 ELSE -i END AS tag, round(coalesce(base, 1) * CASE WHEN i = 1 THEN coalesce(factor, 1) ELSE 1 END, 5) AS weight, i = 1 AS hard FROM gh LEFT JOIN ba USING (query_id) LEFT JOIN fa USING (query_id) WHERE NOT (r = 0 AND i = 1)""")
+def ghost_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector brings a hard ghost, of a wrong dimension for every third, and a soft one."""
+    core, held, factors = _core(spark, sf_dir)
+    hard = F.struct(F.lit(True).alias("hard"), F.when(F.col("node_id") % 3 == 0, F.slice("vector", 1, 5)).otherwise(F.col("vector")).alias("vector"))
+    own = nodes(spark, sf_dir).select(F.col("node_id").alias("query_id"), F.array(hard, F.struct(F.lit(False).alias("hard"), F.col("vector").alias("vector"))).alias("ghosts"))
+    weighed = tags.with_core(held, core, factors).join(held.select("query_id", "tag"), ["query_id", "tag"], "left_semi")
+    return tags.ghost_candidates(own, weighed, factors, 64).select("query_id", "tag", F.round("weight", 5).alias("weight"), "hard")
+
+
+@query(r"""WITH t AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'abc' WHEN 1 THEN 'usb-c cable 2.0' WHEN 2 THEN '冰箱abc' ELSE event_type END AS tag, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Hardware' WHEN 2 THEN 'Politics & Society' WHEN 3 THEN ' Unknown ' ELSE 'home and garden' END AS world FROM events)
+SELECT event_id, round(CASE WHEN world = 'Hardware' OR tag = 'abc' OR contains(tag, '冰箱') THEN 1.0 WHEN world IS NULL OR world = ' Unknown ' THEN 0.4 WHEN world LIKE 'Politics%' THEN sqrt(0.3) ELSE 0.3 END, 6)::DOUBLE AS penalty FROM t""")
+def language_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("event_id")
+    tag = F.when(key % 4 == 0, "abc").when(key % 4 == 1, "usb-c cable 2.0").when(key % 4 == 2, "冰箱abc").otherwise(F.col("event_type"))
+    world = F.when(key % 5 == 1, "Hardware").when(key % 5 == 2, "Politics & Society").when(key % 5 == 3, " Unknown ").when(key % 5 == 4, "home and garden")
+    return table(spark, sf_dir, "events").select("event_id", F.round(tags.language_penalty(tag, world), 6).alias("penalty"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 29 = 0 THEN 'spike_disabled' WHEN event_id % 23 = 0 THEN 'matrix_missing' WHEN event_type = 'signup' THEN 'no_tag_vectors' WHEN user_id % 8 = 0 THEN 'no_seeds' WHEN user_id % 6 = 0 THEN 'no_candidates'
+WHEN value < 3 THEN 'degenerate_context' WHEN value < 6 THEN 'zero_alpha' END AS reason FROM events""")
+def boost_skip_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reason = tags.skip_reason(F.col("event_id") % 29 != 0, F.col("event_id") % 23 != 0, F.when(F.col("event_type") == "signup", 0).otherwise(1), F.col("user_id") % 8, F.col("user_id") % 6, F.when(F.col("value") < 3, 0.0).otherwise(1.0), F.when(F.col("value") < 6, 0.0).otherwise(0.5))
+    return table(spark, sf_dir, "events").select("event_id", reason.alias("reason"))

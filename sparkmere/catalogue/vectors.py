@@ -4,11 +4,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmere.catalogue import query
-from sparkmere.functions.vectors import norm, settled
-from sparkmere.operators import graph, search
+from sparkmere.catalogue.texts import FIELDS, TERMS, chunks, queries
+from sparkmere.functions.vectors import dot, norm, settled
+from sparkmere.operators import graph, lexical, search
+from sparkmere.plans.saving import saved
 from sparkmere.sources.tables import nodes
 
 THRESHOLD = 0.2
+LEXICAL_FIELDS = {"heading": "heading", "body": "body", "identity": "identity"}
 
 EDGES = """
 n AS (SELECT vec_id AS node_id, embedding::DOUBLE[] AS v, label FROM embeddings),
@@ -128,3 +131,35 @@ def energy_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT vec_id AS node_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS length FROM embeddings")
 def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark, sf_dir).select("node_id", F.round(norm(F.col("vector")), 5).alias("length"))
+
+
+HYBRID_STEPS = "".join(
+    f"""
+w{k} AS (SELECT query_id, node_id, max(a) AS a FROM (SELECT f.query_id, e.dst AS node_id, f.a * e.weight * 0.7::DOUBLE AS a FROM w{k - 1} f JOIN e ON e.src = f.node_id WHERE f.a >= 0.01) WHERE a >= 0.01 GROUP BY ALL),"""
+    for k in (1, 2, 3)
+)
+
+
+@query(f"""
+WITH {EDGES}, {TERMS}, {FIELDS},
+lx AS (SELECT sc.query_id * 20 AS query_id, node_id, score FROM sc JOIN n USING (node_id) WHERE sc.query_id * 20 IN (SELECT node_id FROM n) QUALIFY row_number() OVER (PARTITION BY sc.query_id ORDER BY score DESC, node_id) <= 32),
+s0 AS (SELECT query_id, node_id, sim FROM sims QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, node_id) <= 3),
+s1 AS (SELECT query_id, node_id FROM lx ANTI JOIN s0 USING (query_id, node_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 2),
+w0 AS (SELECT query_id, node_id, greatest(sim, coalesce(score, 0), 0) AS a FROM (SELECT query_id, node_id FROM s0 UNION ALL FROM s1) JOIN sims USING (query_id, node_id) LEFT JOIN lx USING (query_id, node_id)),{HYBRID_STEPS}
+amps AS (SELECT query_id, node_id, max(a) AS a FROM (FROM w0 UNION ALL FROM w1 UNION ALL FROM w2 UNION ALL FROM w3) GROUP BY ALL),
+fs2 AS (SELECT query_id, node_id, round(a + CASE WHEN n.label = 1 THEN 0.05 ELSE 0 END + coalesce(lx.score, 0) + 1e-9, 6) AS score FROM amps JOIN n USING (node_id) LEFT JOIN lx USING (query_id, node_id))
+SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, node_id, score FROM fs2 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, node_id) QUALIFY row_number() OVER w <= 5
+""")
+def wave_lexical_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors and documents of one id are one node; a benchmark text is the text of the query of its id times 20. Nodes of label 1 are boosted."""
+    own = nodes(spark, sf_dir)
+    texts = chunks(spark, sf_dir).join(own.select("node_id"), "node_id", "left_semi")
+    found = lexical.lexical_topk(queries(spark, sf_dir), texts, LEXICAL_FIELDS)
+    found = found.select((F.col("query_id") * 20).alias("query_id"), "node_id", "score")
+    pairs = found.join(asked(spark, sf_dir).withColumnRenamed("vector", "asked"), "query_id").join(own.select("node_id", "vector"), "node_id")
+    lexed = saved(pairs.select("query_id", "node_id", "score", dot(F.col("asked"), F.col("vector")).alias("sim")))
+    sims = search.similarities(asked(spark, sf_dir), own, search.SOURCES)
+    waves = search.wave(sims, graph.both_ways(edges(spark, sf_dir)), lexical=lexed, lexical_sources=2)
+    scored = search.hybrid_scores(waves, own, lexed, F.when(F.col("label") == 1, 0.05).otherwise(0.0))
+    ranked = search.top_k(scored.withColumn("score", settled(F.col("score"))), "score", 5)
+    return ranked.select("query_id", "rank", "node_id", "score")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkmere.plans.folding import folded
+
 
 def calibrated(scores: DataFrame, kind: str, group: str = "query_id", score: str = "score", temperature: float = 1.0) -> DataFrame:
     """Adds calibrated: minmax, zscore, sigmoid or identity within a group; one row or equal scores give 0.5, but for identity.
@@ -63,17 +64,13 @@ def limit_estimates(events: DataFrame, seconds: int, limit: int) -> DataFrame:
 def limited(events: DataFrame, seconds: int, limit: int) -> DataFrame:
     """key, event_id, allowed: the exact limiter, in which only allowed calls count. Events of a key are folded in order of time."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "event_id"])
-        cell, now, before, allowed = None, 0, 0, []
-        for at in rows["at"]:
-            own = int(at // seconds)
-            if own != cell:
-                before, now, cell = (now if cell is not None and own == cell + 1 else 0), 0, own
-            ok = before * (1 - (at - own * seconds) / seconds) + now < limit
-            now += ok
-            allowed.append(bool(ok))
-        return pd.DataFrame({"key": rows["key"], "event_id": rows["event_id"], "allowed": allowed})
+    def step(state, row):
+        cell, now, before = state
+        own = int(row[2] // seconds)
+        if own != cell:
+            before, now = (now if cell is not None and own == cell + 1 else 0), 0
+        ok = before * (1 - (row[2] - own * seconds) / seconds) + now < limit
+        return (own, now + ok, before), (bool(ok),)
 
     timed = events.select("key", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("at"))
-    return timed.groupBy("key").applyInPandas(run, "key long, event_id long, allowed boolean")
+    return folded(timed, "key", ["at", "event_id"], lambda: (None, 0, 0), step, {"allowed": "boolean"}).select("key", "event_id", "allowed")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The reference behaviour's fixed values.
+# Fixed values of the tag graph's behaviour.
 FIRST_WEIGHT, WEIGHT_RANGE = 0.9, 0.4
 MIN_TAGS, MAX_TAGS = 2, 100
 LEGACY_WEIGHT = 0.49
@@ -95,3 +95,74 @@ def geodesic_rerank(results: DataFrame, node_tags: DataFrame, energies: DataFram
     joined = joined.withColumn("final", final)
     rank = [F.row_number().over(own.orderBy(F.desc(c), "node_id")).alias(n) for c, n in (("score", "old_rank"), ("final", "new_rank"))]
     return joined.select("query_id", "node_id", "score", "geo", "final", *rank)
+
+
+# Fixed values of the boost's modulators.
+BRIDGE = 0.15
+CORE_BOOST = (1.20, 1.40)
+TECH_TAG, TECH_WORLD, SOCIAL_WORLD = r"^[A-Za-z0-9\-_.\s]+$", r"^[A-Za-z0-9\-_.]+$", r"(?i)politics|society|history|economics|culture"
+UNKNOWN_PENALTY, OTHER_PENALTY = 0.4, 0.3
+
+
+def resonance(energies: Column) -> Column:
+    """The sum of the bridges between the strongest axis and the others: geometric means of their energies above BRIDGE."""
+    ordered = F.sort_array(energies, asc=False)
+    bridges = F.filter(F.transform(F.slice(ordered, 2, F.greatest(F.size(ordered), F.lit(1))), lambda e: F.sqrt(F.greatest(F.lit(0.0), F.get(ordered, 0) * e))), lambda x: x > BRIDGE)
+    return F.aggregate(bridges, F.lit(0.0), lambda s, x: s + x)
+
+
+def core_tags(asked: DataFrame, policy: DataFrame) -> DataFrame:
+    """query_id, tag: the core tags (query_id, name) that a caller names, in lower case, as canonical tags by policy (name, canonical), each once."""
+    own = asked.select("query_id", F.lower(F.trim("name")).alias("name")).where("name <> ''").distinct()
+    return own.join(policy, "name", "left").select("query_id", F.coalesce(F.lower(F.trim("canonical")), "name").alias("tag")).distinct()
+
+
+def core_boost(depth: Column, coverage: Column, relevance: Column) -> Column:
+    """A core tag's factor, from the query's depth, the pyramid's coverage and the tag's own relevance, each clipped to 0 .. 1."""
+
+    def clip(x: Column) -> Column:
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+
+    metric = clip(0.5 * F.greatest(F.lit(0.0), depth) + 0.5 * (1 - clip(coverage)))
+    return (CORE_BOOST[0] + metric * (CORE_BOOST[1] - CORE_BOOST[0])) * (0.95 + 0.10 * clip(relevance))
+
+
+def with_core(candidates: DataFrame, core: DataFrame, factors: DataFrame) -> DataFrame:
+    """query_id, tag, weight, core: candidates whose core tags weigh more by their query's factor (query_id, factor), and the core tags that are missing,
+    with the query's greatest weight, or its factor if it has no candidate."""
+    marked = candidates.join(core.withColumn("core", F.lit(True)), ["query_id", "tag"], "left").join(factors, "query_id", "left")
+    weighed = marked.select("query_id", "tag", F.when(F.col("core").isNotNull(), F.col("weight") * F.coalesce("factor", F.lit(1.0))).otherwise(F.col("weight")).alias("weight"), F.col("core").isNotNull().alias("core"))
+    most = weighed.groupBy("query_id").agg(F.max("weight").alias("most"))
+    missing = core.join(candidates, ["query_id", "tag"], "left_anti").join(most, "query_id", "left").join(factors, "query_id", "left")
+    return weighed.unionByName(missing.select("query_id", "tag", F.coalesce("most", "factor", F.lit(1.0)).alias("weight"), F.lit(True).alias("core")))
+
+
+def ghost_candidates(ghosts: DataFrame, weighed: DataFrame, factors: DataFrame, dims: int) -> DataFrame:
+    """query_id, tag, weight, hard, vector of ghost tags (query_id, ghosts: array of hard boolean and vector): ids -1, -2, ... in their order.
+
+    Those of another dimension are skipped. A soft ghost weighs as much as the greatest candidate before the query's factor, a hard one the factor more.
+    """
+    base = weighed.join(factors, "query_id", "left").groupBy("query_id").agg(F.max(F.col("weight") / F.coalesce("factor", F.lit(1.0))).alias("base"))
+    fitting = ghosts.select("query_id", F.posexplode(F.filter("ghosts", lambda g: F.size(g["vector"]) == dims)).alias("place", "ghost"))
+    joined = fitting.join(base, "query_id", "left").join(factors, "query_id", "left")
+    weight = F.coalesce("base", F.lit(1.0)) * F.when(F.col("ghost.hard"), F.coalesce("factor", F.lit(1.0))).otherwise(1.0)
+    return joined.select("query_id", (-1 - F.col("place")).cast("long").alias("tag"), weight.alias("weight"), F.col("ghost.hard").alias("hard"), F.col("ghost.vector").alias("vector"))
+
+
+def language_penalty(tag: Column, world: Column) -> Column:
+    """The factor of a tag that is technical noise (ASCII, longer than three) for the query's world: none in a technical world."""
+    noise = tag.rlike(TECH_TAG) & (F.length(tag) > 3)
+    known = F.coalesce(F.trim(world), F.lit("Unknown"))
+    unknown = known.isin("", "Unknown")
+    return (
+        F.when(~unknown & known.rlike(TECH_WORLD), 1.0).when(~noise, 1.0).when(unknown, UNKNOWN_PENALTY)
+        .when(known.rlike(SOCIAL_WORLD), OTHER_PENALTY**0.5).otherwise(OTHER_PENALTY)
+    )
+
+
+def skip_reason(enabled: Column, has_matrix: Column, tag_vectors: Column, seeds: Column, candidates: Column, context: Column, alpha: Column) -> Column:
+    """Why a query's boost is left out: the first stage that has nothing to go on; null if it applies."""
+    return (
+        F.when(~enabled, "spike_disabled").when(~has_matrix, "matrix_missing").when(tag_vectors == 0, "no_tag_vectors").when(seeds == 0, "no_seeds")
+        .when(candidates == 0, "no_candidates").when(context <= 0, "degenerate_context").when(alpha <= 0, "zero_alpha")
+    )
