@@ -40,6 +40,8 @@ GROUP_BLOCKS = 4096
 LONG_BYTES = 2048
 #: Documents that leave a block together.
 ROWS = 1024
+#: Numbers that are worked on at a time.
+PART = 1 << 19
 BLOCK = "block long, ids array<bigint>, counts array<int>, codes binary, done array<int>, done_ids array<array<int>>, n_words int, words array<string>"
 ENCODED = "doc_id bigint, ids_sha256 string, token_ids array<int>"
 
@@ -146,9 +148,23 @@ def _lists(values: pa.Array, ends=None) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)] if ends is None else ends, pa.int32()), values)
 
 
-def _numbers(codes: np.ndarray) -> bytes:
-    """Numbers below 2^32 as four planes of bytes, compressed: most upper bytes are zero."""
-    return pa.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+def _numbers(numbers: np.ndarray, places: np.ndarray | None = None) -> bytes:
+    """numbers below 2^32, or those at places, as four planes of bytes, compressed: most upper bytes are zero. Worked out in parts, to hold little at a time."""
+    sink = pa.BufferOutputStream()
+    with pa.CompressedOutputStream(sink, "zstd") as out:
+        for k in range(4):
+            plane = (numbers >> (8 * k)).astype(np.uint8)
+            for low in range(0, len(plane) if places is None else len(places), PART):
+                out.write((plane[low : low + PART] if places is None else plane[places[low : low + PART]]).tobytes())
+    return sink.getvalue().to_pybytes()
+
+
+def _times(indices: np.ndarray, n: int) -> np.ndarray:
+    """How often each of the numbers up to n occurs; in parts, as bincount makes its input wider."""
+    found = np.zeros(n, np.int64)
+    for low in range(0, len(indices), PART):
+        found += np.bincount(indices[low : low + PART], minlength=n)
+    return found
 
 
 def _planes(packed: bytes, count: int) -> np.ndarray:
@@ -170,12 +186,13 @@ def _blocks(held):
             coded = words.flatten().dictionary_encode()
             distinct = coded.dictionary.cast(pa.binary())
             counts = pa.compute.fill_null(pa.compute.list_value_length(words), 0)
-            times = np.bincount(coded.indices.to_numpy(), minlength=len(distinct))
+            indices = coded.indices.to_numpy()
+            times = _times(indices, len(distinct))
             order = pa.compute.sort_indices(pa.table({"times": times, "word": distinct}), sort_keys=[("times", "descending"), ("word", "ascending")])
             distinct = distinct.take(order)
             number = np.empty(len(order), np.uint32)
             number[order.to_numpy()] = np.arange(len(order))
-            codes = _numbers(number[coded.indices.to_numpy()])
+            codes = _numbers(number, indices)
             whole = pa.compute.fill_null(pa.compute.index_in(distinct, value_set=pieces), -1).to_numpy()
             long = np.flatnonzero((pa.compute.binary_length(distinct).to_numpy() > LONG_BYTES) & (whole < 0))
             if len(long) and ranks is None:
@@ -203,7 +220,7 @@ def _packed(batches):
         starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])[: len(block)])
         rows = []
         for a, b in zip(starts, [*starts[1:], len(block)], strict=True):
-            numbers = np.concatenate([place[a:b], lengths[a:b], flat[ends[a] : ends[b]]])
+            numbers = np.concatenate([place[a:b], lengths[a:b], flat[ends[a] : ends[b]]]).astype(np.uint32)
             rows.append((int(block[a]), int(b - a), len(numbers), _numbers(numbers)))
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["block", "n", "size", "packed"])
 
