@@ -222,3 +222,20 @@ WHEN value < 3 THEN 'degenerate_context' WHEN value < 6 THEN 'zero_alpha' END AS
 def boost_skip_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     reason = tags.skip_reason(F.col("event_id") % 29 != 0, F.col("event_id") % 23 != 0, F.when(F.col("event_type") == "signup", 0).otherwise(1), F.col("user_id") % 8, F.col("user_id") % 6, F.when(F.col("value") < 3, 0.0).otherwise(1.0), F.when(F.col("value") < 6, 0.0).otherwise(0.5))
     return table(spark, sf_dir, "events").select("event_id", reason.alias("reason"))
+
+
+@query()
+def epa_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each axis' share of the energy, and how far it turns away from every single dimension."""
+    axes, _, energies = pyramid.energy_basis(nodes(spark, sf_dir).select("node_id", "vector"))
+    total = float(energies.sum()) or 1.0
+    return spark.createDataFrame([(k, round(float(energies[k]) / total, 6), round(float(abs(axes[k]).max()), 6)) for k in range(len(axes))], "axis int, share double, most double")
+
+
+@query()
+def energy_projection_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector on the learnt axes: entropy, depth, dominant axes and resonance."""
+    axes, mean, _ = pyramid.energy_basis(nodes(spark, sf_dir).select("node_id", "vector"))
+    found = pyramid.projection(nodes(spark, sf_dir).select(F.col("node_id").alias("query_id"), "vector"), axes, mean)
+    h = pyramid.entropy(F.col("p"), len(axes))
+    return found.select("query_id", F.round(h, 6).alias("entropy"), F.round(1 - h, 6).alias("logic_depth"), F.size(F.filter("p", lambda x: x > 0.05)).alias("dominant"), F.round(tags.resonance(F.col("p")), 6).alias("resonance"))

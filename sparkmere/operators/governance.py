@@ -41,17 +41,32 @@ def drift(status: DataFrame, library: DataFrame, graph: DataFrame) -> DataFrame:
     return used.unionByName(apart.select(F.lit("warning").alias("severity"), F.lit("GRAPH_LIBRARY_TAG_DRIFT").alias("code"), "tag"))
 
 
+def deletions(name: Column, distance: int) -> Column:
+    """The name and all that is left of it after up to distance deletions: names within that edit distance have one of these in common."""
+
+    def shorter(x: Column) -> Column:
+        return F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))).otherwise(F.array().cast("array<string>"))
+
+    found = last = F.array(name)
+    for _ in range(distance):
+        last = F.array_distinct(F.flatten(F.transform(last, shorter)))
+        found = F.concat(found, last)
+    return F.array_distinct(found)
+
+
 def near_canonical(tags: DataFrame, canonical: DataFrame, distance: int = 2, least: int = 5) -> DataFrame:
     """tag, canonical: the first canonical name, in order, within an edit distance or of which one is a prefix of the other.
 
-    The governed vocabulary is small and goes to every task while its size allows; names are compared with it, not with each other.
+    Candidates meet by equi-joins: on the first letters for prefixes, on deletions for edits; then the condition decides.
     """
-    names = canonical.select(F.col("tag").alias("canonical"))
+    own, names = tags.select("tag").distinct(), canonical.select(F.col("tag").alias("canonical")).distinct()
+    head = [d.withColumn("key", F.substring(c, 1, least)) for d, c in ((own, "tag"), (names, "canonical"))]
+    edits = [d.withColumn("key", F.explode(deletions(F.col(c), distance))) for d, c in ((own, "tag"), (names, "canonical"))]
+    met = head[0].join(head[1], "key").unionByName(edits[0].join(edits[1], "key")).select("tag", "canonical").distinct()
     both = (F.length("tag") >= least) & (F.length("canonical") >= least)
     prefix = both & (F.col("tag").startswith(F.col("canonical")) | F.col("canonical").startswith(F.col("tag")))
     close = (F.length("tag") >= least) & (F.levenshtein("tag", "canonical", distance) >= 0)
-    pairs = tags.select("tag").join(names, (F.col("tag") != F.col("canonical")) & (prefix | close))
-    return pairs.groupBy("tag").agg(F.min("canonical").alias("canonical"))
+    return met.where((F.col("tag") != F.col("canonical")) & (prefix | close)).groupBy("tag").agg(F.min("canonical").alias("canonical"))
 
 
 def rewritten(tags: Column, sources: Column, target: Column) -> Column:

@@ -60,18 +60,52 @@ def test_spike(spark):
     assert found == {0: 1.0, 1: 0.2, 2: round(0.2 * 1.5 * 0.7, 6)}
 
 
-def test_residuals():
-    basis = pyramid.orthogonal(np.array([[1.0, 0, 0], [2.0, 0, 0], [1.0, 1, 0]]))
-    assert len(basis) == 2
-    assert pyramid.residual_energy(np.array([1.0, 1, 1]), np.array([[1.0, 0, 0]])) == pytest.approx(2 / 3)
-    assert pyramid.residual_energy(np.array([1.0, 0]), np.zeros((0, 2))) == 1.0
-    axes, mean, energies = pyramid.energy_basis(np.random.default_rng(0).normal(size=(200, 16)))
-    assert np.allclose(axes @ axes.T, np.eye(len(axes)), atol=1e-8) and len(energies) == len(axes) >= 8 and mean.shape == (16,)
-
-
-def test_pyramid_stops_when_explained():
-    found = pyramid.levels_of(np.array([1.0, 0, 0]), np.array([5, 6]), np.array([[1.0, 0, 0], [0, 1.0, 0]]))
-    assert found[0][:2] == (0, 5) and found[0][2] == pytest.approx(1.0) and found[-1][3] < 0.1
+def plain_basis(vectors, order, clusters=32):
+    centres = vectors[order[:clusters]].copy()
+    for _ in range(25):
+        own = ((vectors[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        moved = np.array([vectors[own == k].mean(axis=0) if (own == k).any() else centres[k] for k in range(len(centres))])
+        done, centres = np.allclose(moved, centres, atol=1e-9), moved
+        if done:
+            break
+    sizes = np.bincount(own, minlength=len(centres))
+    mean = (centres * sizes[:, None]).sum(axis=0) / sizes.sum()
+    return mean, np.linalg.svd((centres - mean) * np.sqrt(sizes)[:, None], full_matrices=False)[1] ** 2
+
+
+def test_energy_basis(spark):
+    vectors = np.random.default_rng(0).normal(size=(200, 16))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "node_id long, vector array<double>").repartition(3)
+    order = [r.node_id for r in df.orderBy(F.xxhash64(F.lit(42), "node_id")).collect()]
+    axes, mean, energies = pyramid.energy_basis(df)
+    want_mean, want = plain_basis(vectors, order)
+    assert np.allclose(mean, want_mean) and np.allclose(energies, want[: len(energies)]) and np.allclose(axes @ axes.T, np.eye(len(axes)), atol=1e-9)
+    assert 8 <= len(axes) <= 16 and energies.sum() / want.sum() >= 0.95
+    few = pyramid.energy_basis(df.limit(15))
+    assert np.array_equal(few[0], np.eye(16)[:8]) and len(pyramid.energy_basis(df.limit(0))[0]) == 0
+    p = pyramid.projection(df.select(F.col("node_id").alias("query_id"), "vector"), axes, mean).orderBy("query_id").first().p
+    energy = (axes @ (vectors[0] - mean)) ** 2
+    assert np.allclose(p, energy / energy.sum())
+
+
+def test_residual_pyramid(spark):
+    rng = np.random.default_rng(1)
+    ids, tags = np.arange(60), rng.normal(size=(60, 24))
+    query = rng.normal(size=24)
+    want, rest, used = [], query.copy(), set()
+    for level in range(3):
+        near = sorted((k for k in ids if k not in used), key=lambda k: (-(tags[k] @ rest) / np.linalg.norm(tags[k]), k))[:10]
+        used |= set(near)
+        basis = np.linalg.qr(tags[near].T)[0].T
+        coefficients = np.abs(basis @ rest)
+        rest = rest - basis.T @ (basis @ rest)
+        want += [(level, int(k), c, rest @ rest / (query @ query)) for k, c in zip(near, coefficients)]
+        if want[-1][3] < 0.1:
+            break
+    vectors = spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(ids, tags)] + [(99, [0.0] * 24)], "node_id long, vector array<double>")
+    asked = spark.createDataFrame([(7, query.tolist())], "query_id long, vector array<double>")
+    found = sorted((r.level, r.tag, r.coefficient, r.residual) for r in pyramid.residual_pyramid(asked, vectors).collect())
+    assert [x[:2] for x in found] == sorted(x[:2] for x in want) and np.allclose([x[2:] for x in found], [x[2:] for x in sorted(want)])
 
 
 def test_token_classes(spark):
@@ -182,7 +216,7 @@ def test_markdown_and_html(spark):
     docs = spark.createDataFrame([(1, "intro\n# One\nbody\n## Two #\nmore")], "doc_id long, text string")
     found = parsers.markdown_sections(docs).orderBy("section").collect()
     assert [(r.level, r.header, r.start_line) for r in found] == [(0, "", 1), (1, "One", 2), (2, "Two #", 4)]
-    pages = spark.createDataFrame([(1, "<title>T</title><nav>x</nav><p>a</p><main><p>b &amp; c</p><p>b &amp; c</p></main>"), (2, None)], "page_id long, html string")
+    pages = spark.createDataFrame([(1, "<svg><title>icon</title></svg><title>T</title><nav>x</nav><p>a</p><main><p>b &amp; c</p><p>b<br>&amp; c</p></main>"), (2, None)], "page_id long, html string")
     assert [(r.title, r.blocks) for r in parsers.html_blocks(pages).orderBy("page_id").collect()] == [("T", ["b & c"]), ("", [])]
 
 
