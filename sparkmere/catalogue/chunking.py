@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sparkmere.catalogue import query
 from sparkmere.functions import chunking as fn
+from sparkmere.functions import pages
 from sparkmere.operators import chunks
 from sparkmere.sources import parsers
 from sparkmere.sources.tables import table
@@ -96,3 +97,11 @@ def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_quantity").cast("long").alias("chars"), (F.col("l_quantity") < 5).cast("long").alias("empty_pages"), warnings.alias("warnings"))
     told = F.array_join(F.transform("warnings", lambda w: F.concat_ws("=", w["warning"], w["n"])), ",")
     return chunks.page_quality(pages, ["chars", "empty_pages"]).withColumn("warnings", told)
+
+
+@query()
+def page_line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, kind, n: how many lines of each document are noise, page numbers, headings or text. Documents stand for page texts."""
+    lines = documents(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    kinds = lines.select("doc_id", pages.line_kind(F.col("line"), ("safety", "installation", "cleaning")).alias("kind"))
+    return kinds.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sparkmere.catalogue import query
 from sparkmere.catalogue.texts import COVER, RE, chunks, coverage_topk, queries
 from sparkmere.functions import text as fn
-from sparkmere.operators import evidence, lexical
+from sparkmere.operators import compaction, evidence, lexical
 from sparkmere.sources.tables import table
 
 DEFINITIONS = ("the", "of")
@@ -119,3 +119,28 @@ def visual_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHEN regexp_matches(lower(text), '\b(how\s+to|what\s+should|troubleshoot|fix|fault|problem|weak|low|small)\b') OR regexp_matches(text, '怎么办|怎麼辦|如何处理|如何處理|怎么处理|怎麼處理|故障|异常|異常') THEN 'troubleshooting' ELSE 'generic' END AS intent FROM documents""")
 def answer_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).select("node_id", evidence.answer_intent(F.col("text")).alias("intent"))
+
+
+DEF_SQL = " + ".join(f"regexp_matches(t, '{p}')::INT" for p in compaction.DEFINITIONS)
+ACT_SQL = " + ".join(f"regexp_matches(t, '{p}')::INT" for p in compaction.ACTIONS)
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, node_id, text, asked of the five best covered documents of each query."""
+    asked = queries(spark, sf_dir).select("query_id", compaction.terms(F.col("text")).alias("asked"))
+    return results(spark, sf_dir).join(asked, "query_id").select("query_id", "node_id", "text", "asked")
+
+
+@query(f"""WITH {TOP}, a AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9㐀-鿿]+'), lambda x: length(x) >= 2)) AS asked FROM benchmark),
+r AS (SELECT query_id, node_id, asked, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM top JOIN documents ON doc_id = node_id JOIN a USING (query_id)),
+s AS (SELECT *, len(list_intersect(list_distinct(regexp_extract_all(t, '[a-z0-9㐀-鿿]+')), asked)) / greatest(1, len(asked))::DOUBLE AS share FROM r)
+SELECT query_id, node_id, round(greatest(0, least(0.4, share) + least(0.36, 0.12 * ({DEF_SQL})) + CASE WHEN share >= 0.35 THEN least(0.12, 0.04 * ({ACT_SQL})) ELSE 0 END
+  - CASE WHEN contains(left(t, 180), 'source: http') OR contains(left(t, 180), 'navigation') THEN 0.2 ELSE 0 END)::DOUBLE, 6) AS usefulness FROM s""")
+def context_usefulness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asked(spark, sf_dir).select("query_id", "node_id", F.round(compaction.usefulness(F.col("text"), F.col("asked")), 6).alias("usefulness"))
+
+
+@query()
+def context_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compaction.compacted(_asked(spark, sf_dir), compaction.compaction_target(200))
+    return found.select("query_id", "node_id", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("content_sha256"))

@@ -85,3 +85,23 @@ def tag_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = named_by(F.split_part("text", F.lit("\n"), F.lit(1)), "heading", 0.6).unionByName(named_by(F.col("text"), "body", 0.3))
     known = every.where("source = 'body'").groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
     return governance.suggestions(every.where("length(tag) >= 4").join(known.select("tag"), "tag", "left_semi"), known)
+
+
+POLICY = """
+sy AS (SELECT p_partkey AS tag, CASE WHEN p_partkey % 50 = 11 THEN p_partkey ELSE p_partkey // 2 END AS target FROM part WHERE p_partkey % 10 <> 0 AND p_partkey > 1),
+ca AS (SELECT p_partkey AS tag FROM part WHERE p_partkey % 10 = 0 OR p_partkey % 77 = 3),
+de AS (SELECT s_suppkey AS tag, s_suppkey + 5000000 * (s_suppkey % 3) AS replacement FROM supplier)"""
+
+
+@query(f"""WITH RECURSIVE {POLICY.strip()},
+w AS (SELECT tag, target, 1 AS n FROM sy UNION ALL SELECT w.tag, sy.target, n + 1 FROM w JOIN sy ON sy.tag = w.target WHERE n < 40),
+e AS (SELECT tag, arg_max(target, n) AS target, max(n) AS n FROM w GROUP BY tag)
+SELECT 'alias_is_canonical' AS code, tag FROM sy SEMI JOIN ca USING (tag) UNION ALL SELECT 'synonym_cycle', tag FROM e WHERE n >= 40 UNION ALL SELECT 'target_not_canonical', tag FROM e WHERE n < 40 AND target NOT IN (SELECT tag FROM ca)
+UNION ALL SELECT 'deprecated_is_canonical', tag FROM de SEMI JOIN ca USING (tag) UNION ALL SELECT 'replacement_not_canonical', tag FROM de WHERE replacement NOT IN (SELECT tag FROM ca UNION ALL SELECT tag FROM sy)""")
+def policy_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts stand for tags: chains of halves, some of them pointing at themselves."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("tag"))
+    target = F.when(F.col("tag") % 50 == 11, F.col("tag")).otherwise(F.floor(F.col("tag") / 2))
+    synonyms = part.where("tag % 10 != 0 AND tag > 1").select("tag", target.alias("target"))
+    deprecated = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tag"), (F.col("s_suppkey") + 5000000 * (F.col("s_suppkey") % 3)).alias("replacement"))
+    return governance.policy_faults(synonyms, part.where("tag % 10 = 0 OR tag % 77 = 3"), deprecated)

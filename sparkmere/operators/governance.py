@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkmere.plans.saving import saved
+
 POPULARITY = 0.12
 MOST = 0.99
 
@@ -82,3 +86,25 @@ def suggestions(evidence: DataFrame, popularity: DataFrame, k: int = 8) -> DataF
     score = F.least(F.lit(MOST), F.col("best") + 0.05 * (F.col("sources") - 1) + POPULARITY * F.coalesce(F.col("n") / F.col("most"), F.lit(0.0)))
     scored = joined.select("doc_id", "tag", F.round(score, 6).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "tag"))).where(F.col("rank") <= k)
+
+
+def policy_faults(synonyms: DataFrame, canonical: DataFrame, deprecated: DataFrame) -> DataFrame:
+    """code, tag of what is wrong with a policy: synonyms (tag, target), canonical tags (tag), deprecated tags (tag, replacement).
+
+    Targets are followed by doubling: each round every pointer takes the place of its target's pointer, so that rounds are the logarithm of the longest
+    chain. A pointer that still is a synonym afterwards runs in a cycle.
+    """
+    names = canonical.select("tag").distinct()
+    chains = saved(synonyms.select("tag", "target"))
+    for _ in range(chains.count().bit_length() + 1):
+        following = chains.select(F.col("tag").alias("target"), F.col("target").alias("further"))
+        chains = saved(chains.join(following, "target", "left").select("tag", F.coalesce("further", "target").alias("target")))
+    in_cycle = chains.join(synonyms.select(F.col("tag").alias("target")), "target", "left_semi").select("tag")
+    dangling = chains.join(in_cycle, "tag", "left_anti").join(names.withColumnRenamed("tag", "target"), "target", "left_anti").select("tag")
+    known = names.unionByName(synonyms.select("tag")).withColumnRenamed("tag", "replacement")
+    lost = deprecated.where(F.trim(F.col("replacement").cast("string")) != "").join(known, "replacement", "left_anti").select("tag")
+    parts = {
+        "alias_is_canonical": synonyms.join(names, "tag", "left_semi").select("tag"), "synonym_cycle": in_cycle, "target_not_canonical": dangling,
+        "deprecated_is_canonical": deprecated.join(names, "tag", "left_semi").select("tag"), "replacement_not_canonical": lost,
+    }
+    return reduce(DataFrame.unionByName, (d.select(F.lit(code).alias("code"), "tag") for code, d in parts.items()))
