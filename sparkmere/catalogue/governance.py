@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sparkmere.catalogue import query
 from sparkmere.functions.text import normalized_tag, tokens
 from sparkmere.operators import governance
+from sparkmere.plans.saving import saved
 from sparkmere.sources.tables import table
 
 NAMES = """
@@ -82,7 +83,7 @@ def tag_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     def named_by(text, source: str, weight: float) -> DataFrame:
         return docs.select("doc_id", F.explode(F.array_distinct(tokens(text))).alias("tag"), F.lit(source).alias("source"), F.lit(weight).alias("weight"))
 
-    every = named_by(F.split_part("text", F.lit("\n"), F.lit(1)), "heading", 0.6).unionByName(named_by(F.col("text"), "body", 0.3))
+    every = saved(named_by(F.split_part("text", F.lit("\n"), F.lit(1)), "heading", 0.6).unionByName(named_by(F.col("text"), "body", 0.3)))
     known = every.where("source = 'body'").groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
     return governance.suggestions(every.where("length(tag) >= 4").join(known.select("tag"), "tag", "left_semi"), known)
 
