@@ -31,8 +31,8 @@ WARM = 16
 PAD = 256
 WINDOWS = 4096
 UNKNOWN = "und"
-#: A document whose best language has less than this share of the positions' probabilities is in no learnt language.
-MIN_SCORE = 0.5
+#: Of the way from chance (all languages alike) to certainty, so much a document's best language has to go; else it is in no learnt language.
+MIN_LIFT = 0.08
 
 
 def held_out(doc_id: Column) -> Column:
@@ -271,9 +271,10 @@ def language_report(docs: DataFrame) -> DataFrame:
     return predict(docs, trained(docs))
 
 
-def recognised(lang_pred: Column, score: Column) -> Column:
-    """The rule of recognised_documents: a language is predicted, and its pooled probability is MIN_SCORE at least."""
-    return (lang_pred != UNKNOWN) & (score >= MIN_SCORE)
+def recognised(lang_pred: Column, score: Column, langs: int) -> Column:
+    """The rule of recognised_documents: one of langs languages is predicted, with a pooled probability clearly above chance."""
+    chance = 1 / max(1, langs)
+    return (lang_pred != UNKNOWN) & (score >= chance + MIN_LIFT * (1 - chance) - 1e-6)
 
 
 def labelled_documents(docs: DataFrame, network: Network | None) -> tuple[DataFrame, str, str]:
@@ -298,5 +299,6 @@ def recognised_documents(docs: DataFrame, network: Network | None = None) -> Dat
 
     Null texts, texts without a letter, and all rows where nothing is labelled go; rows that repeat are judged alike; an empty table stays empty.
     """
-    labelled, lang, score = labelled_documents(docs, network or trained(docs))
-    return labelled.where(recognised(F.col(lang), F.col(score))).drop(lang, score)
+    network = network or trained(docs)
+    labelled, lang, score = labelled_documents(docs, network)
+    return labelled.where(recognised(F.col(lang), F.col(score), len(network.langs) if network else 0)).drop(lang, score)
