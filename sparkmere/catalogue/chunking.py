@@ -20,12 +20,41 @@ def _pieces(docs: DataFrame, parts) -> DataFrame:
     return each.select("doc_id", "part", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
-@query()
+STRIP = r"lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')"
+PACKED = """e AS (SELECT doc_id, list_filter(list_transform(list_append(s.parts, s.cur), {STRIP}), lambda x: x <> '') AS parts FROM f), u AS (SELECT doc_id, unnest(range(len(parts))) AS part, unnest(parts) AS text FROM e)
+SELECT doc_id, CAST(part AS INT) AS part, CAST(length(text) AS INT) AS n_chars, sha256(text) AS text_sha256 FROM u""".replace("{STRIP}", STRIP)
+
+
+def _fold_sql(units: str, step: str) -> str:
+    """f: the fold of a list of texts by step over s.parts, s.cur and x.cur."""
+    none = "[]::VARCHAR[]"
+    return f"f AS (SELECT doc_id, list_reduce(list_prepend({{parts: {none}, cur: ''}}, list_transform({units}, lambda x: {{parts: {none}, cur: x}})), lambda s, x: {step}) AS s FROM p)"
+
+
+PARAGRAPHS = f"""
+WITH p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), {STRIP}), lambda x: x <> '') AS units FROM documents),
+{_fold_sql("units", "CASE WHEN s.cur = '' THEN {parts: s.parts, cur: x.cur} WHEN length(s.cur) + length(x.cur) + 2 <= 500 THEN {parts: s.parts, cur: s.cur || chr(10) || chr(10) || x.cur} ELSE {parts: list_append(s.parts, s.cur), cur: x.cur} END")},
+{PACKED}"""
+#: DuckDB has no look-behind: a mark is set behind each closing character instead.
+MARKED = "regexp_replace(regexp_replace(text, '([。！？.!?])\\s+', '\\1' || chr(1), 'g'), '([。！？])', '\\1' || chr(1), 'g')"
+HARD = "list_filter(list_transform(range(0, length({0}), 500), lambda i: trim(substr({0}, i + 1, 500))), lambda y: y <> '')"
+MORE = "s.cur || CASE WHEN s.cur <> '' AND unicode(right(s.cur, 1)) < 128 AND unicode(left(x.cur, 1)) < 128 THEN ' ' ELSE '' END || x.cur"
+CLOSED = "CASE WHEN s.cur = '' THEN s.parts ELSE list_append(s.parts, s.cur) END"
+SENTENCES = f"""
+WITH q AS (SELECT doc_id, text, list_filter(list_transform(string_split({MARKED}, chr(1)), {STRIP}), lambda x: x <> '') AS units FROM documents),
+p AS (SELECT doc_id, CASE WHEN length(text) <= 500 THEN [text] WHEN len(units) <= 1 THEN {HARD.format("text")} ELSE units END AS units, length(text) <= 500 OR len(units) <= 1 AS done FROM q),
+{_fold_sql("units", f"CASE WHEN done THEN {{parts: list_append(s.parts, x.cur), cur: ''}} WHEN length(x.cur) > 500 THEN {{parts: list_concat({CLOSED}, {HARD.format('x.cur')}), cur: ''}} WHEN length({MORE}) <= 500 THEN {{parts: s.parts, cur: {MORE}}} ELSE {{parts: {CLOSED}, cur: x.cur}} END")},
+e AS (SELECT doc_id, CASE WHEN done THEN s.parts ELSE list_filter(list_transform(list_append(s.parts, s.cur), {STRIP}), lambda x: x <> '') END AS parts FROM f JOIN (SELECT doc_id, done FROM p) USING (doc_id)),
+u AS (SELECT doc_id, unnest(range(len(parts))) AS part, unnest(parts) AS text FROM e)
+SELECT doc_id, CAST(part AS INT) AS part, CAST(length(text) AS INT) AS n_chars, sha256(text) AS text_sha256 FROM u"""
+
+
+@query(PARAGRAPHS)
 def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(documents(spark, sf_dir), fn.packed_paragraphs(F.col("text"), 500))
 
 
-@query()
+@query(SENTENCES)
 def chunk_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(documents(spark, sf_dir), fn.packed_sentences(F.col("text"), 500))
 
