@@ -1,6 +1,6 @@
 """Byte-level BPE: ranked merges folded over the distinct words of the corpus, and decoding by concatenating binary pieces.
 
-A text is cut into words by the vocabulary's pattern. Each Arrow batch of documents (64 MB at most) becomes one row, a block, that holds its distinct
+A text is cut into words by the vocabulary's pattern. Each run of BLOCK_ROWS documents becomes one row, a block, that holds its distinct
 words and, per document, the numbers of its words. Words that are a piece as a whole get their id at once. All others leave their blocks as rows
 (word, block, number), meet by word, and each is folded once for the corpus (once for every GROUP_BLOCKS blocks, so that a word of all blocks is no hot
 group). The ids then go back to the blocks, which lie in buckets by their number: documents and their codes are not shuffled.
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkmere.llm.common import saved_in_buckets, tokenizer_path
+from sparkmere.llm.common import arrow_rows, saved_in_buckets, tokenizer_path
 
 BUCKETS = 32768  # a power of two
 NO_RANK = 2**31 - 1
@@ -38,6 +38,8 @@ UNICODE_FLAG = "(?U)"
 #: A word is folded once for so many blocks at most.
 GROUP_BLOCKS = 4096
 LONG_BYTES = 2048
+#: A block's rows or words, whichever come first, and the rows that reach it at a time.
+BLOCK_ROWS, BLOCK_WORDS, ARROW_ROWS = 10_000, 16_000_000, 2_000
 #: Documents that leave a block together.
 ROWS = 1024
 #: Numbers that are worked on at a time.
@@ -148,14 +150,17 @@ def _lists(values: pa.Array, ends=None) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)] if ends is None else ends, pa.int32()), values)
 
 
-def _numbers(numbers: np.ndarray, places: np.ndarray | None = None) -> bytes:
+def _numbers(numbers: np.ndarray, places: list[np.ndarray] | None = None) -> bytes:
     """numbers below 2^32, or those at places, as four planes of bytes, compressed: most upper bytes are zero. Worked out in parts, to hold little at a time."""
     sink = pa.BufferOutputStream()
     with pa.CompressedOutputStream(sink, "zstd") as out:
         for k in range(4):
             plane = (numbers >> (8 * k)).astype(np.uint8)
-            for low in range(0, len(plane) if places is None else len(places), PART):
-                out.write((plane[low : low + PART] if places is None else plane[places[low : low + PART]]).tobytes())
+            if places is None:
+                out.write(plane.tobytes())
+            for own in places or []:
+                for low in range(0, len(own), PART):
+                    out.write(plane[own[low : low + PART]].tobytes())
     return sink.getvalue().to_pybytes()
 
 
@@ -175,34 +180,47 @@ def _of_planes(planes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def _gathered(batches):
+    """(doc_ids, counts, words as a dictionary array) of runs of batches, of BLOCK_ROWS rows or BLOCK_WORDS words or a little more."""
+    ids, counts, coded, rows, words = [], [], [], 0, 0
+    for batch in batches:
+        own = batch.column(1)
+        ids.append(batch.column(0).cast(pa.int64()))
+        counts.append(pa.compute.fill_null(pa.compute.list_value_length(own), 0).cast(pa.int32()))
+        coded.append(own.flatten().dictionary_encode())
+        rows, words = rows + batch.num_rows, words + len(coded[-1])
+        if rows >= BLOCK_ROWS or words >= BLOCK_WORDS:
+            yield pa.concat_arrays(ids), pa.concat_arrays(counts), pa.chunked_array(coded).unify_dictionaries()
+            ids, counts, coded, rows, words = [], [], [], 0, 0
+    if ids:
+        yield pa.concat_arrays(ids), pa.concat_arrays(counts), pa.chunked_array(coded).unify_dictionaries()
+
+
 def _blocks(held):
-    """One row for each batch: its documents as numbers into its distinct words, the most frequent word first, so that numbers are small."""
+    """One row for each run of batches: its documents as numbers into its distinct words, the most frequent word first, so that numbers are small."""
 
     def run(batches):
         pieces, ranks = pa.array(held.value, pa.binary()), None
         task = TaskContext.get().partitionId()
-        for k, batch in enumerate(batches):
-            words = batch.column(1)
-            coded = words.flatten().dictionary_encode()
-            distinct = coded.dictionary.cast(pa.binary())
-            counts = pa.compute.fill_null(pa.compute.list_value_length(words), 0)
-            indices = coded.indices.to_numpy()
-            times = _times(indices, len(distinct))
+        for k, (ids, counts, coded) in enumerate(_gathered(batches)):
+            distinct = coded.chunk(0).dictionary.cast(pa.binary())
+            parts = [c.indices.to_numpy() for c in coded.chunks]
+            times = sum(_times(part, len(distinct)) for part in parts)
             order = pa.compute.sort_indices(pa.table({"times": times, "word": distinct}), sort_keys=[("times", "descending"), ("word", "ascending")])
             distinct = distinct.take(order)
             number = np.empty(len(order), np.uint32)
             number[order.to_numpy()] = np.arange(len(order))
-            codes = _numbers(number, indices)
+            codes = _numbers(number, parts)
             whole = pa.compute.fill_null(pa.compute.index_in(distinct, value_set=pieces), -1).to_numpy()
             long = np.flatnonzero((pa.compute.binary_length(distinct).to_numpy() > LONG_BYTES) & (whole < 0))
             if len(long) and ranks is None:
                 ranks = {piece: rank for rank, piece in enumerate(held.value) if piece is not None}
             done = np.union1d(np.flatnonzero(whole >= 0), long)
-            ids = [[int(whole[j])] if whole[j] >= 0 else merged(distinct[int(j)].as_py(), ranks) for j in done]
+            done_ids = [[int(whole[j])] if whole[j] >= 0 else merged(distinct[int(j)].as_py(), ranks) for j in done]
             rest = np.ones(len(distinct), bool)
             rest[done] = False
-            row = [pa.array([task << 33 | k], pa.int64()), _lists(batch.column(0).cast(pa.int64())), _lists(counts.cast(pa.int32())), pa.array([codes], pa.binary())]
-            row += [_lists(pa.array(done, pa.int32())), _lists(pa.array(ids, pa.list_(pa.int32()))), pa.array([len(distinct)], pa.int32()), _lists(distinct.filter(pa.array(rest)).cast(pa.string()))]
+            row = [pa.array([task << 33 | k], pa.int64()), _lists(ids), _lists(counts), pa.array([codes], pa.binary())]
+            row += [_lists(pa.array(done, pa.int32())), _lists(pa.array(done_ids, pa.list_(pa.int32()))), pa.array([len(distinct)], pa.int32()), _lists(distinct.filter(pa.array(rest)).cast(pa.string()))]
             yield pa.RecordBatch.from_arrays(row, names=["block", "ids", "counts", "codes", "done", "done_ids", "n_words", "words"])
 
     return run
@@ -290,7 +308,8 @@ def _binary(held) -> pa.Array:
 
 def _encoded(docs: DataFrame, vocabulary: Vocabulary, held, finish, schema: str) -> DataFrame:
     words = docs.select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(vocabulary.pattern), F.lit(0)).alias("words"))
-    blocks = saved_in_buckets(words.mapInArrow(_blocks(held), BLOCK), "block")
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):  # the words of a batch lie in memory of the JVM and of Python
+        blocks = saved_in_buckets(words.mapInArrow(_blocks(held), BLOCK), "block")
     group = F.pmod(F.xxhash64("block"), F.lit(-(-blocks.count() // GROUP_BLOCKS) or 1)).alias("group")
     rows = blocks.select(F.posexplode("words").alias("place", "word"), "block", group).repartition("word", "group")
     each = rows.groupBy("word", "group").agg(F.collect_list(F.struct("block", "place")).alias("places"))
