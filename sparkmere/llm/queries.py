@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkmere.llm import ann, bpe, chat, exact_dedup, language_id, line_templates, mixing, near_dedup, secret_scan, sharding
+from sparkmere.llm import ann, bpe, chat, decontamination, exact_dedup, importance, language_id, line_templates, mixing, near_dedup, secret_scan, sharding, spelling
 from sparkmere.llm.common import documents
 
 
@@ -48,7 +48,25 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op3_mixing, op4_chat_formatting, op5_near_dedup, op6_secrets, op7_nearest, op8_language, op9_line_dedup, op10_bpe)}
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampling_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sharding, op2_exact_dedup, op3_mixing, op4_chat_formatting, op5_near_dedup, op6_secrets, op7_nearest, op8_language, op9_line_dedup, op10_bpe,
+        op11_decontamination, op12_spelling, op13_importance,
+    )
+}
 
 ORACLES = {
     "op2_exact_dedup": r"""
