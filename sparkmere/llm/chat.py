@@ -5,10 +5,11 @@ assistant says, with the end mark, is what a model learns from. System turns bel
 
 A rendered dialogue is a set of rows, one per turn: its piece, its place from ``start`` to ``end`` (code points) in the whole rendering, and
 the span of the loss mask. Joining the pieces in order of ``seq`` gives the whole; nothing gathers a conversation in one
-task. Places are running sums, taken within chunks of CHUNK turn numbers and then over chunks, so a very long conversation is spread too.
+task. Places are running sums, taken within chunks of 2^CHUNK_BITS turn numbers and then over chunks, so a very long conversation is spread too.
 
 Cases: null texts are empty; a null role is the speaker ``unknown``; turns with equal numbers follow in order of role and text, null turns come
-first; repeated rows are repeated turns; conversations of system turns only give no rows; conv_id null is a conversation; marks inside texts are broken up.
+first; repeated rows are repeated turns; conversations of system turns only give no rows; conv_id null is a conversation; marks inside texts and roles are
+broken up, and line breaks of a role are spaces in its head, so that neither can pass for a turn.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 64
+CHUNK_BITS = 6
 SYSTEM = "system"
 
 
@@ -25,20 +26,21 @@ def rotate(turns: DataFrame) -> DataFrame:
     role = F.coalesce("role", F.lit("unknown"))
     text = F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |"))
     turns = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
-    turns = turns.withColumn("chunk", F.coalesce(F.expr(f"turn div {CHUNK}"), F.lit(-1).cast("long")))
+    turns = turns.withColumn("chunk", F.shiftright(F.col("turn").cast("long"), CHUNK_BITS))  # rounds down, so that turns below 0 are in order; null comes first
     speakers = turns.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("conv"), F.col("role").alias("speaker")).distinct()
     told = turns.join(speakers, F.col("conv_id").eqNullSafe(F.col("conv"))).drop("conv")
     own = F.col("role") == F.col("speaker")
-    head = F.when(F.col("role") == SYSTEM, F.lit("<|im_start|>system\n")).when(own, F.lit("<|im_start|>assistant\n")).otherwise(F.concat(F.lit("<|im_start|>user name="), "role", F.lit("\n")))
+    named = F.replace(F.translate("role", "\n\r", "  "), F.lit("<|"), F.lit("< |"))
+    head = F.when(F.col("role") == SYSTEM, F.lit("<|im_start|>system\n")).when(own, F.lit("<|im_start|>assistant\n")).otherwise(F.concat(F.lit("<|im_start|>user name="), named, F.lit("\n")))
     told = told.withColumns({"head": head, "is_loss": own})
     told = told.withColumn("piece", F.concat("head", "text", F.lit("<|im_end|>\n"))).withColumn("long", F.length("piece").cast("long"))
     dialogue = ["conv_id", "speaker"]
     within = Window.partitionBy(*dialogue, "chunk").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    over = Window.partitionBy(*dialogue).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(*dialogue).orderBy(F.asc_nulls_first("chunk")).rowsBetween(Window.unboundedPreceding, -1)
     chunks = told.groupBy(*dialogue, "chunk").agg(F.sum("long").alias("n"), F.count(F.lit(1)).alias("m"))
     chunks = chunks.select(*(F.col(c).alias(f"c_{c}") for c in (*dialogue, "chunk")), F.coalesce(F.sum("n").over(over), F.lit(0)).alias("chars"), F.coalesce(F.sum("m").over(over), F.lit(0)).alias("rows"))
     told = told.withColumns({"to": F.sum("long").over(within.rowsBetween(Window.unboundedPreceding, 0)), "k": F.row_number().over(within)})
-    told = told.join(chunks, F.col("conv_id").eqNullSafe(F.col("c_conv_id")) & (F.col("speaker") == F.col("c_speaker")) & (F.col("chunk") == F.col("c_chunk")))
+    told = told.join(chunks, F.col("conv_id").eqNullSafe(F.col("c_conv_id")) & (F.col("speaker") == F.col("c_speaker")) & F.col("chunk").eqNullSafe(F.col("c_chunk")))
     start = F.col("chars") + F.col("to") - F.col("long")
     return told.select(
         "conv_id", "speaker", (F.col("rows") + F.col("k") - 1).cast("long").alias("seq"), "turn", "role", "piece", "is_loss", start.alias("start"), (F.col("chars") + F.col("to")).alias("end"),
@@ -53,7 +55,7 @@ speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> '
 told AS (
   SELECT t.conv_id, s.speaker, t.turn, t.role, t.text, t.role = s.speaker AS is_loss,
          CASE WHEN t.role = 'system' THEN '<|im_start|>system' || chr(10) WHEN t.role = s.speaker THEN '<|im_start|>assistant' || chr(10)
-              ELSE '<|im_start|>user name=' || t.role || chr(10) END AS head
+              ELSE '<|im_start|>user name=' || replace(translate(t.role, chr(10) || chr(13), '  '), '<|', '< |') || chr(10) END AS head
   FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
 pieces AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS piece FROM told),
 placed AS (

@@ -23,7 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkmere.llm.common import free_names, saved, word_count
@@ -126,11 +126,18 @@ def _extra(dealt: DataFrame, blocks: DataFrame, wanted: dict[int, float]) -> tup
     return whole, single, last
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, shards: int = SHARDS, seed: int = 7) -> DataFrame:
-    """doc_id, hash, size, source_size, target, copies, taken, shards: the decision about every row."""
+def whole_hash(docs: DataFrame, seed: int) -> Column:
+    """A hash of all columns of a row."""
+    maps = {f.name for f in docs.schema.fields if "map<" in f.dataType.simpleString()}  # which can't be hashed themselves
+    parts = [F.to_json(F.struct(F.col(f"`{c}`"))) if c in maps else F.col(f"`{c}`") for c in docs.columns]
+    return F.xxhash64(F.lit(seed), *parts)
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, shards: int = SHARDS, seed: int = 7, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, hash, size, source_size, target, copies, taken, shards and the columns keep: the decision about every row."""
     spark = docs.sparkSession
     mixed = F.xxhash64(F.lit(seed), "doc_id", "text")
-    rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), mixed.alias("hash")))
+    rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), mixed.alias("hash"), *(F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep))))
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()  # a row for each source
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [int(r["size"]) for r in found]
@@ -158,7 +165,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, shards: int = SHARD
     number = F.transform(F.sequence(F.lit(0), F.col("whole")), lambda i: i * F.col("n") + F.col("place") - 1)
     shard_of = F.slice(F.transform(number, lambda x: F.size(F.filter("ends", lambda e: e <= x))), F.lit(1), F.col("copies"))
     every = every.withColumn("copies", copies).withColumn("shards", shard_of)
-    return every.select("doc_id", "hash", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "shards")
+    return every.select("doc_id", "hash", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "shards", *(F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)))
 
 
 def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 7) -> DataFrame:
@@ -166,16 +173,23 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 7) -> Dat
 
     Documents that the mix doesn't reach, and documents without words of a source that is taken in part, are left out.
     """
-    own, key, hash_, shard, part, n = free_names(docs, "own", "key", "hash", "shard", "part", "n")
-    decided = saved(mix(docs, shards=shards, seed=seed).select(F.col("doc_id").alias(key), F.col("hash").alias(hash_), "shards"))
-    marked = docs.withColumn(own, F.xxhash64(F.lit(seed), "doc_id", "text"))
-    repeated = saved(decided.groupBy(key, hash_).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1).select(key, hash_))
-    if not repeated.isEmpty():  # one row stands for all that are equal; their decisions are added up below
-        match = marked["doc_id"].eqNullSafe(repeated[key]) & (marked[own] == repeated[hash_])
-        marked = marked.join(repeated, match, "left_anti").unionByName(marked.join(repeated, match, "left_semi").dropDuplicates(["doc_id", own]))
-    draws = saved(decided.select(key, hash_, F.explode("shards").alias(shard)).groupBy(key, hash_, shard).agg(F.count(F.lit(1)).alias(n)))
+    own, whole, key, hash_, shard, part, n = free_names(docs, "own", "whole", "key", "hash_", "shard", "part", "n")
+    marked = docs.withColumn(whole, whole_hash(docs, seed))
+    decided = mix(marked, shards=shards, seed=seed, keep=[whole]).select(F.col("doc_id").alias(key), F.col("hash").alias(hash_), F.col(whole).alias(f"{whole}_"), "shards")
+    decided = saved(decided)
+    keys = [key, hash_, f"{whole}_"]
+    marked = marked.withColumn(own, F.xxhash64(F.lit(seed), "doc_id", "text"))
+
+    def match(other: DataFrame) -> Column:
+        return marked["doc_id"].eqNullSafe(other[key]) & (marked[own] == other[hash_]) & (marked[whole] == other[f"{whole}_"])
+
+    repeated = saved(decided.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1).select(*keys))
+    if not repeated.isEmpty():  # of rows that are equal in every column one stands for all; their decisions are added up below
+        once = marked.join(repeated, match(repeated), "left_semi").dropDuplicates(["doc_id", own, whole])
+        marked = marked.join(repeated, match(repeated), "left_anti").unionByName(once)
+    draws = saved(decided.select(*keys, F.explode("shards").alias(shard)).groupBy(*keys, shard).agg(F.count(F.lit(1)).alias(n)))
     parts = max(1, -(-draws.count() // (shards * PART_ROWS)))
-    taken = marked.join(draws, marked["doc_id"].eqNullSafe(draws[key]) & (marked[own] == draws[hash_]))
+    taken = marked.join(draws, match(draws))
     dealt = taken.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), n))).withColumn(part, F.pmod(hash_, F.lit(parts))).repartition(shard, part)
     return dealt.sortWithinPartitions(shard, hash_).select(*(f"`{c}`" for c in docs.columns))
 

@@ -36,7 +36,7 @@ REPLACED, SHORTENED, WHOLE = 0, 1, 2
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = np.uint64(pow(BASE, -1, 1 << 64))
 #: Keys that are sorted in one part, about.
-PART_KEYS = 4_000_000
+PART_KEYS = 1_000_000
 LETTERS = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 #: Runs beyond this many bytes have their checksums worked out one by one.
 LONG = 64
@@ -164,11 +164,12 @@ def _shared(batches):
 def near_words(words: DataFrame, keyed=_keyed) -> DataFrame:
     """word, n, n_near, best (struct of -n and word of the best near word, or null) of every row of distinct words (word, n)."""
     numbered = saved(words.select(F.monotonically_increasing_id().alias("id"), "word", "n"))
-    keys = 3 * (numbered.agg(F.sum(F.length("word"))).head()[0] or 0)
-    bits = max(1, (keys // PART_KEYS).bit_length())
+    keys = 2 * (numbered.agg(F.sum(F.length("word"))).head()[0] or 0)
+    parts = 1 << max(3, (keys // PART_KEYS).bit_length())
     slim = "key long, id long, place int, kind byte"
-    dealt = numbered.select("id", "word").mapInArrow(keyed, slim).repartition(F.shiftrightunsigned("key", 64 - bits)).sortWithinPartitions("key")
-    shared = dealt.mapInArrow(_shared, slim).join(numbered, "id")
+    radix = F.shiftrightunsigned("key", 60 - parts.bit_length())  # some sixteen values a part, so that parts are of about one size
+    dealt = numbered.select("id", "word").mapInArrow(keyed, slim).repartition(parts, radix).sortWithinPartitions("key")
+    shared = saved(dealt.mapInArrow(_shared, slim)).join(numbered, "id")
     letters = F.col("word")
     rest = F.when(F.col("kind") == WHOLE, letters).otherwise(F.concat(F.substring(letters, F.lit(1), F.col("place")), F.substring(letters, F.col("place") + 2, F.length(letters))))
     shared = shared.select("key", "id", F.when(F.col("kind") == REPLACED, F.col("place")).otherwise(F.lit(-1)).alias("place"), (F.col("kind") == WHOLE).alias("whole"), rest.alias("rest"), F.struct((-F.col("n")).alias("less"), "word").alias("own"))

@@ -171,6 +171,17 @@ def test_mixed_rows_repeat_as_decided(spark):
     assert out.where("doc_id = 1").count() == copies[1, 3]
 
 
+def test_mixed_rows_keep_their_source(spark):
+    """Rows of one doc_id and text, but of other sources or languages, are rows of their own."""
+    rows = [(1, "a b c d", "s", "en", {"k": 1}), (1, "a b c d", "t", "fr", {"k": 2}), (1, "a b c d", "t", "en", None)] + [(k, "e f g h", "st"[k % 2], "en", None) for k in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, more map<string, int>")
+    decided = mixing.mix(docs.withColumn("own", mixing.whole_hash(docs, 7)), keep=["own"])
+    want = {r.own: r.copies for r in decided.collect() if r.copies}
+    out = mixing.mixed_documents(docs)
+    got = collections.Counter(r.own for r in out.withColumn("own", mixing.whole_hash(out, 7)).collect())
+    assert got == want and out.columns == docs.columns
+
+
 def test_bloom_filter_in_rounds(spark, corpus, monkeypatch):
     monkeypatch.setattr(exact_dedup, "MOST_CELLS", exact_dedup.RANGE)
     monkeypatch.setattr(exact_dedup, "CELLS_PER_ROW", 4096)
