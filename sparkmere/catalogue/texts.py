@@ -14,13 +14,21 @@ SINGULAR = """CASE WHEN length(t) > 4 AND t LIKE '%ies' THEN left(t, length(t) -
   WHEN length(t) > 3 AND t LIKE '%s' AND t NOT LIKE '%ss' THEN left(t, length(t) - 1) ELSE t END"""
 KIND = """CASE WHEN regexp_matches(t, '^[0-9]+$') THEN NULL
   WHEN length(regexp_replace(t, '[-_]', '', 'g')) >= 4 AND regexp_matches(t, '[a-z]') AND regexp_matches(t, '[0-9]') THEN 'model'
-  WHEN regexp_matches(t, '^[a-z]{1,4}[- ]?[0-9]{1,5}[a-z0-9]*$') THEN 'exact_code'
+  WHEN regexp_matches(t, '^[a-z]{1,4}[- ]?[0-9]{1,5}[a-z0-9]*$') OR regexp_matches(regexp_replace(t, '[-_]', '', 'g'), '^[a-z]{1,4}[- ]?[0-9]{1,5}[a-z0-9]*$') THEN 'exact_code'
   WHEN length(t) >= 2 AND t NOT IN ('a','an','and','for','if','in','is','of','on','or','the','to','with') THEN 'ordinary' END"""
-TERMS = f"""
+TERMS = rf"""
 qt AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), {RE}))) AS t FROM benchmark),
-qk AS (SELECT DISTINCT query_id, CASE WHEN kind = 'ordinary' THEN {SINGULAR} ELSE t END AS term, kind FROM (SELECT *, {KIND} AS kind FROM qt) WHERE kind IS NOT NULL),
+qn AS (SELECT query_id, t, {KIND} AS kind FROM qt),
+qs AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '\b[a-z]{{1,4}}\s+[0-9]{{1,5}}[a-z0-9]*\b')) AS t FROM benchmark),
+qr AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[㐀-鿿]{{2,}}')) AS t FROM benchmark),
+qg AS (SELECT query_id, t FROM qr UNION ALL SELECT query_id, substr(t, i, 2) FROM qr, generate_series(1, 400) g(i) WHERE i < length(t)
+  UNION ALL SELECT query_id, substr(t, i, 3) FROM qr, generate_series(1, 400) g(i) WHERE i + 1 < length(t)),
+qk AS (SELECT query_id, t AS term, kind FROM qn WHERE kind IS NOT NULL UNION SELECT query_id, regexp_replace(t, '[-_]', '', 'g'), kind FROM qn WHERE kind IN ('exact_code', 'model')
+  UNION SELECT query_id, t, 'exact_code' FROM qs UNION SELECT query_id, regexp_replace(t, '\s+', '', 'g'), 'exact_code' FROM qs
+  UNION SELECT query_id, t, 'cjk' FROM qg WHERE t NOT IN ({", ".join(f"'{t}'" for t in fn.CJK_STOP_TERMS)})),
 docs AS (SELECT doc_id AS node_id, split_part(text, chr(10), 1) AS heading, text AS body, source || ' ' || lang AS identity FROM documents)
 """
+FIELD_COLUMNS = {"heading": "heading", "body": "body", "identity": "identity"}
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,38 +46,42 @@ def lexical_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FIELDS = f"""
-ft AS (SELECT node_id, field, unnest(list_distinct(regexp_extract_all(lower(x), {RE}))) AS t FROM (UNPIVOT docs ON heading, body, identity INTO NAME field VALUE x)),
-fb AS (SELECT DISTINCT node_id, field, term FROM (SELECT node_id, field, t AS term FROM ft UNION ALL SELECT node_id, field, {SINGULAR} FROM ft)),
-hits AS (SELECT query_id, node_id, field, sum(CASE WHEN kind = 'exact_code' THEN 1 ELSE 0 END) AS codes, sum(CASE WHEN kind = 'model' THEN 1 ELSE 0 END) AS models,
-  sum(CASE WHEN kind = 'ordinary' THEN 1 ELSE 0 END) AS n FROM fb JOIN qk USING (term) GROUP BY ALL),
+ft AS (SELECT node_id, field, lower(x) AS x FROM (UNPIVOT docs ON heading, body, identity INTO NAME field VALUE x)),
+fw AS (SELECT DISTINCT node_id, field, {SINGULAR} AS one FROM (SELECT node_id, field, unnest(list_distinct(regexp_extract_all(x, {RE}))) AS t FROM ft WHERE field <> 'identity')),
+tt AS (SELECT DISTINCT term, term AS t, kind FROM qk WHERE kind IN ('ordinary', 'cjk')),
+th AS (SELECT node_id, field, term FROM ft, tt WHERE field <> 'identity' AND contains(x, term)
+  UNION SELECT node_id, field, term FROM fw JOIN (SELECT term, {SINGULAR} AS one FROM tt WHERE kind = 'ordinary') USING (one)),
+qc AS (SELECT DISTINCT query_id, kind, regexp_replace(term, '[^a-z0-9㐀-鿿]+', '', 'g') AS term FROM qk WHERE kind IN ('exact_code', 'model')),
+tc AS (SELECT node_id, field, term FROM (SELECT node_id, field, regexp_replace(x, '[^a-z0-9㐀-鿿]+', '', 'g') AS x FROM ft WHERE field <> 'body'), (SELECT DISTINCT term FROM qc) WHERE contains(x, term)),
+hits AS (SELECT query_id, node_id, field, count(*) FILTER (kind = 'exact_code') AS codes, count(*) FILTER (kind = 'model') AS models, count(*) FILTER (kind = 'term') AS n
+  FROM (SELECT DISTINCT query_id, node_id, field, 'term' AS kind, term FROM th JOIN (SELECT query_id, term FROM qk WHERE kind IN ('ordinary', 'cjk')) USING (term)
+    UNION ALL SELECT query_id, node_id, field, kind, term FROM tc JOIN qc USING (term)) GROUP BY ALL),
 fs AS (SELECT *, CASE field WHEN 'heading' THEN 1.0 WHEN 'body' THEN 0.9 ELSE 0.85 END::DOUBLE * (CASE WHEN codes > 0 THEN 0.15 ELSE 0 END + CASE WHEN models > 0 THEN 0.12 ELSE 0 END
-  + CASE WHEN field <> 'identity' THEN 0.2 * least(n, 4) ELSE 0 END)::DOUBLE AS score FROM hits),
+  + 0.2 * least(n, 4))::DOUBLE AS score FROM hits),
 sc AS (SELECT query_id, node_id, round(least(1.6, sum(score)), 6) AS score FROM fs GROUP BY ALL HAVING sum(score) > 0)
 """
 
 
-@query(f"WITH {TERMS}, {FIELDS} SELECT query_id, node_id, field, CAST(codes AS BIGINT) AS codes, CAST(models AS BIGINT) AS models, CAST(n AS BIGINT) AS hits FROM hits")
+@query(f"WITH {TERMS}, {FIELDS} SELECT query_id, node_id, field, codes, models, n AS hits FROM hits")
 def lexical_term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = lexical.query_terms(queries(spark, sf_dir))
-    hits = lexical.node_terms(chunks(spark, sf_dir), {"heading": "heading", "body": "body", "identity": "identity"}, terms).join(terms, "term")
-    return hits.groupBy("query_id", "node_id", "field").agg(*(F.sum((F.col("kind") == k).cast("int")).alias(n) for k, n in (("exact_code", "codes"), ("model", "models"), ("ordinary", "hits"))))
+    return lexical.lexical_hits(queries(spark, sf_dir), chunks(spark, sf_dir), FIELD_COLUMNS)
 
 
 @query(f"WITH {TERMS}, {FIELDS} SELECT query_id, node_id, score, CAST(row_number() OVER w AS INT) AS rank FROM sc WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, node_id) QUALIFY row_number() OVER w <= 32")
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.lexical_topk(queries(spark, sf_dir), chunks(spark, sf_dir), {"heading": "heading", "body": "body", "identity": "identity"})
+    return lexical.lexical_topk(queries(spark, sf_dir), chunks(spark, sf_dir), FIELD_COLUMNS)
 
 
-@query()
+@query(f"WITH {TERMS} SELECT query_id, term, kind FROM qk WHERE kind IN ('exact_code', 'model') UNION ALL SELECT query_id, term, kind FROM qk WHERE kind NOT IN ('exact_code', 'model')")
 def lexical_full_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.full_query_terms(queries(spark, sf_dir))
+    return lexical.query_terms(queries(spark, sf_dir))
 
 
 @query()
 def lexical_full_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents stand for public web pages, whose bodies have compact windows."""
     nodes = chunks(spark, sf_dir).withColumn("web", F.lit(True))
-    return lexical.full_lexical_topk(queries(spark, sf_dir), nodes, {"heading": "heading", "body": "body", "identity": "identity"})
+    return lexical.full_lexical_topk(queries(spark, sf_dir), nodes, FIELD_COLUMNS)
 
 
 @query(f"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), {RE})) AS t FROM documents) SELECT t AS word, {SINGULAR} AS singular FROM w")

@@ -4,14 +4,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmere.catalogue import query
-from sparkmere.catalogue.texts import FIELDS, TERMS, chunks, queries
+from sparkmere.catalogue.texts import FIELD_COLUMNS, FIELDS, TERMS, chunks, queries
 from sparkmere.functions.vectors import dot, norm, settled
 from sparkmere.operators import graph, lexical, search
 from sparkmere.plans.saving import saved
 from sparkmere.sources.tables import nodes
 
 THRESHOLD = 0.2
-LEXICAL_FIELDS = {"heading": "heading", "body": "body", "identity": "identity"}
 
 EDGES = """
 n AS (SELECT vec_id AS node_id, embedding::DOUBLE[] AS v, label FROM embeddings),
@@ -154,7 +153,7 @@ def wave_lexical_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors and documents of one id are one node; a benchmark text is the text of the query of its id times 20. Nodes of label 1 are boosted."""
     own = nodes(spark, sf_dir)
     texts = chunks(spark, sf_dir).join(own.select("node_id"), "node_id", "left_semi")
-    found = lexical.lexical_topk(queries(spark, sf_dir), texts, LEXICAL_FIELDS)
+    found = lexical.lexical_topk(queries(spark, sf_dir), texts, FIELD_COLUMNS)
     found = found.select((F.col("query_id") * 20).alias("query_id"), "node_id", "score")
     pairs = found.join(asked(spark, sf_dir).withColumnRenamed("vector", "asked"), "query_id").join(own.select("node_id", "vector"), "node_id")
     lexed = saved(pairs.select("query_id", "node_id", "score", dot(F.col("asked"), F.col("vector")).alias("sim")))

@@ -54,7 +54,7 @@ def token_class(token: Column) -> Column:
     return (
         F.when(token.rlike("^[0-9]+$"), F.lit(None))
         .when((F.length(flat) >= 4) & mixed, "model")
-        .when(token.rlike(CODE), "exact_code")
+        .when(token.rlike(CODE) | flat.rlike(CODE), "exact_code")
         .when((F.length(token) >= 2) & ~token.isin(*STOP_WORDS), "ordinary")
     )
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkmere.functions import text
-from sparkmere.operators import evaluate, evidence, graph, lexical, pyramid, rerank, search, tags
+from sparkmere.operators import evaluate, evidence, grams, graph, lexical, pyramid, rerank, search, tags
 from sparkmere.plans import log
 from sparkmere.sources import parsers
 from sparkmere.streaming.windows import windowed
@@ -120,12 +120,6 @@ def test_cjk_terms(spark):
     assert row.k == ["机器人", "机器", "器人"]
 
 
-def test_proximity(spark):
-    texts = spark.createDataFrame([(1, "clean the water tank now"), (2, "tank clean")], "node_id long, text string")
-    terms = spark.createDataFrame([(9, 0, "clean"), (9, 1, "tank")], "query_id long, at int, term string")
-    assert values(lexical.proximity_pairs(texts, terms)) == [(9, 1, 1)]
-
-
 def one_singular(w):
     if len(w) > 4 and w.endswith("ies"):
         return w[:-3] + "y"
@@ -134,52 +128,110 @@ def one_singular(w):
     return w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w
 
 
-def full_score(query, heading, body, identity, web, boost=0.2):
-    """The lexical score of one node, field by field."""
-    kinds, ordered = {"code": set(), "model": set(), "term": set()}, []
-    for t in re.findall(text.TOKEN, query.lower()):
-        flat = re.sub("[-_]", "", t)
+def compacted(value):
+    return re.sub("[^a-z0-9\u3400-\u9fff]+", "", value.lower())
+
+
+def terms_of(query):
+    """(codes, models, ordinary terms, CJK terms, ordinary terms in order) of a question."""
+    low, codes, models, ordered = query.strip().lower(), set(), set(), []
+    for raw in re.findall(r"\b[a-z]{1,4}\s+\d{1,5}[a-z0-9]*\b", low):
+        codes |= {raw, compacted(raw)}
+    for t in re.findall(text.TOKEN, low):
+        flat = compacted(t)
         if t.isdigit():
             continue
         if len(flat) >= 4 and re.search("[a-z]", flat) and re.search("[0-9]", flat):
-            kinds["model"].add(t)
-        elif re.search(text.CODE, t):
-            kinds["code"].add(t)
+            models |= {t, flat}
+        elif re.search(text.CODE, t) or re.search(text.CODE, flat):
+            codes |= {t, flat}
         elif len(t) >= 2 and t not in text.STOP_WORDS:
-            kinds["term"].add(one_singular(t))
             ordered.append(t)
-    runs = [r for r in re.findall(text.CJK, query) if len(r) >= 2]
+    runs = [r for r in re.findall(text.CJK, low) if len(r) >= 2]
     cjk = {*runs, *(r[k : k + n] for r in runs for n in (2, 3) for k in range(len(r) - n + 1))} - set(text.CJK_STOP_TERMS)
+    return codes, models, set(ordered), cjk, ordered
+
+
+def full_score(query, heading, body, identity, web, boost=0.2):
+    """The lexical score of one node, field by field, text by text."""
+    codes, models, ordinary, cjk, ordered = terms_of(query)
     score = ties = 0.0
     for name, weight, value in (("heading", 1.0, heading), ("body", 0.9, body), ("identity", 0.85, identity)):
-        words = re.findall(text.TOKEN, value.lower())
-        held = {*words, *map(one_singular, words)}
-        score += weight * (0.15 * bool(kinds["code"] & held) + 0.12 * bool(kinds["model"] & held))
-        hits = len(kinds["term"] & held) + sum(t in value.lower() for t in cjk)
+        low = value.lower()
+        words = re.findall(text.TOKEN, low)
+        if name != "body":
+            score += weight * (0.15 * any(c in low or compacted(c) in compacted(low) for c in codes) + 0.12 * any(m in low or compacted(m) in compacted(low) for m in models))
+        hits = sum(t in low or one_singular(t) in set(map(one_singular, words)) for t in ordinary) + sum(t in low for t in cjk)
         if name != "identity":
             score += boost * weight * min(4, hits)
         if name == "body":
-            pairs = sum(any(words[p] == a and b in words[p + 1 : p + 4] for p in range(len(words))) for a, b in zip(ordered, ordered[1:]))
-            windows = [len(set(ordered) & set(map(one_singular, words[p : p + 14]))) for p in range(len(words))]
-            compact = max(0, max(windows) - 2) if web and len(set(ordered)) >= 3 and len(words) >= 24 else 0
-            score += boost * weight * (0.5 * min(2, pairs) + 0.35 * min(2, compact))
-            ties = min(0.12 * boost, boost * (0.01 * min(8, hits) + 0.015 * min(4, compact)))
+            pairs = sum(bool(re.search(rf"\b{re.escape(a)}\b(?:\W+\w+){{0,2}}\W+\b{re.escape(b)}\b", low)) for a, b in zip(ordered, ordered[1:]))
+            score += boost * weight * 0.5 * min(2, pairs)
+            best, ones = 0, list(map(one_singular, words))
+            for p in range(len(ones)) if web and len(ordinary) >= 3 and len(ones) >= 24 else ():
+                best = max(best, len(ordinary & set(ones[p : p + 14])))
+                if best >= 5:
+                    break
+            compact = max(0, best - 2)
+            if web:
+                score += boost * weight * 0.35 * min(2, compact)
+                ties = min(0.12 * boost, boost * (0.01 * min(8, hits) + 0.015 * min(4, compact)))
     return round(min(score, 1.6) + ties, 5) if score > 0 else None
 
 
-def test_full_lexical_scores_by_brute_force(spark):
-    asked = [(1, "机器人清洁 洗衣机"), (2, "Clean the water tank filter"), (3, "E05 WM-8000 batteries 清洁"), (4, ""), (5, None), (6, "清洁机器人怎么充电池"), (7, "tank tank water")]
+def test_full_lexical_scores_by_brute_force(spark, monkeypatch):
+    asked = [
+        (1, "机器人清洁 洗衣机"), (2, "Clean the water tank filters"), (3, "E05 WM-8000 batteries 清洁"), (4, ""), (5, None), (6, "清洁机器人怎么充电池"), (7, "tank tank water tank"), (8, "error E 05 on wm 8000x"),
+        (9, "alpha beta gamma delta epsilon zeta eta theta"), (10, "a-7 x_9 wi-fi water_tank re-set now"),
+    ]
     pad = " pad" * 20
+    greek = "alpha beta gamma delta epsilon zeta eta theta"
     bodies = [
         "用清洁机器人清洁", "clean x y tank of water", "clean the water tank filter" + pad, "water" + pad + " clean tank filter", "WM-8000 battery e05 tank", "清洁机器人怎么充电池了 E05",
-        "洗衣机", "Clean filters" + pad + " clean water tank", "", "tank, tank: water 机器",
+        "洗衣机", "Clean filters" + pad + " clean water tank", "", "tank, tank: water 机器", "see e05 wm-8000", "cleaner watertanks prefilter", greek + pad, pad + " " + greek, "alpha beta" + pad + " gamma alpha delta epsilon beta alpha zeta eta",
+        "re-set wi-fi, now: water_tank é wi-fi " + pad, "x_9 a7 wi fi re set",
     ]
-    nodes = [(k, b.split(" ")[0], b, "web E05" if k % 2 else "wm-8000 机器", k % 3 != 1) for k, b in enumerate(bodies)]
+    heads = ["", "E05", "wm8000 x", "Error e-05 water", "Clean the water-tank", "WM 8000X filters", "x9 a-7"]
+    nodes = [(k, heads[k % 7], b, "web E05" if k % 2 else "wm-8000 机器 E 05", k % 3 != 1) for k, b in enumerate(bodies)]
+    nodes += [(100 + k, "", b * 3, None, True) for k, b in enumerate(bodies)]
     table = spark.createDataFrame(nodes, "node_id long, heading string, body string, identity string, web boolean")
-    found = lexical.full_lexical_scores(spark.createDataFrame(asked, "query_id long, text string"), table, {n: n for n in ("heading", "body", "identity")})
-    want = {(q, n[0]): full_score(t or "", *n[1:]) for q, t in asked for n in nodes}
-    assert {(r.query_id, r.node_id): round(r.score, 5) for r in found.collect()} == {k: v for k, v in want.items() if v is not None}
+    want = {(q, n[0]): full_score(t or "", *(x or "" for x in n[1:4]), n[4]) for q, t in asked for n in nodes}
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    for together, part in ((1024, 4096), (3, 5)):
+        monkeypatch.setattr(lexical, "QUERIES", together)
+        monkeypatch.setattr(lexical, "PART", part)
+        found = lexical.full_lexical_scores(queries, table, {n: n for n in ("heading", "body", "identity")})
+        assert {(r.query_id, r.node_id): round(r.score, 5) for r in found.collect()} == {k: v for k, v in want.items() if v is not None}
     assert want[1, 0] and want[6, 5]
+    best = lexical.full_lexical_topk(queries, table, {n: n for n in ("heading", "body", "identity")}, 3).collect()
+    for q, _ in asked:
+        order = sorted(((-v, n) for (k, n), v in want.items() if k == q and v is not None))[:3]
+        assert [(r.rank, r.node_id) for r in sorted(best, key=lambda r: r.rank) if r.query_id == q] == [(k + 1, n) for k, (_, n) in enumerate(order)]
+
+
+def test_windows_word_by_word():
+    rng = np.random.default_rng(3)
+    for n in (10, 24, 60, 300):
+        for _ in range(30):
+            chunk = lexical.Asked([], [{"query_id": k, "terms": [f"w{j}" for j in rng.choice(12, rng.integers(1, 9), replace=False)]} for k in range(6)])
+            words = [f"w{j}" for j in rng.integers(0, 40, n)]
+            places, numbers, count, _ = chunk.body(" ".join(words))
+            found = chunk.windows(np.array(places, np.int64), np.array(numbers, np.int64), count)
+            for k, own in enumerate(chunk.window.T):
+                terms, best = {t for t, j in chunk.words.items() if own[j]}, 0
+                for p in range(n if n >= 24 and len(terms) >= 3 else 0):
+                    best = max(best, len(terms & set(words[p : p + 14])))
+                    if best >= 5:
+                        break
+                assert found[k] == max(0, best - 2)
+
+
+def test_containing(spark):
+    rng = np.random.default_rng(5)
+    values = ["".join(rng.choice(list("abc-"), rng.integers(0, 12))) for _ in range(300)] + [None, "", "机器人清洁"]
+    terms = ["".join(rng.choice(list("abc-"), rng.integers(0, 6))) for _ in range(60)] + ["器人", "zzz", None, ""]
+    found = grams.containing(spark.createDataFrame([(v,) for v in values], "value string"), spark.createDataFrame(list(enumerate(terms)), "no int, term string"))
+    assert sorted((r.value, r.no) for r in found.collect()) == sorted((v, k) for v in {v for v in values if v} for k, t in enumerate(terms) if t and t in v)
 
 
 def test_limiter(spark):
