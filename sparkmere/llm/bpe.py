@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
 import json
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkmere.llm.common import arrow_rows, saved_in_buckets, tokenizer_path
+from sparkmere.llm.common import arrow_rows, saved_in_buckets, tokenizer_path, trimmed
 
 BUCKETS = 32768  # a power of two
 NO_RANK = 2**31 - 1
@@ -181,47 +182,75 @@ def _of_planes(planes: np.ndarray) -> np.ndarray:
 
 
 def _gathered(batches):
-    """(doc_ids, counts, words as a dictionary array) of runs of batches, of BLOCK_ROWS rows or BLOCK_WORDS words or a little more."""
+    """(doc_ids, counts, words as a dictionary array) of runs of batches, of BLOCK_ROWS rows or BLOCK_WORDS words or a little more.
+
+    doc_ids are copied: a slice of a batch would keep all of it, with its words, in memory.
+    """
     ids, counts, coded, rows, words = [], [], [], 0, 0
+
+    def taken():
+        found = pa.concat_arrays(ids), pa.concat_arrays(counts), pa.chunked_array(coded).unify_dictionaries()
+        for parts in (ids, counts, coded):
+            parts.clear()
+        return found
+
     for batch in batches:
-        own = batch.column(1)
-        ids.append(batch.column(0).cast(pa.int64()))
-        counts.append(pa.compute.fill_null(pa.compute.list_value_length(own), 0).cast(pa.int32()))
-        coded.append(own.flatten().dictionary_encode())
+        ids.append(pa.compute.add(batch.column(0).cast(pa.int64()), 0))
+        counts.append(pa.compute.fill_null(pa.compute.list_value_length(batch.column(1)), 0).cast(pa.int32()))
+        coded.append(batch.column(1).flatten().dictionary_encode())
         rows, words = rows + batch.num_rows, words + len(coded[-1])
+        del batch
         if rows >= BLOCK_ROWS or words >= BLOCK_WORDS:
-            yield pa.concat_arrays(ids), pa.concat_arrays(counts), pa.chunked_array(coded).unify_dictionaries()
-            ids, counts, coded, rows, words = [], [], [], 0, 0
+            yield taken()
+            rows = words = 0
     if ids:
-        yield pa.concat_arrays(ids), pa.concat_arrays(counts), pa.chunked_array(coded).unify_dictionaries()
+        yield taken()
+
+
+def _block(number_of_block: int, ids: pa.Array, counts: pa.Array, coded: pa.ChunkedArray, pieces: pa.Array, ranks_of) -> pa.RecordBatch:
+    """The row of one block: its documents as numbers into its distinct words, the most frequent word first, so that numbers are small."""
+    distinct = coded.chunk(0).dictionary.cast(pa.binary())
+    parts = [c.indices.to_numpy() for c in coded.chunks]
+    times = sum(_times(part, len(distinct)) for part in parts)
+    order = pa.compute.sort_indices(pa.table({"times": times, "word": distinct}), sort_keys=[("times", "descending"), ("word", "ascending")])
+    distinct = distinct.take(order)
+    number = np.empty(len(order), np.uint32)
+    number[order.to_numpy()] = np.arange(len(order))
+    codes = _numbers(number, parts)
+    del coded, parts, number
+    whole = pa.compute.fill_null(pa.compute.index_in(distinct, value_set=pieces), -1).to_numpy()
+    long = np.flatnonzero((pa.compute.binary_length(distinct).to_numpy() > LONG_BYTES) & (whole < 0))
+    done = np.union1d(np.flatnonzero(whole >= 0), long)
+    done_ids = [[int(whole[j])] if whole[j] >= 0 else merged(distinct[int(j)].as_py(), ranks_of()) for j in done]
+    rest = np.ones(len(distinct), bool)
+    rest[done] = False
+    row = [pa.array([number_of_block], pa.int64()), _lists(ids), _lists(counts), pa.array([codes], pa.binary())]
+    row += [_lists(pa.array(done, pa.int32())), _lists(pa.array(done_ids, pa.list_(pa.int32()))), pa.array([len(distinct)], pa.int32()), _lists(distinct.filter(pa.array(rest)).cast(pa.string()))]
+    return pa.RecordBatch.from_arrays(row, names=["block", "ids", "counts", "codes", "done", "done_ids", "n_words", "words"])
 
 
 def _blocks(held):
-    """One row for each run of batches: its documents as numbers into its distinct words, the most frequent word first, so that numbers are small."""
+    """One row for each run of batches."""
 
     def run(batches):
-        pieces, ranks = pa.array(held.value, pa.binary()), None
+        pieces, ranks = pa.array(held.value, pa.binary()), {}
         task = TaskContext.get().partitionId()
-        for k, (ids, counts, coded) in enumerate(_gathered(batches)):
-            distinct = coded.chunk(0).dictionary.cast(pa.binary())
-            parts = [c.indices.to_numpy() for c in coded.chunks]
-            times = sum(_times(part, len(distinct)) for part in parts)
-            order = pa.compute.sort_indices(pa.table({"times": times, "word": distinct}), sort_keys=[("times", "descending"), ("word", "ascending")])
-            distinct = distinct.take(order)
-            number = np.empty(len(order), np.uint32)
-            number[order.to_numpy()] = np.arange(len(order))
-            codes = _numbers(number, parts)
-            whole = pa.compute.fill_null(pa.compute.index_in(distinct, value_set=pieces), -1).to_numpy()
-            long = np.flatnonzero((pa.compute.binary_length(distinct).to_numpy() > LONG_BYTES) & (whole < 0))
-            if len(long) and ranks is None:
-                ranks = {piece: rank for rank, piece in enumerate(held.value) if piece is not None}
-            done = np.union1d(np.flatnonzero(whole >= 0), long)
-            done_ids = [[int(whole[j])] if whole[j] >= 0 else merged(distinct[int(j)].as_py(), ranks) for j in done]
-            rest = np.ones(len(distinct), bool)
-            rest[done] = False
-            row = [pa.array([task << 33 | k], pa.int64()), _lists(ids), _lists(counts), pa.array([codes], pa.binary())]
-            row += [_lists(pa.array(done, pa.int32())), _lists(pa.array(done_ids, pa.list_(pa.int32()))), pa.array([len(distinct)], pa.int32()), _lists(distinct.filter(pa.array(rest)).cast(pa.string()))]
-            yield pa.RecordBatch.from_arrays(row, names=["block", "ids", "counts", "codes", "done", "done_ids", "n_words", "words"])
+
+        def ranks_of() -> dict[bytes, int]:
+            if not ranks:
+                ranks.update((piece, rank) for rank, piece in enumerate(held.value) if piece is not None)
+            return ranks
+
+        gathered = _gathered(batches)
+        for k in itertools.count():
+            parts = next(gathered, None)  # not in a for loop, whose variables would keep a block until the next one is whole
+            if parts is None:
+                return
+            row = _block(task << 33 | k, *parts, pieces, ranks_of)
+            del parts
+            yield row
+            del row
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -309,12 +338,12 @@ def _binary(held) -> pa.Array:
 def _encoded(docs: DataFrame, vocabulary: Vocabulary, held, finish, schema: str) -> DataFrame:
     words = docs.select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(vocabulary.pattern), F.lit(0)).alias("words"))
     with arrow_rows(docs.sparkSession, ARROW_ROWS):  # the words of a batch lie in memory of the JVM and of Python
-        blocks = saved_in_buckets(words.mapInArrow(_blocks(held), BLOCK), "block")
+        blocks = saved_in_buckets(words.mapInArrow(trimmed(_blocks(held)), BLOCK), "block")
     group = F.pmod(F.xxhash64("block"), F.lit(-(-blocks.count() // GROUP_BLOCKS) or 1)).alias("group")
     rows = blocks.select(F.posexplode("words").alias("place", "word"), "block", group).repartition("word", "group")
     each = rows.groupBy("word", "group").agg(F.collect_list(F.struct("block", "place")).alias("places"))
     folded = each.select(vocabulary.encode_word(F.col("word")).alias("token_ids"), "places").select(F.explode("places").alias("at"), "token_ids")
-    packed = folded.select("at.block", "at.place", "token_ids").mapInArrow(_packed, "block long, n int, size int, packed binary")
+    packed = folded.select("at.block", "at.place", "token_ids").mapInArrow(trimmed(_packed), "block long, n int, size int, packed binary")
     return blocks.drop("words").groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(_documents(finish), schema)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,33 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
+def parts(batches, rows: int = 2000):
+    """Batches in slices of so many rows at most, so that what is made of a slice doesn't lie in memory for a whole batch."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
+def released() -> None:
+    """Give free memory of this process back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def trimmed(run):
+    """run, a function over batches, after which its worker gives memory back: workers live on, and stay as large as they were, while others need it."""
+
+    def trimming(*given):
+        try:
+            yield from run(*given)
+        finally:
+            released()
+
+    return trimming
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """Names for temporary columns that no column of df has, whatever its case."""
     taken, found = {c.lower() for c in df.columns}, []

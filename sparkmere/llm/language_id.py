@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from sparkmere.llm.common import free_names
+from sparkmere.llm.common import free_names, parts, trimmed
 
 UNITS = 8
 SAMPLE = 600
@@ -259,12 +259,12 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
 
     def run(batches):
         own = Network.of(held.value)
-        for batch in batches:
+        for batch in parts(batches):
             langs, scores = _labels(own, _lettered(batch, 2, 3))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     given = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", has_letter(F.col("text")).alias("letter"))
-    return given.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return given.mapInArrow(trimmed(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def language_report(docs: DataFrame) -> DataFrame:
@@ -285,13 +285,13 @@ def labelled_documents(docs: DataFrame, network: Network | None) -> tuple[DataFr
 
     def run(batches):
         own = Network.of(held.value)
-        for batch in batches:
+        for batch in parts(batches):
             last = batch.num_columns - 1
             langs, scores = _labels(own, _lettered(batch, text, last))
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:last], lang, score])
 
     schema = StructType([*docs.schema.fields, StructField(lang, StringType()), StructField(score, DoubleType())])
-    return docs.select("*", has_letter(F.col("text")).alias(letter)).mapInArrow(run, schema), lang, score
+    return docs.select("*", has_letter(F.col("text")).alias(letter)).mapInArrow(trimmed(run), schema), lang, score
 
 
 def recognised_documents(docs: DataFrame, network: Network | None = None) -> DataFrame:
