@@ -1,12 +1,13 @@
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkmere.catalogue import query
-from sparkmere.catalogue.texts import COVER, RE, chunks, coverage_topk, queries
+from sparkmere.catalogue.texts import COVER, FIELD_COLUMNS, RE, chunks, coverage_topk, queries
 from sparkmere.functions import text as fn
-from sparkmere.operators import compaction, evidence, lexical
+from sparkmere.operators import compaction, contexts, evidence, lexical, prior
+from sparkmere.plans.saving import saved
 from sparkmere.sources.tables import table
 
 DEFINITIONS = ("the", "of")
@@ -59,23 +60,68 @@ def adjacent_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.adjacent_evidence(own.where("length(text) < 300"), own, distance=20)
 
 
+NEIGHBOURS = 2
+PAGE_CHARS = 3000
+
+
+def context_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best covered documents of each query and then the documents beside them in the same language, which stands for the file. Documents follow each
+    other by number, from page to page; those without a line break have no pages. A document's first line is its section."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), F.coalesce("lang", F.lit("")).alias("source"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("section"), "text")
+    top = coverage_topk(spark, sf_dir).select("query_id", "rank", "node_id", F.col("coverage").alias("score")).join(docs.select("node_id", "source"), "node_id")
+    top = saved(top.select("query_id", "rank", "node_id", "source", "score"))
+    beside = top.select("query_id", "rank", "source", "score", F.explode(F.sequence(F.col("node_id") - NEIGHBOURS, F.col("node_id") + NEIGHBOURS)).alias("node_id"))
+    beside = beside.groupBy("query_id", "source", "node_id").agg(F.min("rank").alias("rank"), F.max("score").alias("score")).join(top.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
+    every = top.withColumn("later", F.lit(0)).unionByName(beside.withColumn("later", F.lit(1))).join(docs, ["node_id", "source"])
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("later", "rank", "node_id"))
+    first = F.when(F.contains("text", F.lit("\n")), F.col("node_id"))
+    asked = queries(spark, sf_dir).select("query_id", compaction.terms(F.col("text")).alias("asked"))
+    rows = every.withColumn("rank", rank).join(asked, "query_id")
+    return rows.withColumns({"page_first": first, "page_last": first + F.floor(F.length("text") / PAGE_CHARS)}).drop("later")
+
+
 @query()
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = results(spark, sf_dir).select("query_id", "rank", "node_id", "score", fn.token_estimate(F.col("text")).alias("tokens"), F.array_distinct(fn.tokens(F.col("text"))).alias("words"))
-    return evidence.context_pack(ranked, 2000)
+    return contexts.contexts(context_evidence(spark, sf_dir), 600, most=0).select("query_id", "node_id", "place", "tokens")
+
+
+@query()
+def context_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = contexts.contexts(context_evidence(spark, sf_dir), 600)
+    return items.select("query_id", "place", "node_id", "tokens", F.array_join("refs", ",").alias("refs"), F.sha2("content", 256).alias("content_sha256"))
+
+
+@query()
+def context_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    evidence_rows = saved(context_evidence(spark, sf_dir))
+    return contexts.diagnostics(contexts.scored(evidence_rows), contexts.contexts(evidence_rows, 600))
 
 
-PAGES = f"""{TOP}, u AS (SELECT top.*, source AS page, coverage AS score, round(least(0.4, coverage) * (node_id % 3) / 3, 6) AS usefulness FROM top JOIN documents ON doc_id = node_id),
-a AS (SELECT *, max(same) OVER q AS most, max(CASE WHEN rank = 1 THEN usefulness END) OVER q AS u1, max(CASE WHEN rank = 1 THEN score END) OVER q AS s1,
-  max(CASE WHEN rank > 1 THEN score END) OVER q AS s2, min(CASE WHEN usefulness > 0 THEN rank END) OVER q AS f,
+DEF_SQL = " + ".join(f"regexp_matches(t, '{p}')::INT" for p in compaction.DEFINITIONS)
+ACT_SQL = " + ".join(f"regexp_matches(t, '{p}')::INT" for p in compaction.ACTIONS)
+PAGE_ACT_SQL = " + ".join(f"regexp_matches(t, '{p}')::INT" for p in compaction.ACTIONS[:-1])
+MENU_SQL = " + ".join(f"contains(t, '{c}')::INT" for c in compaction.CHROME)
+PAGES = f"""{TOP}, a AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9㐀-鿿]+'), lambda x: length(x) >= 2)) AS asked FROM benchmark),
+v AS (SELECT query_id, node_id, rank, source AS page, split_part(text, chr(10), 1) AS header, coverage AS score, asked, ' ' || lower(split_part(text, chr(10), 1) || chr(10) || text) || ' ' AS t
+  FROM top JOIN documents ON doc_id = node_id JOIN a USING (query_id)),
+m AS (SELECT *, {MENU_SQL} AS menus, left(trim(regexp_replace(t, '\\s+', ' ', 'g')), 180) AS head,
+  coalesce(len(list_intersect(list_distinct(regexp_extract_all(t, '[a-z0-9㐀-鿿]+')), asked)) / nullif(len(asked), 0)::DOUBLE, 0) AS share FROM v),
+u AS (SELECT query_id, node_id, rank, page, header, score, round(share, 6) AS coverage, round(greatest(0, least(0.4, share) + least(0.36, 0.12 * ({DEF_SQL})) + CASE WHEN share >= 0.35 THEN least(0.12, 0.04 * ({PAGE_ACT_SQL})) ELSE 0 END
+  - CASE WHEN menus > 0 OR contains(head, 'source: http') OR contains(head, 'navigation') THEN least(0.2, 0.08 * greatest(1, menus)) ELSE 0 END)::DOUBLE, 6) AS usefulness FROM m),
+w AS (SELECT *, max(same) OVER q AS most, max(usefulness) OVER q AS best, max(CASE WHEN rank = 1 THEN usefulness END) OVER q AS u1, max(CASE WHEN rank = 1 THEN score END) OVER q AS s1, max(CASE WHEN rank > 1 THEN score END) OVER q AS s2,
   row_number() OVER (PARTITION BY query_id ORDER BY usefulness DESC, coverage DESC, score DESC, rank) AS k
-  FROM (SELECT *, count(*) OVER (PARTITION BY query_id, page) AS same FROM u) WINDOW q AS (PARTITION BY query_id))"""
+  FROM (SELECT *, greatest(count(*) OVER (PARTITION BY query_id, page), CASE WHEN header <> '' THEN count(*) OVER (PARTITION BY query_id, header) ELSE 0 END) AS same FROM u) WINDOW q AS (PARTITION BY query_id)),
+z AS (SELECT *, max(CASE WHEN rank > 1 AND abs(s1 - score) <= 1e-6 THEN usefulness END) OVER q AS peer, min(CASE WHEN best > 0 AND usefulness >= greatest(0.45, best - 1e-9) THEN rank END) OVER q AS f FROM w WINDOW q AS (PARTITION BY query_id))"""
 
 
-@query(f"WITH {PAGES} SELECT query_id, node_id, rank, CAST(CASE WHEN most < 2 OR u1 >= 0.55 OR s1 - coalesce(s2, 0) >= 0.15 OR coalesce(f, 1) <= 1 THEN rank ELSE k END AS INT) AS new_rank FROM a")
+@query(f"""WITH {PAGES} SELECT query_id, node_id, rank, usefulness, CAST(CASE WHEN most < 2 OR u1 >= 0.55 OR coalesce(peer <= u1 + 1e-9, false) OR coalesce(s1 - s2 >= 0.15, false) OR coalesce(f, 1) <= 1 THEN rank ELSE k END AS INT) AS new_rank FROM z""")
 def same_page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = results(spark, sf_dir).withColumn("usefulness", F.round(F.least(F.lit(0.4), F.col("coverage")) * (F.col("node_id") % 3) / 3, 6))
-    return evidence.same_page_order(ranked.withColumn("page", F.col("source"))).select("query_id", "node_id", "rank", "new_rank")
+    asked = queries(spark, sf_dir).select("query_id", compaction.terms(F.col("text")).alias("asked"))
+    header = F.split_part("text", F.lit("\n"), F.lit(1))
+    rows = results(spark, sf_dir).join(asked, "query_id").withColumns({"page": F.col("source"), "header": header})
+    share, useful = compaction.page_usefulness(F.concat("header", F.lit("\n"), "text"), F.col("asked"))
+    ranked = evidence.same_page_order(rows.withColumns({"coverage": share, "usefulness": useful}))
+    return ranked.select("query_id", "node_id", "rank", "usefulness", "new_rank")
 
 
 @query(f"""WITH {TOP}, e AS (SELECT query_id, rank, 'cit_' || lpad(rank::VARCHAR, 3, '0') AS cid, substr(text, 1, 160) AS opening FROM top JOIN documents ON doc_id = node_id),
@@ -121,10 +167,6 @@ def answer_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).select("node_id", evidence.answer_intent(F.col("text")).alias("intent"))
 
 
-DEF_SQL = " + ".join(f"regexp_matches(t, '{p}')::INT" for p in compaction.DEFINITIONS)
-ACT_SQL = " + ".join(f"regexp_matches(t, '{p}')::INT" for p in compaction.ACTIONS)
-
-
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, node_id, text, asked of the five best covered documents of each query."""
     asked = queries(spark, sf_dir).select("query_id", compaction.terms(F.col("text")).alias("asked"))
@@ -144,3 +186,20 @@ def context_usefulness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = compaction.compacted(_asked(spark, sf_dir), compaction.compaction_target(200))
     return found.select("query_id", "node_id", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("content_sha256"))
+
+
+@query()
+def evidence_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the five best covered documents of each query; a document's first line is its heading, its source the file and its language the manual."""
+    pairs = results(spark, sf_dir).select("query_id", "node_id").join(chunks(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), "lang"), "node_id"), "node_id")
+    pairs = pairs.select("query_id", "node_id", F.col("heading").alias("header"), F.col("text").alias("body"), F.col("source").alias("source_file"), F.col("lang").alias("manual"))
+    return prior.evidence_prior(pairs, queries(spark, sf_dir)).withColumn("prior", F.round("prior", 6))
+
+
+@query()
+def evidence_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexical scores with one decimal, so that many are equal, ranked with the prior: the first ten of a pool of 32."""
+    found = saved(lexical.lexical_topk(queries(spark, sf_dir), chunks(spark, sf_dir), FIELD_COLUMNS).select("query_id", "node_id", F.round("score", 1).alias("score")))
+    docs = chunks(spark, sf_dir).select("node_id", F.col("heading").alias("header"), F.col("text").alias("body"), F.col("source").alias("source_file"), F.lit("").alias("manual"))
+    ranked = prior.final_rank(found, prior.evidence_prior(found.select("query_id", "node_id").join(docs, "node_id"), queries(spark, sf_dir)), 10)
+    return ranked.select("query_id", "node_id", "rank", "score", F.round("prior", 6).alias("prior"))

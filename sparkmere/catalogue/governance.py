@@ -4,9 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmere.catalogue import query
-from sparkmere.functions.text import normalized_tag, tokens
+from sparkmere.functions.text import normalized_tag
 from sparkmere.operators import governance
-from sparkmere.plans.saving import saved
 from sparkmere.sources.tables import table
 
 NAMES = """
@@ -44,17 +43,35 @@ def tag_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.usage(lines.select(F.col("p_brand").alias("tag"), F.col("l_orderkey").alias("manual"), (F.col("o_orderstatus") != "F").alias("active")))
 
 
-@query(f"""WITH {NAMES}, lib AS (SELECT DISTINCT tag FROM names WHERE p_partkey % 2 = 0), gr AS (SELECT DISTINCT tag FROM names WHERE p_partkey % 2 = 1)
-SELECT CASE status WHEN 'unknown' THEN 'warning' WHEN 'synonym' THEN 'info' ELSE 'error' END AS severity, CASE status WHEN 'unknown' THEN 'UNKNOWN_TAG' WHEN 'synonym' THEN 'SYNONYM_IN_USE' ELSE 'DEPRECATED_TAG_IN_USE' END AS code, tag FROM st WHERE status <> 'canonical'
-UNION ALL SELECT 'warning', 'GRAPH_LIBRARY_TAG_DRIFT', tag FROM (SELECT tag FROM lib WHERE tag NOT IN (FROM gr) UNION ALL SELECT tag FROM gr WHERE tag NOT IN (FROM lib))""")
+NEAR = """
+pa AS (SELECT tag, list_distinct(string_split(tag, '-')) AS p FROM kinds),
+nr AS (SELECT k.tag, min(c.tag) AS canonical FROM pa k JOIN (SELECT tag, p FROM pa SEMI JOIN canon USING (tag)) c ON k.tag <> c.tag AND ((length(k.tag) >= 5 AND length(c.tag) >= 5 AND (starts_with(k.tag, c.tag) OR starts_with(c.tag, k.tag)))
+  OR (length(k.tag) >= 5 AND levenshtein(k.tag, c.tag) <= 2) OR len(list_intersect(k.p, c.p)) / (len(k.p) + len(c.p) - len(list_intersect(k.p, c.p)))::DOUBLE >= 0.8) GROUP BY k.tag)"""
+
+
+@query(f"""WITH {NAMES.strip()},{NEAR},
+u AS (SELECT tag, count(DISTINCT p_partkey) FILTER (p_partkey % 2 = 0) AS manuals, count(DISTINCT p_partkey) FILTER (p_partkey % 3 <> 1) AS graph FROM names GROUP BY tag),
+s AS (SELECT tag, status, coalesce(target, tag) AS canonical, manuals, graph FROM u JOIN st USING (tag) WHERE manuals > 0 OR graph > 0)
+SELECT 'warning' AS severity, CASE status WHEN 'unknown' THEN 'UNKNOWN_TAG' WHEN 'synonym' THEN 'SYNONYM_IN_USE' ELSE 'DEPRECATED_TAG_IN_USE' END AS code, tag, canonical, manuals AS count FROM s WHERE status <> 'canonical' AND manuals > 0
+UNION ALL SELECT 'warning', 'GRAPH_LIBRARY_TAG_DRIFT', tag, canonical, manuals FROM s WHERE manuals <> graph
+UNION ALL SELECT 'info', 'LIKELY_DUPLICATE_TAG', tag, nr.canonical, manuals FROM s JOIN nr USING (tag) WHERE status = 'unknown' AND manuals > 0""")
 def tag_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tags of even parts as the library's, of odd ones as the graph's."""
-    own = named(spark, sf_dir)
-    return governance.drift(governance.resolved(*policy(spark, sf_dir)), own.where("p_partkey % 2 = 0"), own.where("p_partkey % 2 = 1"))
+    """Parts as manuals: even ones are the library's, those that aren't 1 modulo 3 the graph's."""
+    own = named(spark, sf_dir).select(F.col("p_partkey").alias("manual"), "tag")
+    tags, canonical, synonyms, deprecated = policy(spark, sf_dir)
+    counts = governance.tag_counts(own.where("manual % 2 = 0"), own.where("manual % 3 <> 1"))
+    return governance.drift(counts.join(governance.resolved(tags, canonical, synonyms, deprecated), "tag"), governance.near_canonical(tags, canonical))
+
 
+@query(f"""WITH {NAMES} SELECT p_partkey AS manual, tag, CASE status WHEN 'unknown' THEN 'TAG_UNKNOWN' WHEN 'synonym' THEN 'TAG_SYNONYM_USED' ELSE 'TAG_DEPRECATED' END AS code,
+CASE WHEN status = 'synonym' THEN 'warning' ELSE 'error' END AS severity, target AS canonical FROM names JOIN st USING (tag) WHERE status <> 'canonical'""")
+def tag_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In strict mode."""
+    uses = named(spark, sf_dir).select(F.col("p_partkey").alias("manual"), "tag")
+    return governance.validation_messages(uses, governance.resolved(*policy(spark, sf_dir)), strict=True)
 
-@query(f"""WITH {NAMES} SELECT k.tag, min(c.tag) AS canonical FROM kinds k JOIN canon c ON k.tag <> c.tag AND ((length(k.tag) >= 5 AND length(c.tag) >= 5 AND (starts_with(k.tag, c.tag) OR starts_with(c.tag, k.tag)))
-OR (length(k.tag) >= 5 AND levenshtein(k.tag, c.tag) <= 2)) GROUP BY k.tag""")
+
+@query(f"WITH {NAMES.strip()},{NEAR} SELECT tag, canonical FROM nr")
 def near_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags, canonical, _, _ = policy(spark, sf_dir)
     return governance.near_canonical(tags, canonical)
@@ -68,24 +85,29 @@ def tag_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("manual"), F.array_join(governance.rewritten(tags, sources, F.lit("merged")), ",").alias("tags"))
 
 
-RE = "'[a-z0-9]+(?:[-_][a-z0-9]+)*'"
+USEFUL = """(x <> '' AND x NOT IN ('a', 'an', 'and', 'by', 'for', 'from', 'guide', 'manual', 'of', 'on', 'or', 'pdf', 'the', 'to', 'txt', 'use', 'user', 'with')
+  AND (length(x) >= 3 OR (regexp_matches(x, '[a-z]') AND regexp_matches(x, '[0-9]'))) AND NOT regexp_matches(x, '^v?[0-9]+(-[0-9]+)*$'))"""
 
 
-@query(f"""WITH h AS (SELECT doc_id, source, split_part(text, chr(10), 1) AS heading, text FROM documents),
-e AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(heading), {RE})) AS tag, 'heading' AS s, 0.6 AS w FROM h UNION ALL SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), {RE})), 'body', 0.3 FROM h),
-p AS (SELECT tag, count(DISTINCT doc_id) AS n FROM e GROUP BY ALL), k AS (SELECT * FROM p WHERE n >= 20),
-a AS (SELECT doc_id, tag, max(w) AS best, count(DISTINCT s) AS sources FROM e WHERE tag IN (SELECT tag FROM k) AND length(tag) >= 4 GROUP BY ALL),
-s AS (SELECT doc_id, tag, round(least(0.99, best + 0.05 * (sources - 1) + 0.12 * n / (SELECT max(n) FROM k))::DOUBLE, 6) AS score FROM a JOIN k USING (tag))
-SELECT doc_id, tag, score, CAST(row_number() OVER w AS INT) AS rank FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, tag) QUALIFY row_number() OVER w <= 8""")
+@query(f"""WITH f AS (SELECT doc_id, unnest(['title', 'source_file', 'text_sample']) AS s, unnest([split_part(text, chr(10), 1), source, text]) AS v FROM documents),
+p AS (SELECT doc_id, s, list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(coalesce(v, ''), ' ')), '[\\s_]+', '-', 'g'), '[^a-z0-9:-]+', '-', 'g'), '-+', '-', 'g'), '-'), '-'), lambda x: x <> '') AS p FROM f),
+w AS (SELECT *, list_filter(p, lambda x: {USEFUL} OR (regexp_matches(x, '[a-z]') AND regexp_matches(x, '[0-9]'))) AS w FROM p),
+n AS (SELECT DISTINCT doc_id, s, unnest(list_filter(p, lambda x: {USEFUL})) AS tag FROM w
+  UNION SELECT doc_id, s, a || '-' || b FROM (SELECT doc_id, s, unnest(w[1:len(w) - 1]) AS a, unnest(w[2:]) AS b FROM w) WHERE NOT (regexp_matches(a, '^v?[0-9]+$') AND regexp_matches(b, '^v?[0-9]+$'))),
+e AS (SELECT tag, count(*) AS n FROM n WHERE s = 'title' AND doc_id % 2 = 0 AND contains(tag, '-') GROUP BY ALL),
+d AS (SELECT doc_id, list_distinct(flatten(list(p))) AS d FROM p GROUP BY ALL),
+t AS (SELECT tag, list_distinct(string_split(tag, '-')) AS q, unnest(list_distinct(string_split(tag, '-'))) AS one FROM e),
+m AS (SELECT doc_id, tag FROM (SELECT doc_id, unnest(d) AS one FROM d) JOIN t USING (one) GROUP BY doc_id, tag, len(q) HAVING count(*) / len(q)::DOUBLE >= 0.67),
+g AS (SELECT doc_id, tag, list_sort(list(DISTINCT s)) AS sources FROM (FROM n UNION ALL SELECT doc_id, 'existing_tags', tag FROM m) GROUP BY ALL),
+c AS (SELECT doc_id, tag, sources, round(least(0.99, list_sum(list_transform(sources, lambda s: CASE s WHEN 'existing_tags' THEN 0.6::DOUBLE WHEN 'text_sample' THEN 0.1 ELSE 0.25 END)) + 0.05 * (len(sources) - 1)
+  + CASE WHEN list_contains(sources, 'existing_tags') THEN least(0.12, 0.02 * n) ELSE 0 END)::DOUBLE + 1e-9, 3) AS score FROM g LEFT JOIN e USING (tag))
+SELECT doc_id, tag, score, array_to_string(sources, ',') AS sources, CAST(row_number() OVER o AS INT) AS rank FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY score DESC, tag) QUALIFY row_number() OVER o <= 8""")
 def tag_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-
-    def named_by(text, source: str, weight: float) -> DataFrame:
-        return docs.select("doc_id", F.explode(F.array_distinct(tokens(text))).alias("tag"), F.lit(source).alias("source"), F.lit(weight).alias("weight"))
-
-    every = saved(named_by(F.split_part("text", F.lit("\n"), F.lit(1)), "heading", 0.6).unionByName(named_by(F.col("text"), "body", 0.3)))
-    known = every.where("source = 'body'").groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
-    return governance.suggestions(every.where("length(tag) >= 4").join(known.select("tag"), "tag", "left_semi"), known)
+    """Documents as drafts; the phrases in the titles of even ones are the tags in use."""
+    docs = table(spark, sf_dir, "documents").withColumn("title", F.split_part("text", F.lit("\n"), F.lit(1)))
+    used = docs.where("doc_id % 2 = 0").select(F.explode(governance.named_by(F.col("title"))).alias("tag")).where(F.contains("tag", F.lit("-")))
+    found = governance.suggestions(docs, {"title": "title", "source_file": "source", "text_sample": "text"}, used.groupBy("tag").agg(F.count(F.lit(1)).alias("n")))
+    return found.withColumn("sources", F.array_join("sources", ","))
 
 
 POLICY = """

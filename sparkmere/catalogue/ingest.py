@@ -57,8 +57,9 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsers.html_blocks(table(spark, sf_dir, "pages"))
 
 
-@query("""WITH u AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || '-' || regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) AS x FROM pages)
-SELECT page_id, left(regexp_replace(regexp_replace(x, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 96) AS identifier FROM u""")
+@query("""WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS place, trim(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ';[^/]*$', ''), '/') AS path FROM pages),
+x AS (SELECT page_id, left(trim(regexp_replace(lower(CASE WHEN path = '' THEN place ELSE place || '-' || path END), '[^a-z0-9._-]+', '-', 'g'), '-._'), 96) AS x FROM u)
+SELECT page_id, CASE WHEN x = '' THEN 'web-page' ELSE x END AS identifier FROM x""")
 def page_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", parsers.page_identifier(F.col("url")).alias("identifier"))
 
@@ -90,3 +91,11 @@ def prefixed_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = F.when(F.col("p_size") > 25, F.col("p_size").cast("string")).otherwise("")
     tags = parsers.prefixed_tags(F.array(F.lit("widget")), {"brand": F.lower("p_brand"), "model": model})
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(tags, ",").alias("tags"))
+
+
+@query()
+def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a Markdown document under its identifier."""
+    pages = table(spark, sf_dir, "pages")
+    found = parsers.html_blocks(pages).join(pages.select("page_id", "url"), "page_id")
+    return found.select("page_id", parsers.page_identifier(F.col("url")).alias("identifier"), "title", parsers.page_markdown(F.col("title"), F.col("url"), F.col("blocks")).alias("text"))

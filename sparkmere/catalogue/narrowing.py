@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmere.catalogue import query
-from sparkmere.operators import narrowing
+from sparkmere.operators import bitmaps, narrowing
 from sparkmere.sources.tables import manuals, table
 
 SYNONYMS = [("fridge", "small", 1), ("冰箱", "economy", 2), ("oven", "no such category", 3)]
@@ -57,7 +57,37 @@ def found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     values, named = found(spark, sf_dir)
-    return narrowing.narrowing(asked(spark, sf_dir), named, values, nodes(spark, sf_dir))
+    return narrowing.narrowing(asked(spark, sf_dir), named, values, part_index(spark, sf_dir))
+
+
+def part_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitmaps.bitmap_index(bitmaps.metadata_pairs(nodes(spark, sf_dir), narrowing.normalized_text, ["model", "brand", "category"]))
+
+
+@query("""WITH x AS (SELECT p_partkey AS id, unnest(['model', 'brand', 'category']) AS field, unnest(['mx-' || p_partkey, lower(p_brand), lower(p_type)]) AS normal FROM part),
+l AS (SELECT l_orderkey AS id, 'tags' AS field, l_partkey::VARCHAR AS normal FROM lineitem UNION SELECT l_orderkey, 'attributes.flag', lower(l_returnflag) FROM lineitem UNION SELECT l_orderkey, 'flag', lower(l_returnflag) FROM lineitem)
+SELECT 'part' AS kind, field, normal, CASE WHEN id > 0 THEN 1 + (id - 1) // 32768 ELSE id // 32768 END AS bucket, count(*) AS n FROM x GROUP BY ALL UNION ALL SELECT 'order', field, normal, CASE WHEN id > 0 THEN 1 + (id - 1) // 32768 ELSE id // 32768 END, count(*) FROM l GROUP BY ALL""")
+def metadata_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with their scalar fields, orders with their parts as tags and the return flags of their lines as an attribute."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("node_id")).agg(F.collect_set("l_partkey").alias("tags"), F.create_map(F.lit("flag"), F.collect_set("l_returnflag")).alias("attributes"))
+    orders = bitmaps.bitmap_index(bitmaps.metadata_pairs(lines, narrowing.normalized_text, lists={"tags": "tags"}, attributes="attributes"))
+    both = part_index(spark, sf_dir).withColumn("kind", F.lit("part")).unionByName(orders.withColumn("kind", F.lit("order")))
+    return both.select("kind", "field", "normal", "bucket", "n")
+
+
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS id, l_returnflag AS f, l_linestatus AS s FROM lineitem),
+w AS (SELECT s_suppkey AS query_id, ['A', 'N', 'R'][1 + s_suppkey % 3] AS a, ['A', 'N', 'R'][1 + (s_suppkey // 3) % 3] AS b, ['F', 'O'][1 + s_suppkey % 2] AS s FROM supplier)
+SELECT query_id, count(DISTINCT x.id) AS n FROM w LEFT JOIN (SELECT x.id, x.f, y.s FROM l x JOIN l y USING (id)) x ON x.f IN (w.a, w.b) AND x.s = w.s GROUP BY query_id""")
+def filtered_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many orders have a line with one of two return flags and a line of a status, for each supplier's filters."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("node_id")).agg(F.collect_set("l_returnflag").alias("flags"), F.collect_set("l_linestatus").alias("states"))
+    index = bitmaps.bitmap_index(bitmaps.metadata_pairs(lines, narrowing.normalized_text, lists={"flag": "flags", "status": "states"}))
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"))
+    flag, status = (F.array(*map(F.lit, values)) for values in (("a", "n", "r"), ("f", "o")))
+    at = lambda values, k: F.get(values, k.cast("int"))
+    wants = F.array(*(F.struct(F.lit(f).alias("field"), v.alias("normal")) for f, v in (("flag", at(flag, F.col("key") % 3)), ("flag", at(flag, F.floor(F.col("key") / 3) % 3)), ("status", at(status, F.col("key") % 2)))))
+    counts = bitmaps.count_under(supplier.select("key", F.explode(wants).alias("w")).select("key", "w.field", "w.normal"), index)
+    return supplier.join(counts, "key", "left").select(F.col("key").alias("query_id"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"""WITH {DETECTED} SELECT query_id, CASE WHEN reason IS NULL THEN model END AS model, CASE WHEN reason IS NULL THEN category END AS category, brand,

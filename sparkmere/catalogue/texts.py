@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sparkmere.catalogue import query
 from sparkmere.functions import text as fn
-from sparkmere.operators import lexical
+from sparkmere.operators import lexical, routing
 from sparkmere.sources.tables import table
 
 RE = "'[a-z0-9]+(?:[-_][a-z0-9]+)*'"
@@ -105,9 +105,8 @@ def query_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {COVER} SELECT query_id, node_id, CAST(row_number() OVER w AS INT) AS rank, round(coverage, 6) AS coverage FROM cov WINDOW w AS (PARTITION BY query_id ORDER BY round(coverage, 6) DESC, node_id) QUALIFY row_number() OVER w <= 5")
 def coverage_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rounded = lexical.query_coverage(queries(spark, sf_dir), chunks(spark, sf_dir)).withColumn("coverage", F.round("coverage", 6))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("coverage"), "node_id"))
-    return rounded.withColumn("rank", rank).where("rank <= 5").select("query_id", "node_id", "rank", "coverage")
+    best = lexical.coverage_topk(queries(spark, sf_dir), chunks(spark, sf_dir), 5)
+    return best.select("query_id", "node_id", "rank", F.round("coverage", 6).alias("coverage"))
 
 
 @query("SELECT doc_id, 'sha256:' || sha256(text) AS text_hash, left(sha256(source || '|' || lang || '|' || split_part(text, chr(10), 1) || '|' || left(text, 80)), 12) AS anchor_key, 'sha256:' || sha256(trim(text, ' ')) AS query_hash FROM documents")
@@ -162,31 +161,34 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.min(size).alias("least"), F.median(size).alias("median"), F.max(size).alias("most"))
 
 
-INTENT = ("weather", "stock", "password", "secret")
+def _any(words: tuple[str, ...], column: str) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w.replace(chr(39), chr(39) * 2)}')" for w in words) + ")"
 
 
-@query("SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'weather|stock|password|secret') THEN 'OUT_OF_SCOPE' ELSE 'TEXT_ANSWER' END AS intent FROM conversations")
+@query(f"SELECT conv_id, turn, CASE WHEN {_any(routing.OUT_OF_SCOPE, 'lower(text)')} THEN 'OUT_OF_SCOPE' ELSE 'TEXT_ANSWER' END AS intent FROM conversations")
 def intent_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = F.lower("text")
-    out = F.exists(F.array(*map(F.lit, INTENT)), lambda w: F.contains(low, w))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(out, "OUT_OF_SCOPE").otherwise("TEXT_ANSWER").alias("intent"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", routing.intent(F.col("text")).alias("intent"))
 
 
-@query("""WITH m AS (SELECT conv_id, turn, lower(trim(text)) AS x, len(list_distinct(regexp_extract_all(lower(text), '[a-z]{1,4}[0-9]{2,5}'))) AS models FROM conversations)
-SELECT conv_id, turn, CASE WHEN x = '' OR regexp_matches(x, '^(hi|hello|thanks)') THEN 'no_retrieval' WHEN models >= 2 OR regexp_matches(x, ' (versus|compare|than|then) ') THEN 'multi_hop' ELSE 'single_shot' END AS route,
-CASE WHEN x = '' OR regexp_matches(x, '^(hi|hello|thanks)') THEN 0.95 WHEN models >= 2 OR regexp_matches(x, ' (versus|compare|than|then) ') THEN 0.75 ELSE 0.6 END::DOUBLE AS confidence FROM m""")
+@query(rf"""WITH m AS (SELECT conv_id, turn, lower(text) AS low, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS x FROM conversations),
+r AS (SELECT *, CASE WHEN x = '' OR x IN ({", ".join(f"'{g}'" for g in routing.GREETINGS)}) OR {_any(routing.OUT_OF_SCOPE, 'low')} THEN 'no_retrieval'
+  WHEN {_any(routing.COMPARISONS, 'x')} OR {_any(routing.STEPS, 'x')} OR len(list_distinct(regexp_extract_all(x, '{routing.MODEL}'))) >= 2 THEN 'multi_hop' ELSE 'single_shot' END AS route FROM m)
+SELECT conv_id, turn, route, CASE route WHEN 'no_retrieval' THEN 0.95 WHEN 'multi_hop' THEN 0.75 ELSE 0.6 END::DOUBLE AS confidence FROM r""")
 def route_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = F.lower(F.trim("text"))
-    models = F.size(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{1,4}[0-9]{2,5}"), F.lit(0))))
-    none = (low == "") | low.rlike("^(hi|hello|thanks)")
-    hops = (models >= 2) | low.rlike(" (versus|compare|than|then) ")
-    route = F.when(none, "no_retrieval").when(hops, "multi_hop").otherwise("single_shot")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", route.alias("route"), F.when(none, 0.95).when(hops, 0.75).otherwise(0.6).alias("confidence"))
+    rows = table(spark, sf_dir, "conversations").withColumn("route", routing.route(F.col("text")))
+    return rows.select("conv_id", "turn", "route", routing.route_confidence(F.col("route")).alias("confidence"))
 
 
-@query("SELECT item_id, regexp_matches(lower(text), 'image|picture|figure|diagram|photo|th') AS visual FROM benchmark")
+@query(f"SELECT item_id, {_any(routing.VISUAL, 'lower(text)')} OR {_any(routing.VISUAL_CJK, 'text')} AS visual FROM benchmark")
 def visual_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").rlike("image|picture|figure|diagram|photo|th").alias("visual"))
+    return table(spark, sf_dir, "benchmark").select("item_id", routing.visual(F.col("text")).alias("visual"))
+
+
+@query(f"""SELECT doc_id, CASE WHEN {_any(routing.OUT_OF_SCOPE, 'lower(text)')} THEN 'OUT_OF_SCOPE' ELSE 'TEXT_ANSWER' END AS intent,
+  {_any(routing.VISUAL, 'lower(text)')} OR {_any(routing.VISUAL_CJK, 'text')} AS visual FROM documents""")
+def document_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intent and visual wish of every document as if it were a question."""
+    return table(spark, sf_dir, "documents").select("doc_id", routing.intent(F.col("text")).alias("intent"), routing.visual(F.col("text")).alias("visual"))
 
 
 @query(f"""WITH t AS (SELECT source AS kb, unnest(list_distinct(regexp_extract_all(lower(text), {RE}))) AS t FROM documents),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sparkmere.catalogue import query
 from sparkmere.catalogue.texts import FIELD_COLUMNS, FIELDS, TERMS, chunks, queries
 from sparkmere.functions.vectors import dot, norm, settled
-from sparkmere.operators import graph, lexical, search
+from sparkmere.operators import graph, lexical, preselect, search
 from sparkmere.plans.saving import saved
 from sparkmere.sources.tables import nodes
 
@@ -162,3 +162,46 @@ def wave_lexical_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = search.hybrid_scores(waves, own, lexed, F.when(F.col("label") == 1, 0.05).otherwise(0.0))
     ranked = search.top_k(scored.withColumn("score", settled(F.col("score"))), "score", 5)
     return ranked.select("query_id", "rank", "node_id", "score")
+
+
+KEPT = 37
+
+
+def preselection(spark: SparkSession, sf_dir: str, label: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    own = nodes(spark, sf_dir)
+    eligible = None if label is None else own.where(F.col("label") == label)
+    anchors = own.where(F.col("node_id") % KEPT == 0).select(F.lit(None).cast("long").alias("query_id"), "node_id")
+    return *preselect.preselected(asked(spark, sf_dir), own, preselect.coarse_index(own), eligible, anchors), eligible
+
+
+@query()
+def ann_preselect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node whose id is divisible by 37 is an anchor."""
+    state, reach, _ = preselection(spark, sf_dir)
+    sizes = reach.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_eligible"))
+    return state.join(sizes, "query_id", "left")
+
+
+@query()
+def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest nodes of label 1."""
+    state, reach, eligible = preselection(spark, sf_dir, 1)
+    found = preselect.search_nodes(asked(spark, sf_dir), nodes(spark, sf_dir), state, reach, 10, eligible)
+    return found.select("query_id", "rank", "node_id", F.round("sim", 6).alias("score"), "mode", "reason")
+
+
+@query(f"""WITH {EDGES}, o AS (SELECT node_id AS anchor, label, v FROM n WHERE node_id % 10 = 0),
+k AS (SELECT node_id, 'k' || (node_id // 40) AS anchor_key, v FROM n WHERE node_id % 40 >= 20),
+a AS (SELECT anchor, 'k' || CASE WHEN label = 1 THEN anchor // 40 ELSE -1 END AS old_key, CASE WHEN label = 2 THEN NULL ELSE v END AS v FROM o),
+f AS (SELECT a.*, m.node_id FROM a LEFT JOIN (SELECT anchor_key, max(node_id) AS node_id FROM k GROUP BY ALL) m ON m.anchor_key = old_key),
+s AS (SELECT f.anchor, k.node_id AS other, k.anchor_key AS new_key, list_dot_product(f.v, k.v) AS sim FROM f, k WHERE f.node_id IS NULL AND f.v IS NOT NULL QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY sim DESC, k.node_id) = 1)
+SELECT f.anchor, old_key, CASE WHEN node_id IS NULL THEN coalesce(new_key, old_key) ELSE old_key END AS anchor_key, coalesce(node_id, other) AS node_id,
+  CASE WHEN node_id IS NOT NULL THEN 'key' WHEN other IS NOT NULL THEN 'similar' ELSE 'unresolved' END AS how FROM f LEFT JOIN (FROM s WHERE sim >= 0.3) s USING (anchor)""")
+def anchor_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth node is an anchor; the second twenty of each forty nodes are the rebuilt graph, with a key for each forty. Anchors of label 1 know their key,
+    those of label 2 have no vector."""
+    own = nodes(spark, sf_dir)
+    key = F.concat(F.lit("k"), F.when(F.col("label") == 1, F.floor(F.col("node_id") / 40)).otherwise(-1).cast("string"))
+    anchors = own.where("node_id % 10 = 0").select(F.col("node_id").alias("anchor"), key.alias("anchor_key"), F.when(F.col("label") != 2, F.col("vector")).alias("vector"))
+    rebuilt = own.where("node_id % 40 >= 20").select("node_id", F.concat(F.lit("k"), F.floor(F.col("node_id") / 40).cast("string")).alias("anchor_key"), "vector")
+    return graph.reconciled_anchors(anchors, rebuilt, 0.3)

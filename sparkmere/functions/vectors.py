@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,6 +26,25 @@ def settled(x: Column, places: int = 6) -> Column:
     return F.round(x + 1e-9, places)
 
 
-def matrix_of(column: pa.ChunkedArray) -> np.ndarray:
-    """The rows of an array<double> column of one length, as a matrix."""
-    return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1)
+def matrix_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The rows of an array<double> column as a matrix; they must be of one length, see of_one_length."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = np.unique(pc.fill_null(pc.list_value_length(column), -1).to_numpy())
+    if len(lengths) > 1 or (len(lengths) and lengths[0] < 0):
+        raise ValueError(f"vectors of several lengths, or null ones (-1): {lengths.tolist()}")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def common_length(df: DataFrame, column: str = "vector") -> tuple[int, int]:
+    """(dims, rows) of the most frequent length of the vectors, the longer of two as frequent; (0, 0) without any."""
+    sizes = df.where(F.col(column).isNotNull()).groupBy(F.size(column).alias("dims")).agg(F.count(F.lit(1)).alias("n"))
+    often = sizes.orderBy(F.desc("n"), F.desc("dims")).limit(1).collect()
+    return (often[0]["dims"], often[0]["n"]) if often else (0, 0)
+
+
+def of_one_length(df: DataFrame, dims: int | None = None, column: str = "vector") -> DataFrame:
+    """The rows whose vector is not null, has dims components (by default as most have), and none that is null or not finite."""
+    if dims is None:
+        dims, _ = common_length(df, column)
+    finite = F.forall(column, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False)))
+    return df.where(F.coalesce((F.size(column) == dims) & finite, F.lit(False)))

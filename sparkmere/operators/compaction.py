@@ -42,6 +42,23 @@ def usefulness(text: Column, asked: Column) -> Column:
     return F.get(F.transform(F.array(plain), score), 0)
 
 
+# Fixed values of the ordering of one page's results.
+CHROME = ("source:", "navigation", "copy as markdown", "article ", "next :", "previous", "table of contents")
+
+
+def page_usefulness(text: Column, asked: Column) -> tuple[Column, Column]:
+    """(coverage, usefulness) of a result with its heading, by which results of one page are ordered."""
+    low = F.lower(text)
+    share = F.when(F.size(asked) > 0, F.size(F.array_intersect(terms(text), asked)) / F.size(asked)).otherwise(0.0)
+    head = F.substring(F.trim(F.regexp_replace(low, r"\s+", " ")), 1, CHROME_CHARS)
+    framed = F.concat(F.lit(" "), low, F.lit(" "))
+    menus = reduce(lambda a, b: a + b, (framed.contains(c).cast("int") for c in CHROME))
+    chrome = F.when(head.contains("source: http") | head.contains("navigation") | (menus > 0), F.least(F.lit(0.2), 0.08 * F.greatest(F.lit(1), menus))).otherwise(0.0)
+    cues = F.least(F.lit(0.36), 0.12 * cue_counts(framed, DEFINITIONS)) + F.when(share >= 0.35, F.least(F.lit(0.12), 0.04 * cue_counts(framed, ACTIONS[:-1]))).otherwise(0.0)
+    score = F.when(F.trim(text) == "", 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(0.4), share) + cues - chrome))
+    return F.round(share, 6), F.round(score, 6)
+
+
 def sentence_score(sentence: Column, asked: Column) -> Column:
     met = F.size(F.array_intersect(terms(sentence), asked))
     return met / F.greatest(F.lit(1), F.size(asked)) + F.least(F.lit(0.24), 0.08 * met) + 0.5 * usefulness(sentence, asked)
@@ -51,18 +68,22 @@ def compaction_target(budget: int) -> int:
     return 1 if budget <= 0 else max(48, min(180, int(budget * 0.45)))
 
 
+def ranked_sentences(rows: DataFrame) -> DataFrame:
+    """query_id, node_id, all: the sentences of each row's text (query_id, node_id, text, asked terms), the best first: order (less is better), at, size, sentence."""
+    plain = F.trim(F.regexp_replace("text", r"\s+", " "))
+    pieces = F.filter(F.transform(F.split(plain, r"(?<=[。.!?！？；;])\s+"), F.trim), lambda s: s != "")
+    scored = rows.select("query_id", "node_id", "asked", F.posexplode(pieces).alias("at", "sentence")).withColumn("score", sentence_score(F.col("sentence"), F.col("asked")))
+    own = F.struct((-F.col("score")).alias("order"), "at", F.length("sentence").alias("size"), "sentence")
+    return scored.groupBy("query_id", "node_id").agg(F.array_sort(F.collect_list(own)).alias("all"))
+
+
 def compacted(rows: DataFrame, target: int) -> DataFrame:
     """rows (query_id, node_id, text, asked terms) with content: the text, or if it has more than target tokens its best sentences in their order.
 
     Sentences come by score, then place; after the first those count that have LEAST_SCORE and LEAST_SHARE of the best score, MOST_SENTENCES in all, while
     their joined length fits the target. Sentences are scored as rows; the fold runs over one text's sentences.
     """
-    plain = F.trim(F.regexp_replace("text", r"\s+", " "))
-    pieces = F.filter(F.transform(F.split(plain, r"(?<=[。.!?！？；;])\s+"), F.trim), lambda s: s != "")
-    long = rows.where(F.floor((F.length("text") + 3) / 4) > target).select("query_id", "node_id", "asked", F.posexplode(pieces).alias("at", "sentence"))
-    scored = long.withColumn("score", sentence_score(F.col("sentence"), F.col("asked")))
-    own = F.struct((-F.col("score")).alias("order"), "at", F.length("sentence").alias("size"), "sentence")
-    ranked = scored.groupBy("query_id", "node_id").agg(F.array_sort(F.collect_list(own)).alias("all"))
+    ranked = ranked_sentences(rows.where(F.floor((F.length("text") + 3) / 4) > target))
     start = F.struct(F.array().cast("array<struct<at:int,sentence:string>>").alias("kept"), F.lit(0).alias("size"))
 
     def step(s: Column, x: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,45 +56,28 @@ def adjacent_evidence(sparse: DataFrame, chunks: DataFrame, distance: int = 2, l
     return joined.groupBy("at").agg(F.min_by("node_id", F.struct(gap, "node_id")).alias("neighbour")).select(F.col("at").alias("node_id"), "neighbour")
 
 
-def context_pack(ranked: DataFrame, budget: int) -> DataFrame:
-    """query_id, node_id, place, tokens: greedy choice of evidence within a token budget, less overlap with what is chosen.
+def same_page_order(results: DataFrame, strong: float = 0.55, lead: float = 0.15, least: float = 0.45) -> DataFrame:
+    """results (query_id, rank, page, header, score, coverage, usefulness) with new_rank.
 
-    ranked: query_id, rank, node_id, score, tokens, words (array). A query has a bounded number of rows (its top-k).
+    Only queries in which a page or a header repeats are reordered, by usefulness, coverage, score, and not if the first result is useful by itself, has
+    peers of its score that are no more useful, leads clearly, or is itself the first one that is useful (least at least, and the best of them).
     """
+    own = Window.partitionBy("query_id")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left, chosen, open_ = budget, [], rows.sort_values("rank").to_dict("records")
-        for r in open_:
-            r["set"] = set(r["words"])
-
-        def gain(r: dict) -> tuple:
-            overlap = max((len(r["set"] & c["set"]) / max(1, len(r["set"] | c["set"])) for c in chosen), default=0.0)
-            return (-(r["score"] - OVERLAP_COST * overlap), -r["score"], r["rank"])
-
-        while fitting := [r for r in open_ if r["tokens"] <= left]:
-            best = min(fitting, key=gain)
-            chosen.append(best)
-            open_ = [r for r in open_ if r is not best]
-            left -= best["tokens"]
-        return pd.DataFrame({"query_id": [c["query_id"] for c in chosen], "node_id": [c["node_id"] for c in chosen], "place": range(1, len(chosen) + 1), "tokens": [c["tokens"] for c in chosen]})
-
-    return ranked.groupBy("query_id").applyInPandas(run, "query_id long, node_id long, place int, tokens long")
-
-
-def same_page_order(results: DataFrame, strong: float = 0.55, lead: float = 0.15) -> DataFrame:
-    """results (query_id, rank, page, score, coverage, usefulness) with new_rank.
+    def repeats(column: str) -> Column:
+        return F.when(F.coalesce(F.col(column).cast("string"), F.lit("")) != "", F.count(F.lit(1)).over(Window.partitionBy("query_id", column))).otherwise(0)
 
-    Only queries in which a page repeats are reordered, by usefulness, coverage, score, and not if the first result is
-    useful by itself, leads clearly, or is the first useful one.
-    """
-    own = Window.partitionBy("query_id")
-    paged = results.withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("query_id", "page")))
+    paged = results.withColumn("same", F.greatest(repeats("page"), repeats("header")))
     first = {c: F.max(F.when(F.col("rank") == 1, F.col(c))).over(own) for c in ("usefulness", "score")}
+    paged = paged.withColumns({"first_useful": first["usefulness"], "first_score": first["score"], "best": F.max("usefulness").over(own)})
     second = F.max(F.when(F.col("rank") > 1, F.col("score"))).over(own)
-    useful = F.min(F.when(F.col("usefulness") > 0, F.col("rank"))).over(own)
-    stay = (F.max("same").over(own) < 2) | (first["usefulness"] >= strong) | (first["score"] - F.coalesce(second, F.lit(0.0)) >= lead) | (F.coalesce(useful, F.lit(1)) <= 1)
+    peer = F.max(F.when((F.col("rank") > 1) & (F.abs(F.col("first_score") - F.col("score")) <= 1e-6), F.col("usefulness"))).over(own)
+    useful = F.min(F.when((F.col("best") > 0) & (F.col("usefulness") >= F.greatest(F.lit(least), F.col("best") - 1e-9)), F.col("rank"))).over(own)
+    stay = F.max("same").over(own) < 2
+    stay = stay | (F.col("first_useful") >= strong) | F.coalesce(peer <= F.col("first_useful") + 1e-9, F.lit(False))
+    stay = stay | F.coalesce(F.col("first_score") - second >= lead, F.lit(False)) | (F.coalesce(useful, F.lit(1)) <= 1)
     new = F.row_number().over(own.orderBy(F.desc("usefulness"), F.desc("coverage"), F.desc("score"), "rank"))
-    return paged.withColumns({"stay": stay, "new": new}).withColumn("new_rank", F.when(F.col("stay"), F.col("rank")).otherwise(F.col("new"))).drop("same", "stay", "new")
+    return paged.withColumns({"stay": stay, "new": new}).withColumn("new_rank", F.when(F.col("stay"), F.col("rank")).otherwise(F.col("new"))).drop("same", "stay", "new", "first_useful", "first_score", "best")
 
 
 def answer_excerpts(evidence: DataFrame, most: int = 3, fingerprint: int = 160) -> DataFrame:

@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkmere.functions.text import normalized_tag
+from sparkmere.operators.setjoin import similar_sets
 from sparkmere.plans.saving import saved
 
-POPULARITY = 0.12
 MOST = 0.99
 
 
@@ -34,15 +35,46 @@ def usage(uses: DataFrame, examples: int = 5) -> DataFrame:
     return counts.join(lists, "tag")
 
 
-def drift(status: DataFrame, library: DataFrame, graph: DataFrame) -> DataFrame:
-    """severity, code, tag: unknown tags, synonyms and deprecated tags in use, and tags that only the library or only the graph has."""
-    codes = {"unknown": ("warning", "UNKNOWN_TAG"), "synonym": ("info", "SYNONYM_IN_USE"), "deprecated": ("error", "DEPRECATED_TAG_IN_USE")}
-    code = F.element_at(F.create_map(*(F.lit(x) for k, v in codes.items() for x in (k, v[1]))), F.col("status"))
-    severity = F.element_at(F.create_map(*(F.lit(x) for k, v in codes.items() for x in (k, v[0]))), F.col("status"))
-    used = status.where("status != 'canonical'").select(severity.alias("severity"), code.alias("code"), "tag")
-    a, b = library.select("tag").distinct(), graph.select("tag").distinct()
-    apart = a.join(b, "tag", "left_anti").unionByName(b.join(a, "tag", "left_anti"))
-    return used.unionByName(apart.select(F.lit("warning").alias("severity"), F.lit("GRAPH_LIBRARY_TAG_DRIFT").alias("code"), "tag"))
+# Fixed values of the governance behaviour.
+IN_USE = {"unknown": "UNKNOWN_TAG", "synonym": "SYNONYM_IN_USE", "deprecated": "DEPRECATED_TAG_IN_USE"}
+IN_METADATA = {"unknown": "TAG_UNKNOWN", "synonym": "TAG_SYNONYM_USED", "deprecated": "TAG_DEPRECATED"}
+
+
+def _coded(status: Column, codes: dict[str, str]) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for pair in codes.items() for x in pair)), status)
+
+
+def _severity(status: Column, strict: bool) -> Column:
+    """Synonyms are warnings always, unknown and deprecated tags errors in strict mode."""
+    return F.when(F.lit(strict) & (status != "synonym"), "error").otherwise("warning")
+
+
+def drift(stats: DataFrame, near: DataFrame, strict: bool = False) -> DataFrame:
+    """severity, code, tag, canonical, count of what is wrong with the tags in use.
+
+    stats: tag, status, target, manuals (how many manuals have it), graph (how many manuals of the graph have it). Tags that manuals have must be canonical;
+    tags of another count in the graph drift; unknown tags close to a canonical one (near: tag, canonical) are likely duplicates.
+    """
+    own = stats.select("tag", "status", F.coalesce("target", "tag").alias("canonical"), "manuals", "graph")
+    used = own.where((F.col("status") != "canonical") & (F.col("manuals") > 0)).select(_severity(F.col("status"), strict).alias("severity"), _coded(F.col("status"), IN_USE).alias("code"), "tag", "canonical", F.col("manuals").alias("count"))
+    apart = own.where("manuals != graph").select(F.lit("warning").alias("severity"), F.lit("GRAPH_LIBRARY_TAG_DRIFT").alias("code"), "tag", "canonical", F.col("manuals").alias("count"))
+    alike = own.where("status = 'unknown' AND manuals > 0").drop("canonical").join(near.select("tag", "canonical"), "tag")
+    alike = alike.select(F.lit("info").alias("severity"), F.lit("LIKELY_DUPLICATE_TAG").alias("code"), "tag", "canonical", F.col("manuals").alias("count"))
+    return used.unionByName(apart).unionByName(alike)
+
+
+def tag_counts(library: DataFrame, graph: DataFrame) -> DataFrame:
+    """tag, manuals, graph: how many manuals have each tag (manual, tag) in the library and in the graph."""
+    every = library.select("manual", "tag", F.lit(1).alias("own"), F.lit(0).alias("other")).distinct().unionByName(graph.select("manual", "tag", F.lit(0).alias("own"), F.lit(1).alias("other")).distinct())
+    return every.where("tag <> ''").groupBy("tag").agg(F.sum("own").alias("manuals"), F.sum("other").alias("graph"))
+
+
+def validation_messages(uses: DataFrame, resolved_tags: DataFrame, strict: bool = False) -> DataFrame:
+    """manual, tag, code, severity, canonical: what is wrong with the tags of each manual's metadata (manual, tag); rows of resolved tell a tag's status."""
+    once = uses.where("tag <> ''").select("manual", "tag").distinct()
+    found = once.join(resolved_tags, "tag").where("status != 'canonical'")
+    canonical = F.when(F.col("status") == "unknown", F.lit(None)).otherwise(F.col("target"))
+    return found.select("manual", "tag", _coded(F.col("status"), IN_METADATA).alias("code"), _severity(F.col("status"), strict).alias("severity"), canonical.alias("canonical"))
 
 
 def deletions(name: Column, distance: int) -> Column:
@@ -58,19 +90,22 @@ def deletions(name: Column, distance: int) -> Column:
     return F.array_distinct(found)
 
 
-def near_canonical(tags: DataFrame, canonical: DataFrame, distance: int = 2, least: int = 5) -> DataFrame:
-    """tag, canonical: the first canonical name, in order, within an edit distance or of which one is a prefix of the other.
+def near_canonical(tags: DataFrame, canonical: DataFrame, distance: int = 2, least: int = 5, alike: float = 0.8) -> DataFrame:
+    """tag, canonical: the first canonical name, in order, within an edit distance, or of which one is a prefix of the other, or with nearly the same parts.
 
-    Candidates meet by equi-joins: on the first letters for prefixes, on deletions for edits; then the condition decides.
+    Candidates meet by equi-joins: on whole names that are a prefix of the other for prefixes, on deletions for edits, on the rarest parts for parts; then the
+    condition decides.
     """
     own, names = tags.select("tag").distinct(), canonical.select(F.col("tag").alias("canonical")).distinct()
-    head = [d.withColumn("key", F.substring(c, 1, least)) for d, c in ((own, "tag"), (names, "canonical"))]
-    edits = [d.withColumn("key", F.explode(deletions(F.col(c), distance))) for d, c in ((own, "tag"), (names, "canonical"))]
-    met = head[0].join(head[1], "key").unionByName(edits[0].join(edits[1], "key")).select("tag", "canonical").distinct()
-    both = (F.length("tag") >= least) & (F.length("canonical") >= least)
-    prefix = both & (F.col("tag").startswith(F.col("canonical")) | F.col("canonical").startswith(F.col("tag")))
-    close = (F.length("tag") >= least) & (F.levenshtein("tag", "canonical", distance) >= 0)
-    return met.where((F.col("tag") != F.col("canonical")) & (prefix | close)).groupBy("tag").agg(F.min("canonical").alias("canonical"))
+    starts = lambda c: F.transform(F.sequence(F.lit(least), F.length(c)), lambda n: F.substring(c, F.lit(1), n))
+    long = [d.where(F.length(c) >= least) for d, c in ((own, "tag"), (names, "canonical"))]
+    prefix = long[0].withColumn("key", F.explode(starts(F.col("tag")))).join(long[1], F.col("key") == F.col("canonical")).select("tag", "canonical")
+    prefix = prefix.unionByName(long[1].withColumn("key", F.explode(starts(F.col("canonical")))).join(long[0], F.col("key") == F.col("tag")).select("tag", "canonical"))
+    edits = [d.withColumn("key", F.explode(deletions(F.col(c), distance))) for d, c in ((long[0], "tag"), (names, "canonical"))]
+    close = edits[0].join(edits[1], "key").select("tag", "canonical").distinct().where(F.levenshtein("tag", "canonical", distance) >= 0)
+    parts = [d.select(F.col(c).alias("id"), F.split(c, "-").alias("tokens")) for d, c in ((own, "tag"), (names, "canonical"))]
+    same = similar_sets(*parts, alike).select(F.col("left").alias("tag"), F.col("right").alias("canonical"))
+    return prefix.unionByName(close).unionByName(same).where("tag != canonical").groupBy("tag").agg(F.min("canonical").alias("canonical"))
 
 
 def rewritten(tags: Column, sources: Column, target: Column) -> Column:
@@ -78,13 +113,63 @@ def rewritten(tags: Column, sources: Column, target: Column) -> Column:
     return F.when(F.arrays_overlap(tags, sources), F.array_distinct(F.concat(F.array_except(tags, sources), F.array(target)))).otherwise(tags)
 
 
-def suggestions(evidence: DataFrame, popularity: DataFrame, k: int = 8) -> DataFrame:
-    """doc_id, tag, score, rank: the best tags by the weights of the sources that name them (doc_id, tag, source, weight), more for several sources and popular tags."""
-    per_tag = evidence.groupBy("doc_id", "tag").agg(F.max("weight").alias("best"), F.count_distinct("source").alias("sources"))
-    most = popularity.agg(F.max("n").alias("most"))
-    joined = per_tag.join(popularity, "tag", "left").join(F.broadcast(most))
-    score = F.least(F.lit(MOST), F.col("best") + 0.05 * (F.col("sources") - 1) + POPULARITY * F.coalesce(F.col("n") / F.col("most"), F.lit(0.0)))
-    scored = joined.select("doc_id", "tag", F.round(score, 6).alias("score"))
+# Fixed values of the suggestions.
+SOURCE_WEIGHTS = {
+    "existing_tags": 0.6, "source_file": 0.25, "title": 0.25, "product_category": 0.2, "brand": 0.15, "product_name": 0.15, "product_model": 0.15, "notes": 0.1,
+    "text_sample": 0.1, "graph_facets": 0.1,
+}
+TAG_STOP_WORDS = ("a", "an", "and", "by", "for", "from", "guide", "manual", "of", "on", "or", "pdf", "the", "to", "txt", "use", "user", "with")
+VERSION = r"^v?[0-9]+(-[0-9]+)*$"
+OTHER_WEIGHT, SEVERAL, PER_USE, MOST_USES, OVERLAP = 0.05, 0.05, 0.02, 0.12, 0.67
+
+
+def _model_like(part: Column) -> Column:
+    return part.rlike("[a-z]") & part.rlike("[0-9]")
+
+
+def useful(tag: Column) -> Column:
+    """Whether a tag says anything: no stop word, no version, three characters or more unless it looks like a model."""
+    return (tag != "") & ~tag.isin(*TAG_STOP_WORDS) & ((F.length(tag) >= 3) | _model_like(tag)) & ~tag.rlike(VERSION)
+
+
+def parts_of(value: Column) -> Column:
+    """The parts of a text normalised as a tag, in order."""
+    return F.filter(F.split(normalized_tag(F.coalesce(value, F.lit(""))), "-"), lambda p: p != "")
+
+
+def named_by(value: Column) -> Column:
+    """The distinct tags that a text names: its useful parts, and phrases of two such parts or models in a row."""
+
+    def found(parts: Column) -> Column:
+        words = F.filter(parts, lambda p: useful(p) | _model_like(p))
+        following = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+        telling = lambda p: ~p.isin(*TAG_STOP_WORDS) & ~p.rlike(VERSION)
+        pairs = F.filter(F.slice(F.arrays_zip(words.alias("a"), following.alias("b")), F.lit(1), F.size(following)), lambda x: telling(x["a"]) | telling(x["b"]))
+        return F.array_distinct(F.concat(F.filter(parts, useful), F.transform(pairs, lambda x: F.concat(x["a"], F.lit("-"), x["b"]))))
+
+    return F.get(F.transform(F.array(parts_of(value)), found), 0)
+
+
+def suggestions(drafts: DataFrame, fields: dict[str, str], existing: DataFrame, held: DataFrame | None = None, k: int = 8) -> DataFrame:
+    """doc_id, tag, score, sources, rank: the best tags for each draft (doc_id and the columns that fields names by source).
+
+    A source names the tags in its text. A tag in use (existing: tag, n) is named by existing_tags if it is a part of any field's text, or has OVERLAP of its
+    parts there; by a prefix join on its rarest parts. The weights of the sources add up, with something for several sources and for use. Tags that
+    the draft has already (held: doc_id, tag) aren't suggested.
+    """
+    named = [drafts.select("doc_id", F.explode(named_by(F.col(column))).alias("tag"), F.lit(source).alias("source")) for source, column in fields.items()]
+    parts = saved(drafts.select(F.col("doc_id").alias("id"), F.array_distinct(F.concat(*(parts_of(F.col(c)) for c in fields.values()))).alias("tokens")))
+    tags = existing.where("tag <> ''").groupBy("tag").agg(F.max("n").alias("n"))
+    split = tags.select(F.col("tag").alias("id"), F.split("tag", "-").alias("tokens"))
+    known = similar_sets(split, parts, OVERLAP, containment=True).select(F.col("right").alias("doc_id"), F.col("left").alias("tag"), F.lit("existing_tags").alias("source"))
+    every = reduce(DataFrame.unionByName, [*named, known]).groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    if held is not None:
+        every = every.join(held.select("doc_id", "tag"), ["doc_id", "tag"], "left_anti")
+    weights = F.create_map(*(F.lit(x) for pair in SOURCE_WEIGHTS.items() for x in pair))
+    total = F.aggregate("sources", F.lit(0.0), lambda s, x: s + F.coalesce(F.try_element_at(weights, x), F.lit(OTHER_WEIGHT)))
+    uses = F.when(F.array_contains("sources", "existing_tags"), F.least(F.lit(MOST_USES), PER_USE * F.col("n"))).otherwise(0.0)
+    score = F.least(F.lit(MOST), total + SEVERAL * (F.size("sources") - 1) + uses)
+    scored = every.where(useful(F.col("tag"))).join(tags, "tag", "left").select("doc_id", "tag", F.round(score + 1e-9, 3).alias("score"), "sources")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "tag"))).where(F.col("rank") <= k)
 
 

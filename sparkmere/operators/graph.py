@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmere.functions.vectors import matrix_of
+from sparkmere.functions.vectors import common_length, matrix_of, of_one_length
+from sparkmere.operators import search
 from sparkmere.plans.saving import saved
 
 #: Rows of one side of a block of the all-pairs product.
@@ -38,9 +39,11 @@ def _block_edges(threshold: float):
 def semantic_edges(nodes: DataFrame, threshold: float = 0.5, block: int = BLOCK) -> DataFrame:
     """src < dst, weight for all pairs whose inner product exceeds threshold: an exact block-by-block product.
 
-    The nodes are dealt into blocks by hash; each pair of blocks is one matrix product in one task, and only edges leave it.
+    The nodes are dealt into blocks by hash; each pair of blocks is one matrix product in one task, and only edges leave it. Nodes whose vector is null, of
+    another length than most or not finite have no edges.
     """
-    count = max(1, -(-nodes.count() // block))
+    dims, n = common_length(nodes)
+    nodes, count = of_one_length(nodes, dims), max(1, -(-n // block))
     dealt = nodes.select("node_id", "vector", F.pmod(F.xxhash64("node_id"), F.lit(count)).cast("int").alias("own"))
     left = dealt.select("node_id", "vector", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.lit(count - 1))).alias("j"))
     right = dealt.select(F.col("node_id").alias("node_id"), F.col("vector").alias("vector"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"))
@@ -118,7 +121,17 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
-def reconciled_anchors(anchors: DataFrame, keyed: DataFrame) -> DataFrame:
-    """anchor_key, label, node_id: anchors found again by key after a rebuild; node_id null is unresolved. The smallest node of a key counts."""
-    first = keyed.groupBy("anchor_key").agg(F.min("node_id").alias("node_id"))
-    return anchors.join(first, "anchor_key", "left")
+def reconciled_anchors(anchors: DataFrame, nodes: DataFrame, least: float = 0.85) -> DataFrame:
+    """anchor, old_key, anchor_key, node_id, how: anchors (anchor, anchor_key, vector) found again among the nodes (node_id, anchor_key, vector) of a rebuilt graph.
+
+    By key first, of which the greatest node counts; else by the nearest vector, if its similarity is least at least, and the anchor takes that node's key. Others
+    are unresolved: node_id is null and the key stays. Only anchors without a key's node are searched for, in blocks.
+    """
+    keyed = nodes.where("anchor_key IS NOT NULL").groupBy("anchor_key").agg(F.max("node_id").alias("node_id"))
+    first = saved(anchors.join(keyed, "anchor_key", "left"))
+    lost = first.where("node_id IS NULL AND vector IS NOT NULL").select(F.col("anchor").alias("query_id"), "vector")
+    near = search.top_k(search.similarities(lost, nodes.select("node_id", "vector"), 1), "sim", 1).where(F.col("sim") >= least)
+    found = near.select(F.col("query_id").alias("anchor"), F.col("node_id").alias("other")).join(nodes.select(F.col("node_id").alias("other"), F.col("anchor_key").alias("new_key")), "other")
+    joined = first.join(found, "anchor", "left")
+    how = F.when(F.col("node_id").isNotNull(), "key").when(F.col("other").isNotNull(), "similar").otherwise("unresolved")
+    return joined.select("anchor", F.col("anchor_key").alias("old_key"), F.when(F.col("node_id").isNull(), F.coalesce("new_key", "anchor_key")).otherwise(F.col("anchor_key")).alias("anchor_key"), F.coalesce("node_id", "other").alias("node_id"), how.alias("how"))

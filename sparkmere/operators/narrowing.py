@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkmere.operators.bitmaps import count_under
+from sparkmere.operators.setjoin import similar_sets
+
 CJK = "[一-鿿]"
 ACTIVE = ("", "active")
 
@@ -44,30 +47,23 @@ def alias_table(values: DataFrame, synonyms: DataFrame) -> DataFrame:
     return own.unionByName(named)
 
 
-def word_runs(text: Column, most: int = 4) -> Column:
-    """The runs of up to most words of a normalised text, hyphens between them: what a term can equal."""
-    words = F.split(text, "-")
-
-    def runs(n: int) -> Column:
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), "-"))
-
-    return F.array_distinct(F.concat(*(runs(n) for n in range(1, most + 1))))
-
-
-def detected(queries: DataFrame, aliases: DataFrame, most_words: int = 4) -> DataFrame:
+def detected(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     """query_id, field, value, normal: what each query (query_id, text) names: of each field the first value.
 
-    A model counts if its plain form equals a token's; other values as whole runs of words, through an equi-join. Terms in CJK are looked for as parts of
-    the text; they are few and broadcast. Of models and brands the first in order of normal form wins, of categories first the synonyms in their order.
+    A model counts if its plain form equals a token's; other values as whole runs of words, of any length: a value is looked up by the rarest of its words, and
+    then for itself. Terms in CJK are looked for as parts of the text, by their first character. Of models and brands the first in order of normal form wins, of categories first the synonyms in their order.
     """
     plain = F.transform(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9][A-Za-z0-9._-]*"), F.lit(0)), plain_identifier)
     tokens = queries.select("query_id", F.explode(F.array_distinct(plain)).alias("plain")).where("plain <> ''")
     models = aliases.where("field = 'model'").withColumn("plain", plain_identifier(F.col("value"))).where("plain <> ''")
     by_model = tokens.join(models, "plain").select("query_id", "field", "value", "normal", "place")
     others = aliases.where("field <> 'model'")
-    runs = queries.select("query_id", F.explode(word_runs(normalized_text(F.col("text")), most_words)).alias("alias"))
-    by_run = runs.join(others, "alias").select("query_id", "field", "value", "normal", "place")
+    plain_text = queries.select("query_id", normalized_text(F.col("text")).alias("flat"))
+    words = others.where("alias <> ''").select(F.col("alias").alias("id"), F.split("alias", "-").alias("tokens")).distinct()
+    met = similar_sets(words, plain_text.select(F.col("query_id").alias("id"), F.split("flat", "-").alias("tokens")), 1.0, containment=True)
+    met = met.select(F.col("left").alias("alias"), F.col("right").alias("query_id")).join(plain_text, "query_id")
+    framed = lambda c: F.concat(F.lit("-"), c, F.lit("-"))
+    by_run = met.where(F.contains(framed("flat"), framed("alias"))).join(others, "alias").select("query_id", "field", "value", "normal", "place")
     cjk = others.where(F.col("alias").rlike(CJK)).withColumn("part", F.replace("alias", F.lit("-"), F.lit("")))
     flat = queries.select("query_id", F.replace(normalized_text(F.col("text")), F.lit("-"), F.lit("")).alias("flat")).where(F.col("flat").rlike(CJK))
     grams = flat.select("query_id", "flat", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("flat")), lambda i: F.substring("flat", i, F.lit(1))))).alias("gram"))
@@ -77,14 +73,16 @@ def detected(queries: DataFrame, aliases: DataFrame, most_words: int = 4) -> Dat
     return every.withColumn("k", F.row_number().over(order)).where("k = 1").select("query_id", "field", "value", "normal")
 
 
-def narrowing(queries: DataFrame, found: DataFrame, values: DataFrame, nodes: DataFrame, least: int = 1) -> DataFrame:
+def narrowing(queries: DataFrame, found: DataFrame, values: DataFrame, index: DataFrame, least: int = 1, category: str = "hard", brand: str = "hard_if_unique") -> DataFrame:
     """query_id, hard, boost (maps field -> normal value), mode, candidates, reason of every query (query_id, text, explicit map).
 
-    A model and a category filter hard; a brand only if there is one brand, else it boosts. A hard value that contradicts an explicit one, or fewer than
+    A model filters hard, a category by policy (hard or boost), a brand by policy (hard, hard_if_unique: if there is one brand only, or boost). index is the
+    bitmap index of the nodes, by which the nodes under filters are counted. A hard value that contradicts an explicit one, or fewer than
     least nodes under all filters, leaves the boosts alone, and reason tells why.
     """
     one_brand = values.where("field = 'brand'").agg((F.count(F.lit(1)) == 1).alias("one_brand"))
-    hard = F.col("field").isin("model", "category") | F.col("one_brand")
+    by_policy = {"category": F.lit(category == "hard"), "brand": F.lit(brand == "hard") | (F.lit(brand == "hard_if_unique") & F.col("one_brand"))}
+    hard = (F.col("field") == "model") | ((F.col("field") == "category") & by_policy["category"]) | ((F.col("field") == "brand") & by_policy["brand"])
     marked = found.join(F.broadcast(one_brand)).withColumn("hard", hard)  # a single row
 
     def as_map(condition: Column) -> Column:
@@ -95,7 +93,7 @@ def narrowing(queries: DataFrame, found: DataFrame, values: DataFrame, nodes: Da
     own = queries.join(told, "query_id", "left").withColumns({"hard": F.coalesce("hard", empty), "boost": F.coalesce("boost", empty), "explicit": F.coalesce("explicit", empty)})
     clash = F.filter(F.map_keys("hard"), lambda k: F.col("explicit")[k].isNotNull() & (normalized_text(F.col("explicit")[k]) != F.col("hard")[k]))
     own = own.withColumn("clash", F.array_sort(clash)).withColumn("wanted", F.map_concat(F.map_filter("explicit", lambda k, _: ~F.array_contains(F.map_keys("hard"), k)), F.col("hard")))
-    counted = own.where(F.size("hard") > 0).select("query_id", "wanted").join(candidates(own.where(F.size("hard") > 0), nodes), "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("candidates"))
+    counted = own.where(F.size("hard") > 0).select("query_id", "wanted").join(candidates(own.where(F.size("hard") > 0), index), "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("candidates"))
     own = own.join(counted, "query_id", "left")
     few = F.coalesce(F.col("candidates") < least, F.lit(False))
     reason = F.when(F.size("clash") > 0, F.concat(F.lit("conflicts_with_explicit_filter:"), F.array_join("clash", ","))).when(few, "empty_candidate_fallback")
@@ -104,17 +102,11 @@ def narrowing(queries: DataFrame, found: DataFrame, values: DataFrame, nodes: Da
     return own.select("query_id", "explicit", "hard", "boost", mode.alias("mode"), F.when(F.size("clash") == 0, F.col("candidates")).alias("candidates"), "reason")
 
 
-def candidates(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
-    """query_id, n: how many nodes hold all wanted values (query_id, wanted map), by joins on (field, value) and a count of the fields met.
-
-    Queries with equal filters are counted once.
-    """
+def candidates(wanted: DataFrame, index: DataFrame) -> DataFrame:
+    """query_id, n: how many nodes hold all wanted values (query_id, wanted map), by a bitmap index. Queries with equal filters are counted once."""
     sets = wanted.select(F.array_sort(F.map_entries("wanted")).alias("filters")).distinct().withColumn("key", F.xxhash64(F.to_json("filters")))
-    asked = sets.select("key", F.size("filters").alias("fields"), F.explode("filters").alias("f")).select("key", "fields", F.col("f.key").alias("field"), normalized_text(F.col("f.value")).alias("normal"))
-    fields = [c for c in nodes.columns if c != "node_id"]
-    held = nodes.select("node_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), normalized_text(F.col(f).cast("string")).alias("normal")) for f in fields))).alias("x")).select("node_id", "x.*")
-    met = held.join(asked, ["field", "normal"]).groupBy("key", "fields", "node_id").agg(F.count(F.lit(1)).alias("met")).where("met = fields")
-    counts = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    asked = sets.select("key", F.explode("filters").alias("f")).select("key", F.col("f.key").alias("field"), normalized_text(F.col("f.value")).alias("normal"))
+    counts = count_under(asked, index)
     return wanted.select("query_id", F.xxhash64(F.to_json(F.array_sort(F.map_entries("wanted")))).alias("key")).join(counts, "key").select("query_id", "n")
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmere.functions.vectors import matrix_of
+from sparkmere.functions.vectors import common_length, matrix_of, of_one_length
 from sparkmere.plans.saving import saved
 
 DECAY = 0.7
@@ -23,7 +23,9 @@ FIELD_BOOST = 0.05
 TAG_BOOST = 0.03
 
 
-def _block_best(k: int, least: float):
+def block_best(k: int, least: float = float("-inf")):
+    """A function that gives each query's k best nodes of a block, with ties."""
+
     def run(asked: pa.Table, nodes: pa.Table) -> pa.Table:
         found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         if asked.num_rows and nodes.num_rows:
@@ -42,16 +44,19 @@ def _block_best(k: int, least: float):
 def similarities(queries: DataFrame, nodes: DataFrame, k: int, least: float = float("-inf")) -> DataFrame:
     """query_id, node_id, sim: of each query (query_id, vector) the k best nodes by inner product with their ties, and some more, of sim least at least.
 
-    Blocks of queries meet blocks of nodes as matrix products; only each block's best leave its task. Ranking what is left gives the k best of all nodes.
+    Blocks of queries meet blocks of nodes as matrix products; only each block's best leave a task. Ranking what is left gives the k best of all nodes.
+    Vectors that are null, of another length than most nodes' vectors or not finite take no part.
     """
-    rows = {"i": max(1, -(-queries.count() // QUERY_BLOCK)), "j": max(1, -(-nodes.count() // NODE_BLOCK))}
+    dims, count = common_length(nodes)
+    queries, nodes = of_one_length(queries, dims), of_one_length(nodes, dims)
+    rows = {"i": max(1, -(-queries.count() // QUERY_BLOCK)), "j": max(1, -(-count // NODE_BLOCK))}
 
     def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
         block = F.pmod(F.xxhash64(key), F.lit(rows[own])).cast("int").alias(own)
         return df.select(F.col(key).alias(key), F.col("vector").alias("vector"), block, F.explode(F.sequence(F.lit(0), F.lit(rows[other] - 1))).alias(other))
 
     left, right = dealt(queries, "query_id", "i", "j"), dealt(nodes, "node_id", "j", "i")
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_block_best(k, least), "query_id long, node_id long, sim double")
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(block_best(k, least), "query_id long, node_id long, sim double")
     return found.where(F.col("sim") >= least - NUDGE)
 
 

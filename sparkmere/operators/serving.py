@@ -50,10 +50,3 @@ def refusal(answerable: Column, reason: Column, enabled: Column, error: Column,
     kind = F.when(~answerable, "refusal").when(~enabled | error.isNotNull() | (citations == 0), "error").otherwise("answer")
     why = F.when(~answerable, F.coalesce(reason, F.lit("insufficient_evidence"))).when(~enabled, "generation_disabled").when(error.isNotNull() | (citations == 0), "generation_failed")
     return kind, why
-
-
-def context_diagnostics(evidence: DataFrame, selected: DataFrame) -> DataFrame:
-    """query_id, rank, node_id, coverage, selected, place: each evidence row and whether, and as which, the context took it."""
-    taken = selected.select("query_id", "node_id", F.col("place"))
-    joined = evidence.join(taken, ["query_id", "node_id"], "left")
-    return joined.select("query_id", "rank", "node_id", "coverage", F.col("place").isNotNull().alias("selected"), "place")

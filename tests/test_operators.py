@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkmere.functions import text
-from sparkmere.operators import evaluate, evidence, grams, graph, lexical, pyramid, rerank, search, tags
+from sparkmere.operators import evaluate, grams, graph, lexical, prior, pyramid, rerank, search, tags
 from sparkmere.plans import log
 from sparkmere.sources import parsers
 from sparkmere.streaming.windows import windowed
@@ -209,6 +209,44 @@ def test_full_lexical_scores_by_brute_force(spark, monkeypatch):
         assert [(r.rank, r.node_id) for r in sorted(best, key=lambda r: r.rank) if r.query_id == q] == [(k + 1, n) for k, (_, n) in enumerate(order)]
 
 
+def plain_prior(query, header, body, source_file, manual):
+    codes, models, ordinary, cjk, ordered = terms_of(query)
+    head, low = header.lower(), body.lower()
+    if not (codes or models or ordinary or cjk) or not f"{head}\n{low}".strip():
+        return 0.0
+    ones = set(map(one_singular, ordinary))
+    share = lambda terms, where: sum(t in where or t in set(map(one_singular, re.findall(text.TOKEN, where))) for t in terms) / max(1, len(terms))
+    score = 0.45 * share(ones, low) + 0.16 * share(ones, head) + 0.42 * sum(t in low for t in cjk) / max(1, len(cjk)) + 0.18 * sum(t in head for t in cjk) / max(1, len(cjk))
+    score += 0.08 * min(2, sum(bool(re.search(rf"\b{re.escape(a)}\b(?:\W+\w+){{0,2}}\W+\b{re.escape(b)}\b", low)) for a, b in zip(ordered, ordered[1:])))
+    words = list(map(one_singular, re.findall(text.TOKEN, low)))
+    best = max((len(ordinary & set(words[p : p + 14])) for p in range(len(words))), default=0) if len(ordinary) >= 3 and len(words) >= 24 else 0
+    score += 0.08 * min(2, max(0, best - 2))
+    identity = " ".join([source_file, manual, header]).lower()
+    score += 0.16 * any(c in identity or compacted(c) in compacted(identity) for c in codes | models)
+    bonus = 0.0
+    for t in map(compacted, cjk | ordinary) if compacted(header) else ():
+        bonus = max(bonus, 0.18 if len(t) >= 2 and compacted(header) == t else 0.08 if len(t) >= 3 and t in compacted(header) and compacted(header) in compacted(query) else 0.0)
+    score += bonus
+    size = len(re.findall(text.TOKEN, low)) + len(re.findall(text.CJK, low))
+    score *= 1 if cjk else 0.35 if size < 8 else 0.65 if size < 18 else 1
+    return round(min(0.85, max(0.0, score)), 6)
+
+
+def test_prior_by_brute_force(spark):
+    asked = [(1, "机器人清洁 洗衣机"), (2, "Clean the water tank filters"), (3, "E05 WM-8000 batteries 清洁"), (4, ""), (5, None), (6, "tank tank water tank"), (7, "error E 05 of the"), (8, "alpha beta gamma delta epsilon"), (9, "the of")]
+    pad = " pad" * 20
+    bodies = ["用清洁机器人清洁", "clean x y tank of water", "clean the water tank filter" + pad, "water" + pad + " clean tank filter", "E05 battery", "", "Alpha beta" + pad + " gamma delta beta epsilon alpha", "cleaner watertanks, prefilter of a tank with water and more of it all here too"]
+    heads = ["清洁", "Water-Tank", "clean the water tank filters", "E 05", "", "tank", "机器人清洁"]
+    nodes = [(k, heads[k % 7], b, "x/wm8000.pdf" if k % 3 else "", "e05" if k % 2 else "m") for k, b in enumerate(bodies)] + [(50, None, None, None, None), (51, "tank", "tank", None, None)]
+    pairs = spark.createDataFrame([(q, *n) for q, _ in asked for n in nodes], "query_id long, node_id long, header string, body string, source_file string, manual string")
+    found = {(r.query_id, r.node_id): round(r.prior, 6) for r in prior.evidence_prior(pairs, spark.createDataFrame(asked, "query_id long, text string")).collect()}
+    assert found == {(q, n[0]): plain_prior(t or "", *(x or "" for x in n[1:])) for q, t in asked for n in nodes}
+    assert len({v for v in found.values()}) > 12
+    scored = spark.createDataFrame([(1, 7, 0.5), (1, 8, 0.5), (1, 9, 0.5), (1, 3, 0.9), (1, 2, 0.1)], "query_id long, node_id long, score double")
+    told = spark.createDataFrame([(1, 8, 0.3), (1, 9, 0.3)], "query_id long, node_id long, prior double")
+    assert [r.node_id for r in prior.final_rank(scored, told, 4).orderBy("rank").collect()] == [3, 8, 9, 7]
+
+
 def test_windows_word_by_word():
     rng = np.random.default_rng(3)
     for n in (10, 24, 60, 300):
@@ -234,6 +272,29 @@ def test_containing(spark):
     assert sorted((r.value, r.no) for r in found.collect()) == sorted((v, k) for v in {v for v in values if v} for k, t in enumerate(terms) if t and t in v)
 
 
+def test_coverage_by_rare_terms(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(3000)]
+    weights = np.arange(1, 3001.0) ** -0.8
+    docs = [(k, " ".join(["the", "of", *rng.choice(words, 30, p=weights / weights.sum())])) for k in range(600)] + [(600, None), (601, "")]
+    asked = [(q, " ".join(["the", "of", *rng.choice(docs[q * 7][1].split(), 6), *rng.choice(words, 3)])) for q in range(40)] + [(90, "the of"), (91, "absent words"), (92, ""), (93, None), (94, "absent the w0")]
+    nodes, queries = spark.createDataFrame(docs, "node_id long, text string"), spark.createDataFrame(asked, "query_id long, text string")
+    held = {k: set((t or "").split()) for k, t in docs}
+    want = []
+    for q, t in asked:
+        terms = set((t or "").split())
+        order = sorted((-len(terms & own), k) for k, own in held.items() if terms & own)[:5]
+        want += [(q, k, round(-n / len(terms), 9), r + 1) for r, (n, k) in enumerate(order)]
+    for floors in (lexical.FLOORS, (0.9, 0.0), (0.0,)):
+        found = lexical.coverage_topk(queries, nodes, 5, floors).collect()
+        assert sorted((r.query_id, r.node_id, round(r.coverage, 9), r["rank"]) for r in found) == sorted(want)
+    first = lexical.rare_first(queries.where("query_id < 40"), nodes)
+    few = lexical.rare_candidates(first, nodes, 0.6, 5).count()
+    every = sum(bool(set(t.split()) & own) for q, t in asked if q < 40 for own in held.values())
+    assert every == 40 * 600 and few < every / 8  # lists of frequent words are not read
+    assert lexical.coverage_topk(queries.limit(0), nodes, 5).count() == 0
+
+
 def test_limiter(spark):
     events = spark.createDataFrame([(1, k, f"2024-01-01 00:00:{k:02d}") for k in range(4)], "key long, event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     assert [r.allowed for r in rerank.limited(events, 60, 2).orderBy("event_id").collect()] == [True, True, False, False]
@@ -251,12 +312,6 @@ def test_ranking_metrics(spark):
     assert found == [(1, 0.2, 0.5, 0.5, 1.0, 2), (2, 0.0, 0.0, 0.0, 0.0, None)]
 
 
-def test_context_pack_prefers_new_words(spark):
-    rows = [(1, 1, 10, 0.9, 5, ["a", "b"]), (1, 2, 11, 0.8, 5, ["a", "b"]), (1, 3, 12, 0.7, 5, ["c", "d"])]
-    ranked = spark.createDataFrame(rows, "query_id long, rank int, node_id long, score double, tokens long, words array<string>")
-    assert [r.node_id for r in evidence.context_pack(ranked, 10).orderBy("place").collect()] == [10, 12]
-
-
 def test_filters_are_checked():
     assert log.parsed_filters("intent=a, created_after=2024-01-01") == {"intent": "a", "created_after": "2024-01-01"}
     for bad in ("x=1", "intent=a,intent=b", "intent"):
