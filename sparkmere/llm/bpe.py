@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkmere.llm.common import arrow_rows, saved_in_buckets, tokenizer_path, trimmed
+from sparkmere.llm.common import arrow_rows, released, saved_in_buckets, tokenizer_path, trimmed
 
 BUCKETS = 32768  # a power of two
 NO_RANK = 2**31 - 1
@@ -40,9 +40,9 @@ UNICODE_FLAG = "(?U)"
 GROUP_BLOCKS = 4096
 LONG_BYTES = 2048
 #: A block's rows or words, whichever come first, and the rows that reach it at a time.
-BLOCK_ROWS, BLOCK_WORDS, ARROW_ROWS = 10_000, 16_000_000, 2_000
+BLOCK_ROWS, BLOCK_WORDS, ARROW_ROWS = 8_000, 6_000_000, 1_000
 #: Documents that leave a block together.
-ROWS = 1024
+ROWS = 256
 #: Numbers that are worked on at a time.
 PART = 1 << 19
 BLOCK = "block long, ids array<bigint>, counts array<int>, codes binary, done array<int>, done_ids array<array<int>>, n_words int, words array<string>"
@@ -281,14 +281,14 @@ def _documents(finish):
             ids, counts, done, done_ids = (block.column(j)[0].values for j in (0, 1, 3, 4))
             counts, done, n_words = counts.to_numpy(), done.to_numpy(), block.column(5)[0].as_py()
             places = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-            planes = _planes(block.column(2)[0].as_py(), int(places[-1]))
+            planes = _planes(block.column(2)[0].as_buffer(), int(places[-1]))
             rest = np.delete(np.arange(n_words), done)
             numbers, lengths, flat = [done], [pa.compute.list_value_length(done_ids).to_numpy()], [done_ids.flatten().to_numpy()]
-            for r in words.to_pylist():
-                values = _of_planes(_planes(r["packed"], r["size"]))
-                numbers.append(rest[values[: r["n"]]])
-                lengths.append(values[r["n"] : 2 * r["n"]])
-                flat.append(values[2 * r["n"] :])
+            for n, size, packed in zip(*(words[c].to_pylist() for c in ("n", "size", "packed")), strict=True):
+                values = _of_planes(_planes(packed, size))
+                numbers.append(rest[values[:n]])
+                lengths.append(values[n : 2 * n])
+                flat.append(values[2 * n :])
             numbers, lengths, flat = np.concatenate(numbers), np.concatenate(lengths).astype(np.int64), np.concatenate(flat).astype("<i4")
             if len(numbers) != n_words:
                 raise ValueError("a block lacks ids of its words")
@@ -301,6 +301,8 @@ def _documents(finish):
                 ends = np.concatenate([[0], np.cumsum(long)])
                 tokens = flat[np.repeat(start_of[part] - ends[:-1], long) + np.arange(ends[-1])]
                 found.append(finish(ids[low:high].cast(pa.int64()), tokens, ends[places[low : high + 1] - places[low]]))
+            del planes
+        released()
         return pa.Table.from_batches(found or [finish(pa.array([], pa.int64()), np.zeros(0, "<i4"), np.zeros(1, np.int64))])
 
     return run
@@ -324,8 +326,12 @@ def concatenated(pieces: pa.Array, tokens, ends: np.ndarray) -> tuple[pa.Buffer,
 
 
 def _with_digests(held):
+    pieces: list[pa.Array] = []  # made once in a worker
+
     def finish(ids: pa.Array, tokens: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
-        data, places = concatenated(_binary(held), tokens, ends)
+        if not pieces:
+            pieces.append(_binary(held))
+        data, places = concatenated(pieces[0], tokens, ends)
         return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(ends), pa.int64()), _digests(tokens.tobytes(), 4 * ends), _digests(data, places)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return finish
