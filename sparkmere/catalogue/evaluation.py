@@ -103,9 +103,34 @@ def noop_rank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(spark, sf_dir).select("query_id", "rank", F.round(1 / F.col("rank"), 6).alias("score"))
 
 
-@query(f"WITH {RANKED}, b AS (SELECT query_id, max(CASE WHEN rank = 1 THEN score END) AS a, max(CASE WHEN rank = 2 THEN score END) AS b FROM rk GROUP BY ALL) SELECT query_id, CASE WHEN a >= 0.6 AND a - coalesce(b, 0) >= 0.05 THEN 'high' WHEN a <= 0.2 THEN 'low' ELSE 'inconclusive' END AS grade FROM b")
+@query(f"""WITH {RANKED}, b AS (SELECT query_id, max(CASE WHEN rank = 1 THEN score END) AS a, max(CASE WHEN rank = 2 THEN score END) AS b FROM rk WHERE score >= 0.3 GROUP BY ALL)
+SELECT q.node_id AS query_id, CASE WHEN q.label = 0 THEN 'no_signal' WHEN a IS NULL THEN 'low' WHEN a >= 0.6 AND a - coalesce(b, 0) >= 0.05 THEN 'high' WHEN a <= 0.2 THEN 'low' ELSE 'inconclusive' END AS grade
+FROM n q LEFT JOIN b ON query_id = q.node_id WHERE q.node_id % 20 = 0""")
 def crag_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rerank.graded(ranked(spark, sf_dir))
+    """Runs over the neighbours of a similarity of 0.3 at least; queries of label 0 went to no reranker."""
+    runs = nodes(spark, sf_dir).where("node_id % 20 = 0").select(F.col("node_id").alias("query_id"), F.lit("miss").alias("cache_status"), F.when(F.col("label") == 0, "noop").otherwise("vendor").alias("vendor"))
+    return rerank.graded(ranked(spark, sf_dir).where("score >= 0.3"), runs)
+
+
+M2 = """e2 AS (SELECT r2.query_id, new_rank AS rank, matched FROM r2 JOIN rk USING (query_id, node_id)), t2 AS (SELECT query_id, sum(matched::INT) AS found, min(CASE WHEN matched THEN rank END) AS first FROM e2 GROUP BY ALL),
+m2 AS (SELECT query_id, CASE WHEN n > 0 THEN round(coalesce(found, 0) / n::DOUBLE, 6) ELSE 0 END AS recall, round(coalesce(1 / first::DOUBLE, 0), 6) AS mrr, (coalesce(found, 0) > 0)::INT::DOUBLE AS hit, first AS first_rank FROM ex LEFT JOIN t2 USING (query_id)),
+a1 AS (SELECT unnest(['hit', 'recall', 'mrr']) AS k, unnest([round(avg(hit), 6), round(avg(recall), 6), round(avg(mrr), 6)]) AS v FROM m), a2 AS (SELECT unnest(['hit', 'recall', 'mrr']) AS k, unnest([round(avg(hit), 6), round(avg(recall), 6), round(avg(mrr), 6)]) AS v FROM m2),
+p1 AS (SELECT query_id, first_rank::DOUBLE AS r FROM m WHERE hit > 0 AND recall > 0 AND mrr < 1 AND first_rank > 1), p2 AS (SELECT query_id, first_rank::DOUBLE AS r FROM m2 WHERE hit > 0 AND recall > 0 AND mrr < 1 AND first_rank > 1)"""
+
+
+@query(f"""WITH {RANKED}, {SECOND}, {M2}
+SELECT k || '_not_decreased' AS name, a2.v + 1e-9 >= a1.v AS passed, a1.v AS baseline, a2.v AS candidate FROM a1 JOIN a2 USING (k)
+UNION ALL SELECT 'ranking_pressure_count', (SELECT count(*) FROM p2) <= (SELECT count(*) FROM p1), (SELECT count(*) FROM p1), (SELECT count(*) FROM p2)
+UNION ALL SELECT 'case_first_matched_rank:' || query_id, p2.r <= p1.r, p1.r, p2.r FROM p1 JOIN p2 USING (query_id)
+UNION ALL SELECT 'new_pressure_case:' || query_id, false, NULL, p2.r FROM p2 ANTI JOIN p1 USING (query_id)""")
+def ranking_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reranked results against the first ones."""
+    own = nodes(spark, sf_dir)
+    sizes = own.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n"))
+    expected = own.where("node_id % 20 = 0").join(sizes, "label").select(F.col("node_id").alias("query_id"), "n")
+    matched = ranked(spark, sf_dir).select("query_id", "node_id", "matched")
+    again = second(spark, sf_dir).select("query_id", "node_id", F.col("new_rank").alias("rank")).join(matched, ["query_id", "node_id"])
+    return evaluate.ranking_gate(metrics(spark, sf_dir), evaluate.ranking_metrics(again, expected, 10))
 
 
 @query(f"WITH {RANKED}, {SECOND}, f AS (SELECT query_id, min(rank) AS old, min(new_rank) AS new FROM r2 WHERE node_id % 2 = 0 GROUP BY ALL) SELECT query_id, old AS old_first, new AS new_first, new > old AS regressed FROM f")
@@ -185,9 +210,14 @@ def answer_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.citation_quality(rows)
 
 
-@query("SELECT user_id, count(*) AS calls, count_if(event_type = 'error') AS errors, round(count_if(event_type = 'click') / count(*)::DOUBLE, 6) AS click_rate, round(avg(value), 4) AS mean FROM events GROUP BY ALL")
+@query("""WITH r AS (SELECT user_id, event_type AS vendor, CASE WHEN value >= 100 THEN 'miss' WHEN value >= 20 THEN 'hit' ELSE '' END AS cache, CASE WHEN event_type = 'error' THEN ['reranker_fallback:error', 'slow'] WHEN value < 10 THEN ['slow'] ELSE [] END AS w, value, (event_id % 3)::DOUBLE AS t FROM events),
+s AS (SELECT user_id, count(*)::DOUBLE AS plans, count_if(vendor = 'error')::DOUBLE AS fallbacks, round(count_if(vendor = 'error') / count(*)::DOUBLE, 6) AS fallback_rate, round(count_if(cache = 'hit') / count(*)::DOUBLE, 6) AS cache_hit_rate,
+  round(quantile_cont(value, 0.5), 3) AS latency_p50, round(quantile_cont(value, 0.95), 3) AS latency_p95, sum(t) AS truncated FROM r GROUP BY ALL)
+SELECT user_id, 'vendor' AS kind, vendor AS name, count(*)::DOUBLE AS value FROM r GROUP BY ALL UNION ALL SELECT user_id, 'cache', CASE WHEN cache = '' THEN 'unknown' ELSE cache END, count(*) FROM r GROUP BY ALL
+UNION ALL SELECT user_id, 'warning', x, count(*) FROM (SELECT user_id, unnest(w) AS x FROM r) GROUP BY ALL UNION ALL SELECT user_id, 'summary', name, value FROM (UNPIVOT s ON COLUMNS(* EXCLUDE user_id) INTO NAME name VALUE value)""")
 def rerank_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events")
-    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("event_type") == "error").alias("errors"), F.round(F.count_if(F.col("event_type") == "click") / F.count(F.lit(1)), 6).alias("click_rate"), F.round(F.avg("value"), 4).alias("mean"))
-
-
+    """Events as reranked runs: their type the vendor, their value the latency and, in bands, the state of the cache."""
+    kind, value = F.col("event_type"), F.col("value")
+    warnings = F.when(kind == "error", F.array(F.lit("reranker_fallback:error"), F.lit("slow"))).when(value < 10, F.array(F.lit("slow"))).otherwise(F.array().cast("array<string>"))
+    runs = table(spark, sf_dir, "events").select("user_id", kind.alias("vendor"), F.when(value >= 100, "miss").when(value >= 20, "hit").otherwise("").alias("cache_status"), warnings.alias("warnings"), value.alias("latency_ms"), (F.col("event_id") % 3).alias("truncated"))
+    return rerank.rerank_summary(runs, "user_id")

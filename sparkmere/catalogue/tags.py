@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from sparkmere.catalogue import query
 from sparkmere.catalogue.vectors import EDGES, asked
 from sparkmere.functions.vectors import settled
-from sparkmere.operators import pyramid, search, tags
+from sparkmere.operators import boost, pyramid, search, tags
+from sparkmere.plans.saving import saved
 from sparkmere.sources.tables import nodes, table, tag_positions
 
 POSITIONS = """
@@ -239,3 +240,32 @@ def energy_projection_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pyramid.projection(nodes(spark, sf_dir).select(F.col("node_id").alias("query_id"), "vector"), axes, mean)
     h = pyramid.entropy(F.col("p"), len(axes))
     return found.select("query_id", F.round(h, 6).alias("entropy"), F.round(1 - h, 6).alias("logic_depth"), F.size(F.filter("p", lambda x: x > 0.05)).alias("dominant"), F.round(tags.resonance(F.col("p")), 6).alias("resonance"))
+
+
+@query()
+def pyramid_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth, coverage, novelty, coherence and activation of each query among all vectors, those of the tag graph weighed by their residuals."""
+    own = nodes(spark, sf_dir)
+    residuals = pyramid.intrinsic_residuals(tags.top_neighbours(rounded_cooccurrence(spark, sf_dir), 10), own)
+    found = pyramid.pyramid_features(pyramid.pyramid_levels(asked(spark, sf_dir), own, residuals.select("tag", "residual")))
+    return found.select("query_id", "depth", *(F.round(c, 5).alias(c) for c in ("coverage", "novelty", "coherence", "activation")))
+
+
+@query()
+def tag_boost_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as tags under the names of parts, the parts of orders as their graph. Each query names its next two tags as core tags and brings a ghost, its own
+    vector turned around."""
+    own = nodes(spark, sf_dir)
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("tag"), F.col("p_name").alias("name"))
+    rows = saved(own.select(F.col("node_id").alias("tag"), "vector").join(parts, "tag", "left").select("tag", F.coalesce("name", F.lit("")).alias("name"), "vector"))
+    cooc = saved(rounded_cooccurrence(spark, sf_dir))
+    axes, mean, _ = pyramid.energy_basis(own)
+    labels = pyramid.axis_labels(axes, rows.withColumnRenamed("tag", "node_id"))
+    queries = asked(spark, sf_dir)
+    named = queries.select("query_id", F.explode(F.array(F.col("query_id") + 1, F.col("query_id") + 2)).alias("tag")).join(parts, "tag")
+    core = tags.core_tags(named.select("query_id", "name"), spark.createDataFrame([], "name string, canonical string"))
+    ghosts = queries.select("query_id", F.array(F.struct((F.col("query_id") % 40 == 0).alias("hard"), F.reverse("vector").alias("vector"))).alias("ghosts"))
+    residuals = pyramid.intrinsic_residuals(tags.top_neighbours(cooc, 10), own).select("tag", "residual")
+    found = boost.apply_tag_boost(queries, rows, cooc, (axes, mean), labels, 0.5, core, ghosts, saved(residuals), resonant=True)
+    digest = F.array_join(F.transform("vector", lambda x: F.format_number(x + 0.0, 4)), ",")
+    return found.select("query_id", digest.alias("vector"), "reason", F.round("alpha", 5).alias("alpha"), "seeds", "emergent", "core_added", "ghosts", F.size("matched").alias("matched"), F.round("activation", 5).alias("activation"), "world")

@@ -7,7 +7,8 @@ from sparkmere.catalogue import query
 from sparkmere.catalogue.texts import FIELD_COLUMNS, FIELDS, TERMS, chunks, queries
 from sparkmere.functions.vectors import dot, norm, settled
 from sparkmere.operators import graph, lexical, preselect, search
-from sparkmere.plans.saving import saved
+from sparkmere.plans import snapshots
+from sparkmere.plans.saving import new_folder, saved
 from sparkmere.sources.tables import nodes
 
 THRESHOLD = 0.2
@@ -205,3 +206,35 @@ def anchor_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchors = own.where("node_id % 10 = 0").select(F.col("node_id").alias("anchor"), key.alias("anchor_key"), F.when(F.col("label") != 2, F.col("vector")).alias("vector"))
     rebuilt = own.where("node_id % 40 >= 20").select("node_id", F.concat(F.lit("k"), F.floor(F.col("node_id") / 40).cast("string")).alias("anchor_key"), "vector")
     return graph.reconciled_anchors(anchors, rebuilt, 0.3)
+
+
+def generations(spark: SparkSession, sf_dir: str) -> snapshots.Generations:
+    """A base of two generations: the one that is served lacks every seventh node, its shadow has them all."""
+    store, own = snapshots.Generations(spark, new_folder(spark)), nodes(spark, sf_dir)
+    for part in (own.where("node_id % 7 <> 3"), own):
+        graph_of = graph.consecutive_edges(part)
+        store.build_shadow("base", {"nodes": part.select("node_id", "label"), "edges": graph_of, "vectors": part.select("node_id", "vector")}, f"of {sf_dir}")
+        if store.resolve("base", "shadow") == 1:
+            store.swap("base")
+    return store
+
+
+@query("""WITH g AS (SELECT 1 AS generation, vec_id FROM embeddings WHERE vec_id % 7 <> 3 UNION ALL SELECT 2, vec_id FROM embeddings)
+SELECT 'base' AS kb, generation, 'ready' AS state, generation = 2 AS active, count(*) AS nodes, count(*) - 1 AS edges FROM g GROUP BY ALL""")
+def generation_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both generations after the shadow has been swapped in."""
+    store = generations(spark, sf_dir)
+    _, active = store.swap("base")
+    states = snapshots.generation_states(store.log)
+    return states.select("kb", "generation", "state", (F.col("generation") == active).alias("active"), F.col("tables")["nodes"].alias("nodes"), F.col("tables")["edges"].alias("edges"))
+
+
+@query(f"""WITH {EDGES}, a AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, node_id) AS r FROM sims WHERE node_id % 7 <> 3 QUALIFY r <= 10),
+b AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, node_id) AS r FROM sims QUALIFY r <= 10)
+SELECT query_id, count(a.r) AS n_before, count(b.r) AS n_after, count_if(a.r IS NOT NULL AND b.r IS NOT NULL) AS shared, round(count_if(a.r IS NOT NULL AND b.r IS NOT NULL) / count(*)::DOUBLE, 6) AS overlap,
+  coalesce(bool_or(a.r = 1 AND b.r = 1), false) AS same_first FROM a FULL JOIN b USING (query_id, node_id) GROUP BY query_id""")
+def replay_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest nodes of each query in the generation that is served and in its shadow."""
+    store = generations(spark, sf_dir)
+    before, after = (search.top_k(search.similarities(asked(spark, sf_dir), store.read("base", which)["vectors"], 10), "sim", 10) for which in ("active", "shadow"))
+    return snapshots.replayed(before, after).withColumn("overlap", F.round("overlap", 6))

@@ -44,6 +44,25 @@ def pressure(metrics: DataFrame) -> DataFrame:
     return metrics.where((F.col("hit") > 0) & (F.col("recall") > 0) & (F.col("mrr") < 1) & (F.col("first_rank") > 1))
 
 
+def ranking_gate(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
+    """name, passed, baseline, candidate: whether a candidate ranking may ship, from the metrics of both (query_id, precision, recall, mrr, hit, first_rank).
+
+    Averages must not fall and cases under pressure must not become more; such a case must not move down, and none may be new. A value that a side lacks is null.
+    """
+    sides = {"baseline": baseline, "candidate": candidate}
+    names = ["hit", "recall", "mrr"]
+    averages = [d.agg(*(F.round(F.coalesce(F.avg(n), F.lit(0.0)), 6).alias(n) for n in names)).select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias(side)) for n in names))).alias("x")).select("x.*") for side, d in sides.items()]
+    kept = averages[0].join(averages[1], "name").select(F.concat("name", F.lit("_not_decreased")).alias("name"), (F.col("candidate") + 1e-9 >= F.col("baseline")).alias("passed"), "baseline", "candidate")
+    pressed = [pressure(d).select("query_id", F.col("first_rank").cast("double").alias(side)) for side, d in sides.items()]
+    counts = [d.agg(F.count(F.lit(1)).cast("double").alias(side)) for side, d in zip(sides, pressed, strict=True)]
+    more = counts[0].join(counts[1]).select(F.lit("ranking_pressure_count").alias("name"), (F.col("candidate") <= F.col("baseline")).alias("passed"), "baseline", "candidate")  # a row each
+    both = pressed[0].join(pressed[1], "query_id", "full")
+    case = F.col("query_id").cast("string")
+    moved = both.where("baseline IS NOT NULL AND candidate IS NOT NULL").select(F.concat(F.lit("case_first_matched_rank:"), case).alias("name"), (F.col("candidate") <= F.col("baseline")).alias("passed"), "baseline", "candidate")
+    new = both.where("baseline IS NULL").select(F.concat(F.lit("new_pressure_case:"), case).alias("name"), F.lit(False).alias("passed"), "baseline", "candidate")
+    return kept.unionByName(more).unionByName(moved).unionByName(new)
+
+
 def severity(metrics: DataFrame, failed: Column | None = None) -> DataFrame:
     """query_id, severity, status. failed: whether a case has failures or negative hits, or didn't pass."""
     urgent = (F.col("hit") < 1) | (F.col("recall") <= 0)

@@ -19,11 +19,8 @@ def rerank_route(enabled: Column, tier: Column, external: Column, remaining_ms:
     )
 
 
-def breaker(calls: DataFrame, failures: int = FAILURES, cooldown: float = COOLDOWN_SECONDS) -> DataFrame:
-    """key, at, failed, state of each call (key, at seconds, failed boolean): ok, failed, or rejected while the breaker is open.
-
-    It opens with failures in a row and lets calls through again, counting from 0, when cooldown seconds have passed.
-    """
+def breaker_step(failures: int = FAILURES, cooldown: float = COOLDOWN_SECONDS):
+    """The step of the circuit breaker over rows (key, at, failed): the state is the failures in a row and when it opened."""
 
     def step(state, row):
         count, opened = state
@@ -33,7 +30,15 @@ def breaker(calls: DataFrame, failures: int = FAILURES, cooldown: float = COOLDO
         count = count + 1 if row[2] else 0
         return (count, row[1] if count >= failures else None), ("failed" if row[2] else "ok",)
 
-    return folded(calls.select("key", "at", "failed"), "key", ["at", "failed"], lambda: (0, None), step, {"state": "string"})
+    return step
+
+
+def breaker(calls: DataFrame, failures: int = FAILURES, cooldown: float = COOLDOWN_SECONDS) -> DataFrame:
+    """key, at, failed, state of each call (key, at seconds, failed boolean): ok, failed, or rejected while the breaker is open.
+
+    It opens with failures in a row and lets calls through again, counting from 0, when cooldown seconds have passed.
+    """
+    return folded(calls.select("key", "at", "failed"), "key", ["at", "failed"], lambda: (0, None), breaker_step(failures, cooldown), {"state": "string"})
 
 
 def budget_left(steps: DataFrame, iterations: int, tokens: int, tool_calls: int) -> DataFrame:

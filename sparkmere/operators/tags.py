@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkmere.plans.saving import saved
+
 # Fixed values of the tag graph's behaviour.
 FIRST_WEIGHT, WEIGHT_RANGE = 0.9, 0.4
 MIN_TAGS, MAX_TAGS = 2, 100
@@ -58,7 +60,7 @@ def spike(seeds: DataFrame, cooc: DataFrame, residuals: DataFrame | None = None,
     """query_id, tag, energy after spikes from seeds (query_id, tag, energy) through the cooccurrence graph.
 
     A tag fires with energy FIRING and no negative momentum, along its SYNAPSES strongest edges. An edge whose weight times the target's residual reaches
-    WORMHOLE keeps more energy and costs no momentum. Energies of a target add up, of its momenta the greatest counts; seeds keep their own energy.
+    WORMHOLE keeps more energy and costs no momentum. Energies of a target add up, of its momenta the greatest counts; seeds keep their own energy. Each hop is written once.
     """
     order = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
     synapses = cooc.withColumn("k", order).where(F.col("k") <= SYNAPSES).drop("k")
@@ -66,8 +68,8 @@ def spike(seeds: DataFrame, cooc: DataFrame, residuals: DataFrame | None = None,
         synapses = synapses.join(residuals.select(F.col("tag").alias("dst"), "residual"), "dst", "left")
     else:
         synapses = synapses.withColumn("residual", F.lit(1.0))
-    synapses = synapses.select("src", "dst", "weight", (F.col("weight") * F.coalesce("residual", F.lit(1.0)) >= WORMHOLE).alias("wormhole"))
-    pulse = seeds.select("query_id", "tag", "energy", F.lit(momentum).alias("momentum"))
+    synapses = saved(synapses.select("src", "dst", "weight", (F.col("weight") * F.coalesce("residual", F.lit(1.0)) >= WORMHOLE).alias("wormhole")))
+    pulse = saved(seeds.select("query_id", "tag", "energy", F.lit(momentum).alias("momentum")).where("energy > 0"))
     every = pulse.select("query_id", "tag", "energy")
     for _ in range(hops):
         firing = pulse.where((F.col("energy") >= FIRING) & (F.col("momentum") >= 0)).withColumnRenamed("tag", "src")
@@ -76,7 +78,7 @@ def spike(seeds: DataFrame, cooc: DataFrame, residuals: DataFrame | None = None,
             (F.col("energy") * F.col("weight") * F.when(F.col("wormhole"), WORMHOLE_DECAY).otherwise(DECAY)).alias("energy"),
             (F.col("momentum") - F.when(F.col("wormhole"), 0.0).otherwise(1.0)).alias("momentum"), "wormhole",
         ).where((F.col("energy") >= LEAST) & (F.col("wormhole") | (F.col("momentum") >= 0)))
-        pulse = sent.groupBy("query_id", "tag").agg(F.sum("energy").alias("energy"), F.max("momentum").alias("momentum"))
+        pulse = saved(sent.groupBy("query_id", "tag").agg(F.sum("energy").alias("energy"), F.max("momentum").alias("momentum")))
         every = every.unionByName(pulse.select("query_id", "tag", "energy"))
     return every.groupBy("query_id", "tag").agg(F.sum("energy").alias("energy"))
 

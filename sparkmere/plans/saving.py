@@ -23,6 +23,11 @@ def _new_path(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new place in the shared folder, for tables that are kept together."""
+    return _new_path(spark)
+
+
 def saved(df: DataFrame, by: str | None = None) -> DataFrame:
     """Compute df once and cut its lineage by a table in the shared checkpoint folder.
 
