@@ -1,6 +1,6 @@
 """Byte-level BPE: ranked merges folded over the distinct words of the corpus, and decoding by concatenating binary pieces.
 
-A text is cut into words by the vocabulary's pattern. Each run of BLOCK_ROWS documents becomes one row, a block, that holds its distinct
+A text is cut into words by the vocabulary's pattern. Each run of BLOCK_ROWS documents becomes a block, a few rows, that holds its distinct
 words and, per document, the numbers of its words. Words that are a piece as a whole get their id at once. All others leave their blocks as rows
 (word, block, number), meet by word, and each is folded once for the corpus (once for every GROUP_BLOCKS blocks, so that a word of all blocks is no hot
 group). The ids then go back to the blocks, which lie in buckets by their number: documents and their codes are not shuffled.
@@ -41,11 +41,13 @@ GROUP_BLOCKS = 4096
 LONG_BYTES = 2048
 #: A block's rows or words, whichever come first, and the rows that reach it at a time.
 BLOCK_ROWS, BLOCK_WORDS, ARROW_ROWS = 8_000, 6_000_000, 1_000
+#: A block's chunks, of ARROW_ROWS documents, that lie in one row.
+PART_CHUNKS = 2
 #: Documents that leave a block together.
 ROWS = 256
 #: Numbers that are worked on at a time.
 PART = 1 << 19
-BLOCK = "block long, ids array<bigint>, counts array<int>, codes binary, done array<int>, done_ids array<array<int>>, n_words int, words array<string>"
+BLOCK = "block long, part int, ids array<bigint>, counts array<int>, codes binary, done array<int>, done_ids array<array<int>>, n_words int, words array<string>"
 ENCODED = "doc_id bigint, ids_sha256 string, token_ids array<int>"
 
 
@@ -207,30 +209,38 @@ def _gathered(batches):
         yield taken()
 
 
-def _block(number_of_block: int, ids: pa.Array, counts: pa.Array, coded: pa.ChunkedArray, pieces: pa.Array, ranks_of) -> pa.RecordBatch:
-    """The row of one block: its documents as numbers into its distinct words, the most frequent word first, so that numbers are small."""
+def _block(number_of_block: int, ids: pa.Array, counts: pa.Array, coded: pa.ChunkedArray, pieces: pa.Array, ranks_of):
+    """The rows of one block: its documents as numbers into its distinct words, the most frequent word first, so that numbers are small. A row holds PART_CHUNKS
+    chunks of documents, the first one the words, too."""
     distinct = coded.chunk(0).dictionary.cast(pa.binary())
     parts = [c.indices.to_numpy() for c in coded.chunks]
+    del coded
     times = sum(_times(part, len(distinct)) for part in parts)
     order = pa.compute.sort_indices(pa.table({"times": times, "word": distinct}), sort_keys=[("times", "descending"), ("word", "ascending")])
     distinct = distinct.take(order)
     number = np.empty(len(order), np.uint32)
     number[order.to_numpy()] = np.arange(len(order))
-    codes = _numbers(number, parts)
-    del coded, parts, number
     whole = pa.compute.fill_null(pa.compute.index_in(distinct, value_set=pieces), -1).to_numpy()
     long = np.flatnonzero((pa.compute.binary_length(distinct).to_numpy() > LONG_BYTES) & (whole < 0))
     done = np.union1d(np.flatnonzero(whole >= 0), long)
     done_ids = [[int(whole[j])] if whole[j] >= 0 else merged(distinct[int(j)].as_py(), ranks_of()) for j in done]
     rest = np.ones(len(distinct), bool)
     rest[done] = False
-    row = [pa.array([number_of_block], pa.int64()), _lists(ids), _lists(counts), pa.array([codes], pa.binary())]
-    row += [_lists(pa.array(done, pa.int32())), _lists(pa.array(done_ids, pa.list_(pa.int32()))), pa.array([len(distinct)], pa.int32()), _lists(distinct.filter(pa.array(rest)).cast(pa.string()))]
-    return pa.RecordBatch.from_arrays(row, names=["block", "ids", "counts", "codes", "done", "done_ids", "n_words", "words"])
+    words = [pa.array(done, pa.int32()), pa.array(done_ids, pa.list_(pa.int32())), len(distinct), distinct.filter(pa.array(rest)).cast(pa.string())]
+    sizes = np.cumsum(counts.to_numpy(), dtype=np.int64)
+    at = 0
+    for low in range(0, len(parts), PART_CHUNKS):
+        own = parts[low : low + PART_CHUNKS]
+        last = low + PART_CHUNKS >= len(parts)
+        until = len(ids) if last else int(np.searchsorted(sizes, sum(map(len, parts[: low + PART_CHUNKS])), side="right"))
+        row = [pa.array([number_of_block], pa.int64()), pa.array([low], pa.int32()), _lists(ids[at:until]), _lists(counts[at:until]), pa.array([_numbers(number, own)], pa.binary())]
+        row += [_lists(words[0]), _lists(words[1]), pa.array([words[2]], pa.int32()), _lists(words[3])]
+        yield pa.RecordBatch.from_arrays(row, names=["block", "part", "ids", "counts", "codes", "done", "done_ids", "n_words", "words"])
+        words, at = [pa.array([], pa.int32()), pa.array([], pa.list_(pa.int32())), 0, pa.array([], pa.string())], until
 
 
 def _blocks(held):
-    """One row for each run of batches."""
+    """The rows of a block for each run of batches."""
 
     def run(batches):
         pieces, ranks = pa.array(held.value, pa.binary()), {}
@@ -246,10 +256,10 @@ def _blocks(held):
             parts = next(gathered, None)  # not in a for loop, whose variables would keep a block until the next one is whole
             if parts is None:
                 return
-            row = _block(task << 33 | k, *parts, pieces, ranks_of)
+            rows = _block(task << 33 | k, *parts, pieces, ranks_of)
             del parts
-            yield row
-            del row
+            yield from rows
+            del rows
             pa.default_memory_pool().release_unused()
 
     return run
@@ -276,24 +286,25 @@ def _documents(finish):
     """The ids of every document of a block, from the ids of its words; finish makes the rows of ROWS documents at most."""
 
     def run(blocks: pa.Table, words: pa.Table) -> pa.Table:
+        n_words = sum(blocks["n_words"].to_pylist())
+        done, done_ids = _of_all(blocks)
+        rest = np.delete(np.arange(n_words), done)
+        numbers, lengths, flat = [done], [pa.compute.list_value_length(done_ids).to_numpy()], [done_ids.flatten().to_numpy()]
+        for n, size, packed in zip(*(words[c].to_pylist() for c in ("n", "size", "packed")), strict=True):
+            values = _of_planes(_planes(packed, size))
+            numbers.append(rest[values[:n]])
+            lengths.append(values[n : 2 * n])
+            flat.append(values[2 * n :])
+        numbers, lengths, flat = np.concatenate(numbers), np.concatenate(lengths).astype(np.int64), np.concatenate(flat).astype("<i4")
+        if len(numbers) != n_words:
+            raise ValueError("a block lacks ids of its words")
+        start_of, length_of = np.empty(n_words, np.int64), np.empty(n_words, np.int64)
+        start_of[numbers], length_of[numbers] = np.cumsum(lengths) - lengths, lengths
         found = []
-        for block in blocks.select(["ids", "counts", "codes", "done", "done_ids", "n_words"]).to_batches():
-            ids, counts, done, done_ids = (block.column(j)[0].values for j in (0, 1, 3, 4))
-            counts, done, n_words = counts.to_numpy(), done.to_numpy(), block.column(5)[0].as_py()
-            places = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        for block in blocks.select(["ids", "counts", "codes"]).to_batches(max_chunksize=1):
+            ids, counts = (block.column(j)[0].values for j in (0, 1))
+            places = np.concatenate([[0], np.cumsum(counts.to_numpy(), dtype=np.int64)])
             planes = _planes(block.column(2)[0].as_buffer(), int(places[-1]))
-            rest = np.delete(np.arange(n_words), done)
-            numbers, lengths, flat = [done], [pa.compute.list_value_length(done_ids).to_numpy()], [done_ids.flatten().to_numpy()]
-            for n, size, packed in zip(*(words[c].to_pylist() for c in ("n", "size", "packed")), strict=True):
-                values = _of_planes(_planes(packed, size))
-                numbers.append(rest[values[:n]])
-                lengths.append(values[n : 2 * n])
-                flat.append(values[2 * n :])
-            numbers, lengths, flat = np.concatenate(numbers), np.concatenate(lengths).astype(np.int64), np.concatenate(flat).astype("<i4")
-            if len(numbers) != n_words:
-                raise ValueError("a block lacks ids of its words")
-            start_of, length_of = np.empty(n_words, np.int64), np.empty(n_words, np.int64)
-            start_of[numbers], length_of[numbers] = np.cumsum(lengths) - lengths, lengths
             for low in range(0, len(ids), ROWS):
                 high = min(len(ids), low + ROWS)
                 part = _of_planes(planes[:, places[low] : places[high]])
@@ -308,6 +319,12 @@ def _documents(finish):
     return run
 
 
+def _of_all(blocks: pa.Table) -> tuple[np.ndarray, pa.Array]:
+    """The words of a block that are done, and their ids, from the row that has them."""
+    done, done_ids = (blocks[c].combine_chunks().flatten() for c in ("done", "done_ids"))
+    return done.to_numpy(), done_ids
+
+
 def _digests(data, ends: np.ndarray) -> pa.Array:
     view = memoryview(data)
     return pa.array([hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())
@@ -345,7 +362,7 @@ def _encoded(docs: DataFrame, vocabulary: Vocabulary, held, finish, schema: str)
     words = docs.select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(vocabulary.pattern), F.lit(0)).alias("words"))
     with arrow_rows(docs.sparkSession, ARROW_ROWS):  # the words of a batch lie in memory of the JVM and of Python
         blocks = saved_in_buckets(words.mapInArrow(trimmed(_blocks(held)), BLOCK), "block")
-    group = F.pmod(F.xxhash64("block"), F.lit(-(-blocks.count() // GROUP_BLOCKS) or 1)).alias("group")
+    group = F.pmod(F.xxhash64("block"), F.lit(-(-blocks.where("part = 0").count() // GROUP_BLOCKS) or 1)).alias("group")
     rows = blocks.select(F.posexplode("words").alias("place", "word"), "block", group).repartition("word", "group")
     each = rows.groupBy("word", "group").agg(F.collect_list(F.struct("block", "place")).alias("places"))
     folded = each.select(vocabulary.encode_word(F.col("word")).alias("token_ids"), "places").select(F.explode("places").alias("at"), "token_ids")
