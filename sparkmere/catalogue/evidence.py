@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sparkmere.catalogue import query
 from sparkmere.catalogue.texts import COVER, FIELD_COLUMNS, RE, chunks, coverage_topk, queries
 from sparkmere.functions import text as fn
-from sparkmere.operators import compaction, contexts, evidence, lexical, prior
+from sparkmere.operators import answers, compaction, contexts, evidence, lexical, prior
 from sparkmere.plans.saving import saved
 from sparkmere.sources.tables import table
 
@@ -203,3 +203,15 @@ def evidence_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = chunks(spark, sf_dir).select("node_id", F.col("heading").alias("header"), F.col("text").alias("body"), F.col("source").alias("source_file"), F.lit("").alias("manual"))
     ranked = prior.final_rank(found, prior.evidence_prior(found.select("query_id", "node_id").join(docs, "node_id"), queries(spark, sf_dir)), 10)
     return ranked.select("query_id", "node_id", "rank", "score", F.round("prior", 6).alias("prior"))
+
+
+@query()
+def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers from the merged contexts of the questions and, behind them, from their evidence."""
+    rows = saved(context_evidence(spark, sf_dir))
+    cited = F.concat(F.lit("cit_"), F.lpad(F.col("rank").cast("string"), 3, "0"))
+    items = contexts.contexts(rows, 600).select("query_id", F.lit(0).alias("stage"), F.col("place").alias("at"), F.col("ranks")[0].alias("rank"), F.col("content").alias("text"))
+    every = items.unionByName(rows.select("query_id", F.lit(1).alias("stage"), F.col("rank").alias("at"), "rank", "text")).withColumn("citation_id", cited)
+    allowed = items.select("query_id", "rank").withColumn("citation_id", cited).select("query_id", "citation_id").distinct()
+    found = answers.extractive_answers(queries(spark, sf_dir), every.join(allowed, ["query_id", "citation_id"], "left_semi"))
+    return found.select("query_id", F.length("answer").alias("n_chars"), F.sha2("answer", 256).alias("answer_sha256"), F.array_join("citations", ",").alias("citations"))

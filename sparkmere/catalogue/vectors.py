@@ -45,7 +45,7 @@ def waved(spark: SparkSession, sf_dir: str, combine: str = "max", anchors: DataF
     return ranked.select("query_id", "rank", "node_id", "score")
 
 
-def wave_sql(combine: str, boost: str = "1.0", spread: str = "1.0", eligible: str = "true") -> str:
+def wave_sql(combine: str, boost: str = "1.0", spread: str = "1.0", eligible: str = "true", graph_sql: str = EDGES) -> str:
     steps = "".join(
         f"""
 w{k} AS (SELECT query_id, node_id, {combine}(a) AS a FROM (SELECT f.query_id, e.dst AS node_id, f.a * {spread} * e.weight * 0.7::DOUBLE AS a
@@ -53,7 +53,7 @@ w{k} AS (SELECT query_id, node_id, {combine}(a) AS a FROM (SELECT f.query_id, e.
         for k in (1, 2, 3)
     )
     return f"""
-WITH {EDGES},
+WITH {graph_sql},
 w0 AS (SELECT query_id, node_id, greatest(sim, 0) * {boost} AS a FROM sims n WHERE {eligible} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, node_id) <= 3),{steps}
 amps AS (SELECT query_id, node_id, round({combine}(a) + 1e-9, 6) AS score FROM (FROM w0 UNION ALL FROM w1 UNION ALL FROM w2 UNION ALL FROM w3) GROUP BY ALL)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS INT) AS rank, node_id, score FROM amps
@@ -238,3 +238,45 @@ def replay_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = generations(spark, sf_dir)
     before, after = (search.top_k(search.similarities(asked(spark, sf_dir), store.read("base", which)["vectors"], 10), "sim", 10) for which in ("active", "shadow"))
     return snapshots.replayed(before, after).withColumn("overlap", F.round("overlap", 6))
+
+
+#: The vectors whose number is that of a node of the tree of brands, types and sizes, with the edges of that tree.
+FULL_EDGES = """
+p AS (SELECT DISTINCT unnest([p_brand, p_brand || '/' || p_type, p_brand || '/' || p_type || '/' || p_size]) AS path FROM part),
+t AS (SELECT row_number() OVER (ORDER BY path) AS id, path, len(string_split(path, '/')) AS depth, CASE WHEN contains(path, '/') THEN left(path, length(path) - length(split_part(path, '/', -1)) - 1) ELSE '' END AS parent FROM p),
+n AS (SELECT vec_id AS node_id, embedding::DOUBLE[] AS v, label, path, depth, parent FROM embeddings JOIN t ON id = vec_id),
+sem AS (SELECT a.node_id AS src, b.node_id AS dst, list_dot_product(a.v, b.v) AS w FROM n a JOIN n b ON a.node_id < b.node_id WHERE list_dot_product(a.v, b.v) > 0.2),
+cons AS (SELECT * FROM (SELECT node_id AS src, lead(node_id) OVER (ORDER BY node_id) AS dst FROM n) WHERE dst IS NOT NULL),
+str AS (SELECT least(a.node_id, b.node_id) AS src, greatest(a.node_id, b.node_id) AS dst, 0.2::DOUBLE AS w, 'parent_child' AS kind FROM n a JOIN n b ON b.parent = a.path
+  UNION ALL SELECT a.node_id, b.node_id, 0.1, 'sibling' FROM n a JOIN n b ON a.parent = b.parent AND a.depth = b.depth AND a.depth > 1 AND a.node_id < b.node_id),
+un AS (SELECT src, dst, w AS s, NULL::DOUBLE AS c, NULL::DOUBLE AS t, NULL AS k FROM sem UNION ALL SELECT src, dst, NULL, 0.15, NULL, NULL FROM cons UNION ALL SELECT src, dst, NULL, NULL, w, kind FROM str),
+un2 AS (SELECT src, dst, max(s) AS s, max(c) AS c, max(t) AS t, max(k) AS k FROM un GROUP BY ALL),
+merged AS (SELECT src, dst, least(1.0::DOUBLE, least(1.0::DOUBLE, coalesce(s, 0) + coalesce(c, 0)) + coalesce(t, 0)) AS weight,
+  CASE WHEN t IS NOT NULL AND ((s IS NULL AND c IS NULL) OR t >= least(1.0, coalesce(s, 0) + coalesce(c, 0))) THEN k WHEN c IS NOT NULL AND (s IS NULL OR c >= s) THEN 'consecutive' ELSE 'semantic' END AS kind FROM un2),
+e AS (SELECT src, dst, weight FROM merged UNION ALL SELECT dst, src, weight FROM merged),
+sims AS (SELECT q.node_id AS query_id, n.node_id, n.label, list_dot_product(q.v, n.v) AS sim FROM n q, n WHERE q.node_id % 20 = 0)
+"""
+
+
+def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkmere.catalogue.ingest import paths
+
+    return saved(nodes(spark, sf_dir).join(paths(spark, sf_dir).select("node_id", "path"), "node_id"))
+
+
+def full_edges(own: DataFrame) -> DataFrame:
+    return graph.merged_edges(graph.semantic_edges(own, THRESHOLD), graph.consecutive_edges(own), graph.structural_edges(own))
+
+
+@query(f"WITH {FULL_EDGES} SELECT src, dst, round(weight, 6) AS weight, kind FROM merged")
+def full_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Semantic, consecutive and structural edges together."""
+    return full_edges(tree_nodes(spark, sf_dir)).select("src", "dst", F.round("weight", 6).alias("weight"), "kind")
+
+
+@query(wave_sql("max", graph_sql=FULL_EDGES))
+def wave_full_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tree_nodes(spark, sf_dir)
+    queries_ = own.where("node_id % 20 = 0").select(F.col("node_id").alias("query_id"), "vector")
+    found = search.wave(search.similarities(queries_, own, search.SOURCES), graph.both_ways(full_edges(own)))
+    return search.top_k(found.withColumn("score", settled(F.col("amplitude"))), "score", 5).select("query_id", "rank", "node_id", "score")

@@ -77,7 +77,7 @@ def test_energy_basis(spark):
     vectors = np.random.default_rng(0).normal(size=(200, 16))
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "node_id long, vector array<double>").repartition(3)
     order = [r.node_id for r in df.orderBy(F.xxhash64(F.lit(42), "node_id")).collect()]
-    axes, mean, energies = pyramid.energy_basis(df)
+    axes, mean, energies = pyramid.energy_basis(df, starts=0)
     want_mean, want = plain_basis(vectors, order)
     assert np.allclose(mean, want_mean) and np.allclose(energies, want[: len(energies)]) and np.allclose(axes @ axes.T, np.eye(len(axes)), atol=1e-9)
     assert 8 <= len(axes) <= 16 and energies.sum() / want.sum() >= 0.95
@@ -88,6 +88,33 @@ def test_energy_basis(spark):
     assert np.allclose(p, energy / energy.sum())
 
 
+def test_parallel_starts(spark):
+    rng = np.random.default_rng(21)
+    homes = rng.normal(size=(24, 6)) * 6
+    vectors = np.concatenate([homes[rng.integers(0, 24, 700)] + rng.normal(size=(700, 6)) * 0.4, np.zeros((30, 6))])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "node_id long, vector array<double>").repartition(3)
+
+    def plain(seed):
+        centres = vectors[np.random.default_rng(seed).choice(len(vectors), 24, replace=False)]
+        for _ in range(25):
+            own = ((vectors[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+            centres = np.array([vectors[own == k].mean(axis=0) if (own == k).any() else centres[k] for k in range(24)])
+        return ((vectors[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1).sum()
+
+    centres, sizes, inertia = pyramid.best_clusters(df, 24, 3)
+    assert inertia <= 1.05 * min(map(plain, range(20))) and sizes.sum() == len(vectors)
+    assert abs(inertia - ((vectors[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1).sum()) < 1e-6 * inertia
+    again = pyramid.parallel_start(df.repartition(5), 24, 42)
+    assert np.allclose(np.sort(again, axis=0), np.sort(pyramid.parallel_start(df, 24, 42), axis=0)) and again.shape == (24, 6)
+    same = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(40)], "node_id long, vector array<double>")
+    assert pyramid.best_clusters(same, 3)[2] == 0 and pyramid.parallel_start(same, 3, 1).shape == (3, 2)
+    axes = pyramid.energy_basis(df, 24)[0]
+    mean = (centres * sizes[:, None]).sum(axis=0) / sizes.sum()
+    want = np.linalg.svd((centres - mean) * np.sqrt(sizes)[:, None], full_matrices=False)[2][: len(axes)]
+    assert np.allclose(axes.T @ axes, want.T @ want, atol=0.05)  # the axes span the same space
+    assert [pyramid.needs_training(*x) for x in ((10, None), (10, 10), (12, 10), (11, 10), (0, 0), (1, 0))] == [True, False, True, False, False, True] and pyramid.needs_training(10, 10, dirty=True)
+
+
 def test_residual_pyramid(spark):
     rng = np.random.default_rng(1)
     ids, tags = np.arange(60), rng.normal(size=(60, 24))
