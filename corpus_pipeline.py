@@ -11,27 +11,28 @@ from sparkmere.llm import bpe, exact_dedup, language_id, mixing, near_dedup
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is recognised go: null texts and texts without a letter."""
+    """Documents in which no language is recognised go: null texts, texts without a letter, and those whose pooled probability of the best language is hardly
+    above chance (language_id.MIN_LIFT). Where no language is given all go; an empty table stays empty."""
     return language_id.recognised_documents(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text the one of the smallest doc_id stays."""
+    """Of documents with equal text, white space made single, the one of the smallest doc_id stays, null doc_ids last."""
     return exact_dedup.kept_documents(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: that of the smallest doc_id, null doc_ids last. Documents without words are near to nothing."""
     return near_dedup.kept_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix takes."""
+    """A row for each copy that the mix takes, with all columns. A null source is a source; rows equal in every column stand for each other, others don't."""
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; null and empty texts have no ids, repeated rows stay repeated."""
     return bpe.encoding_digest(docs)
 
 
