@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmere.llm.common import SPACE, free_names, saved, saved_one_by_one
+from sparkmere.llm.common import SPACE, filter_bits, free_names, may_hold, saved, saved_one_by_one, without
 
 CELLS_PER_ROW = 16
 MOST_CELLS = 2**28
@@ -125,11 +125,14 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     own, key, sha, same = free_names(docs, "own", "key", "sha", "same")
     out = duplicates.where(~F.col("kept")).select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias(same))
     out = saved(out.distinct())
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), f"{SPACE}+", " ")
-    marked = docs.withColumn(own, F.sha2(text, 256))
-    match = marked["doc_id"].eqNullSafe(F.col(key)) & (marked[own] == F.col(sha))
-    left = marked.join(out.select(key, sha), match, "left_anti")
-    repeated = out.where(F.col(same)).select(key, sha)
+    if out.isEmpty():
+        return docs
+    text_sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), f"{SPACE}+", " "), 256)
+    left = without(docs, out.select(key, sha), key, sha, text_sha)
+    repeated = saved(out.where(F.col(same)).select(key, sha))
     if not repeated.isEmpty():
-        left = left.unionByName(marked.join(repeated, match, "left_semi").dropDuplicates(["doc_id", own]))
-    return left.drop(own)
+        bits = filter_bits(repeated.select(F.xxhash64(key).alias("hash")))
+        marked = docs.where(may_hold(bits, F.xxhash64("doc_id"))).withColumn(own, text_sha)
+        match = marked["doc_id"].eqNullSafe(repeated[key]) & (marked[own] == repeated[sha])
+        left = left.unionByName(marked.join(repeated, match, "left_semi").dropDuplicates(["doc_id", own]).drop(own))
+    return left

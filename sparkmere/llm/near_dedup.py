@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmere.llm.common import free_names, saved
+from sparkmere.llm.common import filter_bits, free_names, may_hold, saved, without
 from sparkmere.llm.components import components
 
 WORDS = 5
@@ -368,10 +368,12 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     Of several texts with that doc_id one stays, of wholly equal rows any one. Rows without words (null or empty texts) all stay; an empty table stays empty.
     """
     own, key, hash_ = free_names(docs, "own", "key", "hash")
-    gone, several = (d.select(F.col("doc_id").alias(key), F.col("text_hash").alias(hash_)) for d in NearDuplicates(docs).losers())
-    marked = docs.withColumn(own, F.xxhash64("text"))
-    match = marked["doc_id"].eqNullSafe(F.col(key)) & (marked[own] == F.col(hash_))
-    left = marked.join(gone, match, "left_anti")
+    gone, several = (saved(d.select(F.col("doc_id").alias(key), F.col("text_hash").alias(hash_))) for d in NearDuplicates(docs).losers())
+    text_hash = F.xxhash64("text")
+    left = without(docs, gone, key, hash_, text_hash)
     if not several.isEmpty():
-        left = left.join(several, match, "left_anti").unionByName(marked.join(several, match, "left_semi").dropDuplicates(["doc_id", own]))
-    return left.drop(own)
+        bits = filter_bits(several.select(F.xxhash64(key).alias("hash")))
+        marked = docs.where(may_hold(bits, F.xxhash64("doc_id"))).withColumn(own, text_hash)
+        match = marked["doc_id"].eqNullSafe(several[key]) & (marked[own] == several[hash_])
+        left = without(left, several, key, hash_, text_hash).unionByName(marked.join(several, match, "left_semi").dropDuplicates(["doc_id", own]).drop(own))
+    return left

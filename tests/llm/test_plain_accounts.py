@@ -185,3 +185,19 @@ def test_pipeline_row_by_row(spark, tmp_path):
             own = tiktoken.Encoding("own", pat_str=vocabulary.pattern.removeprefix(bpe.UNICODE_FLAG), mergeable_ranks=ranks, special_tokens={})
             want = collections.Counter((r[0], len(own.encode_ordinary(r[1] or ""))) for r in given)
             assert collections.Counter((r.doc_id, r.n_tokens) for r in docs.collect()) == want
+
+
+def test_rows_that_pass_straight_through(spark, monkeypatch):
+    from sparkmere.llm import common
+
+    keys = spark.range(0, 3000, 7).select(F.xxhash64("id").alias("hash"))
+    bits = common.filter_bits(keys)
+    asked = spark.range(3000).select("id", common.may_hold(bits, F.xxhash64("id")).alias("may")).collect()
+    assert all(r.may for r in asked if r.id % 7 == 0) and sum(r.may for r in asked) < 900
+    for most in (common.MOST_BITS, 64):  # a bitmap that is full lets nothing pass, and changes nothing
+        monkeypatch.setattr(common, "MOST_BITS", most)
+        docs = spark.createDataFrame([(k if k % 50 else None, f"text {k}", k) for k in range(400)], "doc_id long, text string, Flag int")
+        gone = spark.createDataFrame([(k if k % 50 else None, f"text {k}") for k in range(0, 400, 5)], "id long, t string").select("id", F.xxhash64("t").alias("h"))
+        left = common.without(docs, gone, "id", "h", F.xxhash64("text"))
+        assert left.columns == docs.columns and sorted(r.Flag for r in left.collect()) == [k for k in range(400) if k % 5]
+    assert len(common.filter_bits(keys.limit(0))) and not any(common.filter_bits(keys.limit(0)))
