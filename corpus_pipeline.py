@@ -44,15 +44,19 @@ STAGES = [
     ("bpe", encode),
 ]
 
+#: Rows that reach Python at a time, so that no executor holds many texts twice.
+ROWS = 1_000
+
 #: Minima of universal hashes, a trained network and a vocabulary can't be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. Each result but the last is written to the shared checkpoint folder and read from there."""
-    from sparkmere.llm.common import documents, saved
+    from sparkmere.llm.common import arrow_rows, documents, saved
 
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
+    with arrow_rows(spark, ROWS):
+        for _, stage in STAGES[:-1]:
+            docs = saved(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
