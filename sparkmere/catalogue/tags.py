@@ -8,6 +8,7 @@ from sparkmere.catalogue.vectors import EDGES, asked
 from sparkmere.functions.vectors import settled
 from sparkmere.operators import boost, pyramid, search, tags
 from sparkmere.plans.saving import saved
+from sparkmere.sources import parsers
 from sparkmere.sources.tables import nodes, table, tag_positions
 
 POSITIONS = """
@@ -269,3 +270,13 @@ def tag_boost_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = boost.apply_tag_boost(queries, rows, cooc, (axes, mean), labels, 0.5, core, ghosts, saved(residuals), resonant=True)
     digest = F.array_join(F.transform("vector", lambda x: F.format_number(x + 0.0, 4)), ",")
     return found.select("query_id", digest.alias("vector"), "reason", F.round("alpha", 5).alias("alpha"), "seeds", "emergent", "core_added", "ghosts", F.size("matched").alias("matched"), F.round("activation", 5).alias("activation"), "world")
+
+
+@query()
+def dirty_tags_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names as tags; those of an odd number have a vector, the others get the hashing embedder's."""
+    part = table(spark, sf_dir, "part")
+    known = parsers.hash_embedding(part.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("doc_id"), F.col("p_type").alias("text"))).select(F.col("doc_id").alias("tag"), "vector")
+    rows = part.select(F.col("p_partkey").alias("tag"), F.col("p_name").alias("name")).join(known, "tag", "left")
+    found = tags.embedded(rows, parsers.hash_embedding, 64)
+    return found.select("tag", "name", "added", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 5).alias("sum"), F.array_position("vector", F.array_max("vector")).alias("most"))

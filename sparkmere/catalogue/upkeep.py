@@ -55,6 +55,19 @@ def bulk_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("tags", F.array_join("tags", ","))
 
 
+@query("""SELECT event_id AS row, CASE WHEN event_id % 50 = 0 OR event_id % 50 = 1 THEN NULL ELSE 'm' || user_id END AS manual, CASE WHEN event_id % 50 <> 0 THEN 'f' || event_id || '.md' END AS source_file,
+CASE WHEN event_id % 50 = 0 THEN '' WHEN event_id % 2 = 0 THEN array_to_string(list_distinct([event_type, 'b, "c"']), '/') ELSE event_type END AS tags,
+CASE WHEN event_id % 50 = 0 THEN 'INVALID_ROW' WHEN event_id % 50 = 1 THEN 'MISSING_MANUAL_ID' END AS error FROM events""")
+def bulk_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events stand for CSV lines, some without their last field, some without id."""
+    key = F.col("event_id")
+    tags = F.when(key % 2 == 0, F.concat(F.lit('"'), F.upper("event_type"), F.lit('; b, ""C"" |'), F.col("event_type"), F.lit('"'))).otherwise(F.col("event_type"))
+    line = F.when(key % 50 == 0, "only,one").otherwise(F.concat(F.format_string("f%d.md,x,", key), tags, F.lit(","), F.when(key % 50 == 1, F.lit("")).otherwise(F.format_string("m%d", F.col("user_id")))))
+    rows = upkeep.bulk_csv_rows(events(spark, sf_dir).select(key.alias("row"), line.alias("line")), ["source_file", "other", "Tags", "manual"])
+    clear = [F.when(F.coalesce("error", F.lit("")) != "INVALID_ROW", F.col(c)).alias(c) for c in ("manual", "source_file")]
+    return rows.select("row", F.nullif(clear[0], F.lit("")).alias("manual"), clear[1], F.when(F.coalesce("error", F.lit("")) == "INVALID_ROW", "").otherwise(F.array_join("tags", "/")).alias("tags"), "error")
+
+
 @query("""WITH c AS (SELECT event_id AS row, CASE WHEN event_id % 40 <> 0 THEN 'c' || user_id % 10 || '-' || event_id // 2 END AS id, CASE WHEN event_id % 7 = 0 THEN ' ' ELSE event_type END AS q FROM events)
 SELECT row, id AS case_id, CASE WHEN id IS NULL THEN 'malformed' WHEN trim(q) = '' THEN 'query' WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'duplicate_id' END AS error FROM c""")
 def suite_reader(spark: SparkSession, sf_dir: str) -> DataFrame:

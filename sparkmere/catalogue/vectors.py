@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sparkmere.catalogue import query
 from sparkmere.catalogue.texts import FIELD_COLUMNS, FIELDS, TERMS, chunks, queries
 from sparkmere.functions.vectors import dot, norm, settled
-from sparkmere.operators import graph, lexical, preselect, search
+from sparkmere.operators import graph, lexical, orchestrate, preselect, search
 from sparkmere.plans import snapshots
 from sparkmere.plans.saving import new_folder, saved
 from sparkmere.sources.tables import nodes
@@ -280,3 +280,18 @@ def wave_full_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries_ = own.where("node_id % 20 = 0").select(F.col("node_id").alias("query_id"), "vector")
     found = search.wave(search.similarities(queries_, own, search.SOURCES), graph.both_ways(full_edges(own)))
     return search.top_k(found.withColumn("score", settled(F.col("amplitude"))), "score", 5).select("query_id", "rank", "node_id", "score")
+
+
+@query()
+def search_orchestrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors and documents of one id are one node, a benchmark text is the text of the query of its id times 20; nodes of label 0 are filtered out, every
+    37th node is an anchor, and nodes of label 1 are boosted."""
+    own = nodes(spark, sf_dir)
+    texts = chunks(spark, sf_dir).select("node_id", "heading", "body", "identity", F.col("source").alias("source_file"))
+    every = own.join(texts, "node_id")
+    asked_for = asked(spark, sf_dir).join(queries(spark, sf_dir).select((F.col("query_id") * 20).alias("query_id"), "text"), "query_id", "left").select("query_id", F.coalesce("text", F.lit("")).alias("text"), "vector")
+    pins = own.where(F.col("node_id") % KEPT == 0).select("node_id", F.lit(2.0).alias("boost"), F.lit(1.5).alias("propagation_boost"))
+    found = orchestrate.searched(
+        asked_for, every, graph.both_ways(edges(spark, sf_dir)), 5, preselect.coarse_index(own), eligible=own.where("label <> 0"), anchors=pins, boost=F.when(F.col("label") == 1, 0.05).otherwise(0.0)
+    )
+    return found.withColumn("prior", F.round("prior", 6))

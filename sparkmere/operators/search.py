@@ -90,12 +90,13 @@ def matching(nodes: DataFrame, wanted: Mapping[str, str | Sequence[str] | None])
     return nodes
 
 
-def wave(sims: DataFrame, edges: DataFrame, combine: str = "max", steps: int = STEPS, sources: int = SOURCES, anchors: DataFrame | None = None, lexical: DataFrame | None = None, lexical_sources: int = 0) -> DataFrame:
+def wave(sims: DataFrame, edges: DataFrame, combine: str = "max", steps: int = STEPS, sources: int = SOURCES, anchors: DataFrame | None = None, lexical: DataFrame | None = None, lexical_sources: int = 0, reach: DataFrame | None = None) -> DataFrame:
     """query_id, node_id, amplitude after a bounded wave from each query's best nodes.
 
     sims are of eligible nodes only; edges go both ways and lead to eligible nodes. anchors: node_id, boost, propagation_boost. lexical (query_id, node_id,
     score, and sim of eligible nodes) gives lexical_sources further sources, and a source's amplitude is the greater of both. Each contribution below CUTOFF
-    is dropped by itself; the frontier of a step is the wave of the one before, and nodes may be reached again. Edges and frontiers are written once.
+    is dropped by itself; the frontier of a step is the wave of the one before, and nodes may be reached again. With reach (query_id, node_id) a query's wave stays
+    within its own nodes. Edges and frontiers are written once.
     """
     fold = {"max": F.max, "sum": F.sum}[combine]
     seeds = top_k(sims, "sim", sources).select("query_id", "node_id", "sim")
@@ -116,7 +117,8 @@ def wave(sims: DataFrame, edges: DataFrame, combine: str = "max", steps: int = S
             active = active.join(anchors.select("node_id", "propagation_boost"), "node_id", "left").withColumn("amplitude", F.col("amplitude") * F.coalesce("propagation_boost", F.lit(1.0)))
         spread = active.select("query_id", F.col("node_id").alias("src"), "amplitude").join(edges, "src")
         spread = spread.select("query_id", F.col("dst").alias("node_id"), (F.col("amplitude") * F.col("weight") * DECAY).alias("amplitude")).where(F.col("amplitude") >= CUTOFF)
-        frontier = saved(spread.groupBy("query_id", "node_id").agg(fold("amplitude").alias("amplitude")))
+        reached = spread.groupBy("query_id", "node_id").agg(fold("amplitude").alias("amplitude"))
+        frontier = saved(reached if reach is None else reached.join(reach, ["query_id", "node_id"], "left_semi"))
         waves = waves.unionByName(frontier)
     return waves.groupBy("query_id", "node_id").agg(fold("amplitude").alias("amplitude"))
 

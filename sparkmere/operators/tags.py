@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,3 +170,14 @@ def skip_reason(enabled: Column, has_matrix: Column, tag_vectors: Column, seeds:
         F.when(~enabled, "spike_disabled").when(~has_matrix, "matrix_missing").when(tag_vectors == 0, "no_tag_vectors").when(seeds == 0, "no_seeds")
         .when(candidates == 0, "no_candidates").when(context <= 0, "degenerate_context").when(alpha <= 0, "zero_alpha")
     )
+
+
+def embedded(tags: DataFrame, embed: Callable[[DataFrame], DataFrame], dims: int) -> DataFrame:
+    """tag, name, vector, added: tags (tag, name, vector) whose vector is missing get one of their name; the others are left alone.
+
+    embed makes vectors (doc_id, vector) of texts (doc_id, text); one of another dimension than dims fails the task rather than being kept.
+    """
+    missing = tags.where("vector IS NULL").select(F.col("tag").alias("doc_id"), F.col("name").alias("text"))
+    made = embed(missing).select(F.col("doc_id").alias("tag"), F.when(F.size("vector") == dims, F.col("vector")).otherwise(F.raise_error(F.lit("a vector of another dimension"))).alias("made"))
+    joined = tags.join(made, "tag", "left")
+    return joined.select("tag", "name", F.coalesce("vector", "made").alias("vector"), (F.col("vector").isNull() & F.col("made").isNotNull()).alias("added"))

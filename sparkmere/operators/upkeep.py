@@ -29,15 +29,43 @@ def sidecar_metadata(files: DataFrame, sidecars: DataFrame) -> tuple[DataFrame,
     return found, found.groupBy("manual").agg(F.count(F.lit(1)).alias("files")).where("files > 1")
 
 
-def bulk_rows(lines: DataFrame, tag_separator: str = r"[,;|]") -> DataFrame:
-    """row, manual, source_file, tags, error of JSON lines (row, line): tags as a list or as one string to split; a line that isn't an object has an error."""
-    parsed = lines.withColumn("x", F.from_json("line", "manual string, source_file string, tags string"))
+BULK = "manual string, source_file string, tags string"
+
+
+def _bulk(rows: DataFrame, broken: Column, tag_separator: str) -> DataFrame:
+    """row, manual, source_file, tags, error of rows (row, x: struct of BULK)."""
     raw = F.coalesce(F.col("x.tags"), F.lit(""))
-    listed = F.from_json(raw, "array<string>")
-    split = F.when(raw.startswith("["), listed).otherwise(F.split(raw, tag_separator))
+    split = F.when(raw.startswith("["), F.from_json(raw, "array<string>")).otherwise(F.split(raw, tag_separator))
     tags = F.array_distinct(F.filter(F.transform(split, lambda t: F.lower(F.trim(t))), lambda t: t != ""))
-    error = F.when(F.col("x").isNull() | ~F.trim("line").startswith("{"), "INVALID_ROW").when(F.coalesce(F.trim("x.manual"), F.lit("")) == "", "MISSING_MANUAL_ID")
-    return parsed.select("row", F.col("x.manual").alias("manual"), F.col("x.source_file").alias("source_file"), F.coalesce(tags, F.array().cast("array<string>")).alias("tags"), error.alias("error"))
+    error = F.when(broken, "INVALID_ROW").when(F.coalesce(F.trim("x.manual"), F.lit("")) == "", "MISSING_MANUAL_ID")
+    return rows.select("row", F.col("x.manual").alias("manual"), F.col("x.source_file").alias("source_file"), F.coalesce(tags, F.array().cast("array<string>")).alias("tags"), error.alias("error"))
+
+
+def bulk_rows(lines: DataFrame, tag_separator: str = r"[,;|]") -> DataFrame:
+    """row, manual, source_file, tags, error of JSON lines (row, line): tags as a list or as one string to split; a line that isn't an object has an error."""
+    parsed = lines.withColumn("x", F.from_json("line", BULK))
+    return _bulk(parsed, F.col("x").isNull() | ~F.coalesce(F.trim("line").startswith("{"), F.lit(False)), tag_separator)
+
+
+def bulk_array_rows(files: DataFrame, tag_separator: str = r"[,;|]") -> DataFrame:
+    """file, row, manual, source_file, tags, error of JSON arrays of objects (file, text); row is the place in the array, a text that is no array one broken row."""
+    items = F.from_json("text", "array<string>")
+    rows = files.select("file", F.posexplode(F.when(F.size(F.coalesce(items, F.array().cast("array<string>"))) > 0, items).otherwise(F.array(F.lit(None).cast("string")))).alias("place", "line"))
+    numbered = rows.select(F.struct("file", "place").alias("row"), "line")
+    return bulk_rows(numbered, tag_separator).select("row.file", F.col("row.place").alias("row"), "manual", "source_file", "tags", "error")
+
+
+def bulk_csv_rows(lines: DataFrame, header: list[str], tag_separator: str = r"[;|]") -> DataFrame:
+    """row, manual, source_file, tags, error of CSV lines (row, line) under a header, whatever the order of its columns; others than BULK's are left aside.
+
+    A line with fewer or more fields than the header has an error.
+    """
+    schema = ", ".join(f"c{k} string" for k in range(len(header))) + ", more string"
+    parsed = lines.withColumn("c", F.from_csv("line", schema, {"quote": '"', "escape": '"'}))
+    at = {name.strip().lower(): k for k, name in enumerate(header)}
+    fields = [(F.col(f"c.c{at[n]}") if n in at else F.lit(None).cast("string")).alias(n) for n in ("manual", "source_file", "tags")]
+    broken = F.col("line").isNull() | (F.trim("line") == "") | F.col(f"c.c{len(header) - 1}").isNull() | F.col("c.more").isNotNull()
+    return _bulk(parsed.withColumn("x", F.struct(*fields)), broken, tag_separator)
 
 
 def loaded_vectors(wanted: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -49,9 +77,9 @@ def suite_cases(lines: DataFrame, schema: str) -> DataFrame:
     """row, case_id, error and the parsed case of a suite's JSON lines (row, line): malformed rows, missing fields and repeated ids are told, not dropped."""
     parsed = lines.withColumn("case", F.from_json("line", schema))
     own = parsed.select("row", F.col("case.id").alias("case_id"), "case")
-    times = F.count(F.lit(1)).over(Window.partitionBy("case_id"))
+    often = own.where("case_id IS NOT NULL").groupBy("case_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1")  # lines without an id don't meet
     error = F.when(F.col("case").isNull() | F.col("case_id").isNull(), "malformed").when(F.coalesce(F.trim("case.query"), F.lit("")) == "", "query").when(F.col("times") > 1, "duplicate_id")
-    return own.withColumn("times", times).select("row", "case_id", error.alias("error"), "case")
+    return own.join(often, "case_id", "left").select("row", "case_id", error.alias("error"), "case")
 
 
 def incremental_plan(old: DataFrame, new: DataFrame, dirty: DataFrame) -> DataFrame:
