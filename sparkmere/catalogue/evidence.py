@@ -215,3 +215,9 @@ def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     allowed = items.select("query_id", "rank").withColumn("citation_id", cited).select("query_id", "citation_id").distinct()
     found = answers.extractive_answers(queries(spark, sf_dir), every.join(allowed, ["query_id", "citation_id"], "left_semi"))
     return found.select("query_id", F.length("answer").alias("n_chars"), F.sha2("answer", 256).alias("answer_sha256"), F.array_join("citations", ",").alias("citations"))
+
+
+@query()
+def context_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = saved(context_evidence(spark, sf_dir))
+    return contexts.inspected(queries(spark, sf_dir), rows, contexts.contexts(rows, 600), 600)

@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmere.catalogue import query
+from sparkmere.catalogue import ORACLES, query
 from sparkmere.catalogue.vectors import EDGES, asked
 from sparkmere.functions.vectors import settled
 from sparkmere.operators import boost, pyramid, search, tags
@@ -116,6 +116,12 @@ def geodesic_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.geodesic_rerank(results, node_tags, energies).select("query_id", "node_id", F.round("final", 5).alias("final"), "old_rank", "new_rank")
 
 
+@query(f"""WITH g0 AS ({ORACLES['geodesic_rerank']}) SELECT query_id, count_if(old_rank <= 5 AND new_rank <= 5 AND old_rank <> new_rank) AS rank_changed, count_if(new_rank <= 5 AND old_rank > 5) AS new_entry,
+  count_if(old_rank <= 5 AND new_rank > 5) AS lost_entry FROM g0 GROUP BY query_id""")
+def geodesic_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tags.rerank_swaps(geodesic_rerank(spark, sf_dir), 5)
+
+
 @query()
 def intrinsic_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector's energy outside the span of its ten nearest in the graph of similar vectors."""

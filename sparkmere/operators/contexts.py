@@ -146,3 +146,15 @@ def diagnostics(evidence: DataFrame, items: DataFrame) -> DataFrame:
     joined = evidence.join(taken, ["query_id", "rank"], "left")
     numbers = [F.round(c, 6).alias(c) for c in ("score", "coverage")]
     return joined.select("query_id", "rank", "node_id", *numbers, token_estimate(F.col("text")).alias("tokens"), F.col("place").isNotNull().alias("selected"), "place")
+
+
+def inspected(queries: DataFrame, evidence: DataFrame, items: DataFrame, budget: int) -> DataFrame:
+    """query_id, evidence_count, context_item_count, merged_count, token_budget, token_count, answerable, fallback_reason of every query (query_id).
+
+    evidence as for scored, items of contexts: a query without evidence has no results, one without items a budget that is exhausted.
+    """
+    rows = evidence.groupBy("query_id").agg(F.count(F.lit(1)).alias("evidence_count"))
+    held = items.groupBy("query_id").agg(F.count(F.lit(1)).alias("context_item_count"), F.sum(F.size("refs") - 1).alias("merged_count"), F.sum("tokens").alias("token_count"))
+    joined = queries.select("query_id").join(rows, "query_id", "left").join(held, "query_id", "left").fillna(0)
+    reason = F.when(F.col("evidence_count") == 0, "no_results").when(F.col("context_item_count") == 0, "context_budget_exhausted").otherwise("")
+    return joined.select("query_id", "evidence_count", "context_item_count", "merged_count", F.lit(budget).alias("token_budget"), "token_count", (reason == "").alias("answerable"), reason.alias("fallback_reason"))

@@ -101,6 +101,13 @@ def geodesic_rerank(results: DataFrame, node_tags: DataFrame, energies: DataFram
     return joined.select("query_id", "node_id", "score", "geo", "final", *rank)
 
 
+def rerank_swaps(reranked: DataFrame, k: int) -> DataFrame:
+    """query_id, rank_changed, new_entry, lost_entry: how the first k rows of each query differ before and after (old_rank, new_rank)."""
+    before, after = F.col("old_rank") <= k, F.col("new_rank") <= k
+    kinds = {"rank_changed": before & after & (F.col("old_rank") != F.col("new_rank")), "new_entry": after & ~before, "lost_entry": before & ~after}
+    return reranked.groupBy("query_id").agg(*(F.count_if(c).alias(n) for n, c in kinds.items()))
+
+
 # Fixed values of the boost's modulators.
 BRIDGE = 0.15
 CORE_BOOST = (1.20, 1.40)

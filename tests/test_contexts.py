@@ -103,6 +103,14 @@ def test_contexts(spark):
     held = {(q, k): item[0] for q, own in rows.items() for item in plain_context(own, asked[q], 250) for k in item[5]}
     assert len(told) == 48 and all((r.selected, r.place) == ((r.query_id, r["rank"]) in held, held.get((r.query_id, r["rank"]))) for r in told)
     assert contexts.contexts(table.limit(0), 250).count() == 0
+    queries = spark.createDataFrame([(q,) for q in (*asked, 9)], "query_id long")
+    for budget in (5, 250):
+        told = {r.query_id: tuple(r)[1:] for r in contexts.inspected(queries, table, contexts.contexts(table, budget), budget).collect()}
+        for q, own in rows.items():
+            want = plain_context(own, asked[q], budget)
+            reason = "" if want else "context_budget_exhausted"
+            assert told[q] == (12, len(want), sum(len(w[3]) - 1 for w in want), budget, sum(w[4] for w in want), not reason, reason)
+        assert told[9] == (0, 0, 0, budget, 0, False, "no_results")
 
 
 def test_merging_asks_for_overlapping_pages(spark):
