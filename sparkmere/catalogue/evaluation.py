@@ -212,7 +212,7 @@ def answer_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH r AS (SELECT user_id, event_type AS vendor, CASE WHEN value >= 100 THEN 'miss' WHEN value >= 20 THEN 'hit' ELSE '' END AS cache, CASE WHEN event_type = 'error' THEN ['reranker_fallback:error', 'slow'] WHEN value < 10 THEN ['slow'] ELSE [] END AS w, value, (event_id % 3)::DOUBLE AS t FROM events),
 s AS (SELECT user_id, count(*)::DOUBLE AS plans, count_if(vendor = 'error')::DOUBLE AS fallbacks, round(count_if(vendor = 'error') / count(*)::DOUBLE, 6) AS fallback_rate, round(count_if(cache = 'hit') / count(*)::DOUBLE, 6) AS cache_hit_rate,
-  round(quantile_cont(value, 0.5), 3) AS latency_p50, round(quantile_cont(value, 0.95), 3) AS latency_p95, sum(t) AS truncated FROM r GROUP BY ALL)
+  round(quantile_cont(value, 0.5) + 1e-9, 3) AS latency_p50, round(quantile_cont(value, 0.95) + 1e-9, 3) AS latency_p95, sum(t) AS truncated FROM r GROUP BY ALL)
 SELECT user_id, 'vendor' AS kind, vendor AS name, count(*)::DOUBLE AS value FROM r GROUP BY ALL UNION ALL SELECT user_id, 'cache', CASE WHEN cache = '' THEN 'unknown' ELSE cache END, count(*) FROM r GROUP BY ALL
 UNION ALL SELECT user_id, 'warning', x, count(*) FROM (SELECT user_id, unnest(w) AS x FROM r) GROUP BY ALL UNION ALL SELECT user_id, 'summary', name, value FROM (UNPIVOT s ON COLUMNS(* EXCLUDE user_id) INTO NAME name VALUE value)""")
 def rerank_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,7 +56,7 @@ def bulk_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT event_id AS row, CASE WHEN event_id % 50 = 0 OR event_id % 50 = 1 THEN NULL ELSE 'm' || user_id END AS manual, CASE WHEN event_id % 50 <> 0 THEN 'f' || event_id || '.md' END AS source_file,
-CASE WHEN event_id % 50 = 0 THEN '' WHEN event_id % 2 = 0 THEN array_to_string(list_distinct([event_type, 'b, "c"']), '/') ELSE event_type END AS tags,
+CASE WHEN event_id % 50 = 0 THEN '' WHEN event_id % 2 = 0 THEN array_to_string([event_type, 'b, "c"'], '/') ELSE event_type END AS tags,
 CASE WHEN event_id % 50 = 0 THEN 'INVALID_ROW' WHEN event_id % 50 = 1 THEN 'MISSING_MANUAL_ID' END AS error FROM events""")
 def bulk_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events stand for CSV lines, some without their last field, some without id."""

@@ -68,7 +68,7 @@ def rerank_summary(runs: DataFrame, group: str) -> DataFrame:
     fell = (F.col("vendor") == "noop") | F.exists("warnings", lambda w: w.startswith("reranker_fallback"))
     totals = rows.groupBy(group).agg(
         F.count(F.lit(1)).cast("double").alias("plans"), F.count_if(fell).cast("double").alias("fallbacks"), F.round(F.count_if(fell) / F.count(F.lit(1)), 6).alias("fallback_rate"),
-        F.round(F.count_if(F.col("cache") == "hit") / F.count(F.lit(1)), 6).alias("cache_hit_rate"), F.round(F.percentile("latency", 0.5), 3).alias("latency_p50"), F.round(F.percentile("latency", 0.95), 3).alias("latency_p95"),
+        F.round(F.count_if(F.col("cache") == "hit") / F.count(F.lit(1)), 6).alias("cache_hit_rate"), F.round(F.percentile("latency", 0.5) + 1e-9, 3).alias("latency_p50"), F.round(F.percentile("latency", 0.95) + 1e-9, 3).alias("latency_p95"),
         F.sum("truncated").cast("double").alias("truncated"),
     )
     names = ["plans", "fallbacks", "fallback_rate", "cache_hit_rate", "latency_p50", "latency_p95", "truncated"]

@@ -60,11 +60,11 @@ def bulk_csv_rows(lines: DataFrame, header: list[str], tag_separator: str = r"[;
 
     A line with fewer or more fields than the header has an error.
     """
-    schema = ", ".join(f"c{k} string" for k in range(len(header))) + ", more string"
-    parsed = lines.withColumn("c", F.from_csv("line", schema, {"quote": '"', "escape": '"'}))
+    schema = ", ".join(f"c{k} string" for k in range(len(header))) + ", bad string"
+    parsed = lines.withColumn("c", F.from_csv("line", schema, {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"}))
     at = {name.strip().lower(): k for k, name in enumerate(header)}
     fields = [(F.col(f"c.c{at[n]}") if n in at else F.lit(None).cast("string")).alias(n) for n in ("manual", "source_file", "tags")]
-    broken = F.col("line").isNull() | (F.trim("line") == "") | F.col(f"c.c{len(header) - 1}").isNull() | F.col("c.more").isNotNull()
+    broken = F.col("line").isNull() | (F.trim("line") == "") | F.col("c.bad").isNotNull()
     return _bulk(parsed.withColumn("x", F.struct(*fields)), broken, tag_separator)
 
 
