@@ -17,6 +17,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def strip_spaces(text: Column) -> Column:
+    """Without the spaces (Unicode's Zs) at both ends; line ends and tabs stay."""
+    return F.regexp_replace(text, r"\A\p{Zs}+|\p{Zs}+\z", "")
+
+
 def _let(value: Column, body) -> Column:
     """body(value), with value worked out once."""
     return F.get(F.transform(F.array(value), body), 0)
@@ -26,8 +31,8 @@ def _none() -> Column:
     return F.array().cast(TEXTS)
 
 
-def _stripped(parts: Column) -> Column:
-    return F.filter(F.transform(parts, strip), lambda x: x != "")
+def _stripped(parts: Column, trim=strip) -> Column:
+    return F.filter(F.transform(parts, trim), lambda x: x != "")
 
 
 def _fold(items: Column, step) -> Column:
@@ -41,10 +46,10 @@ def _fold(items: Column, step) -> Column:
     return F.aggregate(items, start, one, lambda s: _stripped(F.concat(s["parts"], F.array(s["current"]))))
 
 
-def hard_pieces(text: Column, size: int) -> Column:
-    """Pieces of size characters; a text that fits stays as it is."""
+def hard_pieces(text: Column, size: int, trim=strip) -> Column:
+    """Pieces of size characters, trimmed; a text that fits stays as it is."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(size))
-    return F.when(F.length(text) <= size, F.array(text)).otherwise(_stripped(F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))))
+    return F.when(F.length(text) <= size, F.array(text)).otherwise(_stripped(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))), trim))
 
 
 def packed_paragraphs(text: Column, size: int) -> Column:
@@ -62,8 +67,11 @@ def sentences(text: Column) -> Column:
     return _stripped(F.split(strip(text), SENTENCE))
 
 
-def packed_sentences(text: Column, size: int) -> Column:
-    """A text that fits, or its sentences joined while they fit, with a space between ASCII characters; longer sentences are cut hard."""
+def packed_sentences(text: Column, size: int, trim=strip) -> Column:
+    """A text that fits, or its sentences joined while they fit, with a space between ASCII characters; longer sentences are cut hard.
+
+    trim is applied to the pieces of a text without sentences.
+    """
 
     def step(parts, current, x):
         space = F.when(current.rlike(r"[\x00-\x7F]\z") & x.rlike(r"\A[\x00-\x7F]"), " ").otherwise("")
@@ -73,7 +81,7 @@ def packed_sentences(text: Column, size: int) -> Column:
         return F.when(long, F.concat(closed, hard_pieces(x, size))).when(fits, parts).otherwise(closed), F.when(long, "").when(fits, candidate).otherwise(x)
 
     def units(own: Column) -> Column:
-        return F.when(F.size(own) <= 1, hard_pieces(text, size)).otherwise(_fold(own, step))
+        return F.when(F.size(own) <= 1, hard_pieces(text, size, trim)).otherwise(_fold(own, step))
 
     return F.when(F.length(text) <= size, F.array(text)).otherwise(_let(sentences(text), units))
 
