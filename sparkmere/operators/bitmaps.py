@@ -59,9 +59,15 @@ def as_bitmaps(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def count_under(wanted: DataFrame, index: DataFrame) -> DataFrame:
-    """key, n: how many nodes have, of each field that a key asks for, one of the values (wanted: key, field, normal). Keys without a node are left out."""
-    fields = wanted.groupBy("key").agg(F.count_distinct("field").alias("fields"))
-    held = index.join(wanted.select("key", "field", "normal").distinct(), ["field", "normal"])
-    each = as_bitmaps(held, "key", "field", "bucket")
-    both = each.groupBy("key", "bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count(F.lit(1)).alias("met")).join(fields, "key").where("met = fields")
-    return both.groupBy("key").agg(F.sum(F.bitmap_count("bits")).alias("n")).where("n > 0")
+    """key, n: how many nodes have, of each field that a key asks for, one of the values (wanted: key, field, normal). Keys without a node are left out.
+
+    Keys that ask for the same values are counted once, so that bitmaps are handed on for each different set of values, not for each key.
+    """
+    sets = saved(wanted.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("field", "normal"))).alias("values")))
+    asked = saved(sets.groupBy("values").agg(F.min("key").alias("first")))
+    one = asked.select("first", F.explode("values").alias("v")).select("first", "v.field", "v.normal")
+    fields = asked.select("first", F.size(F.array_distinct(F.col("values.field"))).alias("fields"))
+    each = as_bitmaps(index.join(one, ["field", "normal"]), "first", "field", "bucket")
+    both = each.groupBy("first", "bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count(F.lit(1)).alias("met")).join(fields, "first").where("met = fields")
+    counts = both.groupBy("first").agg(F.sum(F.bitmap_count("bits")).alias("n")).where("n > 0")
+    return sets.join(asked.join(counts, "first"), "values").select("key", "n")
