@@ -126,10 +126,9 @@ def geodesic_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def intrinsic_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector's energy outside the span of its ten nearest in the graph of similar vectors."""
     from sparkmere.catalogue.vectors import THRESHOLD
-    from sparkmere.operators.graph import semantic_edges
 
     own = nodes(spark, sf_dir)
-    return pyramid.intrinsic_residuals(tags.top_neighbours(semantic_edges(own, THRESHOLD), 10), own)
+    return pyramid.intrinsic_residuals(search.nearest_linked(own, THRESHOLD, 10), own)
 
 
 @query()
