@@ -105,9 +105,8 @@ def query_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {COVER} SELECT query_id, node_id, CAST(row_number() OVER w AS INT) AS rank, round(coverage, 6) AS coverage FROM cov WINDOW w AS (PARTITION BY query_id ORDER BY round(coverage, 6) DESC, node_id) QUALIFY row_number() OVER w <= 5")
 def coverage_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rounded = lexical.query_coverage(queries(spark, sf_dir), chunks(spark, sf_dir)).withColumn("coverage", F.round("coverage", 6))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("coverage"), "node_id"))
-    return rounded.withColumn("rank", rank).where("rank <= 5").select("query_id", "node_id", "rank", "coverage")
+    found = lexical.covered_topk(queries(spark, sf_dir), chunks(spark, sf_dir), 5)
+    return found.select("query_id", "node_id", "rank", F.round("coverage", 6).alias("coverage"))
 
 
 @query("SELECT doc_id, 'sha256:' || sha256(text) AS text_hash, left(sha256(source || '|' || lang || '|' || split_part(text, chr(10), 1) || '|' || left(text, 80)), 12) AS anchor_key, 'sha256:' || sha256(trim(text, ' ')) AS query_hash FROM documents")
