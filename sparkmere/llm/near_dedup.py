@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmere.llm.common import filter_bits, free_names, may_hold, saved, without
+from sparkmere.llm.common import arrow_rows, filter_bits, free_names, may_hold, saved, trimmed, without
 from sparkmere.llm.components import components
 
 WORDS = 5
@@ -35,7 +35,10 @@ FEW = 8
 #: Rows of a bucket, and sets of a component, that one task compares with others at a time.
 BUCKET_BLOCK = 512
 SET_BLOCK = 512
-TEXT_BLOCK = 4_000_000
+#: Bytes of texts whose shingles are worked out together: some fifty bytes of numbers are held for each.
+TEXT_BLOCK = 500_000
+#: Pairs that a task holds the sets of at a time.
+PAIRS = 256
 
 _random = np.random.default_rng(20240229)
 _LETTERS = _random.integers(1, 2**63, 256, np.uint64)
@@ -175,8 +178,8 @@ def _similar(batches):
     """Pairs whose shingle sets are similar."""
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["u", "v"])
@@ -241,7 +244,7 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame):
         self.docs = docs.select("doc_id", "text")
         rows = self.docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.xxhash64("text").alias("text_hash"))
-        self.signed = saved(rows.mapInArrow(_signed, "row long, doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>, sketch binary"))
+        self.signed = saved(rows.mapInArrow(trimmed(_signed), "row long, doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>, sketch binary"))
         self.classes = saved(self.signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id")))
         chosen = self.classes.select(F.col("node").alias("row"))
         self.nodes = saved(self.signed.join(chosen, "row", "left_semi").select(F.col("row").alias("node"), "doc_id", "set_key", "bands", "sketch"))
@@ -253,21 +256,22 @@ class NearDuplicates:
         return saved(own.join(buckets, "band"))
 
     def alike(self, pairs: DataFrame) -> DataFrame:
-        return saved(_with_both(pairs, self.nodes, "sketch").mapInArrow(_alike, "u long, v long, share double"))
+        return saved(_with_both(pairs, self.nodes, "sketch").mapInArrow(trimmed(_alike), "u long, v long, share double"))
 
     def sets(self, ends: DataFrame) -> DataFrame:
         """node, shingles of the nodes of ends (node), from their texts."""
         about = saved(self.nodes.join(ends.distinct(), "node", "left_semi").select("node", "doc_id", "set_key"))
         wanted = about.select(F.col("doc_id").alias("id")).distinct()
         texts = self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
-        sets = texts.mapInArrow(_keyed_sets, "set_key binary, shingles binary")
+        sets = texts.mapInArrow(trimmed(_keyed_sets), "set_key binary, shingles binary")
         return saved(about.join(sets, "set_key").select("node", "shingles").dropDuplicates(["node"]))
 
     def similar(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are links, by their whole sets."""
         pairs = saved(pairs.select("u", "v"))
         sets = self.sets(pairs.select(F.explode(F.array("u", "v")).alias("node")))
-        return saved(_with_both(pairs, sets, "shingles").mapInArrow(_similar, "u long, v long"))
+        with arrow_rows(self.docs.sparkSession, PAIRS):
+            return saved(_with_both(pairs, sets, "shingles").mapInArrow(trimmed(_similar), "u long, v long"))
 
     def touching(self, members: DataFrame, parts: DataFrame) -> DataFrame:
         """node, root: members of larger buckets that look like a member of another component.

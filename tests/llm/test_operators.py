@@ -4,9 +4,11 @@ import base64
 import collections
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -318,3 +320,15 @@ def test_bpe(docs, corpus):
     encoded = bpe.encode_documents(docs, vocabulary)
     assert {(r.doc_id, tuple(r.token_ids)) for r in encoded.collect()} == {(i, tuple(encoding.encode_ordinary(t or ""))) for i, t in TEXTS}
     assert sorted((str(r.doc_id), bytes(r.decoded)) for r in bpe.decode_documents(encoded, vocabulary).collect()) == sorted((str(i), (t or "").encode()) for i, t in TEXTS)
+
+
+def test_near_dedup_holds_few_texts():
+    """What is worked out of one batch's texts takes less than 60 MB, however many texts it has."""
+    texts = [f"{k} " + " ".join(f"word{k * j % 9973}" for j in range(1, 400)) for k in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500), pa.int64()), pa.array(range(1500), pa.int64()), pa.array(texts), pa.array(range(1500), pa.int64())], names=["row", "doc_id", "text", "text_hash"])
+    for run, given in ((near_dedup._signed, batch), (near_dedup._keyed_sets, batch.select(["text"]))):
+        tracemalloc.start()
+        rows = sum(found.num_rows for found in run(iter([given])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == 1500 and peak < 60e6, peak
