@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,16 +25,30 @@ def resolved(tags: DataFrame, canonical: DataFrame, synonyms: DataFrame, depreca
     return joined.select("tag", status.alias("status"), target.alias("target"))
 
 
+def _told(examples: int):
+    """tag, manuals, active, inactive, few of each batch (tag, manual, active): counts, and the smallest manuals of each tag."""
+
+    def run(batches):
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]).append_column("inactive", pc.invert(batch.column("active"))).sort_by("manual")
+            found = rows.group_by("tag", use_threads=False).aggregate([("manual", "count", pc.CountOptions(mode="all")), ("active", "sum"), ("inactive", "sum"), ("manual", "list")])
+            sums = [found[c].cast(pa.int64()) for c in ("manual_count", "active_sum", "inactive_sum")]
+            yield from pa.table([found["tag"], *sums, pc.list_slice(found["manual_list"], 0, examples)], names=["tag", "manuals", "active", "inactive", "few"]).to_batches()
+
+    return run
+
+
 def usage(uses: DataFrame, examples: int = 5) -> DataFrame:
     """tag, manuals, active, inactive, examples (smallest manuals) of uses (manual, tag, active).
 
-    Examples come from a bounded minimum per tag, not from a list of all its manuals.
+    Each batch of distinct uses hands on its counts and its smallest manuals, so that no tag's manuals are sorted or listed in one task. Uses are dealt
+    before they are made distinct: few repeat within a task that reads them, and its table of keys would grow with what it reads.
     """
-    once = uses.groupBy("tag", "manual").agg(F.max("active").alias("active"))
-    counts = once.groupBy("tag").agg(F.count(F.lit(1)).alias("manuals"), F.count_if("active").alias("active"), F.count_if(~F.col("active")).alias("inactive"))
-    few = once.withColumn("k", F.row_number().over(Window.partitionBy("tag").orderBy("manual"))).where(F.col("k") <= examples)
-    lists = few.groupBy("tag").agg(F.array_join(F.sort_array(F.collect_list("manual")), ",").alias("examples"))
-    return counts.join(lists, "tag")
+    once = uses.repartition("tag", "manual").groupBy("tag", "manual").agg(F.max("active").alias("active"))
+    kind = once.schema["manual"].dataType.simpleString()
+    told = once.select("tag", "manual", "active").mapInArrow(_told(examples), f"tag string, manuals long, active long, inactive long, few array<{kind}>")
+    few = F.slice(F.array_sort(F.flatten(F.collect_list("few"))), 1, examples)
+    return told.groupBy("tag").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("manuals", "active", "inactive")), F.array_join(few, ",").alias("examples"))
 
 
 # Fixed values of the governance behaviour.

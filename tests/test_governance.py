@@ -124,3 +124,16 @@ def test_routes(spark):
     looks = {"Show me": True, "where  is": False, "Where is it": True, "按钮在哪": True, "the button": True, "clean": False}
     df = spark.createDataFrame([(q,) for q in looks], "q string")
     assert {r.q: r.v for r in df.select("q", routing.visual(F.col("q")).alias("v")).collect()} == looks
+
+
+def test_usage_lists_no_tag_in_one_task(spark):
+    """Counts and smallest manuals against a plain account; no window sorts all manuals of a tag, and none are listed."""
+    rows = [(tag, k * 7 % 1000, k % 3 != 0) for k in range(5000) for tag in ("a", "b") if tag == "a" or k % 100 == 0] + [(None, 4, None), ("c", 9, None)]
+    found = governance.usage(spark.createDataFrame(rows, "tag string, manual long, active boolean"))
+    want = {}
+    for tag, manual, active in rows:
+        own = want.setdefault(tag, {})
+        own[manual] = own.get(manual) or active
+    told = {t: (len(m), sum(x is True for x in m.values()), sum(x is False for x in m.values()), ",".join(map(str, sorted(m)[:5]))) for t, m in want.items()}
+    assert {r.tag: (r.manuals, r.active, r.inactive, r.examples) for r in found.collect()} == told
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
