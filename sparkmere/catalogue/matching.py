@@ -28,10 +28,10 @@ cf AS (SELECT *, concat_ws(',', CASE WHEN recall < 0.3 THEN 'recall' END, CASE W
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_partkey"))
+    rank = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("l_extendedprice"), "l_partkey"))
     tags = F.array_compact(F.array("l_linestatus", F.when(F.col("l_discount") > 0.05, "cheap")))
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("case_id"), rank.alias("rank"), F.col("l_extendedprice").alias("score"),
+    return table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "case_id").select(  # before the window, so that rows stay dealt by case_id
+        "case_id", rank.alias("rank"), F.col("l_extendedprice").alias("score"),
         F.format_string("d%d/%d.md", F.col("l_suppkey") % 2, F.col("l_partkey") % 5).alias("source_file"), F.concat(F.lit(" "), "l_returnflag").alias("header"),
         F.lit(None).cast("string").alias("anchor_key"), F.format_string("part\t\n%d of supplier %d", F.col("l_partkey") % 3, F.col("l_suppkey")).alias("text"), F.create_map(F.lit("tags"), tags).alias("metadata"),
     )
