@@ -9,8 +9,9 @@ without spaces only the digits are variable. Three kinds of lines are recurring,
 * lines of templates in MIN_DOCS documents or more with MIN_FIXED fixed tokens or MIN_BYTES fixed bytes at least.
 
 Equal lines are counted before anything else. Leaves of one document, and those all of whose lines recur verbatim, are left out, as no template there
-adds a line. The distinct lines of a leaf stream through one task, which holds the templates of that leaf only; a leaf of more than PART lines is
-parsed in parts, by a checksum of the line, and the templates of its parts are parsed once more.
+adds a line. The distinct lines of a leaf stream through one task in one pass, whatever their number, as each line changes the templates that the next
+one meets. The task holds the templates of that leaf and two numbers a line. From INDEXED templates on, a line is compared only with those that hold one of
+its rarer tokens at the same place; all others agree in too few.
 
 Cases: null and empty texts have no lines to drop; blank lines are kept; a line that repeats within one document counts once; repeated
 rows and null doc_ids are documents of their own; an empty table gives no rows; other columns are left aside.
@@ -19,6 +20,7 @@ rows and null doc_ids are documents of their own; an empty table gives no rows;
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,10 @@ MIN_DOCS = 5
 MIN_FIXED = 2
 MIN_BYTES = 4
 LONG_BYTES = 64
+#: Rows that leave the parser at a time.
 PART = 2048
+#: Templates of a leaf from which on they are found by their tokens.
+INDEXED = 1024
 #: Thai to Khmer, kana, CJK and its compatibility forms: scripts written without spaces.
 UNSPACED = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
 VARIABLE = "<*>"
@@ -72,19 +77,47 @@ class Leaf:
         self.numbers = {VARIABLE: 0}
         self.table = np.zeros((16, width), np.int32)
         self.count = 0
+        self.holders: dict[tuple[int, int], list[int]] | None = None  # templates by place and token; some have lost the token since
+        self.needed = max(0, int(SIMILAR * width) - 1)  # tokens that must agree
+        while self.needed / width < SIMILAR:
+            self.needed += 1
+
+    def _asked(self, own: np.ndarray) -> slice | np.ndarray:
+        """Templates, in their order, of which one may agree with a line: what agrees in self.needed places does so in one of any width - needed + 1."""
+        if self.holders is None:
+            return slice(0, self.count)
+        lists = sorted((self.holders.get(key, []) for key in enumerate(own.tolist())), key=len)[: len(own) - self.needed + 1]
+        if 8 * sum(map(len, lists)) > self.count:
+            return slice(0, self.count)
+        return np.array(sorted(set().union(*lists)), np.int64)
+
+    def _hold(self, template: int, places, tokens) -> None:
+        for key in zip(places, tokens, strict=True):
+            self.holders.setdefault(key, []).append(template)
 
     def place(self, tokens: list[str]) -> int:
         own = np.array([self.numbers.setdefault(t, len(self.numbers)) for t in tokens], np.int32)
-        if self.count:
-            hits = (self.table[: self.count] == own).sum(axis=1)
+        asked = self._asked(own)
+        hits = (self.table[asked] == own).sum(axis=1)
+        if len(hits):
             best = int(hits.argmax())
             if hits[best] / len(tokens) >= SIMILAR:
-                self.table[best, self.table[best] != own] = 0
+                best = best if isinstance(asked, slice) else int(asked[best])
+                changed = np.flatnonzero((self.table[best] != own) & (self.table[best] != 0))
+                self.table[best, changed] = 0
+                if self.holders is not None:
+                    self._hold(best, changed.tolist(), [0] * len(changed))
                 return best
         if self.count == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         self.table[self.count] = own
         self.count += 1
+        if self.holders is not None:
+            self._hold(self.count - 1, range(len(own)), own.tolist())
+        elif self.count == INDEXED:
+            self.holders = {}
+            for k in range(self.count):
+                self._hold(k, range(len(own)), self.table[k].tolist())
         return self.count - 1
 
     def texts(self) -> list[str]:
@@ -93,52 +126,37 @@ class Leaf:
 
 
 def _parsed(batches):
-    """leaf, id, template, text, fixed, bytes of each line (leaf, part, id, line); rows come part by part, the most frequent line first."""
-    schema = pa.schema([("leaf", pa.int64()), ("id", pa.int64()), ("template", pa.int64()), ("text", pa.string()), ("fixed", pa.int32()), ("bytes", pa.int64())])
+    """leaf, line_hash, template, fixed, bytes of each line (leaf, line_hash, line); rows come leaf by leaf, the most frequent line first."""
+    schema = pa.schema([("leaf", pa.int64()), ("line_hash", pa.int64()), ("template", pa.int64()), ("fixed", pa.int32()), ("bytes", pa.int64())])
 
-    def out(key, tree, lines):
+    def out(key, tree, ids, places):
         texts = tree.texts()
-        names = [int.from_bytes(hashlib.blake2b(f"{key[0]} {t}".encode(), digest_size=8).digest(), "little", signed=True) for t in texts]
+        names = [int.from_bytes(hashlib.blake2b(f"{key} {t}".encode(), digest_size=8).digest(), "little", signed=True) for t in texts]
         fixed = [sum(t != VARIABLE for t in text.split(" ")) for text in texts]
         size = [sum(len(t.replace(VARIABLE, "").encode()) for t in text.split(" ")) for text in texts]
-        places = [k for _, k in lines]
-        columns = [[key[0]] * len(lines), [i for i, _ in lines], *([of[k] for k in places] for of in (names, texts, fixed, size))]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        for low in range(0, len(ids), PART):
+            own = places[low : low + PART]
+            columns = [[key] * len(own), ids[low : low + PART], *([of[k] for k in own] for of in (names, fixed, size))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    key, tree, lines = None, None, []
+    key, tree, ids, places = None, None, array("q"), array("q")
     for batch in batches:
-        for leaf_, part, line_id, line in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+        for leaf_, line_id, line in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             tokens = line.split(" ")
-            if (leaf_, part) != key:
-                if lines:
-                    yield out(key, tree, lines)
-                key, tree, lines = (leaf_, part), Leaf(len(tokens)), []
-            lines.append((line_id, tree.place(tokens)))
-    if lines:
-        yield out(key, tree, lines)
-
-
-PARSED = "leaf long, id long, template long, text string, fixed int, bytes long"
-
-
-def templates_of(distinct: DataFrame, split: DataFrame) -> DataFrame:
-    """leaf, line_hash, template, fixed, bytes of distinct lines (leaf, parts, line_hash, line, n); split has the leaves of several parts.
-
-    Each part of a leaf is parsed by itself. Equal templates of two parts are one; then the templates of each leaf of several parts are parsed as lines
-    are, all together if they are PART at most, else those with one last token together.
-    """
-    dealt = distinct.withColumn("part", F.pmod("line_hash", F.col("parts"))).repartition("leaf", "part").sortWithinPartitions("leaf", "part", F.desc("n"), "line_hash")
-    first = saved(dealt.select("leaf", "part", F.col("line_hash").alias("id"), "line").mapInArrow(_parsed, PARSED).withColumnRenamed("id", "line_hash"))
-    if split.isEmpty():
-        return first.drop("text")
-    again = saved(first.join(split, "leaf", "left_semi").groupBy("leaf", "template", "text").agg(F.count(F.lit(1)).alias("n")))
-    many = again.groupBy("leaf").agg((F.count(F.lit(1)) > PART).alias("many"))
-    part = F.when(F.col("many"), F.xxhash64(F.substring_index("text", " ", -1))).otherwise(F.lit(0).cast("long"))
-    second = again.join(many, "leaf").withColumn("part", part).repartition("leaf", "part").sortWithinPartitions("leaf", "part", F.desc("n"), "template")
-    second = saved(second.select("leaf", "part", F.col("template").alias("id"), F.col("text").alias("line")).mapInArrow(_parsed, PARSED))
-    final = second.select("leaf", F.col("id").alias("template"), F.struct("template", "fixed", "bytes").alias("last")).distinct()
-    last = F.coalesce("last", F.struct("template", "fixed", "bytes"))
-    return saved(first.drop("text").join(final, ["leaf", "template"], "left").select("leaf", "line_hash", last.alias("last")).select("leaf", "line_hash", "last.*"))
+            if leaf_ != key:
+                if ids:
+                    yield from out(key, tree, ids, places)
+                key, tree, ids, places = leaf_, Leaf(len(tokens)), array("q"), array("q")
+            ids.append(line_id)
+            places.append(tree.place(tokens))
+    if ids:
+        yield from out(key, tree, ids, places)
+
+
+def templates_of(distinct: DataFrame) -> DataFrame:
+    """leaf, line_hash, template, fixed, bytes of distinct lines (leaf, line_hash, line, n)."""
+    dealt = distinct.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "line_hash")
+    return saved(dealt.select("leaf", "line_hash", "line").mapInArrow(_parsed, "leaf long, line_hash long, template long, fixed int, bytes long"))
 
 
 def recurring_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -147,12 +165,12 @@ def recurring_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     several = F.min("first") < F.max("last")  # the least and the largest row differ: two documents or more
     lines = slim.where("leaf IS NOT NULL").groupBy("leaf", "line_hash", "raw_hash").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"), F.max("row").alias("last"))
     lines = saved(lines.withColumn("verbatim", F.col("first") < F.col("last")))
-    heavy = saved(lines.groupBy("leaf").agg(several.alias("several"), F.every("verbatim").alias("settled"), F.ceil(F.count(F.lit(1)) / PART).alias("parts")).where("several AND NOT settled").select("leaf", "parts"))
-    counts = lines.join(heavy.hint("merge"), "leaf").groupBy("leaf", "parts", "line_hash").agg(F.sum("n").alias("n"))
+    heavy = saved(lines.groupBy("leaf").agg(several.alias("several"), F.every("verbatim").alias("settled")).where("several AND NOT settled").select("leaf"))
+    counts = lines.join(heavy.hint("merge"), "leaf").groupBy("leaf", "line_hash").agg(F.sum("n").alias("n"))
     # Merged at any size: at scale the tables of leaves and lines are too large to broadcast.
     texts = _lines(docs).select("leaf", "line_hash", "line").join(heavy.hint("merge"), "leaf", "left_semi").dropDuplicates(["leaf", "line_hash"])
-    distinct = counts.join(texts, ["leaf", "line_hash"]).select("leaf", "parts", "line_hash", "line", "n")
-    templates = templates_of(distinct, heavy.where("parts > 1").select("leaf"))
+    distinct = counts.join(texts, ["leaf", "line_hash"]).select("leaf", "line_hash", "line", "n")
+    templates = templates_of(distinct)
     wide = templates.where((F.col("fixed") >= MIN_FIXED) | (F.col("bytes") >= MIN_BYTES)).select("leaf", "line_hash", "template", (F.col("bytes") >= LONG_BYTES).alias("long"))
     known = lines.join(wide.hint("merge"), ["leaf", "line_hash"], "left").where("verbatim OR template IS NOT NULL").select("leaf", "line_hash", "raw_hash", "verbatim", "template", "long")
     told = saved(slim.join(known.hint("merge"), ["leaf", "line_hash", "raw_hash"]).select("row", "at", "verbatim", "template", "long"))

@@ -1,6 +1,7 @@
 """Secret scans, line dedup, sharding, mixing and the kept rows against plain Python accounts of the same rules."""
 
 import collections
+import random
 import re
 
 import numpy as np
@@ -116,6 +117,29 @@ def test_lines_of_a_split_leaf(spark, monkeypatch):
     assert all(r.dropped == [0] for r in found) and len(found) == 100
 
 
+def scattered_lines(n):
+    """Lines of one leaf that agree in some of their tokens, so that what a line joins hangs on those before it."""
+    draw = random.Random(5)
+    return [" ".join(["at", "this", "place", *(draw.choice("abc") + chr(103 + j) for j in range(7))]) for _ in range(n)]
+
+
+def test_a_leaf_is_parsed_in_one_pass(spark):
+    rows = list(enumerate(scattered_lines(2200)))  # more distinct lines than a part once had
+    draw = random.Random(6)
+    rows = [(k, f"{line} {draw.choice('uvwxyz')}{draw.choice('uvwxyz')}{draw.choice('uvwxyz')}") for k, line in rows]
+    found = line_templates.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.dropped for r in found} == plain_lines([t for _, t in rows])
+
+
+def test_templates_are_found_by_their_tokens(monkeypatch):
+    lines = [line.split(" ") for line in scattered_lines(400)] + [["at", "this", "place", *(f"w{k % 90}{j}" if (k + j) % 3 else line_templates.VARIABLE for j in range(7))] for k in range(400)]
+    plain, indexed = line_templates.Leaf(10), line_templates.Leaf(10)
+    monkeypatch.setattr(line_templates, "INDEXED", 10_000)
+    want = [plain.place(x) for x in lines]
+    monkeypatch.setattr(line_templates, "INDEXED", 4)
+    assert [indexed.place(x) for x in lines] == want and indexed.texts() == plain.texts() and indexed.holders is not None
+
+
 def test_dissimilar_lines_of_one_leaf():
     leaf = line_templates.Leaf(8)
     for k in range(20_000):
