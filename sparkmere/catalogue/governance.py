@@ -105,7 +105,7 @@ SELECT doc_id, tag, score, array_to_string(sources, ',') AS sources, CAST(row_nu
 def tag_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as drafts; the phrases in the titles of even ones are the tags in use."""
     docs = table(spark, sf_dir, "documents").withColumn("title", F.split_part("text", F.lit("\n"), F.lit(1)))
-    used = docs.where("doc_id % 2 = 0").select(F.explode(governance.named_by(F.col("title"))).alias("tag")).where(F.contains("tag", F.lit("-")))
+    used = governance.named(docs.where("doc_id % 2 = 0"), {"title": "title"}).where(F.contains("tag", F.lit("-")))
     found = governance.suggestions(docs, {"title": "title", "source_file": "source", "text_sample": "text"}, used.groupBy("tag").agg(F.count(F.lit(1)).alias("n")))
     return found.withColumn("sources", F.array_join("sources", ","))
 

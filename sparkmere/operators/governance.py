@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import heapq
+import re
+import zlib
+from functools import lru_cache, reduce
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -137,56 +142,181 @@ SOURCE_WEIGHTS = {
 TAG_STOP_WORDS = ("a", "an", "and", "by", "for", "from", "guide", "manual", "of", "on", "or", "pdf", "the", "to", "txt", "use", "user", "with")
 VERSION = r"^v?[0-9]+(-[0-9]+)*$"
 OTHER_WEIGHT, SEVERAL, PER_USE, MOST_USES, OVERLAP = 0.05, 0.05, 0.02, 0.12, 0.67
+SMALL = 1e-9
+#: The most that a tag in use scores which no field names.
+KNOWN = 0.72
 
 
-def _model_like(part: Column) -> Column:
-    return part.rlike("[a-z]") & part.rlike("[0-9]")
+#: Positions of the bitmap of tags in use: SLOTS for each tag, between the least and the most as powers of two (4 KB and 32 MB).
+SLOTS, LEAST_BITS, MOST_BITS = 16, 15, 28
+BUCKET = 1 << 15
+DRAFTS_AT_ONCE = 256
+
+_PART = re.compile("[a-z0-9:]+")
+_VERSION = re.compile(VERSION)
 
 
 def useful(tag: Column) -> Column:
     """Whether a tag says anything: no stop word, no version, three characters or more unless it looks like a model."""
-    return (tag != "") & ~tag.isin(*TAG_STOP_WORDS) & ((F.length(tag) >= 3) | _model_like(tag)) & ~tag.rlike(VERSION)
+    return (tag != "") & ~tag.isin(*TAG_STOP_WORDS) & ((F.length(tag) >= 3) | tag.rlike("[a-z]") & tag.rlike("[0-9]")) & ~tag.rlike(VERSION)
+
+
+@lru_cache(1 << 17)
+def _kind(part: str) -> tuple[bool, bool, bool]:
+    """Whether a part is useful, is a word of phrases, and makes a phrase telling."""
+    model = any("a" <= c <= "z" for c in part) and any("0" <= c <= "9" for c in part)
+    telling = part not in TAG_STOP_WORDS and not _VERSION.match(part)
+    own = telling and (len(part) >= 3 or model)
+    return own, own or model, telling
 
 
-def parts_of(value: Column) -> Column:
+def _parts(value: str | None) -> list[str]:
     """The parts of a text normalised as a tag, in order."""
-    return F.filter(F.split(normalized_tag(F.coalesce(value, F.lit(""))), "-"), lambda p: p != "")
+    return _PART.findall((value or "").lower())
 
 
-def named_by(value: Column) -> Column:
-    """The distinct tags that a text names: its useful parts, and phrases of two such parts or models in a row."""
+def _names(value: str | None) -> set[str]:
+    """The tags that a text names: its useful parts, and phrases of two such parts or models in a row, one of them telling."""
+    each = [(part, *_kind(part)) for part in _parts(value)]
+    words = [(part, telling) for part, _, word, telling in each if word]
+    return {part for part, own, _, _ in each if own} | {f"{a}-{b}" for (a, x), (b, y) in pairwise(words) if x or y}
 
-    def found(parts: Column) -> Column:
-        words = F.filter(parts, lambda p: useful(p) | _model_like(p))
-        following = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
-        telling = lambda p: ~p.isin(*TAG_STOP_WORDS) & ~p.rlike(VERSION)
-        pairs = F.filter(F.slice(F.arrays_zip(words.alias("a"), following.alias("b")), F.lit(1), F.size(following)), lambda x: telling(x["a"]) | telling(x["b"]))
-        return F.array_distinct(F.concat(F.filter(parts, useful), F.transform(pairs, lambda x: F.concat(x["a"], F.lit("-"), x["b"]))))
 
-    return F.get(F.transform(F.array(parts_of(value)), found), 0)
+def _gathered(drafts: DataFrame, columns: list[str]) -> DataFrame:
+    """doc_id, rows: the rows (columns f0, f1 ...) of each doc_id. Only rows whose doc_id occurs twice are shuffled."""
+    rows = drafts.select("doc_id", F.struct(*(F.col(c).cast("string").alias(f"f{k}") for k, c in enumerate(columns))).alias("row"))
+    often = saved(drafts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("other")))
+    met = F.col("doc_id").eqNullSafe(F.col("other"))
+    alone = rows.join(often, met, "left_anti").select("doc_id", F.array("row").alias("rows"))
+    return alone.unionByName(rows.join(often, met, "left_semi").groupBy("doc_id").agg(F.collect_list("row").alias("rows")))
 
 
-def suggestions(drafts: DataFrame, fields: dict[str, str], existing: DataFrame, held: DataFrame | None = None, k: int = 8) -> DataFrame:
-    """doc_id, tag, score, sources, rank: the best tags for each draft (doc_id and the columns that fields names by source).
+def _told_by(sources: list[str], known, k: int | None):
+    """doc_id, tag, named of gathered drafts: the tags that they name, with a bit for each source.
 
-    A source names the tags in its text. A tag in use (existing: tag, n) is named by existing_tags if it is a part of any field's text, or has OVERLAP of its
-    parts there; by a prefix join on its rarest parts. The weights of the sources add up, with something for several sources and for use. Tags that
-    the draft has already (held: doc_id, tag) aren't suggested.
+    With known, the bitmap of tags in use, only such tags and the best k of the others are handed on; known may hold tags that aren't in use.
     """
-    named = [drafts.select("doc_id", F.explode(named_by(F.col(column))).alias("tag"), F.lit(source).alias("source")) for source, column in fields.items()]
-    parts = saved(drafts.select(F.col("doc_id").alias("id"), F.array_distinct(F.concat(*(parts_of(F.col(c)) for c in fields.values()))).alias("tokens")))
-    tags = existing.where("tag <> ''").groupBy("tag").agg(F.max("n").alias("n"))
-    split = tags.select(F.col("tag").alias("id"), F.split("tag", "-").alias("tokens"))
-    known = similar_sets(split, parts, OVERLAP, containment=True).select(F.col("right").alias("doc_id"), F.col("left").alias("tag"), F.lit("existing_tags").alias("source"))
-    every = reduce(DataFrame.unionByName, [*named, known]).groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set("source")).alias("sources"))
-    if held is not None:
-        every = every.join(held.select("doc_id", "tag"), ["doc_id", "tag"], "left_anti")
+    score = [_plain_score([s for j, s in enumerate(sources) if mask >> j & 1]) for mask in range(1 << len(sources))]
+
+    def run(batches):
+        bits = known and known.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, DRAFTS_AT_ONCE):
+                part = batch.slice(start, DRAFTS_AT_ONCE)
+                at, tags, named = [], [], []
+                for i, rows in enumerate(part.column("rows").to_pylist()):
+                    found: dict[str, int] = {}
+                    for row in rows:
+                        for j in range(len(sources)):
+                            for tag in _names(row[f"f{j}"]):
+                                found[tag] = found.get(tag, 0) | 1 << j
+                    if bits is not None and k is not None:
+                        place = np.fromiter((zlib.crc32(tag.encode()) for tag in found), np.int64, len(found)) & (len(bits) * 8 - 1)
+                        held = (bits[place >> 3] >> (place & 7) & 1).tolist()
+                        others = heapq.nsmallest(k, ((-score[mask], tag) for (tag, mask), h in zip(found.items(), held) if not h))
+                        found = {tag: mask for (tag, mask), h in zip(found.items(), held) if h} | {tag: found[tag] for _, tag in others}
+                    at += [i] * len(found)
+                    tags += found.keys()
+                    named += found.values()
+                ids = part.column("doc_id").take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(tags, pa.string()), pa.array(named, pa.int32())], ["doc_id", "tag", "named"])
+
+    return run
+
+
+def _all_parts(count: int):
+    """doc_id, tokens: the different parts of all texts of gathered drafts."""
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, DRAFTS_AT_ONCE):
+                part = batch.slice(start, DRAFTS_AT_ONCE)
+                tokens = [list({p for row in rows for j in range(count) for p in _parts(row[f"f{j}"])}) for rows in part.column("rows").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(tokens, pa.list_(pa.string()))], ["doc_id", "tokens"])
+
+    return run
+
+
+def _bitmap(tags: DataFrame):
+    """A broadcast bitmap with the crc32 of every tag, in its lower bits."""
+    size = 1 << min(MOST_BITS, max(LEAST_BITS, (tags.count() * SLOTS).bit_length()))
+    place = F.crc32(F.encode("tag", "UTF-8")).bitwiseAND(F.lit(size - 1))
+    buckets = tags.groupBy(F.shiftright(place, 15).alias("bucket")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(BUCKET - 1))).alias("bits")).collect()
+    bits = np.zeros(size // 8, np.uint8)
+    for row in buckets:
+        bits[row["bucket"] * BUCKET // 8 :][: BUCKET // 8] = np.frombuffer(row["bits"], np.uint8)
+    return tags.sparkSession.sparkContext.broadcast(bits)
+
+
+def named(drafts: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """doc_id, tag: the tags that the fields (columns by source) of each draft name, each once."""
+    schema = f"doc_id {drafts.schema['doc_id'].dataType.simpleString()}, tag string, named int"
+    return _gathered(drafts, list(fields.values())).mapInArrow(_told_by(list(fields), None, None), schema).select("doc_id", "tag")
+
+
+def _plain_score(sources: list[str]) -> float:
+    """The score of a tag that is not in use, by sources."""
+    return round(min(MOST, sum(SOURCE_WEIGHTS.get(s, OTHER_WEIGHT) for s in sorted(sources)) + SEVERAL * (len(sources) - 1)) + SMALL, 3)
+
+
+def _scored(rows: DataFrame) -> DataFrame:
+    """doc_id, tag, score, sources of rows with sources and uses: the weights of the sources add up, with something for several sources and for use."""
     weights = F.create_map(*(F.lit(x) for pair in SOURCE_WEIGHTS.items() for x in pair))
     total = F.aggregate("sources", F.lit(0.0), lambda s, x: s + F.coalesce(F.try_element_at(weights, x), F.lit(OTHER_WEIGHT)))
-    uses = F.when(F.array_contains("sources", "existing_tags"), F.least(F.lit(MOST_USES), PER_USE * F.col("n"))).otherwise(0.0)
+    uses = F.when(F.array_contains("sources", "existing_tags"), F.least(F.lit(MOST_USES), PER_USE * F.col("uses"))).otherwise(0.0)
     score = F.least(F.lit(MOST), total + SEVERAL * (F.size("sources") - 1) + uses)
-    scored = every.where(useful(F.col("tag"))).join(tags, "tag", "left").select("doc_id", "tag", F.round(score + 1e-9, 3).alias("score"), "sources")
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "tag"))).where(F.col("rank") <= k)
+    return rows.where(useful(F.col("tag"))).select("doc_id", "tag", F.round(score + SMALL, 3).alias("score"), "sources")
+
+
+def _ranked(rows: DataFrame, k: int) -> DataFrame:
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "tag"))).where(F.col("rank") <= k)
+
+
+def _held_in(tags: DataFrame, parts: DataFrame) -> DataFrame:
+    """doc_id, tag, uses: the tags in use (tag, uses) of which the parts (doc_id, tokens) of a draft hold OVERLAP, by a prefix join on their rarest parts."""
+    often = saved(parts.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("often")))
+    split = tags.select("tag", "uses", F.explode(F.array_distinct(F.split("tag", "-"))).alias("token")).join(often, "token", "left")
+    asked = split.groupBy("tag").agg(F.first("uses").alias("uses"), F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "token"))).alias("all"))
+    asked = asked.withColumn("least", F.ceil(OVERLAP * F.size("all") - SMALL).cast("int")).withColumn("head", F.slice("all", F.lit(1), F.size("all") - F.col("least") + 1))
+    asked = asked.where(F.size(F.filter("all", lambda x: x["often"] > 0)) >= F.col("least"))
+    asked = asked.select("tag", "uses", "least", F.transform("all", lambda x: x["token"]).alias("wanted"), F.explode("head").alias("one")).select("tag", "uses", "least", "wanted", F.col("one.token").alias("token"))
+    met = asked.join(parts.select("doc_id", F.explode("tokens").alias("token")), "token").drop("token")
+    whole = met.join(parts.select(F.col("doc_id").alias("of"), "tokens"), F.col("doc_id").eqNullSafe(F.col("of")))
+    return whole.where(F.size(F.array_intersect("wanted", "tokens")) >= F.col("least")).select("doc_id", "tag", "uses")
+
+
+def suggestions(drafts: DataFrame, fields: dict[str, str], existing: DataFrame, held: DataFrame | None = None, k: int = 8) -> DataFrame:
+    """doc_id, tag, score, sources, rank: the best tags for each draft (doc_id and the columns that fields names by source).
+
+    A source names the tags in its text. A tag in use (existing: tag, n) is named by existing_tags if it is a part of any field's text, or has OVERLAP of its
+    parts there. The weights of the sources add up, with something for several sources and for use. Tags that the draft has already (held: doc_id, tag) aren't
+    suggested.
+
+    A tag that a field names has all its parts there, so that for those tags an equal tag in use is looked up. Tags in use that no field names score less than
+    KNOWN at most: they are looked for by their parts in those drafts only that don't have k better ones.
+    """
+    tags = saved(existing.where("tag <> ''").groupBy("tag").agg(F.max("n").alias("uses")))
+    gathered = _gathered(drafts, list(fields.values()))
+    sources = list(fields)
+    doc_id = drafts.schema["doc_id"].dataType.simpleString()
+    told = gathered.mapInArrow(_told_by(sources, _bitmap(tags), k if held is None else None), f"doc_id {doc_id}, tag string, named int")
+    own = [F.when(F.col("named").bitwiseAND(F.lit(1 << j)) != 0, F.lit(s)) for j, s in enumerate(sources)]
+    used = F.when(F.col("used"), F.lit("existing_tags"))
+    looked_up = told.join(tags.withColumn("used", F.lit(True)), "tag", "left").withColumn("sources", F.array_sort(F.array_distinct(F.array_compact(F.array(*own, used)))))
+
+    def free(rows: DataFrame) -> DataFrame:
+        if held is None:
+            return rows
+        taken = held.select(F.col("doc_id").alias("of"), F.col("tag").alias("taken"))
+        return rows.join(taken, (F.col("doc_id") == F.col("of")) & (F.col("tag") == F.col("taken")), "left_anti")
+
+    best = saved(_ranked(free(_scored(looked_up)), k).drop("rank"))
+    settled = saved(best.where(F.col("score") > KNOWN).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("doc_id").alias("of")))
+    unsettled = gathered.join(settled, F.col("doc_id").eqNullSafe(F.col("of")), "left_anti")
+    parts = saved(unsettled.mapInArrow(_all_parts(len(sources)), f"doc_id {doc_id}, tokens array<string>"))
+    known = _held_in(tags, parts).withColumn("sources", F.array(F.lit("existing_tags")))
+    every = best.unionByName(free(_scored(known))).groupBy("doc_id", "tag").agg(F.max(F.struct("score", "sources")).alias("best"))
+    return _ranked(every.select("doc_id", "tag", "best.score", "best.sources"), k)
 
 
 def policy_faults(synonyms: DataFrame, canonical: DataFrame, deprecated: DataFrame) -> DataFrame:

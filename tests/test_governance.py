@@ -3,10 +3,15 @@
 import collections
 import re
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from sparkmere import catalogue
 from sparkmere.operators import governance, routing, setjoin
+from tests.compare import of_duckdb, of_spark
+
+catalogue.load_all()
 
 
 def sets_of(rng, n, words):
@@ -101,6 +106,34 @@ def test_suggestions(spark):
         assert got == plain_suggestions(dict(zip(fields, values)), existing, {t for d, t in held if d == doc})
 
 
+def test_suggestions_look_for_parts_in_few_drafts(spark, monkeypatch):
+    """Drafts with enough tags in use among those that they name aren't searched; what is found is what a plain account finds."""
+    rng = np.random.default_rng(4)
+    words = ["w1x", "v2", "12", "the", "of", *(f"word{k}" for k in range(40))]
+    text = lambda n: " ".join(rng.choice(words, n))
+    drafts = [(k, text(4), "kb_" + str(rng.choice(words)), text(int(rng.integers(0, 60)))) for k in range(60)]
+    existing = {f"{a}-{b}": int(rng.integers(1, 9)) for a, b in rng.choice(words, (300, 2))} | {"-".join(rng.choice(words, 4)): 2 for _ in range(60)} | {str(w): 3 for w in words[3:9]} | {"word1--word2": 4}
+    held = [(k, f"word{k % 40}") for k in range(60)]
+    fields, searched, plain = {"title": "title", "source_file": "path", "brand": "sample"}, [], governance._held_in
+    monkeypatch.setattr(governance, "_held_in", lambda tags, parts: searched.append(parts.count()) or plain(tags, parts))
+    df = spark.createDataFrame(drafts, "doc_id long, title string, path string, sample string").repartition(3)
+    tags = spark.createDataFrame(list(existing.items()), "tag string, n long")
+    for taken in ([], held):
+        found = governance.suggestions(df, fields, tags, spark.createDataFrame(taken, "doc_id long, tag string") if taken else None).collect()
+        for doc, *values in drafts:
+            got = [(-r.score, r.tag, r.sources) for r in sorted(found, key=lambda r: r["rank"]) if r.doc_id == doc]
+            assert got == plain_suggestions(dict(zip(fields, values)), existing, {t for d, t in taken if d == doc})
+    assert all(0 < n < 60 for n in searched)
+
+
+def test_suggestions_take_rows_of_one_id_together(spark, tmp_path):
+    rows = [(2, "red pump\nwater", "web"), (2, "red pump\nhose 12", "web"), (3, "pump of red hose water", None), (None, "Red Pump", "wiki"), (4, None, "web")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert of_spark(catalogue.QUERIES["tag_suggest"](spark, str(tmp_path))) == of_duckdb(db, catalogue.ORACLES["tag_suggest"])
+
+
 def test_drift(spark):
     stats = spark.createDataFrame([("a", "canonical", "a", 2, 2), ("b", "synonym", "a", 1, 1), ("c", "deprecated", None, 3, 0), ("d", "unknown", None, 1, 2), ("e", "unknown", None, 0, 4)], "tag string, status string, target string, manuals long, graph long")
     near = spark.createDataFrame([("d", "a"), ("e", "a")], "tag string, canonical string")
