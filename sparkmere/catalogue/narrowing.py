@@ -128,9 +128,9 @@ def active_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT c_custkey AS key_id, s_suppkey AS kb, c_custkey % 11 <> 0 AND c_custkey % 2 = 0 AND (s_suppkey % 5 = c_custkey % 5 OR c_custkey % 13 = 0) AS allowed FROM customer, supplier WHERE c_nationkey = s_nationkey""")
 def acl_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers stand for keys and suppliers of their nation for the bases that they ask for."""
-    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key_id"), F.col("c_nationkey").alias("n"))
-    asked_for = keys.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("kb"), F.col("s_nationkey").alias("n")), "n")
-    kbs = F.when(F.col("key_id") % 13 == 0, F.array(F.lit("*"))).otherwise(F.array(F.concat(F.lit("group-"), F.col("key_id") % 5)))
-    scope = F.when(F.col("key_id") % 2 == 0, F.array(F.lit("search"), F.lit("read"))).otherwise(F.array(F.lit("read")))
-    ok = narrowing.allowed(F.concat(F.lit("group-"), F.col("kb") % 5), kbs, scope, "search", F.when(F.col("key_id") % 11 == 0, True))
-    return asked_for.select("key_id", "kb", ok.alias("allowed"))
+    key = F.col("c_custkey")
+    kbs = F.when(key % 13 == 0, F.array(F.lit("*"))).otherwise(F.array(F.concat(F.lit("group-"), key % 5)))
+    scope = F.when(key % 2 == 0, F.array(F.lit("search"), F.lit("read"))).otherwise(F.array(F.lit("read")))
+    keys = table(spark, sf_dir, "customer").select(key.alias("key_id"), F.col("c_nationkey").alias("realm"), kbs.alias("kbs"), scope.alias("scope"), F.when(key % 11 == 0, True).alias("revoked"))
+    bases = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("kb"), F.col("s_nationkey").alias("realm"), F.concat(F.lit("group-"), F.col("s_suppkey") % 5).alias("name"))
+    return narrowing.allowed_of_realm(keys, bases, "search")

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from sparkmere.operators.bitmaps import count_under
 from sparkmere.operators.setjoin import similar_sets
+from sparkmere.plans.saving import saved
 
 CJK = "[一-鿿]"
 ACTIVE = ("", "active")
+#: Rows that a task writes out for its keys, tasks at most, and bases of a list on average, where keys meet the bases of their realm.
+PAIRS_OF_TASK, MOST_TASKS, LISTED = 4_000_000, 10_000, 100_000
 
 
 def normalized_text(value: Column) -> Column:
@@ -32,6 +35,23 @@ def allowed(kb: Column, kbs: Column, scope: Column, wanted: str, revoked: Column
     return ~F.coalesce(revoked, F.lit(False)) & F.array_contains(scope, wanted) & (F.array_contains(kbs, kb) | F.array_contains(kbs, "*"))
 
 
+def allowed_of_realm(keys: DataFrame, bases: DataFrame, wanted: str) -> DataFrame:
+    """key_id, kb, allowed of each key (key_id, realm, kbs, scope, revoked) and each base of its realm (kb, realm, name, as keys hold it).
+
+    A key is decided on once for each name in its realm, and a row for each base is only written out: their number grows with the product of both tables. So keys are
+    dealt into tasks of about PAIRS_OF_TASK rows, and bases of a name come in lists of LISTED on average at most.
+    """
+    sizes = keys.groupBy("realm").agg(F.count(F.lit(1)).alias("keys")).join(bases.groupBy("realm").agg(F.count(F.lit(1)).alias("bases")), "realm")
+    pairs, most = sizes.agg(F.sum(F.col("keys").cast("double") * F.col("bases")), F.max("bases")).head()
+    tasks = int(min(MOST_TASKS, max(keys.sparkSession.sparkContext.defaultParallelism, (pairs or 0) // PAIRS_OF_TASK)))
+    part = F.pmod(F.xxhash64("kb"), F.lit(-(-(most or 1) // LISTED)))
+    # collect_list leaves out nulls, so that bases are held as structs.
+    lists = saved(bases.groupBy("realm", "name", part.alias("part")).agg(F.collect_list(F.struct("kb")).alias("bases")))
+    met = keys.repartition(tasks, "key_id").join(lists, "realm")
+    decided = met.select("key_id", allowed(F.col("name"), F.col("kbs"), F.col("scope"), wanted, F.col("revoked")).alias("allowed"), "bases")
+    return decided.select("key_id", F.explode("bases").alias("base"), "allowed").select("key_id", "base.kb", "allowed")
+
+
 def metadata_values(nodes: DataFrame, fields: list[str]) -> DataFrame:
     """field, value, normal, nodes: the distinct values of each field, by their normal form; the least spelling stands for all."""
     each = nodes.select("node_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))).alias("x")).select("node_id", "x.*")
